@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch handed to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 500
@@ -47,3 +48,9 @@ def drop(df: DataFrame) -> None:
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def and_columns(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df with the columns of ddl in place of columns of the same names."""
+    fresh = StructType.fromDDL(ddl).fields
+    return StructType([f for f in df.schema.fields if f.name not in {x.name for x in fresh}] + fresh)

@@ -6,24 +6,103 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from cellarium.llm import langid, toxicity
 from cellarium.llm.common import shared_folder, table
+from cellarium.llm.decontamination import decontaminate
+from cellarium.llm.dedup import near_duplicates
 from cellarium.llm.packing import pack_documents
+from cellarium.llm.pii import pseudonymise
 from cellarium.llm.tokens import read_token_file, vocabulary_path, write_token_file
+from cellarium.llm.urls import filter_urls
+
+#: The key of the pseudonyms in these queries; a user gives their own.
+DEMO_KEY = b"an example key, not a secret"
+#: Rules of the url query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def fold(parts: int) -> F.Column:
+    """The remainder of crc32 of doc_id as text; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    counts = F.map_values("pii")
+    return found.select("doc_id", "text", F.aggregate(counts, F.lit(0), lambda a, x: a + x).alias("n_replaced"), F.array_join(F.array_sort(F.map_keys("pii")), ",").alias("kinds"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules, default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(3) == 1).alias("held_out"))
+    weights = toxicity.learn(docs.filter("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, weights, threshold=0.7).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     write_token_file(table(spark, sf_dir, "documents"), path, vocabulary_path(), end_id=1)
     return read_token_file(spark, path)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
+    prototypes = langid.learn(docs.filter("NOT held_out"))
+    return langid.predict(docs.drop("lang"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_token_file": op7_token_file,
+    "op9_language": op9_language,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b2 AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b2)),
+sizes AS (SELECT DISTINCT n FROM win),
+runs AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT r.rid, r.i, r.n, win.item_id FROM runs r JOIN win ON r.t = win.t AND r.n = win.n),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN items USING (rid)""",
+    "op5_url_filter": r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+best AS (SELECT rid, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
+         FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY rid)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (rid)""",
+}

@@ -20,7 +20,7 @@ BUCKETS = 1 << 20
 #: Labelled rows that the fit uses, about: more are sampled down by the hash of doc_id, so training fits one task.
 TRAIN_ROWS = 10_000
 #: Passes over them.
-PASSES = 3
+PASSES = 4
 #: Words whose hashes a Python worker remembers.
 WORDS_KEPT = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,10 +50,10 @@ def features(text: str | None) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal: each coordinate has its own rate, and l1 keeps rare coordinates at zero."""
 
-    alpha: float = 0.1
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.5
 
     def fit(self, rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> np.ndarray:
         """Weights of all buckets and, last, the bias, from (buckets, label) in the given order."""

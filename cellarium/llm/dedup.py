@@ -68,7 +68,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, n (size of the set), fp (hash of the whole set), sig, bands, body (the text, compressed)."""
+    """uid, doc_id, text_hash, n (size of the set), fp (hash of the whole set), sig, bands, body (the text, compressed)."""
     small_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +81,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     continue
                 sig = signature(found)
                 rows.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), sig.tobytes(), band_keys(sig), zlib.compress(text.encode("utf-8", "replace"), 1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _TYPES, strict=True))], names=["doc_id", "n", "fp", "sig", "bands", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _TYPES, strict=True))], names=["doc_id", "text_hash", "n", "fp", "sig", "bands", "body"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n long, fp binary, sig binary, bands array<long>, body binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(of, "doc_id long, text_hash long, n long, fp binary, sig binary, bands array<long>, body binary")
     return rows.withColumn("uid", F.monotonically_increasing_id())
 
 
@@ -182,7 +182,7 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
         per = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts")).filter("parts > 1")
         held = _merge(held, verify(cut(pairs_of(_across(members.join(per, "bucket")))), prints, percent))
     by_set = same.join(held, same["rep"] == held["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.select("uid", "doc_id", "n", "fp").join(by_set, "fp", "left").select("uid", "doc_id", "n", F.coalesce("component", "uid").alias("component"))
+    return prints.select("uid", "doc_id", "text_hash", "n", "fp").join(by_set, "fp", "left").select("uid", "doc_id", "text_hash", "n", F.coalesce("component", "uid").alias("component"))
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -211,3 +211,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = cut(links(prints, percent))
     smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(smallest, "component").select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id; all columns stay.
+
+    Rows without words are in no group and stay. Of equal rows of one doc_id one stays. A null doc_id comes last.
+    """
+    prints = cut(fingerprints(docs))
+    found = links(prints, percent).filter("n > 0")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "text_hash")
+    kept = cut(found.groupBy("component").agg(F.min(order).alias("x")).select("x.doc_id", F.col("x.text_hash").alias("text_hash")))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    some = rows.filter(wordy)
+    some = some.join(kept, some["doc_id"].eqNullSafe(kept["doc_id"]) & (some["_hash"] == kept["text_hash"]), "left_semi")
+    if prints.filter("n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        some = some.dropDuplicates(["doc_id", "_hash"])
+    return some.unionByName(rows.filter(~wordy)).drop("_hash")

@@ -13,6 +13,8 @@ from cellarium.llm.common import shared_folder, table
 from cellarium.llm.decontamination import decontaminate
 from cellarium.llm.dedup import near_duplicates
 from cellarium.llm.packing import pack_documents
+from cellarium.llm.htmltext import extract
+from cellarium.llm.neighbours import nearest
 from cellarium.llm.pii import pseudonymise
 from cellarium.llm.tokens import read_token_file, vocabulary_path, write_token_file
 from cellarium.llm.urls import filter_urls
@@ -28,6 +30,11 @@ def fold(parts: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
     counts = F.map_values("pii")
@@ -61,6 +68,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_file(spark, path)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(4) == 2).alias("held_out"))
     prototypes = langid.learn(docs.filter("NOT held_out"))
@@ -72,12 +83,14 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_token_file": op7_token_file,
+    "op8_html_text": op8_html_text,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }

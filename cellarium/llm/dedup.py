@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.llm.common import cut, small_batches
@@ -23,9 +23,6 @@ SHINGLE = 5
 LEAST_AGREEMENT = 0.55
 #: Up to so many ids the documents that pairs name are picked by a broadcast, beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rounds of stars around one member of each bucket, before all pairs that are still open are compared.
-STARS = 4
-
 _random = np.random.Generator(np.random.Philox(key=20240229))
 _FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -90,11 +87,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 _TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
 
+def _bodies(prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """uid, sig and body of the rows of prints that ids (uid) names."""
+    few = ids.count() <= BROADCAST_IDS
+    return prints.select("uid", "sig", "body").join(F.broadcast(ids) if few else ids, "uid")
+
+
+def own_shingles(prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """uid, own: how many shingles of each of these rows (ids: uid) no other of them has; rows with none are left out."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, body in zip(batch.column("uid").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                found = shingles(zlib.decompress(body).decode()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), uid)), pa.array(found)], names=["uid", "shingle"])
+
+    every = _bodies(prints, ids).select("uid", "body").mapInArrow(each, "uid long, shingle long")
+    alone = every.groupBy("shingle").agg(F.count("*").alias("k"), F.min("uid").alias("uid")).filter("k = 1")
+    return alone.groupBy("uid").agg(F.count("*").alias("own"))
+
+
 def verify(pairs: DataFrame, prints: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b of uids) whose sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    bodies = prints.select("uid", "sig", "body").join(ids, "uid")
+    bodies = _bodies(prints, pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
     first = bodies.select(F.col("uid").alias("a"), F.col("sig").alias("sig_a"), F.col("body").alias("body_a"))
     second = bodies.select(F.col("uid").alias("b"), F.col("sig").alias("sig_b"), F.col("body").alias("body_b"))
 
@@ -117,11 +132,16 @@ def verify(pairs: DataFrame, prints: DataFrame, percent: int = 75) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b", "body_a", "body_b").sortWithinPartitions("a").mapInPandas(holds, "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of edges (a > b) is either tied to one smaller node or the centre of such nodes."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every node of edges (a, b): large-star and small-star in turn."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    mark = None
-    while True:
+    while not _stars(now):
         # Large-star: every larger neighbour of a node is tied to the smallest of its neighbours and itself.
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -130,74 +150,54 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         now = cut(small)
-        fresh = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if fresh == mark:
-            break
-        mark = fresh
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
 def links(prints: DataFrame, percent: int = 75) -> DataFrame:
-    """uid and component of every row of prints that shares a component with another text.
+    """uid, doc_id, text_hash, n and component of every row of prints.
 
-    Only one row of each distinct set is compared. Buckets with one member are done. In others, rounds of stars
-    compare each member with one of them, which is linear in the bucket; after a round, pairs within a component need no
-    comparison. What is open then, members of one bucket in different components, is compared pair by pair, as all
-    of these pairs may be links. Nothing is capped.
+    Only one row of each distinct set is compared. Within a bucket each member is compared with one of them, that
+    with the smallest share of shingles of its own: linear in the bucket. Links so found make components, and a pair within one
+    needs no comparison. The rest of a bucket, members outside its largest component against all others, is compared
+    too, but for the pairs that cannot be links: m shingles that each of two sets of p and q shares with anything
+    allow a similarity of m / (p + q - m) at most. So no link is lost whatever a bucket's size.
     """
     same = cut(prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("rep")))
     reps = same.select(F.col("rep").alias("uid"))
     keyed = cut(prints.select("uid", "n", "bands").join(reps, "uid").select("uid", "n", F.explode("bands").alias("bucket")))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("members"), F.min("uid").alias("first")).filter("members > 1")
-    members = cut(keyed.join(shared, "bucket").select("bucket", "uid", "n", F.col("uid").alias("component"), "first"))
-    held = None
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    found = cut(keyed.join(shared, "bucket").select("bucket", "uid", "n", "size"))
+    # Shingles of its own among all members of larger buckets, which are all that it meets there.
+    own = own_shingles(prints, found.filter("size > 2").select("uid").distinct())
+    members = cut(found.join(own, "uid", "left").select("bucket", "uid", "n", "size", F.when(F.col("size") > 2, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")).alias("m")))
 
     def pairs_of(df: DataFrame) -> DataFrame:
         """Distinct pairs whose sizes allow the similarity."""
-        able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        return df.filter(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-
-    for turn in range(STARS):
-        if turn:
-            # Buckets with members in several components, and how many pairs are open there.
-            per = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-            totals = per.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts")).filter("parts > 1 AND size > 2")
-            share = (F.col("size") * F.col("size") - F.col("squares")) / F.col("size") / 2
-            still = cut(members.join(totals, "bucket").select("bucket", "uid", "n", "component", share.alias("share")))
-            count, pairs_open = still.agg(F.count("*"), F.sum("share")).first()
-            if not count:
-                break
-            if pairs_open <= 4 * count:
-                held = _merge(held, verify(cut(pairs_of(_across(still))), prints, percent))
-                break
-            lead = still.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c"))).alias("x")).select("bucket", "x.a", "x.n_a", "x.c")
-            star = still.join(lead, "bucket").filter("component <> c").select("a", "n_a", F.col("uid").alias("b"), F.col("n").alias("n_b"))
-        else:
-            lead = members.filter("uid = first").select("bucket", F.col("uid").alias("a"), F.col("n").alias("n_a"))
-            star = members.filter("uid <> first").join(lead, "bucket").select("a", "n_a", F.col("uid").alias("b"), F.col("n").alias("n_b"))
-        held = _merge(held, verify(cut(pairs_of(star)), prints, percent))
-        labelled = held.select(F.col("node").alias("uid"), F.col("component").alias("found"))
-        members = cut(members.drop("component").join(labelled, "uid", "left").select("bucket", "uid", "n", F.coalesce("found", "uid").alias("component"), "first"))
-    else:
-        per = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts")).filter("parts > 1")
-        held = _merge(held, verify(cut(pairs_of(_across(members.join(per, "bucket")))), prints, percent))
+        return df.filter(_able(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("bucket", F.col("uid").alias(name), F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("component", "main") if c in df.columns))
+
+    lead = members.groupBy("bucket").agg(F.min(F.struct((-F.col("m") / F.col("n")).alias("o"), "uid", "n", "m")).alias("x")).select("bucket", F.col("x.uid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.m").alias("m_a"))
+    held = components(verify(cut(pairs_of(side(members, "b").join(lead, "bucket").filter("a <> b"))), prints, percent))
+
+    labelled = members.filter("size > 2").join(held.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    labelled = cut(labelled.filter(F.col("m") * 100 >= F.col("n") * percent))  # without this a row has no link at all
+    parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
+    still = cut(labelled.join(parts, "bucket").select("bucket", "uid", "n", "m", "component", "main"))
+    rest = side(still.filter("component <> main"), "a").join(side(still, "b"), "bucket").filter((F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b"))))
+    more = cut(pairs_of(rest))
+    if not more.isEmpty():
+        old = held.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        held = components(verify(more, prints, percent).unionByName(old))
     by_set = same.join(held, same["rep"] == held["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.select("uid", "doc_id", "text_hash", "n", "fp").join(by_set, "fp", "left").select("uid", "doc_id", "text_hash", "n", F.coalesce("component", "uid").alias("component"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components, by way of the bucket's components."""
-    parts = members.select("bucket", "component").distinct()
-    two = parts.select("bucket", F.col("component").alias("c")).join(parts.select("bucket", F.col("component").alias("d")), "bucket").filter("c < d")
-    left = members.select("bucket", F.col("component").alias("c"), F.col("uid").alias("a"), F.col("n").alias("n_a"))
-    right = members.select("bucket", F.col("component").alias("d"), F.col("uid").alias("b"), F.col("n").alias("n_b"))
-    return two.join(left, ["bucket", "c"]).join(right, ["bucket", "d"])
-
-
-def _merge(held: DataFrame | None, found: DataFrame) -> DataFrame:
-    """Components of the links found so far."""
-    old = held.select(F.col("node").alias("a"), F.col("component").alias("b")) if held is not None else None
-    return components(found if old is None else found.unionByName(old))
+def _able(percent: int) -> Column:
+    """Whether two sets of n_a and n_b shingles, m_a and m_b of which may be shared, can have the similarity."""
+    shared = F.least("m_a", "m_b", "n_a", "n_b")
+    return shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

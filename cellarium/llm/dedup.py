@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.llm.common import cut, small_batches
@@ -21,6 +21,8 @@ BANDS, ROWS = 32, 4
 SHINGLE = 5
 #: A pair whose signatures agree in less than this share is not verified on its sets: 5 standard errors below 0.75.
 LEAST_AGREEMENT = 0.55
+#: A shingle in at most so many of the texts that are still open is rare.
+RARE = 16
 #: Up to so many ids the documents that pairs name are picked by a broadcast, beyond it by a shuffle.
 BROADCAST_IDS = 1_000_000
 _random = np.random.Generator(np.random.Philox(key=20240229))
@@ -93,8 +95,8 @@ def _bodies(prints: DataFrame, ids: DataFrame) -> DataFrame:
     return prints.select("uid", "sig", "body").join(F.broadcast(ids) if few else ids, "uid")
 
 
-def own_shingles(prints: DataFrame, ids: DataFrame) -> DataFrame:
-    """uid, own: how many shingles of each of these rows (ids: uid) no other of them has; rows with none are left out."""
+def rare_shingles(prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """uid, shingle, k of those shingles of these rows (ids: uid) that at most RARE of them have, and how many do."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,8 +105,8 @@ def own_shingles(prints: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), uid)), pa.array(found)], names=["uid", "shingle"])
 
     every = _bodies(prints, ids).select("uid", "body").mapInArrow(each, "uid long, shingle long")
-    alone = every.groupBy("shingle").agg(F.count("*").alias("k"), F.min("uid").alias("uid")).filter("k = 1")
-    return alone.groupBy("uid").agg(F.count("*").alias("own"))
+    few = every.groupBy("shingle").agg(F.count("*").alias("k")).filter(F.col("k") <= RARE)
+    return every.join(few, "shingle").select("uid", "shingle", "k")
 
 
 def verify(pairs: DataFrame, prints: DataFrame, percent: int = 75) -> DataFrame:
@@ -157,49 +159,56 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
     """uid, doc_id, text_hash, n and component of every row of prints.
 
     Only one row of each distinct set is compared. Within a bucket each member is compared with one of them, that
-    with the smallest share of shingles of its own: linear in the bucket. Links so found make components, and a pair within one
+    with most company in all its buckets: linear in the bucket. Links so found make components, and a pair within one
     needs no comparison. The rest of a bucket, members outside its largest component against all others, is compared
-    too, but for the pairs that cannot be links: m shingles that each of two sets of p and q shares with anything
-    allow a similarity of m / (p + q - m) at most. So no link is lost whatever a bucket's size.
+    too, in two parts that leave out only pairs which cannot be links. Pairs that share a rare shingle are found by it.
+    For all others, m shingles of each of two sets of p and q that are not rare allow a similarity of
+    m / (p + q - m) at most. So no link within a bucket is lost whatever its size.
     """
     same = cut(prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("rep")))
     reps = same.select(F.col("rep").alias("uid"))
     keyed = cut(prints.select("uid", "n", "bands").join(reps, "uid").select("uid", "n", F.explode("bands").alias("bucket")))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    found = cut(keyed.join(shared, "bucket").select("bucket", "uid", "n", "size"))
-    # Shingles of its own among all members of larger buckets, which are all that it meets there.
-    own = own_shingles(prints, found.filter("size > 2").select("uid").distinct())
-    members = cut(found.join(own, "uid", "left").select("bucket", "uid", "n", "size", F.when(F.col("size") > 2, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")).alias("m")))
+    members = cut(keyed.join(shared, "bucket").select("bucket", "uid", "n", "size"))
 
     def pairs_of(df: DataFrame) -> DataFrame:
         """Distinct pairs whose sizes allow the similarity."""
-        return df.filter(_able(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+        return df.filter(able).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("bucket", F.col("uid").alias(name), F.col("n").alias(f"n_{name}"), F.col("m").alias(f"m_{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("component", "main") if c in df.columns))
+        return df.select(*("bucket" if c == "bucket" else F.col(c).alias(name if c == "uid" else f"{c}_{name}") for c in df.columns))
 
-    lead = members.groupBy("bucket").agg(F.min(F.struct((-F.col("m") / F.col("n")).alias("o"), "uid", "n", "m")).alias("x")).select("bucket", F.col("x.uid").alias("a"), F.col("x.n").alias("n_a"), F.col("x.m").alias("m_a"))
+    company = members.groupBy("uid").agg(F.sum("size").alias("company"))
+    lead = members.join(company, "uid").groupBy("bucket").agg(F.max(F.struct("company", "uid", "n")).alias("x")).select("bucket", F.col("x.uid").alias("a"), F.col("x.n").alias("n_a"))
     held = components(verify(cut(pairs_of(side(members, "b").join(lead, "bucket").filter("a <> b"))), prints, percent))
 
-    labelled = members.filter("size > 2").join(held.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
-    labelled = cut(labelled.filter(F.col("m") * 100 >= F.col("n") * percent))  # without this a row has no link at all
+    labelled = cut(members.filter("size > 2").join(held.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", F.coalesce("component", "uid").alias("component")))
     parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
-    still = cut(labelled.join(parts, "bucket").select("bucket", "uid", "n", "m", "component", "main"))
-    rest = side(still.filter("component <> main"), "a").join(side(still, "b"), "bucket").filter((F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b"))))
-    more = cut(pairs_of(rest))
-    if not more.isEmpty():
-        old = held.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        held = components(verify(more, prints, percent).unionByName(old))
+    still = cut(labelled.join(parts, "bucket").select("bucket", "uid", "n", "component", "main"))
+    if not still.isEmpty():
+        whole = still.groupBy("uid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))  # at most BANDS
+        rare = cut(rare_shingles(prints, whole.select("uid")))
+        named = rare.filter("k > 1").join(whole.select("uid", "n", "component"), "uid").groupBy("shingle").agg(F.collect_list(F.struct("uid", "n", "component")).alias("x"))  # at most RARE
+        near = named.select(F.explode("x").alias("p"), "x").select("p", F.explode("x").alias("q")).filter("p.uid < q.uid AND p.component <> q.component")
+        near = pairs_of(near.select(F.col("p.uid").alias("a"), F.col("p.n").alias("n_a"), F.col("q.uid").alias("b"), F.col("q.n").alias("n_b")))
+
+        m = F.col("n") - F.coalesce("rare", F.lit(0))
+        bounded = whole.join(rare.groupBy("uid").agg(F.count("*").alias("rare")), "uid", "left").select("uid", m.alias("m"), "buckets").filter(m * 100 >= F.col("n") * percent)
+        open_ = cut(still.join(bounded, "uid"))
+        common = F.least("m_a", "m_b")
+        able = common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent
+        apart = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b")))
+        once = F.array_min(F.array_intersect("buckets_a", "buckets_b")) == F.col("bucket")
+        rest = side(open_.filter("component <> main"), "a").join(side(open_, "b"), "bucket").filter(apart & able & once)
+        more = cut(pairs_of(rest).union(near).distinct())
+        if not more.isEmpty():
+            old = held.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            held = components(verify(more, prints, percent).unionByName(old))
     by_set = same.join(held, same["rep"] == held["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return prints.select("uid", "doc_id", "text_hash", "n", "fp").join(by_set, "fp", "left").select("uid", "doc_id", "text_hash", "n", F.coalesce("component", "uid").alias("component"))
 
 
-def _able(percent: int) -> Column:
-    """Whether two sets of n_a and n_b shingles, m_a and m_b of which may be shared, can have the similarity."""
-    shared = F.least("m_a", "m_b", "n_a", "n_b")
-    return shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * percent
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, uid, n_shingles, component_id, kept.
 

@@ -58,7 +58,8 @@ def entries(found: DataFrame, limits: dict | None = None) -> DataFrame:
                         rows.append(dict(path=path, idx=idx, name=i.orig_filename, flags=i.flag_bits, method=i.compress_type, dos_time=h << 11 | mi << 5 | s // 2, dos_date=(y - 1980) << 9 | mo << 5 | d, crc32=i.CRC, comp_size=i.compress_size, uncomp_size=i.file_size, header_start=i.header_offset, version_needed=i.extract_version, external_attrs=i.external_attr, extra=i.extra, comment=i.comment, is_dir=i.orig_filename.endswith("/"), _error=fault))
                 except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
                     rows.append(dict(path=path, _error=_fault(e)))
-            yield pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame(rows, columns=names, dtype=object)
+            yield out.where(out.notna(), None)
 
     return found.select("path", "content").mapInPandas(read, ENTRY)
 
@@ -88,7 +89,7 @@ def parts(found: DataFrame, pattern: str = ".*", limits: dict | None = None) ->
                             rows.append((path, name, None, _fault(e)))
                 except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
                     rows.append((path, None, None, _fault(e)))
-                yield pd.DataFrame(rows, columns=["path", "part", "bytes", "_error"])
+                yield pd.DataFrame(rows, columns=["path", "part", "bytes", "_error"], dtype=object)
 
     return found.select("path", "content").mapInPandas(read, "path string, part string, bytes binary, _error string")
 
@@ -147,7 +148,7 @@ def xml_nodes(members: DataFrame, limits: dict | None = None) -> DataFrame:
                     rows = [[path, part, *r, None] for r in walk.rows]
                 except (expat.ExpatError, ValueError) as e:
                     rows = [[path, part, *[None] * 9, "Malformed" if isinstance(e, expat.ExpatError) else str(e)]]
-                out = pd.DataFrame(rows, columns=names)
+                out = pd.DataFrame(rows, columns=names, dtype=object)
                 for c in ("node_id", "parent_id", "ord", "depth", "start"):
                     out[c] = out[c].astype("Int64")
                 yield out

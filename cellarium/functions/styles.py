@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 # Ids of built-in number formats that show dates.
 DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+# The indexed palette, whose first eight colours come twice, and the default theme.
+INDEXED = (
+    "000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF 000000 FFFFFF FF0000 00FF00 0000FF FFFF00 FF00FF 00FFFF "
+    "800000 008000 000080 808000 800080 008080 C0C0C0 808080 9999FF 993366 FFFFCC CCFFFF 660066 FF8080 0066CC CCCCFF "
+    "000080 FF00FF FFFF00 00FFFF 800080 800000 008080 0000FF 00CCFF CCFFFF CCFFCC FFFF99 99CCFF FF99CC CC99FF FFCC99 "
+    "3366FF 33CCCC 99CC00 FFCC00 FF9900 FF6600 666699 969696"
+).split()
+THEME = "FFFFFF 000000 E7E6E6 44546A 4472C4 ED7D31 A5A5A5 FFC000 5B9BD5 70AD47 0563C1 954F72".split()
+# How a line class looks.
+BORDER_CSS = {"hair": "1px dotted", "thin": "1px solid", "medium": "2px solid", "thick": "3px solid", "double": "3px double", "dashed": "1px dashed", "dotted": "1px dotted"}
 # Line styles by class.
 BORDER_CLASSES = {"hair": ["hair"], "thin": ["thin"], "medium": ["medium"], "thick": ["thick"], "double": ["double"], "dashed": ["dashed", "mediumDashed", "slantDashDot"], "dotted": ["dotted", "dashDot", "dashDotDot", "mediumDashDot", "mediumDashDotDot"]}
 
@@ -34,6 +44,21 @@ def css_color(rgb: Column) -> Column:
     return F.concat(F.lit("#"), F.lower(F.lpad(F.hex(rgb), 6, "0")))
 
 
+def color_css(color: Column) -> Column:
+    """#rrggbb of a struct<rgb, indexed, theme, tint> as attributes have them; null where the surroundings decide."""
+    picked = lambda names, i: F.get(F.array(*[F.lit(int(x, 16)) for x in names]), i)
+    rgb = F.conv(F.right(color["rgb"], F.lit(6)), 16, 10).cast("int")
+    theme = apply_tint(picked(THEME, color["theme"].try_cast("int")), F.coalesce(color["tint"].try_cast("double"), F.lit(0.0)))
+    return css_color(F.coalesce(rgb, picked(INDEXED, color["indexed"].try_cast("int")), theme))
+
+
+def border_css(style: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, css in BORDER_CSS.items():
+        out = F.when(border_class(style) == name, css).otherwise(out)
+    return out
+
+
 def border_class(style: Column) -> Column:
     """One of eight classes; an unknown or missing style is none."""
     out = F.lit("none")

@@ -247,7 +247,7 @@ def test_pseudonyms_keep_formats_and_link_values(spark):
     assert len(cards) == 2 and len(plain) == 2 and plain[0] == plain[1] and luhn(plain[0])
     phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a)[0]
     assert phone in got[None].text
-    assert sum(got[1].pii.values()) == 11 and not got[3].pii and not got[4].pii
+    assert sum(got[1].pii.values()) == 12 and not got[3].pii and not got[4].pii
     assert pii.pseudonymise(frame(spark, []), b"key").count() == 0
     assert pii.Pseudonyms(b"other").text(text)[0] != a
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.functions import addresses, formulas, markup, styles, values
-from cellarium.operators import grid
+from cellarium.operators import grid, package_edits
 from cellarium.plans import workbook
 from cellarium.sources import packages, writer
 
@@ -391,6 +391,21 @@ def part_duplicates(spark, sf_dir):
     return workbook.duplicate_parts(names).select("key", "n")
 
 
+@query("SELECT n_regionkey, CASE WHEN bool_or(n_nationkey = k + 1) THEN k + 2 ELSE k + 1 END AS n FROM (SELECT n_regionkey, n_nationkey, count(*) OVER (PARTITION BY n_regionkey) AS k FROM nation) GROUP BY n_regionkey, k")
+def rels_next_id(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    rels = n.select(F.lit("book").alias("path"), F.col("n_regionkey").cast("string").alias("owner"), F.concat(F.lit("rId"), F.col("n_nationkey").cast("string")).alias("id"))
+    return package_edits.next_rel_number(rels).select(F.col("owner").cast("int").alias("n_regionkey"), "n")
+
+
+@query("SELECT CASE page_id % 4 WHEN 1 THEN 'replace' WHEN 3 THEN 'new' ELSE 'verbatim' END AS kind, count(*) AS n FROM pages WHERE page_id % 4 <> 2 OR page_id % 8 = 2 GROUP BY 1")
+def part_edits(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.lit("book").alias("path"), "page_id", F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("part"), F.col("html").cast("binary").alias("bytes"))
+    k = F.col("page_id")
+    edits = pages.filter((k % 4 != 2) | (k % 8 == 6)).select("path", F.upper("part").alias("part"), F.when(k % 8 == 6, None).when(k % 4 == 0, F.col("bytes")).otherwise(F.lit(b"new")).alias("bytes"))
+    return package_edits.edit_parts(pages.filter("page_id % 4 <> 3").drop("page_id"), edits).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # Formulas.
 
 _F = "'SUM($A$' || CAST(l_orderkey % 1000 + 1 AS {t}) || ':B' || CAST(l_orderkey % 1000 + l_linenumber + 1 AS {t}) || ')*Sheet2!C' || CAST(l_linenumber AS {t}) || '+\"A1\"&LOG10(D$' || CAST(l_partkey % 900 + 1 AS {t}) || ')'"

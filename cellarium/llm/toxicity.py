@@ -22,7 +22,7 @@ TRAIN_ROWS = 10_000
 #: Passes over them, and the weight of a toxic row, of which there are few.
 PASSES, TOXIC_WEIGHT = 6, 3.0
 #: Words whose hashes a Python worker remembers.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

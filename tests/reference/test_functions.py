@@ -100,3 +100,15 @@ def test_formula_columns_sheets_and_copies(spark):
     f = "SUM(A1:B2)*LOG10(C3)+\"D4\"+name+1.5E3"
     got = one(spark, formulas.references(F.lit(f)), formulas.function_names(F.lit(f)), F.array_join(formulas.tokens(F.lit(f)), ""))
     assert tuple(got) == (["A1:B2", "C3"], ["SUM", "LOG10"], f)
+
+
+def test_input_coercion_and_plurals(spark):
+    df = spark.createDataFrame([("",), ("  ",), (None,), (" 1.5 ",), ("TRUE",), ("false",), ("NaN",), ("x",)], "t string")
+    got = [tuple(r.x) for r in df.select(values.coerce_input(F.col("t")).alias("x")).collect()]
+    assert got == [("empty", None, None, None)] * 3 + [("number", 1.5, None, None), ("bool", None, None, True), ("bool", None, None, False), ("text", None, "NaN", None), ("text", None, "x", None)]
+    assert [one(spark, values.plural(F.lit(n), "a", "b", "c")).c0 for n in (1, 2, 5, 11, 21, 112)] == ["1 a", "2 b", "5 c", "11 c", "21 a", "112 c"]
+
+
+@pytest.mark.parametrize(("code", "date"), [("dd.mm.yyyy", True), ("[h]:mm:ss", True), ("General", False), ("[Red]#,##0", False), ("[$-409]#,##0", False), ('0" days"', False), ('"', False), ("[mm]", True), ("\\d0", False), ("_d0", False)])
+def test_date_formats(spark, code, date):
+    assert one(spark, styles.is_date_format(F.lit(code))).c0 is date

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from cellarium.functions import markup, values
 from cellarium.functions.addresses import a1, col_index, parse_range, row_index
 from cellarium.functions.styles import is_date_format
-from cellarium.sources.packages import parts, xml_nodes
+from cellarium.sources.packages import parts, spreadsheet_nodes, xml_nodes
 
 # Types of relationships.
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -141,6 +141,7 @@ def read_cells(found: DataFrame) -> DataFrame:
     """All typed cells of packages (path, content), with the name of their sheet."""
     nodes = xml_nodes(parts(found, r"/xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|worksheets/[^/]*\.xml)")).persist()  # read once, used by five tables
     rels = relationships(nodes.filter("part LIKE '%.rels'"))
-    listed = sheets(nodes.filter("part = '/xl/workbook.xml'"), rels).select("path", "part", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
-    cells = typed_cells(raw_cells(nodes.filter("part LIKE '/xl/worksheets/%'")), shared_strings(nodes.filter("part = '/xl/sharedStrings.xml'")))
+    own = spreadsheet_nodes(nodes)
+    listed = sheets(own.filter("part = '/xl/workbook.xml'"), rels).select("path", "part", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
+    cells = typed_cells(raw_cells(own.filter("part LIKE '/xl/worksheets/%'")), shared_strings(own.filter("part = '/xl/sharedStrings.xml'")))
     return cells.join(listed, ["path", "part"])

@@ -9,6 +9,7 @@ from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Quotas of the strict profile.
 LIMITS = {"input": 64 << 20, "entries": 8192, "part": 128 << 20, "total": 512 << 20, "ratio": 200, "depth": 256, "attrs": 4096, "nodes": 8_000_000}
@@ -154,3 +155,8 @@ def xml_nodes(members: DataFrame, limits: dict | None = None) -> DataFrame:
                 yield out
 
     return members.select("path", "part", "bytes").mapInPandas(read, NODE)
+
+
+def spreadsheet_nodes(nodes: DataFrame) -> DataFrame:
+    """Elements of the spreadsheet vocabulary: its namespace or none at all."""
+    return nodes.filter(F.coalesce("ns", F.lit(_SML)) == _SML)

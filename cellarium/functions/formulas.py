@@ -169,3 +169,27 @@ def respell_formula(formula: Column) -> Column:
         return pd.Series([rewrite(f, lambda _, points: points)[0] for f in formula], dtype=object)
 
     return respelled(formula)
+
+
+def _described(formula: str | None) -> list[dict]:
+    """Each reference of a formula in order: its sheet prefix as written, its kind and corners."""
+    out = []
+    for m in _TOKEN.finditer(formula or ""):
+        if m[_REF_GROUP] is None:
+            continue
+        prefix = _PREFIX.match(m[0])[0]
+        points = _parse(m[0][len(prefix) :])
+        first, last = (points[0], points[-1]) if points else ((None, None, False, False),) * 2
+        kind = "invalid" if points is None else "cols" if first[1] is None else "rows" if first[0] is None else "cell" if len(points) == 1 else "area"
+        out.append({"sheet": prefix[:-1] or None, "kind": kind, "c0": first[0], "r0": first[1], "c1": last[0], "r1": last[1], "c0_abs": first[2], "r0_abs": first[3], "c1_abs": last[2], "r1_abs": last[3]})
+    return out
+
+
+def reference_table(formula: Column) -> Column:
+    """array of struct<sheet, kind, c0, r0, c1, r1, c0_abs, r0_abs, c1_abs, r1_abs> for the references of a formula."""
+
+    @F.pandas_udf("array<struct<sheet:string,kind:string,c0:int,r0:int,c1:int,r1:int,c0_abs:boolean,r0_abs:boolean,c1_abs:boolean,r1_abs:boolean>>")
+    def described(found: pd.Series) -> pd.Series:
+        return pd.Series([_described(f) for f in found], dtype=object)
+
+    return described(formula)

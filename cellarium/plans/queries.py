@@ -426,6 +426,12 @@ def formula_refs(spark, sf_dir):
     return _formulas(spark, sf_dir).select("l_orderkey", "l_linenumber", F.explode(formulas.references(F.col("f"))).alias("ref"))
 
 
+@query("SELECT 'area' AS kind, count(*) AS n, CAST(sum(l_orderkey % 1000) AS BIGINT) AS rows FROM lineitem UNION ALL SELECT 'cell', 2 * count(*), CAST(sum(l_linenumber - 1 + l_partkey % 900) AS BIGINT) FROM lineitem")
+def formula_reference_table(spark, sf_dir):
+    refs = _formulas(spark, sf_dir).select(F.explode(formulas.reference_table(F.col("f"))).alias("r"))
+    return refs.groupBy("r.kind").agg(F.count("*").alias("n"), F.sum("r.r0").alias("rows"))
+
+
 @query("SELECT name, count(*) AS n FROM lineitem, (VALUES ('SUM'), ('LOG10')) AS x(name) GROUP BY name")
 def formula_functions(spark, sf_dir):
     return _formulas(spark, sf_dir).select(F.explode(formulas.function_names(F.col("f"))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))

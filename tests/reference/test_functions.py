@@ -112,3 +112,10 @@ def test_input_coercion_and_plurals(spark):
 @pytest.mark.parametrize(("code", "date"), [("dd.mm.yyyy", True), ("[h]:mm:ss", True), ("General", False), ("[Red]#,##0", False), ("[$-409]#,##0", False), ('0" days"', False), ('"', False), ("[mm]", True), ("\\d0", False), ("_d0", False)])
 def test_date_formats(spark, code, date):
     assert one(spark, styles.is_date_format(F.lit(code))).c0 is date
+
+
+def test_reference_table(spark):
+    got = one(spark, formulas.reference_table(F.lit("SUM($A$1:B2)+'S 1'!C3+#REF!+A:$C+$1:2&\"D4\""))).c0
+    assert [(r.sheet, r.kind, r.c0, r.r0, r.c1, r.r1, r.c0_abs, r.r1_abs) for r in got] == [
+        (None, "area", 0, 0, 1, 1, True, False), ("'S 1'", "cell", 2, 2, 2, 2, False, False), (None, "invalid", None, None, None, None, False, False), (None, "cols", 0, None, 2, None, False, False), (None, "rows", None, 0, None, 1, False, False)
+    ]

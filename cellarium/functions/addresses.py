@@ -12,6 +12,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _letter(n: Column) -> Column:
     return F.chr((n + 65).cast("long"))
 
@@ -30,18 +35,17 @@ def col_letters(col: Column | str) -> Column:
 
 def col_index(letters: Column | str) -> Column:
     """The inverse of col_letters, for either case; null for anything else and beyond the last column."""
-    s = F.upper(_col(letters))
-    digit = lambda i: F.ascii(F.substring(s, i, 1)) - 64
-    value = F.when(F.length(s) == 1, digit(1)).when(F.length(s) == 2, digit(1) * 26 + digit(2)).otherwise(digit(1) * 676 + digit(2) * 26 + digit(3)) - 1
-    return F.when(s.rlike("^[A-Z]{1,3}$") & (value <= MAX_COL), value.cast("int"))
+    def index(s: Column) -> Column:
+        digit = lambda i: F.ascii(F.substring(s, i, 1)) - 64
+        return F.when(F.length(s) == 1, digit(1)).when(F.length(s) == 2, digit(1) * 26 + digit(2)).otherwise(digit(1) * 676 + digit(2) * 26 + digit(3)) - 1
+
+    return let(F.upper(_col(letters)), lambda s: F.when(s.rlike("^[A-Z]{1,3}$"), let(index(s), lambda i: F.when(i <= MAX_COL, i.cast("int")))))
 
 
 def row_index(digits: Column | str) -> Column:
     """A row number counted from 1 to an index; null for 0, for more than seven digits and beyond the last row."""
-    s = _col(digits)
-    value = F.expr("cast(null as long)")
-    value = F.when(s.rlike("^[0-9]{1,7}$"), s.try_cast("long") - 1)
-    return F.when(value.between(0, MAX_ROW), value.cast("int"))
+    value = let(_col(digits), lambda s: F.when(s.rlike("^[0-9]{1,7}$"), s.try_cast("long") - 1))
+    return let(value, lambda v: F.when(v.between(0, MAX_ROW), v.cast("int")))
 
 
 def a1(row: Column | str, col: Column | str) -> Column:
@@ -54,16 +58,17 @@ def parse_a1(address: Column | str) -> Column:
     """struct<row, col> of an address without `$`; null if it is not one."""
     s = _col(address)
     row, col = row_index(F.regexp_extract(s, "^[A-Za-z]{1,3}([0-9]{1,7})$", 1)), col_index(F.regexp_extract(s, "^([A-Za-z]{1,3})[0-9]{1,7}$", 1))
-    return F.when(row.isNotNull() & col.isNotNull(), F.struct(row.alias("row"), col.alias("col")))
+    return let(F.struct(row.alias("row"), col.alias("col")), lambda x: F.when(x["row"].isNotNull() & x["col"].isNotNull(), x))
 
 
 def parse_range(text: Column | str) -> Column:
     """struct<r0, c0, r1, c1> with ordered corners of A1:B2 or A1; null if either corner is no address."""
-    s = _col(text)
-    parts = F.split(s, ":")
-    a, b = parse_a1(F.get(parts, F.lit(0))), parse_a1(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
-    corners = F.struct(F.least(a["row"], b["row"]).alias("r0"), F.least(a["col"], b["col"]).alias("c0"), F.greatest(a["row"], b["row"]).alias("r1"), F.greatest(a["col"], b["col"]).alias("c1"))
-    return F.when((F.size(parts) <= 2) & a.isNotNull() & b.isNotNull(), corners)
+    def corners(ends: Column) -> Column:
+        a, b = F.get(ends, F.lit(0)), F.get(ends, F.size(ends) - 1)
+        box = F.struct(F.least(a["row"], b["row"]).alias("r0"), F.least(a["col"], b["col"]).alias("c0"), F.greatest(a["row"], b["row"]).alias("r1"), F.greatest(a["col"], b["col"]).alias("c1"))
+        return F.when((F.size(ends) <= 2) & a.isNotNull() & b.isNotNull(), box)
+
+    return let(F.transform(F.split(_col(text), ":"), parse_a1), corners)
 
 
 def range_a1(r0: Column | str, c0: Column | str, r1: Column | str, c1: Column | str) -> Column:

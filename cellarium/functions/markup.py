@@ -39,21 +39,24 @@ def escape_html(s: Column) -> Column:
     return _replaced(s, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 
 
+_CONTROLS = [*range(0x09), 0x0B, 0x0C, *range(0x0D, 0x20)]
+
+
 def encode_x_escapes(s: Column) -> Column:
     """Control characters as _xHHHH_, and an underscore that would read as such an escape as _x005F_."""
-    s = F.regexp_replace(s, "_(?=x[0-9A-Fa-f]{4}_)", "_x005F_")
-    for code in [*range(0x09), 0x0B, 0x0C, *range(0x0D, 0x20)]:
-        s = F.replace(s, F.lit(chr(code)), F.lit(f"_x{code:04X}_"))
-    return s
+    coded = F.regexp_replace(s, "_(?=x[0-9A-Fa-f]{4}_)", "_x005F_")
+    for code in _CONTROLS:
+        coded = F.replace(coded, F.lit(chr(code)), F.lit(f"_x{code:04X}_"))
+    return F.when(s.rlike(r"[\x00-\x08\x0B-\x1F]|_x[0-9A-Fa-f]{4}_"), coded).otherwise(s)
 
 
 def decode_x_escapes(s: Column) -> Column:
     """The inverse: escapes of control characters, and _x005F_ before another escape; all else stays."""
     mark = "\ue000"
-    s = F.regexp_replace(s, "_x005[Ff]_(?=x[0-9A-Fa-f]{4}_)", mark)
-    for code in [*range(0x09), 0x0B, 0x0C, *range(0x0D, 0x20)]:
-        s = F.regexp_replace(s, f"(?i)_x{code:04X}_", chr(code))
-    return F.replace(s, F.lit(mark), F.lit("_"))
+    text = F.regexp_replace(s, "_x005[Ff]_(?=x[0-9A-Fa-f]{4}_)", mark)
+    for code in _CONTROLS:
+        text = F.regexp_replace(text, f"(?i)_x{code:04X}_", chr(code))
+    return F.when(s.rlike("_x00[0-9A-Fa-f]{2}_"), F.replace(text, F.lit(mark), F.lit("_"))).otherwise(s)
 
 
 def part_key(name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellarium.functions.addresses import let
+
 # Storage types of cells, and error literals of cells and formulas.
 CELL_TYPES = ("n", "s", "str", "b", "e", "inlineStr", "d")
 CELL_ERRORS = ("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A", "#GETTING_DATA")
@@ -44,7 +46,7 @@ def parse_error(text: Column) -> Column:
 
 def _plain(digits: Column, exponent: Column) -> Column:
     """Significant digits d.ddd x 10^exponent in plain decimals, no trailing zeros."""
-    d = F.regexp_replace(digits, "0+$", "")
+    d = F.rtrim(digits, F.lit("0"))
     whole = F.when(exponent >= 0, F.rpad(F.substring(d, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))).otherwise(F.lit("0"))
     rest = F.when(exponent >= 0, F.substring(d, exponent + 2, F.length(d))).otherwise(F.concat(F.repeat(F.lit("0"), -exponent - 1), d))
     return F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
@@ -52,24 +54,26 @@ def _plain(digits: Column, exponent: Column) -> Column:
 
 def general_number(v: Column) -> Column:
     """A number as the General format shows it: whole numbers below 10^15 in full, others with 15 significant digits."""
-    shown = F.format_string("%.14e", F.abs(v))
-    digits, exponent = F.regexp_replace(F.regexp_extract(shown, r"^(.*)e", 1), r"\.", ""), F.regexp_extract(shown, "e(.*)$", 1).try_cast("int")
+    parts = let(F.format_string("%.14e", F.abs(v)), lambda x: F.struct(F.concat(F.substring(x, 1, 1), F.substring(x, 3, 14)).alias("d"), F.substring(x, 18, 5).try_cast("int").alias("e")))
     sign = F.when(v < 0, "-").otherwise("")
-    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), F.floor(v).cast("long").cast("string")).when(v == 0, "0").otherwise(F.concat(sign, _plain(digits, exponent)))
+    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), F.floor(v).cast("long").cast("string")).when(v == 0, "0").otherwise(F.concat(sign, let(parts, lambda p: _plain(p["d"], p["e"]))))
 
 
 def stored_number(v: Column) -> Column:
     """A number as it is written to a cell: its shortest exact decimals, with an exponent if over 24 characters; null if not finite."""
-    shown = F.abs(v).cast("string")  # d.ddd or d.dddE+x
-    mantissa, power = F.regexp_extract(shown, "^([^E]*)", 1), F.coalesce(F.regexp_extract(shown, "E(.*)$", 1).try_cast("int"), F.lit(0))
-    before, after = F.regexp_extract(mantissa, r"^([0-9]*)", 1), F.regexp_extract(mantissa, r"\.([0-9]*)$", 1)
-    raw = F.concat(before, after)
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, "^0+", ""))
-    digits, exponent = F.regexp_replace(raw, "^0+|0+$", ""), power + F.length(before) - 1 - lead
-    sign = F.when(v < 0, "-").otherwise("")
-    plain = F.concat(sign, _plain(digits, exponent))
-    short = F.concat(sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""), F.when(exponent >= 0, "E+").otherwise("E-"), F.abs(exponent).cast("string"))
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(v == 0, "0").when(F.length(plain) <= 24, plain).otherwise(short)
+    split = let(F.split(F.abs(v).cast("string"), "E"), lambda x: F.struct(F.split(F.get(x, F.lit(0)), r"\.").alias("m"), F.coalesce(F.get(x, F.lit(1)).try_cast("int"), F.lit(0)).alias("p")))  # d.ddd or d.dddE+x
+    whole = let(split, lambda x: F.struct(F.concat(F.get(x["m"], F.lit(0)), F.get(x["m"], F.lit(1))).alias("raw"), (x["p"] + F.length(F.get(x["m"], F.lit(0))) - 1).alias("e")))
+    bare = let(whole, lambda x: F.struct(F.ltrim(x["raw"], F.lit("0")).alias("d"), x["e"].alias("e"), F.length(x["raw"]).alias("n")))
+    parts = let(bare, lambda x: F.struct(F.rtrim(x["d"], F.lit("0")).alias("d"), (x["e"] - x["n"] + F.length(x["d"])).alias("e")))
+
+    def shown(p: Column) -> Column:
+        d, e = p["d"], p["e"]
+        rest = F.when(F.length(d) > 1, F.concat(F.lit("."), F.substring(d, F.lit(2), F.length(d)))).otherwise("")
+        short = F.concat(F.substring(d, 1, 1), rest, F.when(e >= 0, "E+").otherwise("E-"), F.abs(e).cast("string"))
+        sign = F.when(v < 0, "-").otherwise("")
+        return let(F.concat(sign, _plain(d, e)), lambda plain: F.when(F.length(plain) <= 24, plain).otherwise(F.concat(sign, short)))
+
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(v == 0, "0").otherwise(let(parts, shown))
 
 
 def coerce_input(text: Column) -> Column:

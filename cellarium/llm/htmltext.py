@@ -2,7 +2,7 @@
 
 The DOMs of a host's pages are merged: elements with the same path of tags and classes are one node of the tree. A node
 whose content recurs from page to page and whose presentation hardly varies has little importance, and its branch
-is cut from every page.
+is cut from every page. Content that does not recur is never cut, however regular its presentation.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from cellarium.llm.urls import url_host
 
 #: Damping of a node's own presentation against its content.
 GAMMA = 0.9
-#: Nodes below this importance, in at least so many of the host's pages, are cut.
+#: Nodes below this importance and this content, in at least so many of the host's pages, are cut.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 20
 #: Nodes that may be broadcast; beyond it they are joined by host.
 BROADCAST_NODES = 500_000
@@ -43,7 +43,6 @@ _CLASSES = frozenset(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 _HOLDS = frozenset("ul ol dl table td th div article section main body".split())
 _NEVER_CUT = frozenset("html body article main".split())
-_TEXT_LIKE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dl dt dd ul ol table thead tbody tr td th caption figure figcaption center address".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -109,9 +108,9 @@ class Page:
         unwanted = tag in _DROPPED or role in _ROLES or hidden or any(w in _CLASSES for w in words)
         if not up.main and (tag == "header" or "header" in words):
             unwanted = unwanted or tag != "article"
-        kept = tag in _NEVER_CUT or (tag in _TEXT_LIKE and up.main)
-        dropped = up.dropped or (unwanted and tag not in ("html", "body")) or (block and not kept and node in self.cut)
         main = up.main or tag in ("article", "main") or role == "main"
+        kept = main or tag in _NEVER_CUT
+        dropped = up.dropped or (unwanted and tag not in ("html", "body")) or (block and not kept and node in self.cut)
         if self.learning and block:
             self.children.setdefault(up.node, []).append(label)
         self.stack.append(Element(tag, label, node, dropped, main, kept, up.depth + 1))
@@ -192,7 +191,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 rows += [(key, node, 1, xxhash.xxh3_64_intdigest("/".join(page.children.get(node, ()))) >> 1) for node in seen]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "kind", "value"])
 
-    rows = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(shares, "host long, node long, kind int, value long")
+    return weigh(pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(shares, "host long, node long, kind int, value long"))
+
+
+def weigh(rows: DataFrame) -> DataFrame:
+    """The measures of style_tree() from the shares of pages: host, node, kind (0 block, 1 order of children), value."""
     counted = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
     blocks, styles = F.col("kind") == 0, F.col("kind") == 1
     sums = counted.groupBy("host", "node").agg(
@@ -205,17 +208,23 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return tree.select("host", "node", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"))
 
 
+def unimportant(tree: DataFrame) -> DataFrame:
+    """host and node of what is cut. Presentation shrinks with the logarithm of pages, content that does not recur stays
+    near one; so low importance is not enough, content must be low too."""
+    return tree.filter((F.greatest("importance", "content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "node")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Add text to pages (url, html): the article without menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, markup and comments of readers.
 
     Elements of these kinds go by tag, role and class; of the others, the branches go that the style tree of the
-    page's host finds unimportant, but never an article or its paragraphs. Where a page has an article, what stands outside it goes
+    page's host finds unimportant, but never an article or what is in it. Where a page has an article, what stands outside it goes
     too. Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. A null or empty html gives an
     empty text; a null url counts as a host of its own. Every other column and every row is kept.
     """
     small_batches(pages.sparkSession)
-    low = style_tree(pages).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "node")
+    low = unimportant(style_tree(pages))
     found = low.limit(BROADCAST_NODES + 1).toPandas()["node"].tolist()
     hosted = pages.withColumn("_host", url_host(F.col("url")))
     if len(found) <= BROADCAST_NODES:

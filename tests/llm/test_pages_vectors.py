@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from cellarium.llm.htmltext import Page, extract, style_tree
+from cellarium.llm.htmltext import Page, extract, style_tree, unimportant, weigh
 from cellarium.llm.neighbours import VantageTree, nearest
 from cellarium.llm.urls import filter_urls
 
@@ -76,6 +76,32 @@ def test_style_tree_cuts_what_recurs(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pages", [1_000, 1_000_000])
+def test_unique_content_is_never_unimportant(spark, pages):
+    page = spark.range(pages)
+    own = page.selectExpr("1L AS host", "7L AS node", "0 AS kind", "id AS value").union(page.selectExpr("1L AS host", "7L", "1", "id % 20"))
+    notice = page.selectExpr("1L AS host", "8L", "0", "id % 3").union(page.selectExpr("1L AS host", "8L", "1", "0L"))
+    tree = weigh(own.union(notice))
+    assert [r.node for r in unimportant(tree).collect()] == [8]
+    assert tree.filter("node = 7").collect()[0].content == 1
+
+
+@pytest.mark.parametrize("around", ["div", "article"])
+def test_regular_bodies_keep_their_text(spark, around):
+    sizes = [3] * 540 + list(range(4, 64))
+    pages = [(i, "http://one.example/x", f"<{around}><h1>T{i}</h1><div class=body>{''.join(f'<p>text {i} {k}</p>' for k in range(n))}</div></{around}>") for i, n in enumerate(sizes)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join([f"T{i}", *(f"text {i} {k}" for k in range(n))]) for i, n in enumerate(sizes)}
+
+
+def test_the_tree_alone_cuts_nothing_in_an_article(spark):
+    source = "<{0}><div class=note>Read this as well</div><p>{1}</p></{2}>"
+    for around in ("article", "main", "div role=main"):
+        pages = [(i, "http://one.example/x", source.format(around, i, around.split()[0])) for i in range(40)]
+        got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert got == {i: f"Read this as well\n\n{i}" for i in range(40)}
+
+
 def test_style_tree_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr("cellarium.llm.htmltext.BROADCAST_NODES", 0)
     pages = spark.createDataFrame([(i, "http://one.example/x", f"<div class=box>same</div><div class=story>text {i * 7919}</div>") for i in range(40)], "page_id long, url string, html string")

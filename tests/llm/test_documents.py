@@ -252,6 +252,14 @@ def test_pseudonyms_keep_formats_and_link_values(spark):
     assert pii.Pseudonyms(b"other").text(text)[0] != a
 
 
+def test_secrets_of_upper_case_documents(spark):
+    text = 'token = "9233a8ecd0417b5f", Api_Key: 00aa11bb22cc33dd'
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [(1, text, "en"), (2, text.upper(), "en")]), b"key").collect()}
+    assert got[2].text == got[1].text.upper() != text.upper()
+    assert "9233A8EC" not in got[2].text and "00AA11BB" not in got[2].text
+    assert dict(got[1].pii) == dict(got[2].pii) == {"secret": 2}
+
+
 def test_pseudonyms_do_not_collide():
     names = pii.Pseudonyms(b"key")
     cards = {f"4{i:014d}" for i in range(300)}

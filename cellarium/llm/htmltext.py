@@ -22,8 +22,8 @@ from cellarium.llm.urls import url_host
 
 #: Damping of a node's own presentation against its content.
 GAMMA = 0.9
-#: Nodes below this importance and this content, in at least so many of the host's pages, are cut.
-LEAST_IMPORTANCE, LEAST_PAGES = 0.4, 20
+#: Nodes below this importance and this content are cut; see unimportant() for nodes of few pages.
+LEAST_IMPORTANCE = 0.4
 #: Nodes that may be broadcast; beyond it they are joined by host.
 BROADCAST_NODES = 500_000
 #: Levels of a path; deeper elements count as their ancestor at this depth.
@@ -57,10 +57,10 @@ def host_key(host: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "dropped", "main", "kept", "depth", "label")
+    __slots__ = ("tag", "node", "dropped", "cut", "main", "kept", "depth", "label")
 
-    def __init__(self, tag: str, label: str, node: int, dropped: bool, main: bool, kept: bool, depth: int):
-        self.tag, self.label, self.node, self.dropped, self.main, self.kept, self.depth = tag, label, node, dropped, main, kept, depth
+    def __init__(self, tag: str, label: str, node: int, dropped: bool, cut: bool, main: bool, kept: bool, depth: int):
+        self.tag, self.label, self.node, self.dropped, self.cut, self.main, self.kept, self.depth = tag, label, node, dropped, cut, main, kept, depth
 
 
 class Page:
@@ -68,9 +68,9 @@ class Page:
 
     def __init__(self, host: str, cut: frozenset[int] | set[int] = frozenset()):
         self.cut = cut
-        root = Element("", "", host_key(host), False, False, False, 0)
+        root = Element("", "", host_key(host), False, False, False, False, 0)
         self.stack, self.open = [root], Counter()
-        self.blocks: list[tuple[str, bool]] = []  # text, inside an article
+        self.blocks: list[tuple[str, bool, bool]] = []  # text, inside an article, cut by the style tree
         self.parts: list[str] = []
         self.features: set[tuple[int, int, int]] = set()
         self.children: dict[int, list[str]] = {}
@@ -86,7 +86,7 @@ class Page:
                     value = xxhash.xxh3_64_intdigest(text) >> 1
                     self.features.update((e.node, 0, value) for e in {e.node: e for e in self.stack if not e.kept}.values() if e.tag in _BLOCK)
                 if not top.dropped:
-                    self.blocks.append((text, top.main))
+                    self.blocks.append((text, top.main, top.cut))
 
     def push(self, tag: str, attrs: str) -> None:
         up = self.stack[-1]
@@ -110,10 +110,11 @@ class Page:
             unwanted = unwanted or tag != "article"
         main = up.main or tag in ("article", "main") or role == "main"
         kept = main or tag in _NEVER_CUT
-        dropped = up.dropped or (unwanted and tag not in ("html", "body")) or (block and not kept and node in self.cut)
+        dropped = up.dropped or (unwanted and tag not in ("html", "body"))
+        cut = not main and (up.cut or (block and not kept and node in self.cut))
         if self.learning and block:
             self.children.setdefault(up.node, []).append(label)
-        self.stack.append(Element(tag, label, node, dropped, main, kept, up.depth + 1))
+        self.stack.append(Element(tag, label, node, dropped, cut, main, kept, up.depth + 1))
         self.open[tag] += 1
 
     def pop(self) -> None:
@@ -163,9 +164,9 @@ class Page:
         return self
 
     def text(self) -> str:
-        """The blocks inside articles, or all blocks where there is no article."""
-        inside = [t for t, main in self.blocks if main]
-        return "\n\n".join(inside or [t for t, _ in self.blocks])
+        """The blocks inside articles, or where there is no article all blocks that the tree leaves; all, if it leaves none."""
+        inside = [t for t, main, _ in self.blocks if main]
+        return "\n\n".join(inside or [t for t, _, cut in self.blocks if not cut] or [t for t, _, _ in self.blocks])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -210,8 +211,9 @@ def weigh(rows: DataFrame) -> DataFrame:
 
 def unimportant(tree: DataFrame) -> DataFrame:
     """host and node of what is cut. Presentation shrinks with the logarithm of pages, content that does not recur stays
-    near one; so low importance is not enough, content must be low too."""
-    return tree.filter((F.greatest("importance", "content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "node")
+    near one; so low importance is not enough, content must be low too. m pages count by 1 - 1 / m, so that little
+    evidence needs a clearer case: with 3 pages less than 0.1 is cut, with 2 nothing."""
+    return tree.filter(1 - (1 - F.greatest("importance", "content")) * (1 - 1 / F.col("pages")) < LEAST_IMPORTANCE).select("host", "node")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -219,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     scripts, styles, markup and comments of readers.
 
     Elements of these kinds go by tag, role and class; of the others, the branches go that the style tree of the
-    page's host finds unimportant, but never an article or what is in it. Where a page has an article, what stands outside it goes
+    page's host finds unimportant, but never an article or what is in it, nor all of a page's text. Where a page has an article, what stands outside it goes
     too. Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. A null or empty html gives an
     empty text; a null url counts as a host of its own. Every other column and every row is kept.
     """
@@ -229,7 +231,7 @@ def extract(pages: DataFrame) -> DataFrame:
     hosted = pages.withColumn("_host", url_host(F.col("url")))
     if len(found) <= BROADCAST_NODES:
         shared = pages.sparkSession.sparkContext.broadcast(frozenset(found))
-    else:  # too many to send everywhere: each page gets its host's, a host having no more than its pages' nodes / LEAST_PAGES
+    else:  # too many to send everywhere: each page gets its host's, a host having no more than a third of its pages' nodes
         shared = None
         keyed = pages.select(url_host(F.col("url")).alias("_host")).distinct().mapInPandas(lambda frames: (f.assign(host=[host_key(x) for x in f["_host"]]) for f in frames), "_host string, host long")
         hosted = hosted.join(keyed.join(low.groupBy("host").agg(F.collect_list("node").alias("_cut")), "host").drop("host"), "_host", "left")

@@ -102,6 +102,17 @@ def test_the_tree_alone_cuts_nothing_in_an_article(spark):
         assert got == {i: f"Read this as well\n\n{i}" for i in range(40)}
 
 
+@pytest.mark.parametrize("pages", [3, 6, 19])
+def test_style_tree_of_a_small_host(spark, pages):
+    rows = [(i, "http://one.example/x", f"<div class=box>same</div><div class=story>text {i * 7919}</div>") for i in range(pages)]
+    rows += [(100 + i, "http://two.example/x", f"<div class=box>same</div><div class=story>text {i}</div>") for i in range(2)]
+    rows += [(200 + i, "http://copies.example/x", "<div class=box>same</div><div class=story>copy</div>") for i in range(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(pages)] == [f"text {i * 7919}" for i in range(pages)]
+    assert [got[100], got[101]] == ["same\n\ntext 0", "same\n\ntext 1"]
+    assert {got[200 + i] for i in range(pages)} == {"same\n\ncopy"}
+
+
 def test_style_tree_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr("cellarium.llm.htmltext.BROADCAST_NODES", 0)
     pages = spark.createDataFrame([(i, "http://one.example/x", f"<div class=box>same</div><div class=story>text {i * 7919}</div>") for i in range(40)], "page_id long, url string, html string")

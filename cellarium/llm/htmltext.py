@@ -70,7 +70,7 @@ class Page:
         self.cut = cut
         root = Element("", "", host_key(host), False, False, False, False, 0)
         self.stack, self.open = [root], Counter()
-        self.blocks: list[tuple[str, bool, bool]] = []  # text, inside an article, cut by the style tree
+        self.blocks: list[tuple[str, bool]] = []  # text, cut by the style tree
         self.parts: list[str] = []
         self.features: set[tuple[int, int, int]] = set()
         self.children: dict[int, list[str]] = {}
@@ -86,7 +86,7 @@ class Page:
                     value = xxhash.xxh3_64_intdigest(text) >> 1
                     self.features.update((e.node, 0, value) for e in {e.node: e for e in self.stack if not e.kept}.values() if e.tag in _BLOCK)
                 if not top.dropped:
-                    self.blocks.append((text, top.main, top.cut))
+                    self.blocks.append((text, top.cut))
 
     def push(self, tag: str, attrs: str) -> None:
         up = self.stack[-1]
@@ -164,9 +164,8 @@ class Page:
         return self
 
     def text(self) -> str:
-        """The blocks inside articles, or where there is no article all blocks that the tree leaves; all, if it leaves none."""
-        inside = [t for t, main, _ in self.blocks if main]
-        return "\n\n".join(inside or [t for t, _, cut in self.blocks if not cut] or [t for t, _, _ in self.blocks])
+        """The blocks that the tree leaves, inside articles and outside them; all, if it leaves none."""
+        return "\n\n".join([t for t, cut in self.blocks if not cut] or [t for t, _ in self.blocks])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -217,13 +216,14 @@ def unimportant(tree: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Add text to pages (url, html): the article without menus, headers, footers, sidebars, notices, adverts, forms,
+    """Add text to pages (url, html): the main text without menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, markup and comments of readers.
 
     Elements of these kinds go by tag, role and class; of the others, the branches go that the style tree of the
-    page's host finds unimportant, but never an article or what is in it, nor all of a page's text. Where a page has an article, what stands outside it goes
-    too. Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line. A null or empty html gives an
-    empty text; a null url counts as a host of its own. Every other column and every row is kept.
+    page's host finds unimportant, but never an article or what is in it, nor all of a page's text. What stands outside an
+    article is judged by the tree as on a page without one. Character references are decoded, white space inside a block
+    becomes one space, blocks are joined by an empty line. A null or empty html gives an empty text; a null url counts as a
+    host of its own. Every other column and every row is kept.
     """
     small_batches(pages.sparkSession)
     low = unimportant(style_tree(pages))

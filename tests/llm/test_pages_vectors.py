@@ -113,6 +113,13 @@ def test_style_tree_of_a_small_host(spark, pages):
     assert {got[200 + i] for i in range(pages)} == {"same\n\ncopy"}
 
 
+def test_text_outside_articles_is_judged_by_the_tree(spark):
+    source = "<div class=box>same</div><div class=story>text {0}</div><article>teaser {0}</article>"
+    pages = [(i, "http://one.example/x", source.format(i * 7919)) for i in range(40)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i * 7919}\n\nteaser {i * 7919}" for i in range(40)}
+
+
 def test_style_tree_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr("cellarium.llm.htmltext.BROADCAST_NODES", 0)
     pages = spark.createDataFrame([(i, "http://one.example/x", f"<div class=box>same</div><div class=story>text {i * 7919}</div>") for i in range(40)], "page_id long, url string, html string")

@@ -6,10 +6,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch handed to Python, so that a batch of very long texts stays small.
 BATCH_ROWS = 500
+#: Keys that may be dealt to several tasks in a join, the rows of a key from which it is, and tasks at most.
+MOST_HOT, HOT_ROWS, MOST_SALTS = 1024, 2000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below the folder that all executors share, which the cluster names in spark.checkpoint.dir."""
+    """A new path below the folder that all executors share, which the cluster names in spark.checkpoint.dir.
+
+    Without that setting a session of one machine gets a temporary folder; on a cluster, where every executor would write
+    to its own disk, it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # tests and single-machine sessions only
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -41,13 +50,42 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() wrote and nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh_name(taken: list[str], name: str) -> str:
+    """name with as many underscores in front as it takes to be none of the taken column names, in whatever case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """on and salts of the keys that many rows have: at most MOST_HOT, each with over HOT_ROWS rows.
+
+    A key that is not listed has at most 1 / MOST_HOT of all rows, or HOT_ROWS.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *on).limit(MOST_HOT)
+    kept = counts.withColumn("salts", F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int")).drop("n")
+    return rows.sparkSession.createDataFrame(kept.collect(), kept.schema)
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with facts, whose keys are unique. The rows of a hot key are dealt to several tasks by a salt."""
+    hot = hot_keys(rows, on)
+    if hot.isEmpty():
+        return rows.join(facts, on, how)
+    hot = F.broadcast(hot)  # at most MOST_HOT rows
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("salts"))).cast("int")).drop("salts")
+    copied = facts.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 
 
 def and_columns(df: DataFrame, ddl: str) -> StructType:

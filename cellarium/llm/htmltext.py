@@ -1,8 +1,9 @@
 """Main text of web pages with a site style tree.
 
-The DOMs of a host's pages are merged: elements with the same path of tags and classes are one node of the tree. A node
-whose content recurs from page to page and whose presentation hardly varies has little importance, and its branch
-is cut from every page. Content that does not recur is never cut, however regular its presentation.
+The DOMs of a host's pages are merged: elements of the same tag and classes at the same place below the same element, in
+the same order of siblings, are one node of the tree. A node whose content recurs from page to page and whose presentation
+hardly varies has little importance, and its branch is cut from every page. The pages of all hosts are merged into one
+more tree in the same way, which tells what recurs from host to host, and judges hosts of few pages.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import and_columns, small_batches
+from cellarium.llm.common import and_columns, cut, fresh_name, small_batches, spread_join
 from cellarium.llm.urls import url_host
 
 #: Damping of a node's own presentation against its content.
 GAMMA = 0.9
 #: Nodes below this importance and this content are cut; see unimportant() for nodes of few pages.
-LEAST_IMPORTANCE = 0.4
-#: Nodes that may be broadcast; beyond it they are joined by host.
+LEAST_IMPORTANCE = 0.7
+#: Nodes that may be broadcast; beyond it each page is joined with its own.
 BROADCAST_NODES = 500_000
-#: Levels of a path; deeper elements count as their ancestor at this depth.
-DEPTH = 32
+#: Text counts for its own element at any depth, and for those around it down to this level, so that work is linear in a page.
+BRANCH_LEVELS = 32
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,7 +43,6 @@ _CLASSES = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 _HOLDS = frozenset("ul ol dl table td th div article section main body".split())
-_NEVER_CUT = frozenset("html body article main".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -57,36 +57,40 @@ def host_key(host: str) -> int:
 
 
 class Element:
-    __slots__ = ("tag", "node", "dropped", "cut", "main", "kept", "depth", "label")
+    """An open or closed element: its kinds, its block children's labels in order, and the blocks of text right in it."""
 
-    def __init__(self, tag: str, label: str, node: int, dropped: bool, cut: bool, main: bool, kept: bool, depth: int):
-        self.tag, self.label, self.node, self.dropped, self.cut, self.main, self.kept, self.depth = tag, label, node, dropped, cut, main, kept, depth
+    __slots__ = ("tag", "label", "up", "place", "labels", "depth", "dropped", "main", "nodes", "cut", "block")
+
+    def __init__(self, tag: str, label: str, up: Element | None, dropped: bool, main: bool):
+        self.tag, self.label, self.up, self.dropped, self.main = tag, label, up, dropped, main
+        self.labels: list[str] = []
+        self.nodes: tuple[int, int] | None = None
+        self.cut: bool | None = None
+        self.block = up is None or tag in _BLOCK
+        self.depth = 0 if up is None else up.depth + 1
+        self.place = 0
 
 
 class Page:
-    """One pass over a page: its blocks of text, and the nodes of the style tree that they belong to."""
+    """One pass over a page: its blocks of text with their elements, from which the nodes of the style trees follow.
+
+    by_kind says whether elements are also dropped by tag, role and class.
+    """
 
-    def __init__(self, host: str, cut: frozenset[int] | set[int] = frozenset()):
-        self.cut = cut
-        root = Element("", "", host_key(host), False, False, False, False, 0)
+    def __init__(self, host: str, cut: frozenset[int] | set[int] = frozenset(), by_kind: bool = True):
+        self.host, self.cut, self.by_kind = host, cut, by_kind
+        root = Element("", "", None, False, False)
+        root.nodes, root.cut = (host_key(host), 0), False
         self.stack, self.open = [root], Counter()
-        self.blocks: list[tuple[str, bool]] = []  # text, cut by the style tree
+        self.blocks: list[tuple[str, Element]] = []
         self.parts: list[str] = []
-        self.features: set[tuple[int, int, int]] = set()
-        self.children: dict[int, list[str]] = {}
-        self.learning = False
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                top = self.stack[-1]
-                if self.learning:
-                    value = xxhash.xxh3_64_intdigest(text) >> 1
-                    self.features.update((e.node, 0, value) for e in {e.node: e for e in self.stack if not e.kept}.values() if e.tag in _BLOCK)
-                if not top.dropped:
-                    self.blocks.append((text, top.cut))
+                self.blocks.append((text, self.stack[-1]))
 
     def push(self, tag: str, attrs: str) -> None:
         up = self.stack[-1]
@@ -100,26 +104,83 @@ class Page:
                 role = (a or b or c).lower()
             else:
                 hidden |= name == "hidden" and not (a or b or c) or name == "aria-hidden" and (a or b or c).lower() == "true"
-        block = tag in _BLOCK
-        label = f"{tag}.{re.sub('[0-9]+', '0', '.'.join(sorted(classes.lower().split())))[:60]}" if classes else tag
-        deep = up.depth >= DEPTH
-        node = up.node if deep or not block else xxhash.xxh3_64_intdigest(label, seed=up.node) >> 1
+        label = f"{tag}.{re.sub('[0-9]+', '0', '.'.join(sorted(classes.lower().split())))}" if classes else tag
         words = set(re.split(r"[\s_-]+", classes.lower())) if classes else ()
         unwanted = tag in _DROPPED or role in _ROLES or hidden or any(w in _CLASSES for w in words)
         if not up.main and (tag == "header" or "header" in words):
             unwanted = unwanted or tag != "article"
-        main = up.main or tag in ("article", "main") or role == "main"
-        kept = main or tag in _NEVER_CUT
-        dropped = up.dropped or (unwanted and tag not in ("html", "body"))
-        cut = not main and (up.cut or (block and not kept and node in self.cut))
-        if self.learning and block:
-            self.children.setdefault(up.node, []).append(label)
-        self.stack.append(Element(tag, label, node, dropped, cut, main, kept, up.depth + 1))
+        main = up.main or self.by_kind and (tag in ("article", "main") or role == "main")
+        dropped = up.dropped or self.by_kind and unwanted and tag not in ("html", "body")
+        element = Element(tag, label, up, dropped, main)
+        if element.block:
+            home = self.home(up)
+            element.place = len(home.labels)
+            home.labels.append(label)
+        self.stack.append(element)
         self.open[tag] += 1
 
     def pop(self) -> None:
-        gone = self.stack.pop()
-        self.open[gone.tag] -= 1
+        self.open[self.stack.pop().tag] -= 1
+
+    @staticmethod
+    def home(element: Element) -> Element:
+        """The block element that an element is in, or is."""
+        while not element.block:
+            element = element.up
+        return element
+
+    def nodes(self, element: Element) -> tuple[int, int]:
+        """The nodes of a block element in its host's tree and in that of all hosts."""
+        chain = []
+        while element.nodes is None:
+            chain.append(element)
+            element = self.home(element.up)
+        for e in reversed(chain):
+            seeds = element.nodes
+            key = f"{e.place}|{e.label}|{self.order(element)}"
+            e.nodes = (xxhash.xxh3_64_intdigest(key, seed=seeds[0]) >> 1, xxhash.xxh3_64_intdigest(key, seed=seeds[1]) >> 1)
+            element = e
+        return element.nodes
+
+    @staticmethod
+    def order(element: Element) -> int:
+        """A hash of the order of an element's block children, which is how it is presented."""
+        if isinstance(element.labels, list):
+            element.labels = xxhash.xxh3_64_intdigest("/".join(element.labels)) >> 1
+        return element.labels
+
+    def is_cut(self, element: Element) -> bool:
+        """Whether a tree cuts an element or one around it. An article, and what is in it, is never cut."""
+        chain = []
+        while element.cut is None:
+            chain.append(element)
+            element = element.up
+        for e in reversed(chain):
+            e.cut = not e.main and (element.cut or e.block and e.tag not in ("html", "body") and not self.cut.isdisjoint(self.nodes(e)))
+            element = e
+        return element.cut
+
+    def shares(self) -> set[tuple[int, int, int, int]]:
+        """host's node, node over all hosts, kind (0 block of text, 1 order of children) and value: what the page adds to the trees.
+
+        The host's own name in a text is left out, since templates put it in.
+        """
+        out = set()
+        for text, element in self.blocks:
+            own = e = self.home(element)
+            value = xxhash.xxh3_64_intdigest(text.replace(self.host, "")) >> 1
+            while e.depth > BRANCH_LEVELS and e.up is not None:
+                e = e.up
+            e = self.home(e)
+            for branch in [own] if own is not e else []:
+                out.add((*self.nodes(branch), 0, value))
+                out.add((*self.nodes(branch), 1, self.order(branch)))
+            while e.up is not None:
+                if not e.main and e.tag not in ("html", "body"):
+                    out.add((*self.nodes(e), 0, value))
+                    out.add((*self.nodes(e), 1, self.order(e)))
+                e = self.home(e.up)
+        return out
 
     def close(self, tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
         """Close the innermost element of these tags, unless one of stop stands before it."""
@@ -164,15 +225,16 @@ class Page:
         return self
 
     def text(self) -> str:
-        """The blocks that the tree leaves, inside articles and outside them; all, if it leaves none."""
-        return "\n\n".join([t for t, cut in self.blocks if not cut] or [t for t, _ in self.blocks])
+        """The blocks that kinds and trees leave, inside articles and outside them; if the trees leave none, all that kinds leave."""
+        left = [(t, e) for t, e in self.blocks if not e.dropped]
+        return "\n\n".join([t for t, e in left if not self.is_cut(e)] or [t for t, _ in left])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged style trees of all hosts of pages (url, html): host (its hash), node, pages, presentation, content, importance.
+    """The merged style trees of pages (url, html), one for each host and one of all: node, pages, presentation, content, importance.
 
-    A node is a hash of the host and the path. A page's share in it is its order of child elements (presentation) and
-    its blocks of text (content), each counted once per page. With m pages, presentation is the entropy of the orders to
+    A node is a hash of the host and the place below it. A page's share in it is its order of child elements (presentation)
+    and its blocks of text (content), each counted once per page. With m pages, presentation is the entropy of the orders to
     the base m, content is one less the mean entropy of the blocks, where a block on n pages has log n / log m. A node
     on one page has both one.
     """
@@ -182,66 +244,74 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = Page(host)
-                page.learning = True
-                page.read(source or "")
-                key = host_key(host)
-                rows += [(key, *x) for x in page.features]
-                seen = {node for node, _, _ in page.features}
-                rows += [(key, node, 1, xxhash.xxh3_64_intdigest("/".join(page.children.get(node, ()))) >> 1) for node in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "kind", "value"])
+                rows += Page(host).read(source or "").shares()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["own", "common", "kind", "value"])
 
-    return weigh(pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(shares, "host long, node long, kind int, value long"))
+    rows = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(shares, "own long, common long, kind int, value long")
+    counted = rows.groupBy("own", "common", "kind", "value").agg(F.count("*").alias("n"))
+    both = counted.select(F.explode(F.array("own", "common")).alias("node"), "kind", "value", "n")
+    return weigh(both.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")))
 
 
-def weigh(rows: DataFrame) -> DataFrame:
-    """The measures of style_tree() from the shares of pages: host, node, kind (0 block, 1 order of children), value."""
-    counted = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
+def weigh(counted: DataFrame) -> DataFrame:
+    """The measures of style_tree() from node, kind (0 block, 1 order of children), value and n, the pages that have it."""
     blocks, styles = F.col("kind") == 0, F.col("kind") == 1
-    sums = counted.groupBy("host", "node").agg(
+    sums = counted.groupBy("node").agg(
         F.sum(F.when(styles, F.col("n"))).alias("pages"), F.count(F.when(styles, 1)).alias("orders"), F.sum(F.when(styles, F.col("n") * F.ln("n"))).alias("nlogn"), F.sum(F.when(blocks, F.ln("n"))).alias("logs"), F.count(F.when(blocks, 1)).alias("blocks")
     )
     log_m = F.ln("pages")
     several = F.col("pages") > 1
     tree = sums.withColumn("presentation", F.when(several, 1 - F.col("nlogn") / F.col("pages") / log_m).otherwise(1.0)).withColumn("content", F.when(several, 1 - F.col("logs") / F.col("blocks") / log_m).otherwise(1.0))
     damp = F.pow(F.lit(GAMMA), F.col("orders"))
-    return tree.select("host", "node", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"))
+    return tree.select("node", "pages", "presentation", "content", ((1 - damp) * F.col("presentation") + damp * F.col("content")).alias("importance"))
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
-    """host and node of what is cut. Presentation shrinks with the logarithm of pages, content that does not recur stays
-    near one; so low importance is not enough, content must be low too. m pages count by 1 - 1 / m, so that little
-    evidence needs a clearer case: with 3 pages less than 0.1 is cut, with 2 nothing."""
-    return tree.filter(1 - (1 - F.greatest("importance", "content")) * (1 - 1 / F.col("pages")) < LEAST_IMPORTANCE).select("host", "node")
+    """node of what is cut. Presentation shrinks with the logarithm of pages, content that does not recur stays near one; so
+    low importance is not enough, content must be low too. m pages count by 1 - 1 / m, so that little evidence needs
+    a clearer case: with 3 pages less than 0.55 is cut, with 2 less than 0.4."""
+    return tree.filter(1 - (1 - F.greatest("importance", "content")) * (1 - 1 / F.col("pages")) < LEAST_IMPORTANCE).select("node")
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, by_kind: bool = True) -> DataFrame:
     """Add text to pages (url, html): the main text without menus, headers, footers, sidebars, notices, adverts, forms,
     scripts, styles, markup and comments of readers.
 
-    Elements of these kinds go by tag, role and class; of the others, the branches go that the style tree of the
-    page's host finds unimportant, but never an article or what is in it, nor all of a page's text. What stands outside an
-    article is judged by the tree as on a page without one. Character references are decoded, white space inside a block
-    becomes one space, blocks are joined by an empty line. A null or empty html gives an empty text; a null url counts as a
-    host of its own. Every other column and every row is kept.
+    The branches go that the style tree of the page's host or that of all hosts finds unimportant, and, with by_kind,
+    elements that are no main text by tag, role or class. An article element and what is in it is left to the kinds, and
+    a page that the trees would empty keeps its text. Character references are decoded, white space inside a block becomes
+    one space, blocks are joined by an empty line. A null or empty html gives an empty text; a null url counts as a host of
+    its own; equal rows each get the same text; an empty table gives an empty table. Whole pages count, however long or
+    deep. A column text is replaced; every other column and every row is kept, whatever the names.
     """
     small_batches(pages.sparkSession)
-    low = unimportant(style_tree(pages))
+    low = cut(unimportant(style_tree(pages)))
+    host = fresh_name([*pages.columns, "text"], "_host")
+    nodes = fresh_name([*pages.columns, "text"], "_cut")
+    hosted = pages.withColumn(host, url_host(F.col("url")))
     found = low.limit(BROADCAST_NODES + 1).toPandas()["node"].tolist()
-    hosted = pages.withColumn("_host", url_host(F.col("url")))
     if len(found) <= BROADCAST_NODES:
         shared = pages.sparkSession.sparkContext.broadcast(frozenset(found))
-    else:  # too many to send everywhere: each page gets its host's, a host having no more than a third of its pages' nodes
+    else:  # too many to send everywhere: each page gets those of its own
         shared = None
-        keyed = pages.select(url_host(F.col("url")).alias("_host")).distinct().mapInPandas(lambda frames: (f.assign(host=[host_key(x) for x in f["_host"]]) for f in frames), "_host string, host long")
-        hosted = hosted.join(keyed.join(low.groupBy("host").agg(F.collect_list("node").alias("_cut")), "host").drop("host"), "_host", "left")
+        page = [F.xxhash64("url").alias("url_hash"), F.xxhash64("html").alias("html_hash")]
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(u, h, x) for u, h, name, source in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for x in {n for share in Page(name).read(source or "").shares() for n in share[:2]}]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["url_hash", "html_hash", "node"])
+
+        has = cut(pages.select(*page, url_host(F.col("url")), "html").distinct().mapInArrow(own, "url_hash long, html_hash long, node long"))
+        lists = spread_join(has, low, ["node"]).groupBy("url_hash", "html_hash").agg(F.collect_list("node").alias(nodes))  # at most a page's elements
+        marked = hosted.join(lists, (F.xxhash64(hosted["url"]) == lists["url_hash"]) & (F.xxhash64(hosted["html"]) == lists["html_hash"]), "left")
+        hosted = marked.select(*[hosted[c] for c in hosted.columns], nodes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [c for c in batch.schema.names if c not in ("text", "_host", "_cut")]
-            cuts = [shared.value] * batch.num_rows if shared else [frozenset(x or ()) for x in batch.column("_cut").to_pylist()]
-            sources = zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), cuts, strict=True)
-            texts = [Page(host, cut).read(source).text() if source else "" for host, source, cut in sources]
+            kept = [c for c in batch.schema.names if c not in ("text", host, nodes)]
+            cuts = [shared.value] * batch.num_rows if shared else [frozenset(x or ()) for x in batch.column(nodes).to_pylist()]
+            sources = zip(batch.column(host).to_pylist(), batch.column("html").to_pylist(), cuts, strict=True)
+            texts = [Page(name, gone, by_kind).read(source).text() if source else "" for name, source, gone in sources]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return hosted.mapInArrow(read, and_columns(pages, "text string"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarium.llm.common import cut, fresh_name, spread_join
+
 #: Rows and characters of windows up to which they are broadcast; beyond either the join is by shuffle.
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,14 +44,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     small = rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS
     given = F.broadcast if small else (lambda df: df)
 
-    rows_of = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    rows_of = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w").cast("long")))  # words are cut once
     spots = rows_of.select("doc_id", "text_hash", "w", F.posexplode("w").alias("spot", "word"))
 
     in_windows = distinct.select("window", F.posexplode(F.split("window", " ")).alias("place", "word"))
-    counts = spots.select("word").join(given(in_windows.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("seen"))
+    counts = rows_of.select(F.explode("w").alias("word")).join(given(in_windows.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("seen"))
     # Words that no document has lead to no place; a window with one of them is found through none, as it should be.
     prefix = in_windows.join(counts, "word", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "word", "place")).alias("p"))
-    probes = prefix.join(distinct, "window").select(F.col("p.word").alias("word"), F.col("p.place").alias("place"), "window", "n")
+    probes = cut(prefix.join(distinct, "window").select(F.col("p.word").alias("word"), F.col("p.place").alias("place"), "window", "n"))
 
     start = F.col("spot") - F.col("place")
     if small:
@@ -57,11 +59,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         found = spots.join(given(probes), "word").filter(fits & (F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), " ") == F.col("window")))
         hits = found.select("doc_id", "text_hash", start.alias("start"), "n", "window")
     else:
-        near = spots.withColumn("n_words", F.size("w")).drop("w").join(probes, "word").filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
-        near = near.select("doc_id", "text_hash", start.alias("start"), "n", "window").distinct()
+        by_word = probes.groupBy("word").agg(F.collect_list(F.struct("place", "window", "n")).alias("probe"))  # at most the windows of the benchmark
+        near = spread_join(rows_of.select("doc_id", "text_hash", "n_words", F.posexplode("w").alias("spot", "word")), by_word, ["word"]).select("doc_id", "text_hash", "n_words", "spot", F.inline("probe"))
+        near = near.filter((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("doc_id", "text_hash", start.alias("start"), "n", "window").distinct()
         same = near["doc_id"].eqNullSafe(rows_of["doc_id"]) & (near["text_hash"] == rows_of["text_hash"])
         found = near.join(rows_of.dropDuplicates(["doc_id", "text_hash"]), same).filter(F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ") == F.col("window"))
         hits = found.select(near["doc_id"], near["text_hash"], "start", "n", "window")
+    hits = cut(hits)  # spans and items both follow from it
 
     spans = hits.select("doc_id", "text_hash", "start", "n").distinct()
     hit_words = spans.select("doc_id", "text_hash", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("spot")).distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit"))
@@ -71,7 +75,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     def key(a: DataFrame, b: DataFrame) -> Column:
         return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
-    every = rows_of.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
+    every = rows_of.select("doc_id", "text_hash", "n_words")
     both = hit_words.join(items, key(hit_words, items)).select(hit_words["doc_id"], hit_words["text_hash"], "n_hit", "n_items", "item_ids")
     return every.join(both, key(every, both), "left").select(
         every["doc_id"], every["text_hash"], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.col("n_hit").isNotNull().alias("contaminated")
@@ -79,7 +83,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Rows of docs without any hit; all columns stay."""
-    judged = decontaminate(docs, benchmark, size).filter("contaminated").select("doc_id", "text_hash").distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    return marked.join(judged, marked["doc_id"].eqNullSafe(judged["doc_id"]) & (marked["_hash"] == judged["text_hash"]), "left_anti").drop("_hash")
+    """Rows of docs (doc_id, text) without any hit; all columns stay, whatever their names.
+
+    Null and wordless texts stay, equal rows stay or go together, whole texts count, and an empty table of either kind takes
+    nothing away.
+    """
+    judged = decontaminate(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    mark = fresh_name(docs.columns, "_hash")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    return marked.join(judged, marked["doc_id"].eqNullSafe(judged["hit_id"]) & (marked[mark] == judged["hit_hash"]), "left_anti").drop(mark)

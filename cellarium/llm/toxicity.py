@@ -17,8 +17,9 @@ from cellarium.llm.common import and_columns, small_batches
 
 #: Hash buckets of features.
 BUCKETS = 1 << 20
-#: Labelled rows that the fit uses, about: more are sampled down by the hash of doc_id, so training fits one task.
-TRAIN_ROWS = 10_000
+#: Labelled rows that the fit uses, about: more are sampled down by the hash of doc_id, so training fits one task. Each label
+#: may fill half of them; what the other leaves free it may use too.
+TRAIN_ROWS = 12_000
 #: Passes over them, and the weight of a toxic row, of which there are few.
 PASSES, TOXIC_WEIGHT = 6, 3.0
 #: Words whose hashes a Python worker remembers.
@@ -55,14 +56,14 @@ class Ftrl:
     l1: float = 8.0
     l2: float = 0.1
 
-    def fit(self, rows: list[tuple[np.ndarray, int]], passes: int = PASSES) -> np.ndarray:
+    def fit(self, rows: list[tuple[np.ndarray, int]], passes: int = PASSES, toxic_weight: float = TOXIC_WEIGHT) -> np.ndarray:
         """Weights of all buckets and, last, the bias, from (buckets, label) in the given order."""
         z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
         for _ in range(passes):
             for at, label in rows:
                 x = np.append(at, BUCKETS).astype(np.int64)
                 w = self.weights(z[x], n[x])
-                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (TOXIC_WEIGHT if label else 1.0)
+                g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (toxic_weight if label else 1.0)
                 rate = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / self.alpha
                 z[x] += g - rate * w
                 n[x] += g * g
@@ -75,15 +76,22 @@ class Ftrl:
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> pd.DataFrame:
     """Nonzero weights (bucket, weight), the bias under BUCKETS, of docs (doc_id, text) by labels (doc_id, toxic).
 
-    About train_rows labelled rows are used, chosen by a hash of their doc_id; toxic counts if any label row says so,
-    null labels and ids are left out. Weights are at most BUCKETS + 1, few because of l1. Without both labels: none.
+    About train_rows labelled rows of docs are used, chosen by a hash of their doc_id, of each label about half if there are
+    so many; a toxic row's weight makes up for the label's share in the sample. toxic counts if any label row says so, null
+    labels and ids are left out, equal rows of docs count each. Whole texts count, however long. Without both labels, or
+    with an empty table: none.
     """
     small_batches(docs.sparkSession)
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    share = min(1.0, train_rows / max(1, known.count()))
+    labelled = docs.select("doc_id").join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.count("*").alias("copies"))
+    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.sum("copies").alias("n")).collect()}  # two labels
+    clean, toxic = counts.get(0, 0), counts.get(1, 0)
+    some_toxic = min(toxic, max(train_rows // 2, train_rows - clean))
+    shares = (min(1.0, (train_rows - some_toxic) / max(1, clean)), some_toxic / max(1, toxic))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    sample = known.filter(place < int(share * (1 << 30)))
+    sample = labelled.select("doc_id", "toxic").filter(place < F.when(F.col("toxic") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30))))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(place.alias("place"), "text", "toxic")  # bounded by train_rows
+    toxic_weight = TOXIC_WEIGHT * shares[0] / (shares[1] or 1.0)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +101,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> p
         got = [r for frame in batches for r in frame.itertuples(index=False)]
         ordered = [(np.frombuffer(r.buckets, np.uint32), int(r.toxic)) for r in sorted(got, key=lambda r: (r.place, r.buckets))]
         if len({label for _, label in ordered}) == 2:
-            w = Ftrl().fit(ordered)
+            w = Ftrl().fit(ordered, toxic_weight=toxic_weight)
             at = np.flatnonzero(w)
             yield pd.DataFrame({"bucket": at, "weight": w[at]})
 
@@ -104,7 +112,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> p
 def score(docs: DataFrame, weights: pd.DataFrame, threshold: float = 0.7) -> DataFrame:
     """Add score (0 to 1) and predicted (1 from threshold on) to docs, which has a text; every other column is kept.
 
-    The whole text counts. A null or empty text has the score of the bias; with no weights every score is 0.5.
+    The whole text counts, however long. A null or empty text has the score of the bias; with no weights every score is 0.5.
+    Equal texts have equal scores, an empty table gives an empty table; columns score and predicted are replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most BUCKETS + 1 rows

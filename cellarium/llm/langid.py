@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from cellarium.llm.common import and_columns, small_batches
 
 #: Components of a vector.
-DIMENSIONS = 4096
-#: N-grams whose products with the prototypes a Python worker remembers.
-GRAMS_KEPT = 200_000
+DIMENSIONS = 2048
+#: N-grams whose vectors a Python worker remembers: 80 MB of them.
+GRAMS_KEPT = 40_000
+#: Languages at most: each is a vector that is collected and broadcast.
+MOST_LANGUAGES = 4096
 _SPACE = 32
 _BITS = 21
 
@@ -70,35 +72,41 @@ class GramVectors:
         return np.roll(self.letter(gram >> 2 * _BITS), 2) * np.roll(self.letter(gram >> _BITS & mask), 1) * self.letter(gram & mask)
 
 
-class Products(dict):
-    """Products of n-grams' vectors with the prototypes, remembered as rows of one array."""
+class Bundles(dict):
+    """Vectors of texts from remembered vectors of n-grams, which are rows of one array."""
 
-    def __init__(self, prototypes: np.ndarray):
+    def __init__(self):
         super().__init__()
-        self.prototypes, self.vectors = prototypes, GramVectors()
-        self.rows = np.zeros((1024, len(prototypes)))
+        self.vectors = GramVectors()
+        self.rows = np.zeros((GRAMS_KEPT, DIMENSIONS), np.int8)
 
     def __missing__(self, gram: int) -> int:
         at = self[gram] = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.prototypes @ self.vectors.gram(gram)
+        self.rows[at] = self.vectors.gram(gram)
         return at
 
-    def of(self, grams: np.ndarray) -> np.ndarray:
-        if len(self) > GRAMS_KEPT:
-            self.clear()
-        places = np.fromiter(map(self.__getitem__, grams.tolist()), np.int64, len(grams))
-        return self.rows[places]
+    def of(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sum of the n-grams' vectors, each as often as it counts."""
+        total = np.zeros(DIMENSIONS, np.float64)
+        for i in range(0, len(grams), 2048):
+            some = grams[i : i + 2048]
+            if len(self) + len(some) > GRAMS_KEPT:
+                self.clear()
+            places = np.fromiter(map(self.__getitem__, some.tolist()), np.int64, len(some))
+            total += counts[i : i + 2048].astype(np.float32) @ self.rows[places].astype(np.float32)
+        return total
 
 
 def learn(docs: DataFrame) -> pd.DataFrame:
     """Prototypes (lang, vector) from all rows of docs (text, lang) that have a lang and a letter.
 
     Counts of n-grams are summed over all texts, each partition's first; then every partition of the summed table
-    bundles its n-grams' vectors. The prototypes come to the driver: one vector for each language.
+    bundles its n-grams' vectors. The prototypes come to the driver: one vector for each language, of which there may be
+    MOST_LANGUAGES; more are an error. Whole texts count, equal rows count each; an empty table teaches nothing.
     """
     small_batches(docs.sparkSession)
+    if docs.filter("lang IS NOT NULL").select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +138,9 @@ def learn(docs: DataFrame) -> pd.DataFrame:
 def predict(docs: DataFrame, prototypes: pd.DataFrame) -> DataFrame:
     """Add lang_pred and score to docs, which has a text: the prototype with the largest cosine, and that cosine.
 
-    Bundling is a sum, so a text's product with a prototype is the sum of its n-grams' products, which a worker
-    remembers; the length of its vector is taken from the n-grams' counts, whose vectors are almost orthogonal, and does
-    not change which prototype is nearest. `und` and 0 where a text is null, has no letter, or nothing was learned; the
-    first language by name if several are equally near. Every other column of docs is kept.
+    `und` and 0 where a text is null, has no letter, or nothing was learned; the first language by name if several are
+    equally near. Whole texts count, however long; equal texts get equal results, an empty table gives an empty table.
+    Columns lang_pred and score are replaced, every other column of docs is kept.
     """
     small_batches(docs.sparkSession)
     langs = list(prototypes["lang"])
@@ -141,7 +148,7 @@ def predict(docs: DataFrame, prototypes: pd.DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # a vector for each language
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Products(shared.value / DIMENSIONS**0.5)
+        known = Bundles()
         for batch in batches:
             names, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -150,7 +157,8 @@ def predict(docs: DataFrame, prototypes: pd.DataFrame) -> DataFrame:
                     names.append("und")
                     scores.append(0.0)
                     continue
-                cosines = found[1] @ known.of(found[0]) / np.linalg.norm(found[1])
+                own = known.of(*found)
+                cosines = shared.value @ own / (np.linalg.norm(own) or 1)
                 names.append(langs[int(np.argmax(cosines))])
                 scores.append(float(np.clip(cosines.max(), 0, 1)))
             kept = [c for c in batch.schema.names if c not in ("lang_pred", "score")]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -31,8 +32,8 @@ _PATTERN = re.compile(
     re.VERBOSE,
 )
 _MAY_HOLD = re.compile("[0-9@=:]")
-_FIRST_DAY = datetime.date(1800, 1, 1).toordinal()
-_DAYS = datetime.date(2200, 1, 1).toordinal() - _FIRST_DAY
+# Days are permuted within an age, so that recent ones stay plausible: from one of these years to the next.
+_AGES = [datetime.date(y, 1, 1).toordinal() for y in (1, 1000, 1800, 2200)] + [datetime.date.max.toordinal() + 1]
 
 
 def may_hold(text: str) -> bool:
@@ -44,7 +45,7 @@ class Permutation:
     """Keyed permutation of range(size) without fixed points, by cycle walking on a balanced Feistel network."""
 
     def __init__(self, key: bytes):
-        self.key = key[:64]
+        self.key = hashlib.blake2b(key).digest()
 
     def _walk(self, value: int, size: int, tweak: str, rounds: range, forward: bool) -> int:
         half = max(1, -(-(size - 1).bit_length() // 2))
@@ -149,24 +150,23 @@ class Pseudonyms:
         return ".".join(map(str, fresh.to_bytes(4, "big")))
 
     def date(self, text: str) -> str | None:
+        """The day that the text's day goes to, in the same order of fields, so that spellings of a day stay linked.
+
+        A month or day that was written without a leading zero is so again, and may have two digits.
+        """
         sep = next(c for c in text if not c.isdigit())
         fields = text.split(sep)
         orders = {"-": ["ymd"], "/": ["mdy", "dmy"], ".": ["dmy"]}[sep]
         for order in orders:
             known = dict(zip(order, fields, strict=True))
             try:
-                day = datetime.date(int(known["y"]), int(known["m"]), int(known["d"])).toordinal() - _FIRST_DAY
+                day = datetime.date(int(known["y"]), int(known["m"]), int(known["d"])).toordinal()
             except ValueError:
                 continue
-            if not 0 <= day < _DAYS:
-                return None
-
-            def spelled(v: int, order: str = order, known: dict = known) -> str | None:
-                d = datetime.date.fromordinal(_FIRST_DAY + v)
-                new = {"y": f"{d.year}", "m": f"{d.month:0{len(known['m'])}d}", "d": f"{d.day:0{len(known['d'])}d}"}
-                return sep.join(new[x] for x in order) if all(len(new[x]) == len(known[x]) for x in order) else None
-
-            return spelled(self.permute(day, _DAYS, "date", lambda v: spelled(v) is not None))
+            first, end = next((a, b) for a, b in itertools.pairwise(_AGES) if day < b)
+            d = datetime.date.fromordinal(first + self.permute(day - first, end - first, "date"))
+            new = {"y": f"{d.year:04d}", "m": f"{d.month:0{len(known['m'])}d}", "d": f"{d.day:0{len(known['d'])}d}"}
+            return sep.join(new[x] for x in order)
         return None
 
     def ssn(self, text: str) -> str | None:
@@ -205,8 +205,9 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with private values in text replaced by pseudonyms, and pii (map of kind to how many were replaced).
 
     Covers mailbox names, long hexadecimal secrets and access keys, bank accounts and cards with right check digits,
-    telephone numbers, IPv4 addresses, social security numbers and calendar dates. Texts without any keep every
-    character; a null text stays null with an empty map. Every other column and every row is kept.
+    telephone numbers, IPv4 addresses, social security numbers and all calendar dates of the years 1 to 9999. Texts without any keep every
+    character; a null text stays null with an empty map. Every other column and every row is kept: equal rows get
+    equal results, an empty table gives an empty table, a column pii is replaced. Whole texts count, however long.
     """
     small_batches(docs.sparkSession)
 

@@ -22,6 +22,8 @@ from cellarium.llm.tokens import word_encoder
 
 #: Least number of parts that the rows of one size are dealt to for ranking; the session's shuffle partitions if more.
 RANK_PARTS = 64
+#: Segments that may be broadcast: far more than the sizes of a sequence ever make; beyond it they are joined by shuffle.
+BROADCAST_SEGMENTS = 200_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -107,7 +109,7 @@ def _ranked(items: DataFrame) -> DataFrame:
     counts = parted.groupBy("length", "part").agg(F.count("*").alias("n"))  # at most capacity x parts rows
     base = counts.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     within = parted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("uid")) - 1)
-    return within.join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
+    return within.join(F.broadcast(base), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
 
 
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -119,10 +121,11 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = items.sparkSession
     counts = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most capacity rows
     plan = pd.DataFrame(match(counts, capacity), columns=["size", "first", "last", "sequence", "at", "each"], dtype="int64")
+    given = F.broadcast if len(plan) <= BROADCAST_SEGMENTS else (lambda df: df)
     segments = spark.createDataFrame(plan, "size long, first long, last long, sequence long, at long, each long")
     ranked, k = _ranked(items), F.col("rank") - F.col("first")
     return (
-        ranked.join(segments, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+        ranked.join(given(segments), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
         .withColumn("sequence_id", F.col("sequence") + F.expr("(rank - first) div each"))
         .withColumn("offset", F.col("at") + F.pmod(k, F.col("each")) * F.col("size"))
         .drop("rank", *segments.columns)

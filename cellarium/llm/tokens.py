@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import array
 import functools
+import json
+import pathlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,13 +35,25 @@ _MAGIC = b"DAC1"
 _CHUNK = 8
 _GROUP = 512  # bits of the bitmap for each entry of its rank directory
 _PUNCTUATION = ".,!?;:%&$#*()-/+=\""
+# How a vocabulary file that lowers the case, drops white space and spells bytes says so.
+_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def splits_at_blanks(path: str) -> bool:
+    """Whether a vocabulary file is one that WordEncoder may read word by word: it lowers the case, drops white space between
+    words and spells bytes."""
+    file = json.loads(pathlib.Path(path).read_text())
+    return {k: file.get(k) for k in _BY_WORD} == _BY_WORD and file["model"].get("type") == "BPE" and not file["model"].get("dropout") and not file["model"].get("continuing_subword_prefix")
 
 
 class WordEncoder(dict):
     """Ids of a text, with those of each blank-separated word remembered.
 
-    The vocabulary's pre-tokenizer never joins what white space separates, so a text's ids are its words' ids in
-    order. Plain Latin words go to the model directly; all others take the library's whole path.
+    Where the vocabulary's pre-tokenizer never joins what white space separates, a text's ids are its words' ids in
+    order, and plain Latin words go to the model directly. All else, and all text of other vocabularies, takes the library's whole path.
     """
 
     def __init__(self, path: str, keep: int = WORDS_KEPT):
@@ -48,6 +62,7 @@ class WordEncoder(dict):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        self.by_word = splits_at_blanks(path)
         self.keep = keep
         self.byte_letters = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,6 +91,8 @@ class WordEncoder(dict):
         """The ids as little-endian unsigned 32-bit integers; null is empty."""
         if not text:
             return b""
+        if not self.by_word:
+            return self.slow(text)
         if "<|" not in text and "Σ" not in text:  # special tokens' case counts; a last sigma has a lower case of its own
             text = text.lower()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -157,7 +174,8 @@ def dac_decode(block: bytes) -> np.ndarray:
 def write_token_file(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """Write the ids of every document, each followed by end_id, in ascending doc_id order.
 
-    A null text is empty. A null doc_id comes first; rows of equal doc_id stand in an order of their texts' hash.
+    A null text is empty. A null doc_id comes first; rows of equal doc_id stand in an order of their texts' hash. Whole texts
+    are written, however long: a block grows with its last document. An empty table makes a file without blocks.
     Only doc_id and text are read, so other columns don't matter. Each partition of the range sort becomes a run of
     blocks numbered by the partition.
     """
@@ -194,15 +212,20 @@ _BLOCK = "part int, block int, before long, n_ids long, doc_ids array<long>, end
 _ARROW_BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary())])
 
 
+def _blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The blocks of a file, and how many ids stand before each of its parts."""
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
+    return blocks, totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+
+
 def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array of long).
 
     start counts the ids of all documents before it. Its base for each partition is a running sum over one row per
     written partition; within a partition the file has it.
     """
-    blocks = spark.read.schema(_BLOCK).parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
-    base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    blocks, base = _blocks(spark, path)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,3 +243,26 @@ def read_token_file(spark: SparkSession, path: str, with_ids: bool = False) -> D
     found = blocks.select("part", "before", "doc_ids", "ends", "codes").mapInArrow(documents, schema)
     kept = ["ids"] if with_ids else []
     return found.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *kept)
+
+
+def read_tokens_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """place and id for each row of places (place long), which counts from 0 over all ids of the file; null where it has none.
+
+    Places find their block by the stretches of BLOCK_IDS that it covers. A block travels once to the places in it, and
+    each id is read through the directories; no block is decoded. Other columns of places don't matter.
+    """
+    blocks, base = _blocks(spark, path)
+    first = F.col("base") + F.col("before")
+    index = blocks.select("part", "block", "before", "n_ids").join(F.broadcast(base), "part").select("part", "block", first.alias("first"), (first + F.col("n_ids")).alias("end"))
+    stretches = index.withColumn("stretch", F.explode(F.sequence(F.expr(f"first div {BLOCK_IDS}"), F.expr(f"(end - 1) div {BLOCK_IDS}"))))
+    asked = places.select("place").filter("place >= 0").distinct().withColumn("stretch", F.expr(f"place div {BLOCK_IDS}"))
+    inside = asked.join(stretches, "stretch").filter((F.col("place") >= F.col("first")) & (F.col("place") < F.col("end")))
+    grouped = inside.groupBy("part", "block").agg(F.first("first").alias("first"), F.collect_list("place").alias("places"))  # at most a block's ids
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pydict({"place": row["places"], "id": [dac_get(row["codes"], x - row["first"]) for x in row["places"]]}, schema=pa.schema([("place", pa.int64()), ("id", pa.int64())]))
+
+    found = grouped.join(blocks.select("part", "block", "codes"), ["part", "block"]).select("first", "places", "codes").mapInArrow(look, "place long, id long")
+    return places.select("place").join(found, "place", "left")

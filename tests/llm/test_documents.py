@@ -1,10 +1,13 @@
 """Operators on documents against brute force, and their defined results on odd input."""
 
 import collections
+import datetime
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from cellarium.llm import decontamination, dedup, langid, pii, toxicity
@@ -206,15 +209,35 @@ def test_language_profiles(spark):
     assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "a", "en")]), empty).collect()] == ["und"]
 
 
-def test_language_cosine_equals_explicit_vectors():
-    import numpy as np
+def brute_vector(text):
+    """The sum of a text's n-gram vectors, n-gram by n-gram."""
+    bare = re.sub(r" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " ")
+    total = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(bare, bare[1:], bare[2:]):
+        first, second, third = (langid.letter_vector(ord(x)).astype(float) for x in (a, b, c))
+        total += np.roll(first, 2) * np.roll(second, 1) * third
+    return total
 
-    vectors = langid.GramVectors()
-    grams, n = langid.Letters.grams("ab ba")
-    bundle = sum(c * vectors.gram(int(g)).astype(float) for g, c in zip(grams, n))
-    protos = np.array([bundle / np.linalg.norm(bundle)])
-    assert abs((n @ langid.Products(protos).of(grams)) - np.linalg.norm(bundle)) < 1e-6
-    assert (vectors.gram(int(grams[0])) ** 2 == 1).all()
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "GRAMS_KEPT", 50)
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "the the the", "en"), (4, None, "en"), (5, "le chien", None), (6, "UND DIE, und 7 das", "xx"), (7, "", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums = collections.defaultdict(lambda: np.zeros(langid.DIMENSIONS))
+    for _, text, lang in rows:
+        if text and lang:
+            sums[lang] += brute_vector(text)
+    cosine = lambda x, y: float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df.drop("lang"), langid.learn(df)).collect()}
+    for i, text, _ in rows:
+        want = max(((cosine(brute_vector(text), v), lang) for lang, v in sums.items()), default=(0, "und")) if text else (0.0, "und")
+        assert got[i][0] == want[1] and abs(got[i][1] - max(0, want[0])) < 1e-5
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.learn(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string"))
 
 
 def luhn(digits):
@@ -275,3 +298,108 @@ def test_pseudonyms_do_not_collide():
     days = {f"20{y:02d}-0{m}-1{d}" for y in range(10) for m in range(1, 9) for d in range(4)}
     assert len({names.date(d) for d in days}) == len(days)
     assert zlib.crc32(names.ip("1.2.3.4").encode()) == zlib.crc32(names.ip("1.2.3.4").encode())
+
+
+def brute_ftrl(rows, toxic_weight):
+    """FTRL-proximal one coordinate at a time."""
+    m = toxicity.Ftrl()
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= m.l1 else -(z[i] - math.copysign(m.l1, z[i])) / ((m.beta + math.sqrt(n[i])) / m.alpha + m.l2)
+
+    for _ in range(toxicity.PASSES):
+        for at, label in rows:
+            x = [*map(int, at), toxicity.BUCKETS]
+            w = {i: weight(i) for i in x}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (toxic_weight if label else 1)
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / m.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize(("train_rows", "share"), [(10_000, 1.0), (60, None)])
+def test_toxicity_equals_brute_force(spark, train_rows, share):
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choices(["vile", "rude"] if i % 4 == 0 else ["calm", "kind", "mild"], k=rnd.randint(1, 6)))) for i in range(200)]
+    labels = [(i, int(i % 4 == 0)) for i in range(200)] + [(3, None), (None, 1), (900, 1)]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.learn(df, known, train_rows)
+    places = {r.doc_id: r.h for r in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1L << 30) AS h").collect()}
+    toxic, clean = (1.0, 1.0) if share else (30 / 50, 30 / 150)
+    used = sorted((places[i], toxicity.features(t).astype(np.uint32).tobytes(), int(i % 4 == 0), t) for i, t in docs if places[i] < int((toxic if i % 4 == 0 else clean) * (1 << 30)))
+    want = brute_ftrl([(toxicity.features(t), label) for _, _, label, t in used], toxicity.TOXIC_WEIGHT * clean / toxic)
+    found = dict(zip(got["bucket"], got["weight"], strict=True))
+    assert found.keys() == want.keys() and all(abs(found[i] - want[i]) < 1e-6 for i in want)
+    assert train_rows > 200 or len(used) < 100
+    scores = toxicity.score(spark.createDataFrame([(1, "vile calm"), (2, None), (3, "vile calm")], "doc_id long, text string"), got).collect()
+    total = sum(want.get(int(i), 0) for i in toxicity.features("vile calm")) + want.get(toxicity.BUCKETS, 0)
+    assert abs(scores[0].score - 1 / (1 + math.exp(-total))) < 1e-6 and scores[0].score == scores[2].score
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    """On a small domain the network is a table: each value goes to the one that stands after it on the same cycle."""
+    permute = pii.Permutation(b"k")
+    table = [permute._walk(v, 100, "t", range(pii.ROUNDS), True) for v in range(100)]
+    assert sorted(table) == list(range(100))
+    after = {v: table.index((table[v] + 1) % 100) for v in range(100)}
+    assert [permute(v, 100, "t") for v in range(100)] == [after[v] for v in range(100)]
+    odd = lambda v: v % 2 == 1
+    for v in range(1, 100, 2):
+        w = after[v]
+        while not odd(w):
+            w = after[w]
+        assert permute(v, 100, "t", odd) == w
+
+
+def test_long_keys_count_whole(spark):
+    df = spark.createDataFrame([(1, "call +44 20 7946 0958 now")], "doc_id long, text string")
+    a, b = (pii.pseudonymise(df, b"k" * 64 + tail).collect()[0].text for tail in (b"1", b"2"))
+    assert a != b
+
+
+def test_spellings_of_a_day_stay_linked():
+    names = pii.Pseudonyms(b"k")
+    for y, m, d in [(2020, 1, 5), (1799, 12, 31), (2250, 3, 4), (800, 7, 9), (2020, 11, 25)]:
+        new = datetime.date.fromisoformat(names.date(f"{y:04d}-{m:02d}-{d:02d}"))
+        assert names.date(f"{m}/{d}/{y:04d}") == f"{new.month:0{len(str(m))}d}/{new.day:0{len(str(d))}d}/{new.year:04d}"
+        assert names.date(f"{d:02d}.{m:02d}.{y:04d}") == f"{new.day:02d}.{new.month:02d}.{new.year:04d}"
+        assert new != datetime.date(y, m, d)
+    assert names.date("2021-02-30") is None
+
+
+def test_near_duplicates_at_another_threshold(spark):
+    rnd = random.Random(6)
+    texts = []
+    for i in range(40):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        cut = rnd.randint(2, 30)
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-cut] + [f"v{rnd.randrange(10**6)}" for _ in range(cut)]))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts for w in [t.split()]}
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent=50).collect()}
+    for i in range(0, 80, 2):
+        a, b = sets[i], sets[i + 1]
+        assert got[i + 1] == (i if 2 * len(a & b) >= len(a | b) else i + 1)
+    with pytest.raises(ValueError, match="percent 3"):
+        dedup.banding(3)
+    assert dedup.banding(75) == (32, 4)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", "x", 7), (2, "one two three four five six", "y", 8), (3, None, "z", 9)], "doc_id long, text string, _hash string, kept_id int")
+    assert sorted(r.asDict()["_hash"] for r in dedup.keep_one(df).collect()) == ["x", "z"]
+    bench = spark.createDataFrame([(5, "three four")], "item_id long, text string")
+    assert [(r["_hash"], r.kept_id) for r in decontamination.keep_clean(df, bench).collect()] == [("z", 9)]
+
+
+def test_hot_keys_are_dealt_to_tasks(spark, monkeypatch):
+    from cellarium.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(120)] + [(500, 500)], "k long, v long")
+    facts = spark.createDataFrame([(i, f"f{i}") for i in range(120)], "k long, f string")
+    assert {r.k for r in common.hot_keys(rows, ["k"]).collect()} == {0, 1, 2}
+    for how in ("inner", "left"):
+        got = sorted((r.k, r.v, r.f or "") for r in common.spread_join(rows, facts, ["k"], how).collect())
+        assert got == sorted((r.k, r.v, r.f or "") for r in rows.join(facts, ["k"], how).collect())

@@ -1,7 +1,9 @@
 """Formula text: tokens, references, and their rewriting. Nothing is evaluated.
 
 A formula is cut into tokens by one pattern and only references change, so all else keeps its spelling. Listing
-tokens is a Column expression; rewriting hands each formula to a small function in Arrow batches.
+tokens is a Column expression; rewriting hands each formula to a small function in Arrow batches, which remembers what it
+made of each reference. Column names in brackets, as in Sales[Q1], are no references and stay; a formula with them has no tree
+(formula_trees.py says why a formula has none).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ _SHEET = r"(?:'(?:[^']|'')+'!|(?:\[[0-9]+\])?[\p{L}_][\p{L}\p{N}_.]*(?::[\p{L}_]
 _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
 _END = r"(?![\p{L}\p{N}_.(!])"
 _BODY = rf"(?:#REF!|(?:{_CELL}:{_CELL}|{_CELL}|\$?[A-Za-z]{{1,3}}:\$?[A-Za-z]{{1,3}}|\$?[0-9]{{1,7}}:\$?[0-9]{{1,7}}){_END})"
-_PATTERN = rf"(?s)\"(?:[^\"]|\"\")*\"|([\p{{L}}_][\p{{L}}\p{{N}}_.]*)(?=\()|({_SHEET}?{_BODY})|#[A-Z/0-9_]+[!?]?|[\p{{L}}_\\][\p{{L}}\p{{N}}_.?\\]*|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|."
+_PATTERN = rf"(?s)\"(?:[^\"]|\"\")*\"|([\p{{L}}_][\p{{L}}\p{{N}}_.]*)(?=\()|({_SHEET}?{_BODY})|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]|#[A-Z/0-9_]+[!?]?|[\p{{L}}_\\][\p{{L}}\p{{N}}_.?\\]*|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|."
 _CALL_GROUP, _REF_GROUP = 1, 2
 
 
@@ -38,7 +40,18 @@ def function_names(formula: Column) -> Column:
     return F.filter(F.regexp_extract_all(formula, F.lit(_PATTERN), _CALL_GROUP), lambda t: t != "")
 
 
-_TOKEN = re.compile(_PATTERN.replace(r"[\p{L}\p{N}_.?\\]", r"[\w.?\\]").replace(r"[\p{L}\p{N}_.(!]", r"[\w.(!]").replace(r"[\p{L}\p{N}_.]", r"[\w.]").replace(r"[\p{L}_\\]", r"(?:[^\W\d]|\\)").replace(r"[\p{L}_]", r"[^\W\d]"))
+
+
+def in_python(pattern: str) -> re.Pattern:
+    """A pattern of this module for Python, which has no classes of letters and numbers but word characters."""
+    for java, python in ((r"[\p{L}\p{N}_.?\\]", r"[\w.?\\]"), (r"[\p{L}\p{N}_.(!]", r"[\w.(!]"), (r"[\p{L}\p{N}_.]", r"[\w.]"), (r"[\p{L}_\\]", r"(?:[^\W\d]|\\)"), (r"[\p{L}_]", r"[^\W\d]")):
+        pattern = pattern.replace(java, python)
+    return re.compile(pattern)
+
+
+_TOKEN = in_python(_PATTERN)
+#: What may hold a reference and what may look like one; all else lies between matches.
+_SKIM = in_python(rf"(?s)\"(?:[^\"]|\"\")*\"|[\p{{L}}_][\p{{L}}\p{{N}}_.]*(?=\()|({_SHEET}?{_BODY})|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]|[\p{{L}}_\\][\p{{L}}\p{{N}}_.?\\]*|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?")
 _PREFIX = re.compile(r"^(?:'(?:[^']|'')+'!|[^'!#$]*!)?")
 _POINT = re.compile(r"(\$?)([A-Za-z]{0,3})(\$?)([0-9]{0,7})")
 
@@ -76,23 +89,36 @@ def _print(points: list[Point] | None) -> str:
     return ":".join(("$" * ca + _letters(c) if c is not None else "") + ("$" * ra + str(r + 1) if r is not None else "") for c, r, ca, ra in points)
 
 
-def rewrite(formula: str | None, change: Callable[[str, list[Point]], list[Point] | None]) -> tuple[str | None, int]:
-    """The formula with each valid reference changed (given its sheet prefix and corners), and how many differ."""
-    if formula is None:
-        return None, 0
-    differ = 0
+class Rewriter:
+    """Formulas with each valid reference changed, given its sheet prefix and corners; each reference is worked out once."""
 
-    def one(m: re.Match) -> str:
-        nonlocal differ
-        if m[_REF_GROUP] is None:
+    MOST = 100_000
+
+    def __init__(self, change: Callable[[str, list[Point]], list[Point] | None]):
+        self.change, self.known, self.differ = change, {}, 0
+
+    def _fresh(self, ref: str) -> str:
+        prefix = _PREFIX.match(ref)[0]
+        points = _parse(ref[len(prefix) :])
+        fresh = ref if points is None else prefix + _print(self.change(prefix, points))
+        if len(self.known) < self.MOST:
+            self.known[ref] = fresh
+        return fresh
+
+    def _one(self, m: re.Match) -> str:
+        ref = m[1]
+        if ref is None:
             return m[0]
-        prefix = _PREFIX.match(m[0])[0]
-        points = _parse(m[0][len(prefix) :])
-        fresh = m[0] if points is None else prefix + _print(change(prefix, points))
-        differ += fresh != m[0]
+        fresh = self.known.get(ref) or self._fresh(ref)
+        self.differ += fresh != ref
         return fresh
 
-    return _TOKEN.sub(one, formula), differ
+    def __call__(self, formula: str | None) -> tuple[str | None, int]:
+        """The formula rewritten, and how many references differ."""
+        if formula is None:
+            return None, 0
+        self.differ = 0
+        return _SKIM.sub(self._one, formula), self.differ
 
 
 def _moved(low: int, high: int, at: int, count: int, insert: bool, most: int) -> tuple[int, int] | None:
@@ -111,8 +137,8 @@ def _names(prefix: str) -> list[str]:
     return re.sub(r"^\[[0-9]+\]", "", bare).split(":")
 
 
-def shift_text(formula: str | None, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> tuple[str | None, int]:
-    """A formula after count rows or columns come in or go at `at`; `$` makes no difference.
+def shifting(axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> Rewriter:
+    """Formulas after count rows or columns come in or go at `at`; `$` makes no difference.
 
     A reference without a sheet moves if local, another if it names the edited sheet. Reversed areas stay reversed.
     """
@@ -128,17 +154,27 @@ def shift_text(formula: str | None, axis: str, at: int, count: int, insert: bool
         fresh = moved if ends[0] <= ends[-1] else moved[::-1]
         return [(*p[:k], new, *p[k + 1 :]) for p, new in zip(points, fresh)]
 
-    return rewrite(formula, change)
+    return Rewriter(change)
 
 
-def translate_text(formula: str | None, d_row: int, d_col: int) -> str | None:
-    """A formula copied by so many rows and columns: absolute parts stay, what leaves the sheet is #REF!."""
+def shift_text(formula: str | None, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> tuple[str | None, int]:
+    """One formula of shifting()."""
+    return shifting(axis, at, count, insert, sheet, local)(formula)
+
+
+def translating(d_row: int, d_col: int) -> Rewriter:
+    """Formulas copied by so many rows and columns: absolute parts stay, what leaves the sheet is #REF!."""
 
     def change(_: str, points: list[Point]) -> list[Point] | None:
         fresh = [(c if c is None or ca else c + d_col, r if r is None or ra else r + d_row, ca, ra) for c, r, ca, ra in points]
         return fresh if all((c is None or 0 <= c <= MAX_COL) and (r is None or 0 <= r <= MAX_ROW) for c, r, _, _ in fresh) else None
 
-    return rewrite(formula, change)[0]
+    return Rewriter(change)
+
+
+def translate_text(formula: str | None, d_row: int, d_col: int) -> str | None:
+    """One formula of translating()."""
+    return translating(d_row, d_col)(formula)[0]
 
 
 def shift_formula(formula: Column, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> Column:
@@ -146,17 +182,30 @@ def shift_formula(formula: Column, axis: str, at: int, count: int, insert: bool,
 
     @F.pandas_udf("text string, changed int")
     def shifted(found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shift_text(f, axis, at, count, insert, sheet, local) for f in found], columns=["text", "changed"])
+        shift = shifting(axis, at, count, insert, sheet, local)
+        return pd.DataFrame([shift(f) for f in found], columns=["text", "changed"])
 
     return shifted(formula)
 
 
 def translate_formula(formula: Column, d_row: Column, d_col: Column) -> Column:
-    """translate_text of Columns."""
+    """translate_text of Columns; null where one of them is."""
 
     @F.pandas_udf("string")
     def translated(formula: pd.Series, d_row: pd.Series, d_col: pd.Series) -> pd.Series:
-        return pd.Series([translate_text(f, int(r), int(c)) for f, r, c in zip(formula, d_row, d_col, strict=True)], dtype=object)
+        by_step: dict[tuple, Rewriter] = {}
+        out = []
+        for f, *step in zip(formula, d_row, d_col, strict=True):
+            if f is None or pd.isna(step).any():
+                out.append(None)
+                continue
+            move = by_step.get(tuple(step))
+            if move is None:
+                if len(by_step) > 1000:
+                    by_step.clear()
+                move = by_step[tuple(step)] = translating(int(step[0]), int(step[1]))
+            out.append(move(f)[0])
+        return pd.Series(out, dtype=object)
 
     return translated(formula, d_row, d_col)
 
@@ -165,12 +214,18 @@ def respell_formula(formula: Column) -> Column:
     """Every reference read and printed again: the same text for a formula whose references are in capitals."""
 
     @F.pandas_udf("string")
-    def respelled(formula: pd.Series) -> pd.Series:
-        return pd.Series([rewrite(f, lambda _, points: points)[0] for f in formula], dtype=object)
+    def respelled(found: pd.Series) -> pd.Series:
+        same = Rewriter(lambda _, points: points)
+        return pd.Series([same(f)[0] for f in found], dtype=object)
 
     return respelled(formula)
 
 
+def book_index(sheet: Column) -> Column:
+    """The number in brackets before a sheet's name, of another workbook; null without one."""
+    return F.nullif(F.regexp_extract(sheet, r"^'?\[([0-9]{1,9})\]", 1), F.lit("")).cast("int")
+
+
 def _described(formula: str | None) -> list[dict]:
     """Each reference of a formula in order: its sheet prefix as written, its kind and corners."""
     out = []

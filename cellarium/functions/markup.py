@@ -30,9 +30,38 @@ def escape_attr(s: Column, quote: str = '"') -> Column:
     return _replaced(escape_text(s), ("\n", "&#xA;"), ("\t", "&#x9;"), (quote, "&quot;" if quote == '"' else "&apos;"))
 
 
+_REFERENCE = r"&(?:#x[0-9A-Fa-f]{1,8}|#[0-9]{1,10}|[A-Za-z]+);"
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def _referred(piece: Column) -> Column:
+    """The character of one reference; null if XML knows none such."""
+    body = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    code = F.when(body.startswith("#x"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).when(body.startswith("#"), F.substring(body, F.lit(2), F.length(body))).try_cast("long")
+    allowed = code.isin(9, 10, 13) | code.between(0x20, 0xD7FF) | code.between(0xE000, 0xFFFD) | code.between(0x10000, 0x10FFFF)
+    utf8 = F.when(code < 0x80, F.hex(code)).when(code < 0x800, F.hex((F.shiftright(code, 6) + 0xC0) * 256 + code % 64 + 0x80)).when(code < 0x10000, F.hex(((F.shiftright(code, 12) + 0xE0) * 256 + F.shiftright(code, 6) % 64 + 0x80) * 256 + code % 64 + 0x80)).otherwise(F.hex((((F.shiftright(code, 18) + 0xF0) * 256 + F.shiftright(code, 12) % 64 + 0x80) * 256 + F.shiftright(code, 6) % 64 + 0x80) * 256 + code % 64 + 0x80))
+    named = F.lit(None).cast("string")
+    for name, char in _NAMED.items():
+        named = F.when(body == name, char).otherwise(named)
+    return F.when(body.startswith("#"), F.when(allowed, F.decode(F.unhex(utf8), "utf-8"))).otherwise(named)
+
+
+def _decoded(raw: Column, plain: Column) -> Column:
+    """Text whose references are read; plain is raw after what is done to all other characters."""
+    pieces = F.regexp_extract_all(plain, F.lit(rf"(?s){_REFERENCE}|[^&]+|&"), F.lit(0))
+    read = F.transform(pieces, lambda p: F.when(p.startswith("&"), _referred(p)).otherwise(p))
+    whole = F.when(~F.exists(read, lambda p: p.isNull()), F.array_join(read, ""))
+    return F.when(raw.contains("&"), whole).otherwise(plain)
+
+
 def unescape(s: Column) -> Column:
-    """Named references, and the numeric ones that escaping makes; `&amp;` last."""
-    return _replaced(s, ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#xD;", "\r"), ("&#xA;", "\n"), ("&#x9;", "\t"), ("&amp;", "&"))
+    """Element content as XML reads it: named and numeric references, line ends as one \\n; null where a reference is none."""
+    return _decoded(s, F.when(s.contains("\r"), F.regexp_replace(s, "\r\n?", "\n")).otherwise(s))
+
+
+def unescape_attr(s: Column) -> Column:
+    """An attribute's value as XML reads it: as unescape(), but a tab or line end that is no reference is a space."""
+    return _decoded(s, F.when(s.rlike("[\t\n\r]"), F.regexp_replace(s, "\r\n?|[\t\n]", " ")).otherwise(s))
 
 
 def escape_html(s: Column) -> Column:
@@ -52,11 +81,15 @@ def encode_x_escapes(s: Column) -> Column:
 
 def decode_x_escapes(s: Column) -> Column:
     """The inverse: escapes of control characters, and _x005F_ before another escape; all else stays."""
-    mark = "\ue000"
-    text = F.regexp_replace(s, "_x005[Ff]_(?=x[0-9A-Fa-f]{4}_)", mark)
-    for code in _CONTROLS:
-        text = F.regexp_replace(text, f"(?i)_x{code:04X}_", chr(code))
-    return F.when(s.rlike("_x00[0-9A-Fa-f]{2}_"), F.replace(text, F.lit(mark), F.lit("_"))).otherwise(s)
+    coded = "_x(?:00[01][0-9A-Fa-f]|005[Ff])_"
+    pieces = F.regexp_extract_all(s, F.lit(rf"(?s)_x00[01][0-9A-Fa-f]_|_x005[Ff]_(?=x[0-9A-Fa-f]{{4}}_)|[^_]+|_"), F.lit(0))
+    kept = ("09", "0a")
+
+    def read(p: Column) -> Column:
+        code = F.lower(F.substring(p, 5, 2))
+        return F.when(F.length(p) < 7, p).when(~p.rlike("^_x00"), p).when(code == "5f", "_").when(code.isin(*kept), p).otherwise(F.decode(F.unhex(code), "utf-8"))
+
+    return F.when(s.rlike(coded), F.array_join(F.transform(pieces, read), "")).otherwise(s)
 
 
 def part_key(name: Column) -> Column:

@@ -83,3 +83,11 @@ def row_height_px(points: Column) -> Column:
 def font_size_text(points: Column) -> Column:
     """At most two decimals, no trailing zeros."""
     return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", points), "0+$", ""), r"\.$", "")
+
+
+def size_text(n: Column) -> Column:
+    """A number of bytes for reading, in units of 1024 with one decimal beyond the first."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("KiB", "MiB", "GiB"), 1):
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
+    return out

@@ -77,18 +77,50 @@ def style_classes(xfs: DataFrame, fonts: DataFrame, fills: DataFrame, borders: D
     return joined.select("path", "style", css.alias("css")).filter("css <> ''")
 
 
-def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook") -> DataFrame:
-    """path, html: a page for each workbook with a table for each visible sheet (sheets: path, sheet, name, state)."""
-    rows = html_rows(cells)
-    table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "html"))), lambda x: x["html"]), "\n")
+def alignments(nodes: DataFrame) -> DataFrame:
+    """path, style, horizontal, vertical, wrap of the cell formats; general and bottom where they say nothing."""
+    lists = nodes.filter("local = 'cellXfs'").select(*KEY, F.col("node_id").alias("parent_id"))
+    xfs = nodes.filter("local = 'xf'").join(lists, [*KEY, "parent_id"]).select(*KEY, F.col("node_id").alias("xf_id"), F.col("ord").cast("long").alias("style"))
+    given = nodes.filter("local = 'alignment'").select(*KEY, F.col("parent_id").alias("xf_id"), _attr("horizontal").alias("h"), _attr("vertical").alias("v"), _attr("wrapText").alias("w"))
+    joined = xfs.join(given, [*KEY, "xf_id"], "left")
+    across = F.when(F.col("h").isin("left", "center", "right", "justify"), F.col("h")).when(F.col("h") == "centerContinuous", "center").when(F.col("h") == "distributed", "justify").otherwise("general")
+    down = F.when(F.col("v") == "top", "top").when(F.col("v").isin("center", "distributed", "justify"), "center").otherwise("bottom")
+    return joined.select("path", "style", across.alias("horizontal"), down.alias("vertical"), F.coalesce(values.parse_bool(F.col("w")), F.lit(False)).alias("wrap"))
+
+
+def default_fonts(fonts: DataFrame) -> DataFrame:
+    """The font of each package that cells without one have: number 0."""
+    return fonts.filter("font_id = 0")
+
+
+def has_no_lines(borders: DataFrame) -> DataFrame:
+    """borders with is_empty: no line on any side."""
+    return borders.withColumn("is_empty", F.coalesce("left", "right", "top", "bottom").isNull())
+
+
+def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook", max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """path, html: a page for each workbook with a table for each visible sheet (sheets: path, sheet, name, state).
+
+    Tables show the rows and columns below max_rows and max_cols; more are left out, as a page is for reading. Cells show
+    their style's class and dates, merged ranges span, and columns (path, sheet, col, width in characters) set widths.
+    """
+    rows = html_rows(cells, max_rows, max_cols, merges)
+    table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "html"))), lambda x: x["html"]), "\n")  # at most max_rows
     tables = rows.groupBy("path", "sheet").agg(table.alias("body"))
     shown = sheets.filter("state = 'visible'").join(tables, ["path", "sheet"], "left")
-    section = F.concat(F.lit("<section><h2>"), markup.escape_html(F.col("name")), F.lit("</h2><table>"), F.coalesce("body", F.lit("")), F.lit("</table></section>"))
+    group = F.lit("")
+    if columns is not None:
+        pixels = styles.col_width_px(F.col("width"), F.lit(7.0)).cast("long").cast("string")
+        col = F.concat(F.lit('<col style="width:'), pixels, F.lit('px">'))
+        widths = columns.filter(F.col("col") < max_cols).groupBy("path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", col.alias("x")))), lambda x: x["x"]), "").alias("cols"))
+        shown = shown.join(widths, ["path", "sheet"], "left")
+        group = F.coalesce(F.concat(F.lit("<colgroup>"), F.col("cols"), F.lit("</colgroup>")), F.lit(""))
+    section = F.concat(F.lit("<section><h2>"), markup.escape_html(F.col("name")), F.lit("</h2><table>"), group, F.coalesce("body", F.lit("")), F.lit("</table></section>"))
     pages = shown.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", section.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
     css = F.lit("")
     if classes is not None:
         rule = F.concat(F.lit(".x"), F.col("style").cast("string"), F.lit("{"), F.col("css"), F.lit("}"))
         pages = pages.join(classes.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(rule)), "\n").alias("css")), "path", "left")
         css = F.coalesce("css", F.lit(""))
-    head = F.concat(F.lit(f'<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>'), css, F.lit("</style></head><body>"))
+    head = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"><title>'), markup.escape_html(F.lit(title)), F.lit("</title><style>"), css, F.lit("</style></head><body>"))
     return pages.select("path", F.concat(head, "body", F.lit("</body></html>")).alias("html"))

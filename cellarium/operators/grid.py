@@ -6,7 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellarium.functions.addresses import range_a1
+from cellarium.functions.addresses import MAX_COL, MAX_ROW, range_a1
+
+
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many bounds, in order, are at most key: halves are compared, so a row meets the logarithm of their number."""
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < bounds[middle], within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(bounds))
+
+
+#: Rows of a sheet whose first strings are numbered together.
+STRETCH = 10_000
 
 
 def grid_of(df: DataFrame, key: str, columns: list[str], path: str = "book") -> DataFrame:
@@ -15,9 +30,9 @@ def grid_of(df: DataFrame, key: str, columns: list[str], path: str = "book") ->
     Row numbers come from ranges of the key: a rank inside each range, and a running sum over one row for each range. The
     ranges' bounds are approximate quantiles, which only say how evenly the work is dealt.
     """
-    parts = min(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.01) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    part = _range_of(F.col(key), sorted(set(bounds)))
     ranged = df.withColumn("_part", part)
     kind = dict(df.dtypes)
     local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
@@ -72,7 +87,13 @@ def extent(stats: DataFrame) -> DataFrame:
 def build_strings(cells: DataFrame) -> DataFrame:
     """path, idx, text: each distinct text of a package, numbered by its first cell."""
     first = cells.filter("value_kind = 'text'").groupBy("path", "text").agg(F.min(F.struct("sheet", "row", "col")).alias("at"))
-    return first.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).cast("long").alias("idx"), "text")
+    # Numbered by sheet and stretch of rows: a rank within each, after the strings of those before.
+    staged = first.withColumn("_stretch", (F.col("at.row") / STRETCH).cast("long")).withColumn("_sheet", F.col("at.sheet"))
+    by = ["path", "_sheet", "_stretch"]
+    sizes = staged.groupBy(*by).agg(F.count("*").alias("_n"))
+    base = sizes.select(*by, (F.sum("_n").over(Window.partitionBy("path").orderBy("_sheet", "_stretch")) - F.col("_n")).alias("_base"))  # a row for each stretch
+    ranked = staged.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("at")) - 1)
+    return ranked.join(base, by).select("path", (F.col("_base") + F.col("_at")).cast("long").alias("idx"), "text")
 
 
 def decode_strings(cells: DataFrame, strings: DataFrame, index: str = "idx") -> DataFrame:
@@ -94,13 +115,13 @@ def intern_strings(strings: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def resolve_styles(cells: DataFrame, xfs: DataFrame, fonts: DataFrame, fills: DataFrame, numfmts: DataFrame) -> DataFrame:
     """Cells with what their style says: num_fmt_id, is_date, font_name, bold, fill; a part counts only where applied."""
-    looked = cells.join(F.broadcast(xfs), ["path", "style"], "left")
+    looked = cells.join(xfs, ["path", "style"], "left")
     fonts = fonts.select("path", "font_id", F.col("name").alias("font_name"), "bold")
     fills = fills.select("path", "fill_id", F.col("solid").alias("fill"))
     custom = numfmts.select("path", "num_fmt_id", F.col("is_date").alias("custom_date"))
     looked = looked.withColumn("font_id", F.when(F.col("apply_font"), F.col("font_id"))).withColumn("fill_id", F.when(F.col("apply_fill"), F.col("fill_id")))
     for dim, on in ((fonts, "font_id"), (fills, "fill_id"), (custom, "num_fmt_id")):
-        looked = looked.join(F.broadcast(dim), ["path", on], "left")  # at most 65 536 styles to a package
+        looked = looked.join(dim, ["path", on], "left")
     from cellarium.functions.styles import is_date_id
 
     return looked.withColumn("is_date", F.coalesce(is_date_id(F.col("num_fmt_id")) | F.coalesce("custom_date", F.lit(False)), F.lit(False))).drop("custom_date")
@@ -115,10 +136,12 @@ def column_widths(columns: DataFrame, spans: DataFrame, default: float) -> DataF
     return joined.withColumn("width", F.when(F.col("s").isNull(), F.lit(default)).when(F.col("s.hidden"), 0.0).otherwise(F.coalesce("s.width", F.lit(default)))).drop("s")
 
 
-def covered_cells(merges: DataFrame) -> DataFrame:
-    """path, sheet, ord, row, col of every cell of merged ranges, and is_top_left."""
-    rows = merges.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    return rows.select("path", "sheet", "ord", "row", "col", ((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).alias("is_top_left"))
+def covered_cells(merges: DataFrame, max_rows: int = MAX_ROW + 1, max_cols: int = MAX_COL + 1) -> DataFrame:
+    """path, sheet, ord, row, col of every cell of merged ranges up to the caps, is_top_left, and the range's width and height."""
+    last = lambda end, most: F.least(F.col(end), F.lit(most - 1).cast(dict(merges.dtypes)[end]))
+    inside = merges.filter((F.col("r0") < max_rows) & (F.col("c0") < max_cols))
+    rows = inside.withColumn("row", F.explode(F.sequence(F.col("r0"), last("r1", max_rows)))).withColumn("col", F.explode(F.sequence(F.col("c0"), last("c1", max_cols))))
+    return rows.select("path", "sheet", "ord", "row", "col", ((F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).alias("is_top_left"), (F.col("c1") - F.col("c0") + 1).alias("width"), (F.col("r1") - F.col("r0") + 1).alias("height"))
 
 
 def clip_flags(cells: DataFrame) -> DataFrame:
@@ -128,18 +151,21 @@ def clip_flags(cells: DataFrame) -> DataFrame:
     return cells.withColumn("clipped", (F.col("value_kind") == "text") & F.coalesce((next_col == F.col("col") + 1) & (next_kind != "empty"), F.lit(False)))
 
 
-def merge_edits(cells: DataFrame, edits: DataFrame) -> DataFrame:
+def merge_edits(cells: DataFrame, edits: DataFrame, inline: bool = False) -> DataFrame:
     """Cells after edits (path, sheet, row, col, ord and a value): the last edit of a cell wins and makes missing cells.
 
-    A `clear` edit empties a cell that exists, whose style stays, and makes none.
+    A value is a number, text, bool or error (err). A `clear` edit empties a cell that exists, whose style stays, and makes
+    none. An edited cell loses its formula. New texts go to the shared table, or with inline into the cell.
     """
     at = ["path", "sheet", "row", "col"]
-    last = edits.groupBy(*at).agg(F.max_by(F.struct("value_kind", "num", "text", "bool"), "ord").alias("e"))
+    err = F.col("err") if "err" in edits.columns else F.lit(None).cast("string").alias("err")
+    last = edits.select("*", *([] if "err" in edits.columns else [err])).groupBy(*at).agg(F.max_by(F.struct("value_kind", "num", "text", "bool", "err"), "ord").alias("e"))
     both = cells.withColumn("_old", F.lit(True)).join(last, at, "full").filter("_old IS NOT NULL OR e.value_kind <> 'clear'")
     changed = F.col("e").isNotNull()
     kind = F.when(F.col("e.value_kind") == "clear", "empty").otherwise(F.col("e.value_kind"))
-    ty = F.when(kind == "text", "s").when(kind == "bool", "b").otherwise("n")
-    new = {"value_kind": kind, "ty": ty, "num": F.when(kind == "number", F.col("e.num")), "text": F.when(kind == "text", F.col("e.text")), "bool": F.when(kind == "bool", F.col("e.bool"))}
+    ty = F.when(kind == "text", "inlineStr" if inline else "s").when(kind == "bool", "b").when(kind == "error", "e").otherwise("n")
+    new = {"value_kind": kind, "ty": ty, "num": F.when(kind == "number", F.col("e.num")), "text": F.when(kind == "text", F.col("e.text")), "bool": F.when(kind == "bool", F.col("e.bool")), "err": F.when(kind == "error", F.col("e.err"))}
+    new |= {c: F.lit(None) for c in ("f_text", "f_kind", "f_si", "f_range")}
     return both.select(*[F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in cells.columns])
 
 
@@ -150,12 +176,37 @@ def grow_dimension(dimension: DataFrame, edits: DataFrame) -> DataFrame:
     return grown.select("path", "sheet", F.least("r0", "a").alias("r0"), F.least("c0", "b").alias("c0"), F.greatest("r1", "c").alias("r1"), F.greatest("c1", "d").alias("c1"))
 
 
-def html_rows(cells: DataFrame, max_rows: int = 5000, max_cols: int = 256) -> DataFrame:
-    """path, sheet, row, html: a table row of escaped cells for each row up to the caps on coordinates."""
+def html_rows(cells: DataFrame, max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None) -> DataFrame:
+    """path, sheet, row, html: a table row of escaped cells for each row up to the caps on coordinates.
+
+    Cells may have a style (their class) and is_date (numbers are days). With merges (path, sheet, r0, c0, r1, c1) a first cell
+    spans its range and the others of it are left out.
+    """
     from cellarium.functions.markup import escape_html
     from cellarium.functions.values import general_number
 
-    shown = F.coalesce(F.when(F.col("value_kind") == "number", general_number(F.col("num"))), F.when(F.col("value_kind") == "bool", F.when(F.col("bool"), "TRUE").otherwise("FALSE")), escape_html(F.col("text")), F.lit(""))
-    kept = cells.filter((F.col("row") < max_rows) & (F.col("col") < max_cols)).withColumn("td", F.concat(F.lit("<td>"), shown, F.lit("</td>")))
-    tds = F.transform(F.array_sort(F.collect_list(F.struct("col", "td"))), lambda x: x["td"])
+    number = general_number(F.col("num"))
+    if "is_date" in cells.columns:
+        number = F.when(F.col("is_date"), date_text(F.col("num"))).otherwise(number)
+    error = escape_html(F.col("err")) if "err" in cells.columns else F.lit(None).cast("string")
+    shown = F.coalesce(F.when(F.col("value_kind") == "number", number), F.when(F.col("value_kind") == "bool", F.when(F.col("bool"), "TRUE").otherwise("FALSE")), F.when(F.col("value_kind") == "error", error), escape_html(F.col("text")), F.lit(""))
+    kept = cells.filter((F.col("row") < max_rows) & (F.col("col") < max_cols))
+    span = F.lit("")
+    if merges is not None:
+        covered = covered_cells(merges.withColumn("ord", F.lit(0)) if "ord" not in merges.columns else merges, max_rows, max_cols)
+        kept = kept.join(covered.dropDuplicates(["path", "sheet", "row", "col"]), ["path", "sheet", "row", "col"], "left").filter("is_top_left IS NULL OR is_top_left")
+        attribute = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+        span = F.when(F.col("is_top_left"), F.concat(attribute("colspan", F.col("width")), attribute("rowspan", F.col("height")))).otherwise("")
+    style = F.when(F.col("style") > 0, F.concat(F.lit(' class="x'), F.col("style").cast("string"), F.lit('"'))) if "style" in cells.columns else F.lit(None).cast("string")
+    kept = kept.withColumn("td", F.concat(F.lit("<td"), F.coalesce(style, F.lit("")), span, F.lit(">"), shown, F.lit("</td>")))
+    tds = F.transform(F.array_sort(F.collect_list(F.struct("col", "td"))), lambda x: x["td"])  # at most max_cols
     return kept.groupBy("path", "sheet", "row").agg(F.concat(F.lit("<tr>"), F.array_join(tds, ""), F.lit("</tr>")).alias("html"))
+
+
+def date_text(days: Column) -> Column:
+    """A number of days since the end of 1899 as a date, with the time if there is one; null before the first day."""
+    whole = F.floor(days).cast("int")
+    second = F.round((days - F.floor(days)) * 86400).cast("long")
+    date = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), whole), "yyyy-MM-dd")
+    time = F.format_string("%02d:%02d:%02d", F.expr("0L") + F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+    return F.when((days >= 0) & (days < 2958466), F.when(second == 0, date).otherwise(F.concat(date, F.lit(" "), time)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,11 @@ def content_type_tables(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return defaults, nodes.filter("local = 'Override'").select("path", a("PartName").alias("part"), a("ContentType").alias("ct"))
 
 
-def main_parts(paths: DataFrame, rels: DataFrame, part_names: DataFrame, type_end: str, owner: str, fallback: str) -> DataFrame:
-    """path, part: the first relationship of a type whose target exists, else the usual name if it exists, else null."""
+def main_parts(paths: DataFrame, rels: DataFrame, part_names: DataFrame, type_end: str, owner: str | None, fallback: str) -> DataFrame:
+    """path, part: the first relationship of a type (of this owner, or of any in rels) whose target exists, else the usual
+    name if it exists, else null."""
     there = part_names.select("path", part_key(F.col("part")).alias("_key"), F.col("part").alias("_part"))
-    wanted = rels.filter((F.col("owner") == owner) & F.col("type").endswith(type_end)).select("path", "ord", part_key(F.col("resolved")).alias("_key"))
+    wanted = rels.filter((F.lit(owner is None) | (F.col("owner") == owner)) & F.col("type").endswith(type_end)).select("path", "ord", part_key(F.col("resolved")).alias("_key"))
     by_rel = wanted.join(there, ["path", "_key"]).groupBy("path").agg(F.min_by("_part", "ord").alias("_by_rel"))
     usual = there.filter(F.col("_key") == fallback.lower()).groupBy("path").agg(F.first("_part").alias("_usual"))
     return paths.select("path").distinct().join(by_rel, "path", "left").join(usual, "path", "left").select("path", F.coalesce("_by_rel", "_usual").alias("part"))
@@ -78,3 +79,35 @@ def ensure_overrides(defaults: DataFrame, overrides: DataFrame, wanted: DataFram
     missing = found.filter(~F.coalesce("_o", "_d").eqNullSafe(F.col("ct")))
     kept = overrides.withColumn("_key", key).join(missing.select("path", "_key"), ["path", "_key"], "left_anti")
     return kept.select("path", "part", "ct").unionByName(missing.select("path", "part", "ct"))
+
+
+def remove_relationships(rels: DataFrame, gone: DataFrame) -> DataFrame:
+    """rels without the first relationship of each owner and id in gone (path, owner, id)."""
+    first = rels.join(gone.select("path", "owner", "id").distinct(), ["path", "owner", "id"]).groupBy("path", "owner", "id").agg(F.min("ord").alias("ord"))
+    return rels.join(first, ["path", "owner", "id", "ord"], "left_anti").select(rels.columns)
+
+
+# Elements of a workbook that come after the one of calculation.
+_AFTER_CALC = ("oleSize", "customWorkbookViews", "pivotCaches", "smartTagPr", "smartTagTypes", "webPublishing", "fileRecoveryPr", "webPublishObjects", "extLst")
+
+
+def mark_full_recalc(text: Column) -> Column:
+    """The text of a workbook part that asks for all formulas to be worked out anew when it is opened.
+
+    An element of calculation keeps its other attributes; without one it is made where its place is, with the prefix of the
+    part's own elements.
+    """
+    prefix = F.regexp_extract(text, r"<((?:[^\s<>/:!?]+:)?)workbook[\s>]", 1)
+    old = F.regexp_extract(text, r"<(?:[^\s<>/:!?]+:)?calcPr(?=[\s/>])[^>]*>", 0)
+    bare = F.regexp_replace(old, r"""\s+(calcId|fullCalcOnLoad)\s*=\s*("[^"]*"|'[^']*')""", "")
+    marked = F.regexp_replace(bare, r"\s*(/?)>$", ' calcId="0" fullCalcOnLoad="1"$1>')
+    fresh = F.concat(F.lit("<"), prefix, F.lit('calcPr calcId="0" fullCalcOnLoad="1"/>'))
+    before = r"(?s)<(?:[^\s<>/:!?]+:)?(?:" + "|".join(_AFTER_CALC) + r")[\s/>].*$|</(?:[^\s<>/:!?]+:)?workbook\s*>\s*$"
+    rest = F.regexp_extract(text, before, 0)
+    made = F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), fresh, rest)
+    return F.when(old != "", F.replace(text, old, marked)).when(rest != "", made).otherwise(text)
+
+
+def calc_chains(paths: DataFrame, rels: DataFrame, part_names: DataFrame) -> DataFrame:
+    """path, part of the chain of calculation that a relationship or its usual name leads to, where there is one."""
+    return main_parts(paths, rels, part_names, "/calcChain", None, "/xl/calcChain.xml").filter("part IS NOT NULL")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cellarium.functions import markup, values
-from cellarium.functions.addresses import a1, col_index, parse_range, row_index
+from cellarium.functions.addresses import a1, parse_range, row_index
+from cellarium.functions.formulas import translate_formula
 from cellarium.functions.styles import is_date_format
+from cellarium.operators.package_edits import main_parts
 from cellarium.sources.packages import parts, spreadsheet_nodes, xml_nodes
+from cellarium.sources.sheets import sheet_cells, string_items
+from cellarium.sources.tables import stored
 
 # Types of relationships.
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -54,60 +57,82 @@ def sheets(nodes: DataFrame, rels: DataFrame) -> DataFrame:
     return s.join(first, ["path", "owner", "rel_id"], "left").select("path", "ord", "name", "sheet_id", "rel_id", "part", known.alias("state"))
 
 
-def shared_strings(nodes: DataFrame) -> DataFrame:
-    """path, idx, text, runs of shared strings: the runs of an item in order, phonetic ones left out."""
-    items = nodes.filter("local = 'si'").select("path", "part", "node_id", F.col("ord").cast("long").alias("idx"))
-    texts = nodes.filter("local = 't'").select("path", "part", F.col("node_id").alias("t_id"), "parent_id", "text")
-    runs = nodes.filter("local = 'r'").select("path", "part", F.col("node_id").alias("r_id"), F.col("parent_id").alias("item"))
-    own = texts.select("path", "part", F.col("parent_id").alias("node_id"), "t_id", "text")
-    inner = texts.join(runs, (texts["path"] == runs["path"]) & (texts["part"] == runs["part"]) & (texts["parent_id"] == runs["r_id"])).select(texts["path"], texts["part"], F.col("item").alias("node_id"), "t_id", "text")
-    pieces = items.join(own.unionByName(inner), ["path", "part", "node_id"], "left")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t_id", "text"))), lambda x: x["text"]), "")
-    return pieces.groupBy("path", "idx").agg(markup.decode_x_escapes(joined).alias("text"), F.count("t_id").cast("int").alias("runs"))
-
-
-def raw_cells(nodes: DataFrame) -> DataFrame:
-    """path, part, row_ord, cell_ord, row_r, cell_r, t, s, v, is_text, f_text, f_t of the nodes of sheet parts."""
-    key = ["path", "part", "parent_id"]
-    kids = nodes.filter("local IN ('v', 'f', 'is')").groupBy(*key).agg(F.min_by(F.struct("text"), F.when(F.col("local") == "v", F.col("node_id"))).alias("v"), F.min_by(F.struct("text", "attrs"), F.when(F.col("local") == "f", F.col("node_id"))).alias("f"), F.min(F.when(F.col("local") == "is", F.col("node_id"))).alias("is_id"))
-    inline = nodes.filter("local = 't'").groupBy("path", "part", F.col("parent_id").alias("is_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), "").alias("is_text"))
-    rows = nodes.filter("local = 'row'").select("path", "part", F.col("node_id").alias("row_id"), attr("r").alias("row_r"))
-    cells = nodes.filter("local = 'c'").select("path", "part", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("row_id"), attr("r").alias("cell_r"), attr("t").alias("t"), attr("s").alias("s"))
-    joined = cells.join(rows, ["path", "part", "row_id"]).join(kids, key, "left").join(inline, ["path", "part", "is_id"], "left")
-    return joined.select("path", "part", F.col("row_id").alias("row_ord"), F.col("parent_id").alias("cell_ord"), "row_r", "cell_r", "t", "s", F.col("v.text").alias("v"), "is_text", F.col("f.text").alias("f_text"), attr("t", "f.attrs").alias("f_t"))
+def shared_strings(items: DataFrame) -> DataFrame:
+    """path, part, idx, text, runs, preserved, simple of string_items(), escapes undone; items with an error are left out."""
+    return items.filter("_error IS NULL").select("path", "part", "idx", markup.decode_x_escapes(F.col("text")).alias("text"), "runs", "preserved", "simple")
 
 
 def typed_cells(raw: DataFrame, strings: DataFrame) -> DataFrame:
-    """Cells with addresses and values: implicit positions, storage types, and the shared strings they name.
+    """Cells of sheet_cells() with their values: storage types, and the shared strings (path, idx, text) they name.
 
-    A cell's own address wins over its row's; without one it follows the cell before it, a row without a number the
-    row before it. _error names what is wrong with a cell.
+    _error names what is wrong with a cell, a row or a part. Rows without cells are left out unless something is wrong.
     """
-    rows = raw.select("path", "part", "row_ord", row_index("row_r").alias("r")).distinct()
-    run = Window.partitionBy("path", "part").orderBy("row_ord")  # one sheet is one file's part, bounded by its quota
-    rows = rows.withColumn("anchor", F.count("r").over(run)).withColumn("base", F.last("r", True).over(run))
-    since = F.row_number().over(Window.partitionBy("path", "part", "anchor").orderBy("row_ord")) - 1
-    rows = rows.select("path", "part", "row_ord", F.coalesce("r", F.coalesce(F.col("base"), F.lit(0)) + since).alias("own_row"))
-    placed = raw.join(rows, ["path", "part", "row_ord"])
-    letters = F.nullif(F.regexp_extract("cell_r", "^([A-Za-z]{1,3})[0-9]{1,7}$", 1), F.lit(""))
-    placed = placed.withColumn("c", col_index(letters)).withColumn("r", row_index(F.regexp_extract("cell_r", "^[A-Za-z]{1,3}([0-9]{1,7})$", 1)))
-    within = Window.partitionBy("path", "part", "row_ord").orderBy("cell_ord")
-    placed = placed.withColumn("anchor", F.count("c").over(within)).withColumn("base", F.last("c", True).over(within))
-    follow = F.row_number().over(Window.partitionBy("path", "part", "row_ord", "anchor").orderBy("cell_ord")) - 1
-    col = F.coalesce("c", F.coalesce(F.col("base"), F.lit(0)) + follow)
-    cells = placed.withColumn("col", col).withColumn("row", F.coalesce("r", "own_row")).withColumn("ty", values.parse_type(F.col("t")))
+    cells = raw.filter("cell_ord IS NOT NULL OR _error IS NOT NULL").withColumn("ty", F.when(F.col("cell_ord").isNotNull(), values.parse_type(F.col("t"))))
     cells = cells.withColumn("idx", F.when(F.col("ty") == "s", values.parse_index(F.col("v"))))
     cells = cells.join(strings.select("path", "idx", F.col("text").alias("shared")), ["path", "idx"], "left")
-    number, blank = values.parse_number(F.col("v")), F.col("v").isNull() | (values.trimmed(F.col("v")) == "")
-    text = F.when(F.col("is_text").isNotNull(), F.col("is_text")).when(F.col("ty") == "s", F.col("shared")).when(F.col("ty").isin("str", "d"), markup.decode_x_escapes(F.col("v")))
-    kind = F.when(F.col("is_text").isNotNull(), "text").when(F.col("v").isNull(), "empty").when((F.col("ty") == "n") & blank, "empty").when(F.col("ty") == "n", "number").when(F.col("ty") == "b", "bool").when(F.col("ty") == "e", "error").otherwise("text")
+    number, truth, error = values.parse_number(F.col("v")), values.parse_bool(values.trimmed(F.col("v"))), values.parse_error(values.trimmed(F.col("v")))
+    inline, style, index = F.col("is_text").isNotNull(), values.parse_index(F.col("s")), values.parse_index(F.col("f_si"))
+    area = parse_range(F.col("f_ref"))
+    kind = (
+        F.when(F.col("ty").isNull(), None)
+        .when(inline, "text")
+        .when(F.col("v").isNull() | (F.col("ty") == "n") & (values.trimmed(F.col("v")) == ""), "empty")
+        .when(F.col("ty") == "n", "number")
+        .when(F.col("ty") == "b", "bool")
+        .when(F.col("ty") == "e", "error")
+        .otherwise("text")
+    )
+    text = F.when(inline, markup.decode_x_escapes(F.col("is_text"))).when(F.col("ty") == "s", F.col("shared")).otherwise(markup.decode_x_escapes(F.col("v")))
     fault = (
-        F.when(F.col("cell_r").isNotNull() & (F.col("c").isNull() | F.col("r").isNull()) | (F.col("col") > 16383), "BadCellRef")
+        F.when(F.col("_error").isNotNull(), F.col("_error"))
         .when(F.col("ty").isNull(), "UnknownCellType")
-        .when((kind == "text") & (F.col("ty") == "s") & F.col("is_text").isNull() & F.col("shared").isNull(), "SharedStringOutOfRange")
+        .when(F.col("s").isNotNull() & style.isNull(), "BadStyle")
+        .when(F.col("f_ref").isNotNull() & area.isNull() | F.col("f_si").isNotNull() & index.isNull(), "BadFormula")
+        .when((kind == "text") & (F.col("ty") == "s") & ~inline & F.col("shared").isNull(), "SharedStringOutOfRange")
         .when((kind == "number") & number.isNull(), "BadNumber")
+        .when((kind == "bool") & truth.isNull(), "BadBool")
+        .when((kind == "error") & error.isNull(), "UnknownError")
+    )
+    f_kind = F.when(F.col("f_text").isNotNull(), F.when((F.col("f_t") == "shared") & index.isNotNull(), "shared").when(F.col("f_t") == "array", "array").when(F.col("f_t") == "dataTable", "dataTable").otherwise("normal"))
+    own = F.struct(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("row").alias("r1"), F.col("col").alias("c1"))
+    return cells.select(
+        "path", "part", "row", "col", a1("row", "col").alias("a1"), "ty", kind.alias("value_kind"), F.when(kind == "number", number).alias("num"), F.when(kind == "text", text).alias("text"), F.when(kind == "bool", truth).alias("bool"), F.when(kind == "error", error).alias("err"), style.alias("style"),
+        "f_text", f_kind.alias("f_kind"), F.when(f_kind == "shared", index).alias("f_si"), F.when(f_kind == "array", F.coalesce(area, own)).otherwise(F.when(f_kind == "shared", area)).alias("f_range"), fault.alias("_error"),
+    )
+
+
+def is_shared_follower(cells: DataFrame) -> Column:
+    """Whether a cell's formula is that of its group's master, moved."""
+    return (cells["f_kind"] == "shared") & cells["f_range"].isNull()
+
+
+def expand_shared(cells: DataFrame) -> DataFrame:
+    """cells with the formula of each follower of a shared group: its master's, translated by the distance between them."""
+    master = cells.filter("f_kind = 'shared' AND f_range IS NOT NULL").groupBy("path", "part", "f_si").agg(F.min_by(F.struct("f_text", "row", "col"), F.struct("row", "col")).alias("m"))
+    joined = cells.join(master, ["path", "part", "f_si"], "left")
+    moved = translate_formula(F.col("m.f_text"), F.col("row") - F.col("m.row"), F.col("col") - F.col("m.col"))
+    follows = (F.col("f_kind") == "shared") & F.col("f_range").isNull() & F.col("m").isNotNull()
+    return joined.withColumn("f_text", F.when(follows, moved).otherwise(F.col("f_text"))).select(cells.columns)
+
+
+def sheet_stats(raw: DataFrame, by: list[str]) -> DataFrame:
+    """Counts over sheet_cells(): rows and cells and how many have no place of their own, formulas, inline texts, extents."""
+    rows = raw.filter("_error IS NULL OR row_ord IS NOT NULL").groupBy(*by, "row_ord").agg(F.count("cell_ord").alias("cells"), F.first("row_r").isNull().cast("int").alias("bare"), F.count(F.when(F.col("cell_ord").isNotNull() & F.col("cell_r").isNull(), 1)).alias("bare_cells"), F.count("f_text").alias("formulas"), F.count("is_text").alias("inline"), F.max(F.when(F.col("cell_ord").isNotNull(), F.col("row"))).alias("max_row"), F.max("col").alias("max_col"))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("rows"), F.sum("bare").alias("rows_without_r"), F.sum("cells").alias("cells"), F.sum("bare_cells").alias("cells_without_r"), F.sum("formulas").alias("formulas"), F.sum("inline").alias("inline_strings"), F.max("max_row").alias("max_row"), F.max("max_col").alias("max_col")
     )
-    return cells.select("path", "part", "row", "col", a1("row", "col").alias("a1"), "ty", kind.alias("value_kind"), F.when(kind == "number", number).alias("num"), F.when(kind == "text", text).alias("text"), F.when(kind == "bool", values.parse_bool(F.col("v"))).alias("bool"), F.when(kind == "error", values.parse_error(F.col("v"))).alias("err"), values.parse_index(F.col("s")).alias("style"), "f_text", "f_t", fault.alias("_error"))
+
+
+def dimensions(nodes: DataFrame) -> DataFrame:
+    """path, part, r0, c0, r1, c1 of the range that a sheet declares for itself."""
+    return nodes.filter("local = 'dimension'").select("path", "part", parse_range(attr("ref")).alias("x")).filter("x IS NOT NULL").select("path", "part", "x.*")
+
+
+def grid_lines(nodes: DataFrame) -> DataFrame:
+    """path, part, grid_lines: shown unless the first view says otherwise."""
+    views = nodes.filter("local = 'sheetView'").groupBy("path", "part").agg(F.min_by(attr("showGridLines"), "node_id").alias("shown"))
+    sheets_ = nodes.filter("local = 'worksheet'").select("path", "part").distinct()
+    return sheets_.join(views, ["path", "part"], "left").select("path", "part", F.coalesce(values.parse_bool(F.col("shown")), F.lit(True)).alias("grid_lines"))
 
 
 def merges(nodes: DataFrame) -> DataFrame:
@@ -137,11 +162,37 @@ def cell_formats(nodes: DataFrame) -> DataFrame:
     return xfs.select("path", F.col("ord").cast("long").alias("style"), *ids, flag("applyFont").alias("apply_font"), flag("applyFill").alias("apply_fill"), flag("applyBorder").alias("apply_border"))
 
 
+def workbook_sheets(nodes: DataFrame) -> DataFrame:
+    """sheets() of each package's main part, from the nodes of its relationships and workbook parts; owner is the main part."""
+    rels = relationships(nodes.filter("lower(part) LIKE '%.rels'"))
+    books = spreadsheet_nodes(nodes.filter("lower(part) NOT LIKE '%.rels'"))
+    found = books.filter("local = 'workbook' AND depth = 0").select("path", "part")
+    main = main_parts(nodes, rels, found, "/officeDocument", "/", "/xl/workbook.xml")
+    own = books.join(main.filter("part IS NOT NULL"), ["path", "part"], "left_semi")
+    return sheets(own, rels)
+
+
+def string_parts(nodes: DataFrame, items: DataFrame) -> DataFrame:
+    """path and part of the table of shared strings that each package's main part names, or of the usual one."""
+    rels = relationships(nodes.filter("lower(part) LIKE '%.rels'"))
+    books = nodes.filter("local = 'workbook' AND depth = 0").select("path", "part")
+    owner = main_parts(nodes, rels, books, "/officeDocument", "/", "/xl/workbook.xml").select("path", F.col("part").alias("owner"))
+    there = items.select("path", "part").distinct()
+    return main_parts(nodes, rels.join(owner, ["path", "owner"], "left_semi"), there, "/sharedStrings", None, "/xl/sharedStrings.xml").filter("part IS NOT NULL")
+
+
 def read_cells(found: DataFrame) -> DataFrame:
-    """All typed cells of packages (path, content), with the name of their sheet."""
-    nodes = xml_nodes(parts(found, r"/xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|worksheets/[^/]*\.xml)")).persist()  # read once, used by five tables
-    rels = relationships(nodes.filter("part LIKE '%.rels'"))
-    own = spreadsheet_nodes(nodes)
-    listed = sheets(own.filter("part = '/xl/workbook.xml'"), rels).select("path", "part", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
-    cells = typed_cells(raw_cells(own.filter("part LIKE '/xl/worksheets/%'")), shared_strings(own.filter("part = '/xl/sharedStrings.xml'")))
-    return cells.join(listed, ["path", "part"])
+    """All typed cells of packages (path, content), with the name and number of their sheet.
+
+    The sheets and the table of strings are those that relationships lead to, whatever their names. What can't be read is a
+    row with _error: an archive or a workbook without a part, a sheet part without a cell. Packages are read three times: for
+    the few nodes of workbooks and relationships, for strings, and for cells.
+    """
+    nodes = stored(xml_nodes(parts(found, roots={"workbook", "Relationships"})))
+    listed = workbook_sheets(nodes).filter("part IS NOT NULL").select("path", "part", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
+    items = stored(string_items(parts(found, roots={"sst"}).filter("part IS NOT NULL")))
+    strings = shared_strings(items.join(string_parts(nodes, items), ["path", "part"], "left_semi"))
+    cells = typed_cells(sheet_cells(parts(found, roots={"worksheet"}).filter("part IS NOT NULL")), strings)
+    own = cells.join(listed, ["path", "part"])
+    faults = nodes.filter("_error IS NOT NULL").select("path", "part", "_error").unionByName(items.filter("_error IS NOT NULL").select("path", "part", "_error"))
+    return own.unionByName(faults, allowMissingColumns=True)

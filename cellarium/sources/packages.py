@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Quotas of the strict profile.
-LIMITS = {"input": 64 << 20, "entries": 8192, "part": 128 << 20, "total": 512 << 20, "ratio": 200, "depth": 256, "attrs": 4096, "nodes": 8_000_000}
-_SML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+LIMITS = {"input": 64 << 20, "entries": 8192, "part": 128 << 20, "total": 512 << 20, "ratio": 200, "depth": 256, "attrs": 4096, "nodes": 8_000_000, "name": 1024}
+#: No quota at all, for packages that one has made oneself.
+PERMISSIVE = dict.fromkeys(LIMITS, 1 << 62)
+SML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
@@ -21,7 +27,7 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-ENTRY = "path string, idx int, name string, flags int, method int, dos_time int, dos_date int, crc32 long, comp_size long, uncomp_size long, header_start long, version_needed int, external_attrs long, extra binary, comment binary, is_dir boolean, _error string"
+ENTRY = "path string, idx int, name string, flags int, method int, dos_time int, dos_date int, crc32 long, comp_size long, uncomp_size long, header_start long, version_needed int, external_attrs long, extra binary, comment binary, is_dir boolean, data_start long, data_end long, end long, cd_start long, cd_end long, prefix long, length long, _error string"
 
 
 def _open(content: bytes, limits: dict) -> zipfile.ZipFile:
@@ -33,6 +39,8 @@ def _open(content: bytes, limits: dict) -> zipfile.ZipFile:
         raise ValueError("LimitEntries")
     if sum(i.file_size for i in infos) > limits["total"]:
         raise ValueError("LimitTotal")
+    if any(len(i.orig_filename.encode()) > limits["name"] for i in infos):
+        raise ValueError("LimitName")
     return archive
 
 
@@ -40,6 +48,35 @@ def _fault(e: Exception) -> str:
     return str(e) if isinstance(e, ValueError) and str(e).isalpha() else type(e).__name__
 
 
+def extent(content: bytes, info: zipfile.ZipInfo) -> tuple[int, int, int]:
+    """Where a member's data begin and end, and where all of it ends, with the descriptor that may follow."""
+    at = info.header_offset
+    name, extra = struct.unpack_from("<HH", content, at + 26)
+    start = at + 30 + name + extra
+    end = start + info.compress_size
+    signed = content[end : end + 4] == b"PK\x07\x08"
+    return start, end, end + (12 + 4 * signed if info.flag_bits & 8 else 0)
+
+
+def directory(archive: zipfile.ZipFile, content: bytes) -> dict[str, int]:
+    """Where the directory begins and the archive ends, what stands before the archive, and how long all is."""
+    end = content.rfind(b"PK\x05\x06")
+    size, at, comment = struct.unpack_from("<IIH", content, end + 12)
+    wide = content[end - 20 : end - 16] == b"PK\x06\x07"
+    return {"cd_start": archive.start_dir, "cd_end": end + 22 + comment, "prefix": 0 if wide else archive.start_dir - at, "length": len(content)}
+
+
+def archive_gaps(members: DataFrame) -> DataFrame:
+    """path, start, end, kind of what no member of entries() covers: prefix, gap, before the directory, trailing; overlap where two do."""
+    good = members.filter("_error IS NULL OR header_start IS NOT NULL")
+    before = F.lag("end").over(Window.partitionBy("path").orderBy("header_start", "idx"))  # an archive's members are bounded by its quota
+    spans = good.select("path", "header_start", before.alias("before"))
+    between = spans.filter("before <> header_start").select("path", F.least("before", "header_start").alias("start"), F.greatest("before", "header_start").alias("end"), F.when(F.col("before") > F.col("header_start"), "overlap").otherwise("gap").alias("kind"))
+    whole = good.groupBy("path").agg(F.min("header_start").alias("first"), F.max("end").alias("last"), *[F.first(c).alias(c) for c in ("cd_start", "cd_end", "length")])
+    ends = whole.select("path", F.explode(F.array(*[F.struct(a.cast("long").alias("start"), b.alias("end"), F.lit(k).alias("kind")) for a, b, k in ((F.lit(0), F.col("first"), "prefix"), (F.col("last"), F.col("cd_start"), "before directory"), (F.col("cd_end"), F.col("length"), "trailing"))])).alias("x")).select("path", "x.*")
+    return between.unionByName(ends.filter("start < end"))
+
+
 def entries(found: DataFrame, limits: dict | None = None) -> DataFrame:
     """One row for each member of the archives (path, content), in the order of the directory; nothing is decompressed.
 
@@ -53,10 +90,12 @@ def entries(found: DataFrame, limits: dict | None = None) -> DataFrame:
             rows: list[dict] = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    for idx, i in enumerate(_open(content or b"", limits).infolist()):
+                    archive = _open(content or b"", limits)
+                    around = directory(archive, content)
+                    for idx, i in enumerate(archive.infolist()):
                         y, mo, d, h, mi, s = i.date_time
                         fault = "Encrypted" if i.flag_bits & 65 else "UnsupportedMethod" if i.compress_type not in (0, 8) else None
-                        rows.append(dict(path=path, idx=idx, name=i.orig_filename, flags=i.flag_bits, method=i.compress_type, dos_time=h << 11 | mi << 5 | s // 2, dos_date=(y - 1980) << 9 | mo << 5 | d, crc32=i.CRC, comp_size=i.compress_size, uncomp_size=i.file_size, header_start=i.header_offset, version_needed=i.extract_version, external_attrs=i.external_attr, extra=i.extra, comment=i.comment, is_dir=i.orig_filename.endswith("/"), _error=fault))
+                        rows.append(dict(path=path, idx=idx, name=i.orig_filename, flags=i.flag_bits, method=i.compress_type, dos_time=h << 11 | mi << 5 | s // 2, dos_date=(y - 1980) << 9 | mo << 5 | d, crc32=i.CRC, comp_size=i.compress_size, uncomp_size=i.file_size, header_start=i.header_offset, version_needed=i.extract_version, external_attrs=i.external_attr, extra=i.extra, comment=i.comment, is_dir=i.orig_filename.endswith("/"), **dict(zip(("data_start", "data_end", "end"), extent(content, i), strict=True)), **around, _error=fault))
                 except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
                     rows.append(dict(path=path, _error=_fault(e)))
             out = pd.DataFrame(rows, columns=names, dtype=object)
@@ -65,11 +104,28 @@ def entries(found: DataFrame, limits: dict | None = None) -> DataFrame:
     return found.select("path", "content").mapInPandas(read, ENTRY)
 
 
-def parts(found: DataFrame, pattern: str = ".*", limits: dict | None = None) -> DataFrame:
-    """path, part (with a leading slash), bytes, _error of members whose part name matches, decompressed within quotas."""
-    import re
+def is_limit(error: Column) -> Column:
+    """Whether an error names a quota."""
+    return error.startswith("Limit")
 
-    limits, wanted = LIMITS | (limits or {}), re.compile(pattern)
+
+_ROOT = re.compile(rb"<(?![?!])(?:[^\s<>/:]+:)?([^\s<>/:]+)")
+
+
+def _root(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> str | None:
+    """The local name of the first element of a member, from its first bytes."""
+    with archive.open(info) as member:
+        m = _ROOT.search(re.sub(rb"<!--.*?-->", b"", member.read(8192), flags=re.DOTALL))
+    return m[1].decode("utf-8", "replace") if m else None
+
+
+def parts(found: DataFrame, pattern: str = ".*", limits: dict | None = None, roots: set[str] | None = None) -> DataFrame:
+    """path, part (with a leading slash), bytes, _error of members whose part name matches, decompressed within quotas.
+
+    With roots, only members whose first element has one of these local names. An archive that can't be read is one row with
+    _error and no part.
+    """
+    limits, wanted = LIMITS | (limits or {}), re.compile(pattern, re.DOTALL)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -85,8 +141,9 @@ def parts(found: DataFrame, pattern: str = ".*", limits: dict | None = None) ->
                             rows.append((path, name, None, "LimitPart" if i.file_size > limits["part"] else "LimitRatio"))
                             continue
                         try:
-                            rows.append((path, name, archive.read(i), None))
-                        except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as e:
+                            if roots is None or _root(archive, i) in roots:
+                                rows.append((path, name, archive.read(i), None))
+                        except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
                             rows.append((path, name, None, _fault(e)))
                 except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
                     rows.append((path, None, None, _fault(e)))
@@ -135,16 +192,19 @@ NODE = "path string, part string, node_id long, parent_id long, ord int, depth i
 def xml_nodes(members: DataFrame, limits: dict | None = None) -> DataFrame:
     """Elements of XML parts (path, part, bytes): numbered in document order, with their own text.
 
-    A part that isn't well-formed, has a DOCTYPE or exceeds a quota is one row with _error.
+    A part that isn't well-formed, has a DOCTYPE or exceeds a quota is one row with _error; one that came with an _error
+    keeps it.
     """
     limits = LIMITS | (limits or {})
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODE.replace("map<string,string>", "map").split(", ")]
         for frame in frames:
-            for path, part, content in zip(frame["path"], frame["part"], frame["bytes"], strict=True):
+            for path, part, content, fault in zip(frame["path"], frame["part"], frame["bytes"], frame["_error"], strict=True):
                 walk = _Walk(limits)
                 try:
+                    if fault is not None:
+                        raise ValueError(fault)
                     walk.parser.Parse(content or b"", True)
                     rows = [[path, part, *r, None] for r in walk.rows]
                 except (expat.ExpatError, ValueError) as e:
@@ -154,9 +214,10 @@ def xml_nodes(members: DataFrame, limits: dict | None = None) -> DataFrame:
                     out[c] = out[c].astype("Int64")
                 yield out
 
-    return members.select("path", "part", "bytes").mapInPandas(read, NODE)
+    faults = "_error" if "_error" in members.columns else F.lit(None).cast("string").alias("_error")
+    return members.select("path", "part", "bytes", faults).mapInPandas(read, NODE)
 
 
 def spreadsheet_nodes(nodes: DataFrame) -> DataFrame:
     """Elements of the spreadsheet vocabulary: its namespace or none at all."""
-    return nodes.filter(F.coalesce("ns", F.lit(_SML)) == _SML)
+    return nodes.filter(F.coalesce("ns", F.lit(SML)) == SML)

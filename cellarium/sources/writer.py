@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from cellarium.functions import markup, values
 from cellarium.functions.addresses import a1
 from cellarium.operators.grid import build_strings
+from cellarium.sources.packages import LIMITS, directory, extent
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _SML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -34,12 +37,13 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     return coded.groupBy("path", "sheet", "row").agg(F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), joined, F.lit("</row>")).alias("xml"))
 
 
-def build_packages(cells: DataFrame) -> DataFrame:
-    """path, content: one archive for each path of cells (path, sheet, row, col, value_kind, num, text, bool).
+def build_packages(cells: DataFrame, limits: dict | None = None) -> DataFrame:
+    """path, content, _error: one archive for each path of cells (path, sheet, row, col, value_kind, num, text, bool).
 
     Rows and strings are rendered as columns; a task only puts one package's pieces in order and compresses them,
-    and a package is bounded by the quota of its readers.
+    and a package beyond the quota of its readers is not built but a row with _error.
     """
+    limits = LIMITS | (limits or {})
     rows = sheet_rows(cells).select("path", F.col("sheet").alias("a"), F.col("row").cast("long").alias("b"), "xml")
     items = build_strings(cells).select("path", F.lit(-1).alias("a"), F.col("idx").alias("b"), F.concat(F.lit('<si><t xml:space="preserve">'), markup.escape_text(markup.encode_x_escapes(F.col("text"))), F.lit("</t></si>")).alias("xml"))
 
@@ -60,6 +64,88 @@ def build_packages(cells: DataFrame) -> DataFrame:
             put("xl/sharedStrings.xml", f'<sst xmlns="{_SML}">' + "".join(pieces.loc[pieces["a"] == -1, "xml"]) + "</sst>")
             for i in names:
                 put(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{_SML}"><sheetData>' + "".join(pieces.loc[pieces["a"] == i, "xml"]) + "</sheetData></worksheet>")
-        return pd.DataFrame({"path": [pieces["path"].iloc[0]], "content": [out.getvalue()]})
+        return pd.DataFrame({"path": [pieces["path"].iloc[0]], "content": [out.getvalue()], "_error": [None]})
 
-    return rows.unionByName(items).groupBy("path").applyInPandas(build, "path string, content binary")
+    pieces = rows.unionByName(items)
+    size = pieces.groupBy("path").agg(F.sum(F.length("xml")).alias("size"))
+    fits = pieces.join(size.filter(F.col("size") <= limits["part"]), "path", "left_semi").groupBy("path").applyInPandas(build, "path string, content binary, _error string")
+    return fits.unionByName(size.filter(F.col("size") > limits["part"]).select("path", F.lit(None).cast("binary").alias("content"), F.lit("LimitPart").alias("_error")))
+
+
+def _member(name: str, body: bytes) -> tuple[bytes, bytes]:
+    """The local part and the directory record of a new member."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), body, zipfile.ZIP_DEFLATED)
+    at = archive.start_dir
+    return out.getvalue()[:at], out.getvalue()[at:-22]
+
+
+def _key(part: str) -> str:
+    return "".join(c.lower() if c.isascii() else c for c in part)
+
+
+def rewritten(content: bytes, edits: dict[str, tuple[str, bytes | None]]) -> bytes:
+    """An archive after edits (by key: part name and bytes, or None to delete).
+
+    All other members are copied byte for byte in their order, with what stands between and before them; the directory
+    keeps their records but for the offsets. New members follow at the end.
+    """
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    end = directory(archive, content)
+    infos = archive.infolist()
+    records, at = {}, end["cd_start"]
+    for i in infos:
+        size = 46 + sum(struct.unpack_from("<HHH", content, at + 28))
+        records[i] = content[at : at + size]
+        at += size
+    out, fresh, left, last = io.BytesIO(), {}, dict(edits), 0
+    for i in sorted(infos, key=lambda i: i.header_offset):
+        key, stop = _key("/" + i.orig_filename.lstrip("/")), extent(content, i)[2]
+        out.write(content[last : i.header_offset])
+        fresh[i] = (out.tell(), records[i])
+        if key not in left:
+            out.write(content[i.header_offset : stop])
+        else:
+            body = left.pop(key)[1]
+            fresh[i] = None
+            if body is not None:
+                local, record = _member(i.orig_filename, body)
+                fresh[i] = (out.tell(), record)
+                out.write(local)
+        last = stop
+    listed = [fresh[i] for i in infos if fresh[i]]
+    for part, body in left.values():
+        if body is not None:
+            local, record = _member(part.lstrip("/"), body)
+            listed.append((out.tell(), record))
+            out.write(local)
+    start = out.tell()
+    for offset, record in listed:
+        out.write(record[:42] + struct.pack("<I", offset - end["prefix"]) + record[46:])
+    size = out.tell() - start
+    comment = content[end["cd_end"] - len(archive.comment) : end["cd_end"]] if archive.comment else b""
+    out.write(struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, len(listed), len(listed), size, start - end["prefix"], len(comment)) + comment)
+    return out.getvalue()
+
+
+def save_packages(found: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content, _error: packages (path, content) after edits of parts (path, part, bytes; null bytes delete a part).
+
+    Parts without an edit keep their compressed bytes, so a package without any comes back as it was. A package that can't be
+    read keeps its content, with an _error. A package's edits travel as one row, within the quota of a package.
+    """
+    gathered = edits.groupBy("path").agg(F.collect_list(F.struct("part", "bytes")).alias("edits"))
+
+    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for path, content, wanted in zip(frame["path"], frame["content"], frame["edits"], strict=True):
+                try:
+                    made = content if wanted is None else rewritten(bytes(content), {_key(e["part"]): (e["part"], None if e["bytes"] is None else bytes(e["bytes"])) for e in wanted})
+                    out.append((path, made, None))
+                except (zipfile.BadZipFile, struct.error, TypeError, NotImplementedError) as e:
+                    out.append((path, content, type(e).__name__))
+            yield pd.DataFrame(out, columns=["path", "content", "_error"], dtype=object)
+
+    return found.select("path", "content").join(gathered, "path", "left").mapInPandas(save, "path string, content binary, _error string")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cellarium.functions import addresses, formulas, markup, styles, values
+from cellarium.functions import formula_trees, addresses, formulas, markup, styles, values
 
 
 def one(spark, *columns):
@@ -119,3 +119,36 @@ def test_reference_table(spark):
     assert [(r.sheet, r.kind, r.c0, r.r0, r.c1, r.r1, r.c0_abs, r.r1_abs) for r in got] == [
         (None, "area", 0, 0, 1, 1, True, False), ("'S 1'", "cell", 2, 2, 2, 2, False, False), (None, "invalid", None, None, None, None, False, False), (None, "cols", 0, None, 2, None, False, False), (None, "rows", None, 0, None, 1, False, False)
     ]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("1-2-3", "binary binary number number number"), ("-1^2", "binary unary number number"), ("A1:B2 C3", "binary ref ref"), ("F(,G())", "call missing call"), ("(A1,B1)%", "percent union ref ref"), ("{1,\"x\";#N/A,TRUE}", "array number string row_end error bool"), (" a.b & Sheet2!C$3 ", "binary name ref")],
+)
+def test_trees_of_formulas(text, want):
+    nodes = formula_trees.parse_text(text)
+    assert " ".join(n["kind"] for n in nodes) == want and formula_trees.print_nodes(nodes) == text
+
+
+@pytest.mark.parametrize(("text", "fault", "at"), [("", "UnexpectedEnd", 0), ("1+", "UnexpectedEnd", 2), ("F(1", "UnbalancedParen", 3), ("1)", "UnbalancedParen", 1), ('"a', "UnterminatedString", 0), ("T[x]", "BadReference", 1), ("1 @", "UnexpectedChar", 2), ("2*/3", "UnexpectedChar", 2), ("#WHAT!", "BadReference", 0), ("(" * 65 + "1" + ")" * 65, "LimitDepth", 64)])
+def test_what_is_no_formula(spark, text, fault, at):
+    row = spark.createDataFrame([(text,), (None,)], "f string").select(formula_trees.parse_formula(F.col("f")).alias("x")).select("x.*").collect()
+    assert (row[0].fault, row[0].at, row[0].nodes) == (fault, at, None) and row[1].fault is None
+
+
+def test_names_of_columns_are_no_references():
+    assert formulas.shift_text("SUM(T[Q1])+T[[#All],[B2]]+A5", "row", 0, 1, True) == ("SUM(T[Q1])+T[[#All],[B2]]+A6", 1)
+
+
+@pytest.mark.parametrize(
+    ("raw", "text", "attr"),
+    [("a&#66;&#x43;&#10;", "aBC\n", "aBC\n"), ("x\r\ny\rz\t", "x\ny\nz\t", "x y z "), ("&amp;lt;&quot;&apos;", "&lt;\"'", "&lt;\"'"), ("&#x1F600;&#233;&#x20AC;", "😀é€", "😀é€"), ("&what;", None, None), ("&#0;", None, None), ("a & b", None, None), ("", "", "")],
+)
+def test_references_of_characters(spark, raw, text, attr):
+    row = spark.createDataFrame([(raw,)], "s string").select(markup.unescape(F.col("s")).alias("t"), markup.unescape_attr(F.col("s")).alias("a")).first()
+    assert (row.t, row.a) == (text, attr)
+
+
+def test_private_characters_stay(spark):
+    row = spark.createDataFrame([("\ue000_x0001__x005F_x0041_ _x0041_ __",)], "s string").select(markup.decode_x_escapes(F.col("s")).alias("t")).first()
+    assert row.t == "\ue000\x01_x0041_ _x0041_ __"

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarium.functions import addresses, formulas, markup, styles, values
-from cellarium.operators import grid, package_edits
+from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
+from cellarium.operators import grid, package_edits, style_edits
 from cellarium.plans import workbook
-from cellarium.sources import packages, writer
+from cellarium.sources import packages, sheets, writer, xml_events
+from cellarium.sources.tables import shared_path, stored
+from cellarium.streaming.ingest import ingest_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +289,27 @@ def edit_clear(spark, sf_dir):
     return grid.merge_edits(cells, clears).agg(F.count("*").alias("cells"), F.count(F.when(F.col("value_kind") == "empty", 1)).alias("empties"))
 
 
+@query(f"WITH {_ORDERS} SELECT row, col, CASE WHEN row % 5 = 0 AND col = 1 THEN 'error' ELSE value_kind END AS value_kind, CASE WHEN row % 5 = 0 AND col = 1 THEN 'e' ELSE ty END AS ty, CASE WHEN row % 5 = 0 AND col = 1 THEN '#N/A' END AS err FROM g")
+def edit_error(spark, sf_dir):
+    cells = orders_grid(spark, sf_dir).withColumn("err", F.lit(None).cast("string"))
+    edits = cells.filter("row % 5 = 0 AND col = 1").select("path", "sheet", "row", "col", F.lit(1).alias("ord"), F.lit("error").alias("value_kind"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("bool"), F.lit("#N/A").alias("err"))
+    return grid.merge_edits(cells, edits).select("row", "col", "value_kind", "ty", "err")
+
+
+@query(f"WITH {_ORDERS} SELECT row, col, row % 4 = 0 AS bold, row % 6 = 0 AS italic, CAST(CASE WHEN row % 4 = 0 THEN 14 ELSE 11 END AS DOUBLE) AS size FROM g WHERE col = 0")
+def style_edit(spark, sf_dir):
+    """Fonts made bold and larger, or italic, or both, found again through the formats of the cells."""
+    cells = orders_grid(spark, sf_dir).filter("col = 0").withColumn("style", F.lit(None).cast("long"))
+    xfs = spark.createDataFrame([("book", 0, 0, 0, 0, 0, True, True, True)], "path string, style long, num_fmt_id long, font_id long, fill_id long, border_id long, apply_font boolean, apply_fill boolean, apply_border boolean")
+    fonts = spark.createDataFrame([("book", 0, "Sans", 11.0, False, False, False, False, None)], "path string, font_id int, name string, size double, bold boolean, italic boolean, underline boolean, strike boolean, color string")
+    at = ["path", "sheet", "row", "col"]
+    bold = F.col("row") % 4 == 0
+    edits = cells.filter("row % 4 = 0 OR row % 6 = 0").select(*at, F.lit(None).cast("string").alias("name"), F.when(bold, 14.0).alias("size"), F.when(bold, True).alias("bold"), F.when(F.col("row") % 6 == 0, True).alias("italic"), F.lit(None).cast("boolean").alias("underline"))
+    styled, formats, all_fonts, _ = style_edits.edit_fonts(cells, xfs, fonts, edits)
+    known = formats.select("path", "style", "font_id").join(all_fonts.select("path", "font_id", "bold", "italic", "size"), ["path", "font_id"])
+    return styled.withColumn("style", F.coalesce("style", F.lit(0))).join(known, ["path", "style"]).select("row", "col", "bold", "italic", "size")
+
+
 @query("SELECT CAST(least(5, min(user_id % 4000)) AS INTEGER) AS r0, CAST(least(1, min(event_id % 8)) AS INTEGER) AS c0, CAST(greatest(10, max(user_id % 4000)) AS INTEGER) AS r1, CAST(greatest(3, max(event_id % 8)) AS INTEGER) AS c1 FROM events")
 def dimension_grow(spark, sf_dir):
     declared = spark.createDataFrame([("book", 0, 5, 1, 10, 3)], "path string, sheet int, r0 int, c0 int, r1 int, c1 int")
@@ -304,10 +327,10 @@ def coerce_input(spark, sf_dir):
 # Printing of numbers.
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS whole, CASE WHEN l_linenumber % 2 = 0 THEN '0.' || lpad(CAST(l_linenumber AS VARCHAR), 7, '0') ELSE CAST(l_linenumber AS VARCHAR) || '.5' END AS part FROM lineitem WHERE l_linenumber < 10")
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS whole, CASE WHEN l_linenumber % 2 = 0 THEN rtrim('0.' || lpad(CAST(l_linenumber AS VARCHAR), 7, '0'), '0') ELSE CAST(l_linenumber AS VARCHAR) || '.5' END AS part FROM lineitem")
 def general_number(spark, sf_dir):
     fraction = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") / 1e7).otherwise(F.col("l_linenumber") + 0.5)
-    return table(spark, sf_dir, "lineitem").filter("l_linenumber < 10").select("l_orderkey", "l_linenumber", values.general_number(F.col("l_quantity")).alias("whole"), values.general_number(fraction).alias("part"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", values.general_number(F.col("l_quantity")).alias("whole"), values.general_number(fraction).alias("part"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderkey % 10 = 1 AND o_orderkey % 100 <> 11 THEN ' one' WHEN o_orderkey % 10 BETWEEN 2 AND 4 AND o_orderkey % 100 NOT BETWEEN 12 AND 14 THEN ' few' ELSE ' many' END AS cells FROM orders")
@@ -315,9 +338,16 @@ def plural_cells(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", values.plural(F.col("o_orderkey"), "one", "few", "many").alias("cells"))
 
 
-@query("SELECT doc_id, n_chars > 2000 AS over_part, n_chars > 10000 AS over_input FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 90 > 60 THEN 'LimitAttrs' WHEN doc_id % 2 = 0 AND doc_id % 300 + 2 > 150 THEN 'LimitDepth' WHEN doc_id % 2 = 1 AND doc_id % 300 + 2 > 200 THEN 'LimitNodes' END AS error FROM documents")
 def quota_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") > 2000).alias("over_part"), (F.col("n_chars") > 10000).alias("over_input"))
+    """Parts with as many attributes and as many nested or neighbouring elements as their number says, read under quotas."""
+    k = F.col("doc_id")
+    attrs = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), k % 90), lambda i: F.when(i > 0, F.concat(F.lit(" a"), i.cast("string"), F.lit('="1"'))).otherwise("")), "")
+    n = (k % 300 + 1).cast("int")
+    inner = F.when(k % 2 == 0, F.concat(F.repeat(F.lit("<a>"), n), F.repeat(F.lit("</a>"), n))).otherwise(F.repeat(F.lit("<a/>"), n))
+    members = table(spark, sf_dir, "documents").select(F.lit("book").alias("path"), k.cast("string").alias("part"), F.concat(F.lit("<r"), attrs, F.lit(">"), inner, F.lit("</r>")).cast("binary").alias("bytes"))
+    read = packages.xml_nodes(members, {"attrs": 60, "depth": 150, "nodes": 200})
+    return read.groupBy("part").agg(F.max("_error").alias("error")).select(F.col("part").cast("long").alias("doc_id"), "error")
 
 
 # Text.
@@ -338,6 +368,13 @@ def xml_unescape_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").eqNullSafe(markup.unescape(markup.escape_attr(F.col("text")))).alias("same"))
 
 
+@query("SELECT doc_id, chr(CAST(doc_id % 20000 + 200 AS INTEGER)) || '&' || chr(CAST(doc_id % 90 + 33 AS INTEGER)) AS text FROM documents")
+def char_references(spark, sf_dir):
+    k = F.col("doc_id")
+    raw = F.concat(F.lit("&#"), (k % 20000 + 200).cast("string"), F.lit(";&amp;&#x"), F.hex(k % 90 + 33), F.lit(";"))
+    return table(spark, sf_dir, "documents").select("doc_id", markup.unescape(raw).alias("text"))
+
+
 @query("SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html FROM pages")
 def html_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.escape_html(F.col("html")).alias("html"))
@@ -474,9 +511,43 @@ def formula_expand_shared(spark, sf_dir):
     return cells.join(masters, "l_orderkey").select("l_orderkey", "l_linenumber", formulas.translate_formula(F.col("f"), F.col("l_linenumber") - F.col("m"), F.lit(0)).alias("f"))
 
 
+def _order_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("SUM(A"), (k % 900 + 1).cast("string"), F.lit(", B2 )*-3^2&\"x\"")).alias("f"))
+
+
+_TREE = [("binary", "&", 0), ("binary", "*", 1), ("call", "SUM", 2), ("ref", "B2", 3), ("binary", "^", 2), ("unary", "-", 3), ("number", "3", 4), ("number", "2", 3), ("string", '"x"', 1)]
+
+
+@query("SELECT o_orderkey, kind, text, CAST(depth AS INTEGER) AS depth FROM orders, LATERAL (VALUES ('ref', 'A' || CAST(o_orderkey % 900 + 1 AS VARCHAR), 3), " + ", ".join(f"('{k}', '{t}', {d})" for k, t, d in _TREE) + ") AS x(kind, text, depth)")
+def formula_tree(spark, sf_dir):
+    trees = _order_formulas(spark, sf_dir).select("o_orderkey", F.inline(formula_trees.parse_formula(F.col("f"))["nodes"]))
+    return trees.select("o_orderkey", "kind", "text", "depth")
+
+
+@query("SELECT o_orderkey, true AS same FROM orders")
+def formula_print(spark, sf_dir):
+    again = formula_trees.print_formula(formula_trees.parse_formula(F.col("f"))["nodes"])
+    return _order_formulas(spark, sf_dir).select("o_orderkey", (again == F.col("f")).alias("same"))
+
+
+_BROKEN = [("SUM(A1", "UnbalancedParen", 6), ('A1&"open', "UnterminatedString", 3), ("Sales[Q1]*2", "BadReference", 5), ("1+", "UnexpectedEnd", 2), ("A1 @ 2", "UnexpectedChar", 3), ("(A1)*2", None, None)]
+
+
+@query("SELECT o_orderkey, fault, CAST(place AS INTEGER) AS place FROM orders, (VALUES " + ", ".join(f"({i}, {repr(f) if f else 'NULL'}, {'NULL' if a is None else a})" for i, (_, f, a) in enumerate(_BROKEN)) + f") AS x(i, fault, place) WHERE o_orderkey % {len(_BROKEN)} = i")
+def formula_parse_faults(spark, sf_dir):
+    case = F.element_at(F.array(*[F.lit(x) for x, _, _ in _BROKEN]), (F.col("o_orderkey") % len(_BROKEN) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", formula_trees.parse_formula(case).alias("x")).select("o_orderkey", "x.fault", F.col("x.at").alias("place"))
+
+
 # Packages.
 
 
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packages of _books(), made once."""
+    return stored(writer.build_packages(_books(spark, sf_dir)))
+
+
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of orders, BOOK_ROWS rows to a workbook."""
     cells = orders_grid(spark, sf_dir)
@@ -491,10 +562,118 @@ def zip_entries(spark, sf_dir):
 
 @query(f"WITH {_ORDERS} SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS path, CAST(row % {BOOK_ROWS} AS INTEGER) AS row, col, value_kind, num, text FROM g")
 def package_roundtrip(spark, sf_dir):
-    cells = workbook.read_cells(writer.build_packages(_books(spark, sf_dir)))
+    cells = workbook.read_cells(_built(spark, sf_dir))
     return cells.filter("_error IS NULL").select("path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value_kind", "num", "text")
 
 
+_BOOKS = f"SELECT DISTINCT 'book' || CAST(rn // {BOOK_ROWS} AS VARCHAR) AS path FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders)"
+
+
+@query(f"SELECT path, CAST(0 AS BIGINT) AS gaps FROM ({_BOOKS})")
+def zip_gap_check(spark, sf_dir):
+    members = packages.entries(_built(spark, sf_dir))
+    gaps = packages.archive_gaps(members)
+    return members.select("path").distinct().join(gaps, "path", "left").groupBy("path").agg(F.count("kind").alias("gaps"))
+
+
+@query(f"SELECT path, true AS same FROM ({_BOOKS})")
+def zip_roundtrip(spark, sf_dir):
+    built = _built(spark, sf_dir)
+    none = spark.createDataFrame([], "path string, part string, bytes binary")
+    saved = writer.save_packages(built, none).select("path", F.col("content").alias("saved"))
+    return built.join(saved, "path").select("path", (F.col("content") == F.col("saved")).alias("same"))
+
+
+@query(f"SELECT path, unnest(['/custom/note.xml', '/xl/sharedStrings.xml', '/xl/workbook.xml']) AS part, unnest(['<note>' || path || '</note>', '<sst/>', 'kept']) AS text FROM ({_BOOKS})")
+def package_edit_roundtrip(spark, sf_dir):
+    """A part added, one replaced and one deleted; the others are read from the saved package as they were."""
+    built = _built(spark, sf_dir)
+    cases = [("/custom/note.xml", F.concat(F.lit("<note>"), "path", F.lit("</note>"))), ("/xl/sharedStrings.xml", F.lit("<sst/>")), ("/_rels/.rels", F.lit(None).cast("string"))]
+    edits = built.select("path", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.cast("binary").alias("bytes")) for p, t in cases])).alias("e")).select("path", "e.*")
+    saved = packages.parts(stored(writer.save_packages(built, edits)), r"/(custom/.*|_rels/.*|xl/[^/]*\.xml)")
+    old = packages.parts(built, "/xl/workbook.xml").select("path", "part", F.col("bytes").alias("old"))
+    return saved.join(old, ["path", "part"], "left").select("path", "part", F.when(F.col("old") == F.col("bytes"), "kept").otherwise(F.decode("bytes", "utf-8")).alias("text"))
+
+
+@query(f"SELECT path, true AS marked FROM ({_BOOKS})")
+def recalc_marks(spark, sf_dir):
+    text = F.decode("bytes", "utf-8")
+    books = packages.parts(_built(spark, sf_dir), "/xl/workbook.xml").withColumn("bytes", package_edits.mark_full_recalc(text).cast("binary"))
+    marks = packages.xml_nodes(books).filter("local = 'calcPr'")
+    return marks.select("path", ((workbook.attr("calcId") == "0") & (workbook.attr("fullCalcOnLoad") == "1")).alias("marked"))
+
+
+@query(f"SELECT path, name FROM ({_BOOKS}), (VALUES ('[Content_Types].xml'), ('_rels/.rels'), ('xl/workbook.xml'), ('xl/_rels/workbook.xml.rels'), ('xl/sharedStrings.xml'), ('xl/worksheets/sheet1.xml')) AS x(name)")
+def stream_ingest(spark, sf_dir):
+    """Packages read as a stream, twice: the second run finds nothing new."""
+    arrived, out, checkpoint = (shared_path(spark) for _ in range(3))
+    writer.build_packages(_books(spark, sf_dir)).write.parquet(arrived)
+    for _ in range(2):
+        ingest_packages(spark.readStream.schema("path string, content binary").parquet(arrived), out, checkpoint)
+    return spark.read.parquet(out).select("path", "name")
+
+
+def _sheet_parts(rows: DataFrame) -> DataFrame:
+    """path, part, bytes of sheets from rows (part, at, xml)."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "xml"))), lambda x: x["xml"]), "")
+    return rows.groupBy(F.col("part").cast("string").alias("part")).agg(F.concat(F.lit("<worksheet><sheetData>"), body, F.lit("</sheetData></worksheet>")).cast("binary").alias("bytes")).withColumn("path", F.lit("book"))
+
+
+def _event_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each 50th of the users with a row for each event: some with a number, some without cells."""
+    k = F.col("event_id")
+    given = F.when(k % 7 == 0, F.concat(F.lit(' r="'), (k + 1).cast("string"), F.lit('"'))).otherwise("")
+    cell = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("<c><v>"), k.cast("string"), F.lit("</v></c>")))
+    return _sheet_parts(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("part"), k.alias("at"), F.concat(F.lit("<row"), given, F.lit(">"), cell, F.lit("</row>")).alias("xml")))
+
+
+_NO_STRINGS = "path string, idx long, text string"
+_EVENT_ROWS = _IMPLICIT.format(keys="event_id, sheet", name="row", by="sheet", order="event_id", source="SELECT event_id, user_id % 50 AS sheet, CASE WHEN event_id % 7 = 0 THEN event_id END AS r FROM events")
+
+
+@query(f"SELECT event_id, row FROM ({_EVENT_ROWS}) WHERE event_id % 3 <> 0")
+def implicit_rows_package(spark, sf_dir):
+    cells = workbook.typed_cells(sheets.sheet_cells(_event_sheets(spark, sf_dir)), spark.createDataFrame([], _NO_STRINGS))
+    return cells.select(F.col("num").cast("long").alias("event_id"), F.col("row").cast("long").alias("row"))
+
+
+@query(f"SELECT CAST(sheet AS VARCHAR) AS part, count(*) AS rows, count(*) FILTER (event_id % 7 <> 0) AS rows_without_r, count(*) FILTER (event_id % 3 <> 0) AS cells, count(*) FILTER (event_id % 3 <> 0) AS cells_without_r, max(row) FILTER (event_id % 3 <> 0) AS max_row FROM ({_EVENT_ROWS}) GROUP BY sheet")
+def sheet_counters(spark, sf_dir):
+    stats = workbook.sheet_stats(sheets.sheet_cells(_event_sheets(spark, sf_dir)), ["part"])
+    return stats.select("part", "rows", "rows_without_r", "cells", "cells_without_r", F.col("max_row").cast("long").alias("max_row"))
+
+
+@query("SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row, c_name AS text FROM customer")
+def inline_runs(spark, sf_dir):
+    """Inline texts of two runs and a phonetic one."""
+    name = F.col("c_name")
+    run = lambda t: F.concat(F.lit("<r><t>"), markup.escape_text(t), F.lit("</t></r>"))
+    xml = F.concat(F.lit('<row><c t="inlineStr"><is>'), run(F.substring(name, 1, 4)), run(F.substring(name, F.lit(5), F.length(name))), F.lit("<rPh><t>no</t></rPh></is></c></row>"))
+    cells = workbook.typed_cells(sheets.sheet_cells(_sheet_parts(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("part"), F.col("c_custkey").alias("at"), xml.alias("xml")))), spark.createDataFrame([], _NO_STRINGS))
+    return cells.select(F.col("part").cast(dict(table(spark, sf_dir, "customer").dtypes)["c_nationkey"]).alias("c_nationkey"), F.col("row").cast("long").alias("row"), "text")
+
+
+_FAULTS = [('t="b"><v>7</v>', "BadBool"), ('t="e"><v>#WHAT</v>', "UnknownError"), ("><v>x</v>", "BadNumber"), ('s="x">', "BadStyle"), ('t="wat">', "UnknownCellType"), ('r="A0">', "BadCellRef"), ('t="s"><v>9</v>', "SharedStringOutOfRange"), ('t="b"><v>1</v>', None), ('t="e"><v>#N/A</v>', None)]
+
+
+@query("SELECT error, count(*) AS n FROM orders, (VALUES " + ", ".join(f"({i}, {repr(e) if e else 'NULL'})" for i, (_, e) in enumerate(_FAULTS)) + f") AS x(i, error) WHERE o_orderkey % {len(_FAULTS)} = i GROUP BY error")
+def cell_faults(spark, sf_dir):
+    case = F.element_at(F.array(*[F.lit(x) for x, _ in _FAULTS]), (F.col("o_orderkey") % len(_FAULTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 64).alias("part"), F.col("o_orderkey").alias("at"), F.concat(F.lit("<row><c "), case, F.lit("</c></row>")).alias("xml"))
+    cells = workbook.typed_cells(sheets.sheet_cells(_sheet_parts(rows)), spark.createDataFrame([], _NO_STRINGS))
+    return cells.groupBy(F.col("_error").alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS part, 0 AS r0, 0 AS c0, CAST(count(*) AS INTEGER) AS r1, CAST(n_regionkey AS INTEGER) AS c1, n_regionkey % 2 = 0 AS grid_lines FROM nation GROUP BY n_regionkey")
+def sheet_declarations(spark, sf_dir):
+    """The declared range and grid lines of sheets."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("k"))
+    view = F.when(F.col("n_regionkey") % 2 == 0, "").otherwise(' showGridLines="0"')
+    xml = F.concat(F.lit('<worksheet><dimension ref="'), addresses.range_a1(F.lit(0), F.lit(0), "k", "n_regionkey"), F.lit('"/><sheetViews><sheetView'), view, F.lit("/></sheetViews></worksheet>"))
+    nodes = packages.xml_nodes(n.select(F.lit("book").alias("path"), F.col("n_regionkey").cast("string").alias("part"), xml.cast("binary").alias("bytes")))
+    return workbook.dimensions(nodes).join(workbook.grid_lines(nodes), ["path", "part"]).drop("path")
+
+
 @query("SELECT page_id, 'Doctype' AS error FROM pages")
 def xml_doctype_rejected(spark, sf_dir):
     members = table(spark, sf_dir, "pages").select(F.lit("book").alias("path"), F.col("page_id").cast("string").alias("part"), F.col("html").cast("binary").alias("bytes"))
@@ -516,14 +695,47 @@ def xml_elements(spark, sf_dir):
 @query("SELECT CAST(n_regionkey AS VARCHAR) AS part, '/region/nation[' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS VARCHAR) || ']/name' AS path FROM nation")
 def xml_node_path(spark, sf_dir):
     nodes = packages.xml_nodes(_region_xml(spark, sf_dir))
-    same = ["part", "parent_id", "local"]
-    from pyspark.sql.window import Window
-
-    at, n = F.row_number().over(Window.partitionBy(*same).orderBy("ord")), F.count("*").over(Window.partitionBy(*same))
-    steps = nodes.withColumn("step", F.concat(F.lit("/"), "local", F.when(n > 1, F.concat(F.lit("["), at.cast("string"), F.lit("]"))).otherwise("")))
-    s = [steps.select("part", F.col("node_id").alias(f"id{i}"), F.col("parent_id").alias(f"up{i}"), F.col("step").alias(f"step{i}"), F.col("local").alias(f"local{i}")) for i in range(3)]
-    joined = s[2].filter("local2 = 'name'").join(s[1].withColumnRenamed("id1", "up2"), ["part", "up2"]).join(s[0].withColumnRenamed("id0", "up1"), ["part", "up1"])
-    return joined.select("part", F.concat("step0", "step1", "step2").alias("path"))
+    return xml_events.node_paths(nodes).filter("local = 'name'").select("part", F.col("location").alias("path"))
+
+
+def _nation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xml_events.xml_events(_region_xml(spark, sf_dir))
+
+
+@query("SELECT kind, n FROM (SELECT count(*) AS c, count(DISTINCT n_regionkey) AS r FROM nation), LATERAL (VALUES ('Start', 2 * c + r), ('End', 2 * c + r), ('Text', c)) AS x(kind, n)")
+def xml_events_count(spark, sf_dir):
+    return _nation_events(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS part, CAST(17 + sum(15 + length(CAST(n_nationkey AS VARCHAR)) + 6 + length(n_name) + 7 + 9) AS BIGINT) AS length, true AS tiled FROM nation GROUP BY n_regionkey")
+def xml_tiling(spark, sf_dir):
+    return xml_events.tiling(_nation_events(spark, sf_dir)).select("part", "length", "tiled")
+
+
+@query("SELECT level, count(*) AS n FROM (SELECT unnest([1, 2, 2, 2, 1]) AS level FROM nation UNION ALL SELECT unnest([0, 0]) FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)) WHERE level IS NOT NULL GROUP BY level")
+def xml_depth(spark, sf_dir):
+    return xml_events.depths(_nation_events(spark, sf_dir)).withColumn("level", F.when(F.col("kind") == "Text", F.col("level") - 1).otherwise(F.col("level"))).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS part, qname, value FROM nation, LATERAL (VALUES ('key', CASE WHEN n_nationkey % 2 = 0 THEN 'k' || CAST(n_nationkey AS VARCHAR) ELSE CAST(n_nationkey AS VARCHAR) END), ('more', CASE WHEN n_nationkey % 2 = 0 THEN 'a & b' END)) AS x(qname, value) WHERE value IS NOT NULL")
+def xml_attr_edit(spark, sf_dir):
+    """Attributes changed and added, read back from the bytes."""
+    events = _nation_events(spark, sf_dir)
+    even = xml_events.attributes(events).filter("cast(value as long) % 2 = 0")
+    edits = even.select("path", "part", "node_id", F.explode(F.array(F.struct(F.lit("key").alias("qname"), F.concat(F.lit("k"), "value").alias("value")), F.struct(F.lit("more").alias("qname"), F.lit("a & b").alias("value")))).alias("e")).select("path", "part", "node_id", "e.*")
+    made = xml_events.serialize(xml_events.set_attributes(events, edits))
+    return xml_events.attributes(xml_events.xml_events(made)).select("part", "qname", "value")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS part, string_agg(CASE WHEN n_nationkey % 3 = 0 THEN 'gone' ELSE n_name END, ',' ORDER BY n_nationkey) AS names FROM nation WHERE n_nationkey % 3 <> 1 GROUP BY 1")
+def xml_tree_edit(spark, sf_dir):
+    """Elements taken out and texts replaced, read back from the bytes."""
+    events = _nation_events(spark, sf_dir)
+    keys = xml_events.attributes(events).select("path", "part", "node_id", F.col("value").cast("long").alias("k"))
+    texts = keys.filter("k % 3 = 0").select("path", "part", (F.col("node_id") + 1).alias("node_id"), F.lit("gone").alias("value"))
+    left = xml_events.remove_nodes(xml_events.set_texts(events, texts), keys.filter("k % 3 = 1"))
+    back = packages.xml_nodes(xml_events.serialize(left)).filter("local = 'name'")
+    return back.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), ",").alias("names"))
 
 
 @query("SELECT n_regionkey, '<tr>' || string_agg('<td>' || n_name || '</td>', '' ORDER BY n_nationkey) || '</tr>' AS html FROM nation GROUP BY n_regionkey")

@@ -170,7 +170,7 @@ class _Walk:
 
     def start(self, name: str, attrs: dict) -> None:
         if len(self.open) >= self.limits["depth"] or len(attrs) > self.limits["attrs"] or len(self.rows) >= self.limits["nodes"]:
-            raise ValueError("LimitDepth" if len(self.open) >= self.limits["depth"] else "LimitNodes")
+            raise ValueError("LimitDepth" if len(self.open) >= self.limits["depth"] else "LimitAttrs" if len(attrs) > self.limits["attrs"] else "LimitNodes")
         ns, _, local = name.rpartition("\n")
         node = len(self.rows)
         self.rows.append([node, self.open[-1] if self.open else None, self.counts[-1], len(self.open), local, ns or None, {k.rpartition("\n")[2] if "\n" not in k else k.replace("\n", "#"): v for k, v in attrs.items()}, "", self.parser.CurrentByteIndex])

@@ -1,15 +1,19 @@
-"""Packages that arrive in a folder, as a stream."""
+"""Packages that arrive, as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from cellarium.sources.packages import entries
 
 
-def ingest_entries(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
-    """Append the members of every package that is new in folder to the table at out; each file is read once."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    arriving = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.xlsx").load(folder)
+def ingest_packages(arriving: DataFrame, out: str, checkpoint: str) -> None:
+    """Append the members of every package of a stream (path, content) that is new to the table at out; each is read once."""
     query = entries(arriving).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()
+
+
+def ingest_entries(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
+    """ingest_packages() of the files in folder."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    ingest_packages(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.xlsx").load(folder), out, checkpoint)

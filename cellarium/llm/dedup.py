@@ -203,7 +203,7 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
 
     company = members.groupBy("uid").agg(F.sum("size").alias("company"))
     lead = members.join(company, "uid").groupBy("bucket").agg(F.max(F.struct("company", "uid", "n")).alias("x")).select("bucket", F.col("x.uid").alias("a"), F.col("x.n").alias("n_a"))
-    first = cut(pairs_of(side(members, "b").join(lead, "bucket").filter("a <> b")))
+    first = cut(pairs_of(spread_join(side(members, "b"), lead, ["bucket"]).filter("a <> b")))
     held = components(verify(first, prints, percent))
     drop(first)
 

@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 
 from cellarium.llm.common import shared_folder
 from cellarium.llm.packing import match, pack_documents
-from cellarium.llm.tokens import dac_decode, dac_encode, dac_get, read_token_file, vocabulary_path, word_encoder, write_token_file
+from cellarium.llm import tokens
+from cellarium.llm.tokens import dac_decode, dac_encode, dac_get, read_token_file, read_tokens_at, splits_at_blanks, vocabulary_path, word_encoder, write_token_file
 
 TEXTS = ["Hello there, World!", "", None, "été Straße ŒUVRE", "a b c\x1cd", "it's don't WE'LL", "x" * 5000, "12 345 ½ ² Σίσυφος ΟΔΟΣ", "<|endoftext|> mid<|ENDOFTEXT|>dle <|startoftext|>", "é i̇ İstanbul", "…—“quoted”… ...!!! %%% a.b.c.", "日本語 テスト 한국어", "😀😀 ok", "\n\n\t\r\nline\n", "don’t " * 900]
 SCHEMA = "doc_id long, text string, piece string, length string, uid string, part string"
@@ -123,3 +124,30 @@ def test_packing_places_every_piece(spark):
 
 def test_packing_of_an_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), vocabulary_path()).count() == 0
+
+
+def test_token_file_of_many_blocks_and_ids_by_place(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_IDS", 50)
+    rnd = random.Random(7)
+    docs = [(i, " ".join(rnd.choices(["alpha", "beta", "Straße", "x1"], k=rnd.choice([0, 5, 40, 300])))) for i in range(40)]
+    path = shared_folder(spark)
+    write_token_file(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), path, vocabulary_path())
+    assert spark.read.parquet(path).count() > 20
+    library = word_encoder(vocabulary_path()).whole
+    ids = [x for _, t in docs for x in [*library.encode(t, add_special_tokens=False).ids, 1]]
+    rows = read_token_file(spark, path, with_ids=True).orderBy("doc_id").collect()
+    assert [x for r in rows for x in r.ids] == ids and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    wanted = [*range(0, len(ids), 7), 0, len(ids) - 1, len(ids), -1, None]
+    got = [(r.place, r.id) for r in read_tokens_at(spark, path, spark.createDataFrame([(p, "k") for p in wanted], "place long, stretch string")).collect()]
+    assert collections.Counter(got) == collections.Counter((p, ids[p] if p is not None and 0 <= p < len(ids) else None) for p in wanted)
+
+
+def test_other_vocabularies_take_the_whole_path(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"A": 0, "b c": 1, "?": 2}, unk_token="?"))
+    other.normalizer, other.pre_tokenizer = normalizers.NFC(), pre_tokenizers.Split(",", "removed")
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    assert not splits_at_blanks(path) and splits_at_blanks(vocabulary_path())
+    assert list(np.frombuffer(tokens.WordEncoder(path).encode("A,b c,a"), "<u4")) == [0, 1, 2]

@@ -187,8 +187,8 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
     m / (p + q - m) at most. So no link within a bucket is lost whatever its size.
     """
     same = cut(prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("rep")))
-    reps = same.select(F.col("rep").alias("uid"))
-    keyed = cut(prints.select("uid", "n", "bands").join(reps, "uid").select("uid", "n", F.explode("bands").alias("bucket")))
+    reps = prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("uid"), F.min_by(F.struct("n", "bands"), "uid").alias("x"))
+    keyed = cut(reps.select("uid", "x.n", F.explode("x.bands").alias("bucket")))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = cut(keyed.join(shared.hint("merge"), "bucket").select("bucket", "uid", "n", "size"))
     drop(keyed)

@@ -98,8 +98,9 @@ def has_no_lines(borders: DataFrame) -> DataFrame:
     return borders.withColumn("is_empty", F.coalesce("left", "right", "top", "bottom").isNull())
 
 
-def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook", max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
-    """path, html: a page for each workbook with a table for each visible sheet (sheets: path, sheet, name, state).
+def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook", max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None, columns: DataFrame | None = None, hidden: bool = False) -> DataFrame:
+    """path, html: a page for each workbook with a table for each visible sheet (sheets: path, sheet, name, state), or with
+    hidden for each sheet.
 
     Tables show the rows and columns below max_rows and max_cols; more are left out, as a page is for reading. Cells show
     their style's class and dates, merged ranges span, and columns (path, sheet, col, width in characters) set widths.
@@ -107,7 +108,7 @@ def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None
     rows = html_rows(cells, max_rows, max_cols, merges)
     table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "html"))), lambda x: x["html"]), "\n")  # at most max_rows
     tables = rows.groupBy("path", "sheet").agg(table.alias("body"))
-    shown = sheets.filter("state = 'visible'").join(tables, ["path", "sheet"], "left")
+    shown = sheets.filter(F.lit(hidden) | (F.col("state") == "visible")).join(tables, ["path", "sheet"], "left")
     group = F.lit("")
     if columns is not None:
         pixels = styles.col_width_px(F.col("width"), F.lit(7.0)).cast("long").cast("string")

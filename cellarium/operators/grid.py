@@ -104,8 +104,11 @@ def decode_strings(cells: DataFrame, strings: DataFrame, index: str = "idx") ->
 
 
 def intern_strings(strings: DataFrame, wanted: DataFrame) -> DataFrame:
-    """path, idx, text after each wanted text (path, text) is there once; new ones follow in text order."""
-    kept = strings.groupBy("path", "text").agg(F.min("idx").alias("idx"))
+    """path, idx, text after each wanted text (path, text) is there once; new ones follow in text order.
+
+    Where strings have the column simple, only plain texts are used again: one with runs of its own keeps them.
+    """
+    kept = (strings.filter("simple") if "simple" in strings.columns else strings).groupBy("path", "text").agg(F.min("idx").alias("idx"))
     base = strings.groupBy("path").agg((F.max("idx") + 1).alias("base"))
     fresh = wanted.select("path", "text").filter("text IS NOT NULL").distinct().join(kept, ["path", "text"], "left_anti")
     at = F.row_number().over(Window.partitionBy("path").orderBy("text")) - 1

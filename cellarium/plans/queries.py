@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
 from cellarium.operators import grid, package_edits, style_edits
@@ -191,7 +192,7 @@ def sst_dangling(spark, sf_dir):
 @query("WITH b AS (SELECT DISTINCT p_brand AS text FROM part), s AS (SELECT row_number() OVER (ORDER BY text) - 1 AS idx, text FROM b), w AS (SELECT DISTINCT p_type AS text FROM part WHERE p_type NOT IN (SELECT text FROM b)) SELECT * FROM s UNION ALL SELECT (SELECT count(*) FROM s) + row_number() OVER (ORDER BY text) - 1, text FROM w")
 def sst_intern_append(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    brands = part.select(F.lit("book").alias("path"), F.lit("text").alias("value_kind"), F.col("p_brand").alias("text")).distinct().withColumn("sheet", F.lit(0)).withColumn("row", F.col("text")).withColumn("col", F.lit(0))
+    brands = part.select(F.lit("book").alias("path"), F.lit("text").alias("value_kind"), F.col("p_brand").alias("text")).distinct().withColumn("sheet", F.lit(0)).withColumn("row", F.row_number().over(Window.orderBy("text"))).withColumn("col", F.lit(0))  # a few brands
     wanted = part.select(F.lit("book").alias("path"), F.explode(F.array("p_type", "p_brand")).alias("text"))
     return grid.intern_strings(grid.build_strings(brands), wanted).select("idx", "text")
 
@@ -566,6 +567,38 @@ def package_roundtrip(spark, sf_dir):
     return cells.filter("_error IS NULL").select("path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value_kind", "num", "text")
 
 
+@query("SELECT part, spot, node_id FROM (SELECT CAST(n_regionkey AS VARCHAR) AS part, CAST(8 + coalesce(sum(15 + length(CAST(n_nationkey AS VARCHAR)) + 22 + length(n_name)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS base, 2 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS first, 15 + length(CAST(n_nationkey AS VARCHAR)) AS head FROM nation), LATERAL (VALUES (base + 2, first), (base + head + 1, first + 1)) AS x(spot, node_id)")
+def xml_node_at(spark, sf_dir):
+    """Elements by a byte in their start."""
+    events = _nation_events(spark, sf_dir)
+    asked = events.filter("kind = 'Start' AND depth > 0").select("path", "part", (F.col("start") + F.when(F.col("depth") == 1, 2).otherwise(1)).alias("offset"))
+    return xml_events.nodes_at(events, asked).select("part", F.col("offset").alias("spot"), "node_id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS part, node_id, left_ || CAST(n_nationkey AS VARCHAR) AS uri FROM nation, (VALUES (CAST(0 AS BIGINT), 'u'), (1, 'v'), (2, 'v'), (3, 'u')) AS x(node_id, left_)")
+def xml_prefixes(spark, sf_dir):
+    """A prefix that an inner element declares anew."""
+    k = F.col("n_nationkey").cast("string")
+    xml = F.concat(F.lit('<x:a xmlns:x="u'), k, F.lit('"><b xmlns:x="v'), k, F.lit('"><x:c/></b><x:d/></x:a>'))
+    events = xml_events.xml_events(table(spark, sf_dir, "nation").select(F.lit("book").alias("path"), k.alias("part"), xml.cast("binary").alias("bytes")))
+    asked = events.filter("kind = 'Start'").select("path", "part", "node_id", F.lit("x").alias("prefix"))
+    return xml_events.resolve_prefixes(events, asked).select("part", "node_id", "uri")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '<tr><td colspan=\"2\">' || n_name || '</td></tr>' ELSE '<tr><td>' || n_name || '</td><td>' || CAST(n_regionkey AS VARCHAR) || '</td></tr>' END AS html FROM nation")
+def html_spans(spark, sf_dir):
+    """Rows of a page where a first cell spans its merged range."""
+    cells = grid.grid_of(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"])
+    merges = cells.filter("row % 2 = 0 AND col = 0").select("path", "sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("row").alias("r1"), (F.col("col") + 1).alias("c1"))
+    return grid.html_rows(cells, merges=merges).select(F.col("row").cast(dict(table(spark, sf_dir, "nation").dtypes)["n_nationkey"]).alias("n_nationkey"), "html")
+
+
+@query("SELECT o_orderkey, strftime(DATE '1899-12-30' + CAST(o_orderkey % 40000 AS INTEGER), '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' 12:00:00' END AS shown FROM orders")
+def date_cells(spark, sf_dir):
+    days = F.col("o_orderkey") % 40000 + F.when(F.col("o_orderkey") % 2 == 0, 0.0).otherwise(0.5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", grid.date_text(days).alias("shown"))
+
+
 _BOOKS = f"SELECT DISTINCT 'book' || CAST(rn // {BOOK_ROWS} AS VARCHAR) AS path FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders)"
 
 
@@ -576,6 +609,15 @@ def zip_gap_check(spark, sf_dir):
     return members.select("path").distinct().join(gaps, "path", "left").groupBy("path").agg(F.count("kind").alias("gaps"))
 
 
+@query(f"SELECT path, CAST(6 AS BIGINT) AS members, true AS whole FROM ({_BOOKS})")
+def zip_raw_data(spark, sf_dir):
+    """Compressed bytes of the members, as long as the directory says."""
+    built = _built(spark, sf_dir)
+    sizes = packages.entries(built).select("path", "idx", "comp_size")
+    raw = packages.raw_members(built).join(sizes, ["path", "idx"])
+    return raw.groupBy("path").agg(F.count("*").alias("members"), F.every(F.octet_length("raw") == F.col("comp_size")).alias("whole"))
+
+
 @query(f"SELECT path, true AS same FROM ({_BOOKS})")
 def zip_roundtrip(spark, sf_dir):
     built = _built(spark, sf_dir)

@@ -104,6 +104,13 @@ def entries(found: DataFrame, limits: dict | None = None) -> DataFrame:
     return found.select("path", "content").mapInPandas(read, ENTRY)
 
 
+def raw_members(found: DataFrame, limits: dict | None = None) -> DataFrame:
+    """path, idx, name, raw: the compressed bytes of each member as they stand; archives that can't be read have none."""
+    at = entries(found, limits).filter("_error IS NULL").select("path", "idx", "name", "data_start", "data_end")
+    data = F.substring(F.col("content"), (F.col("data_start") + 1).cast("int"), (F.col("data_end") - F.col("data_start")).cast("int"))
+    return found.select("path", "content").join(at, "path").select("path", "idx", "name", data.alias("raw"))
+
+
 def is_limit(error: Column) -> Column:
     """Whether an error names a quota."""
     return error.startswith("Limit")

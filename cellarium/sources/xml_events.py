@@ -223,3 +223,32 @@ def node_paths(nodes: DataFrame) -> DataFrame:
         level = steps.filter(F.col("depth") == depth).join(up, ["path", "part", "parent_id"]).withColumn("location", F.concat("_up", "_step")).select(done.columns)
         done = done.unionByName(level)
     return done.drop("_step")
+
+
+def extents(events: DataFrame) -> DataFrame:
+    """path, part, node_id, depth, from, to: the bytes of each element with all in it."""
+    return events.filter("kind IN ('Start', 'End')").groupBy(*_KEY).agg(F.first("depth").alias("depth"), F.min("start").alias("from"), F.max("end").alias("to"))
+
+
+def nodes_at(events: DataFrame, offsets: DataFrame) -> DataFrame:
+    """offsets (path, part, offset) with node_id: the deepest element that covers the byte; null where none does."""
+    spans = extents(events)
+    hits = offsets.select("path", "part", "offset").distinct().join(spans, ["path", "part"]).filter((F.col("from") <= F.col("offset")) & (F.col("offset") < F.col("to")))
+    return offsets.join(hits.groupBy("path", "part", "offset").agg(F.max_by("node_id", "depth").alias("node_id")), ["path", "part", "offset"], "left")
+
+
+def declarations(events: DataFrame) -> DataFrame:
+    """path, part, node_id, prefix, uri of the names that elements declare; the empty prefix is the default."""
+    declared = attributes(events).filter("qname = 'xmlns' OR qname LIKE 'xmlns:%'")
+    return declared.select(*_KEY, F.regexp_replace("qname", "^xmlns:?", "").alias("prefix"), F.col("value").alias("uri"))
+
+
+def resolve_prefixes(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (path, part, node_id, prefix) with uri: the innermost declaration around the element or its own; null without one."""
+    spans = extents(events)
+    around = declarations(events).join(spans, _KEY).select("path", "part", "prefix", "uri", "depth", "from", "to")
+    places = asked.select(*_KEY, "prefix").distinct().join(spans.select(*_KEY, F.col("from").alias("_at")), _KEY)
+    hits = places.join(around, ["path", "part", "prefix"]).filter((F.col("from") <= F.col("_at")) & (F.col("_at") < F.col("to")))
+    found = hits.groupBy(*_KEY, "prefix").agg(F.max_by("uri", "depth").alias("uri"))
+    joined = asked.join(found, [*_KEY, "prefix"], "left")
+    return joined.withColumn("uri", F.when(F.col("prefix") == "xml", "http://www.w3.org/XML/1998/namespace").otherwise(F.nullif("uri", F.lit(""))))

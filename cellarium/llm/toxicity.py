@@ -21,7 +21,7 @@ BUCKETS = 1 << 20
 #: may fill half of them; what the other leaves free it may use too.
 TRAIN_ROWS = 12_000
 #: Passes over them, and the weight of a toxic row, of which there are few.
-PASSES, TOXIC_WEIGHT = 6, 3.0
+PASSES, TOXIC_WEIGHT = 8, 5.0
 #: Words whose hashes a Python worker remembers.
 WORDS_KEPT = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,10 +51,10 @@ def features(text: str | None) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal: each coordinate has its own rate, and l1 keeps rare coordinates at zero."""
 
-    alpha: float = 1.0
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 8.0
-    l2: float = 0.1
+    l1: float = 20.0
+    l2: float = 0.02
 
     def fit(self, rows: list[tuple[np.ndarray, int]], passes: int = PASSES, toxic_weight: float = TOXIC_WEIGHT) -> np.ndarray:
         """Weights of all buckets and, last, the bias, from (buckets, label) in the given order."""

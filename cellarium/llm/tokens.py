@@ -28,8 +28,8 @@ from cellarium.llm.common import small_batches
 
 #: Ids in a block, over which a new block starts at the next document.
 BLOCK_IDS = 1 << 19
-#: Words whose ids a Python worker remembers: about 100 MB when full.
-WORDS_KEPT = 500_000
+#: Words whose ids a Python worker remembers: about 60 MB when full.
+WORDS_KEPT = 300_000
 
 _MAGIC = b"DAC1"
 _CHUNK = 8

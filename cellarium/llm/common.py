@@ -67,23 +67,33 @@ def fresh_name(taken: list[str], name: str) -> str:
     return name
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
-    """on and salts of the keys that many rows have: at most MOST_HOT, each with over HOT_ROWS rows.
+def salted(counts: DataFrame, on: list[str]) -> DataFrame:
+    """on and salts of the keys of counts (on, n) that many rows have: at most MOST_HOT, each with over HOT_ROWS rows.
 
     A key that is not listed has at most 1 / MOST_HOT of all rows, or HOT_ROWS.
     """
-    counts = rows.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *on).limit(MOST_HOT)
-    kept = counts.withColumn("salts", F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int")).drop("n")
-    return rows.sparkSession.createDataFrame(kept.collect(), kept.schema)
+    most = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *on).limit(MOST_HOT)
+    kept = most.withColumn("salts", F.least(F.ceil(F.col("n") / HOT_ROWS), F.lit(MOST_SALTS)).cast("int")).select(*on, "salts")
+    return counts.sparkSession.createDataFrame(kept.collect(), kept.schema)
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """What salted() says of the keys of rows."""
+    return salted(rows.groupBy(*on).agg(F.count("*").alias("n")), on)
+
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with facts, whose keys are unique. The rows of a hot key are dealt to several tasks by a salt.
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with facts, whose keys are unique. The rows of a hot key are dealt to several tasks by a salt."""
-    hot = hot_keys(rows, on)
+    The salt is a hash of the row, so a row that is made again after a lost executor goes the same way; equal rows go together.
+    hot: what salted() says of rows, if that is known.
+    """
+    if hot is None:
+        hot = hot_keys(rows, on)
     if hot.isEmpty():
         return rows.join(facts, on, how)
     hot = F.broadcast(hot)  # at most MOST_HOT rows
-    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("salts"))).cast("int")).drop("salts")
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("salts"))).cast("int")).drop("salts")
     copied = facts.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 

@@ -99,7 +99,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 def counters(found: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, n, good, toxic: rows of each failure mask, and those whose labels (doc_id, quality, toxic) say quality = 1 or toxic = 1.
 
-    Counters add up, so those of two tables of masks can be summed. Of several labels of a doc_id any counts; a null one doesn't.
+    Counters add up, so those of two tables of masks can be summed. Of several labels of a doc_id any counts, a null one does not, and a null doc_id has none.
     """
     known = labels.groupBy("doc_id").agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     joined = found.join(known, "doc_id", "left")

@@ -64,6 +64,7 @@ class Best:
 
     def __init__(self, floor: np.ndarray, ceiling: np.ndarray, k: int):
         self.floor, self.ceiling, self.k = floor.astype(np.int64), ceiling.astype(np.int64), k
+        self.unbounded = floor.shape[1] == 1 and bool((ceiling == _HIGH).all())
         self.question, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, anchor: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
@@ -102,7 +103,7 @@ def match_tile(values: np.ndarray, rows: Planes, allowed: np.ndarray, best: Best
         done += allowed.size
         rest = (1 << k) - 1
         low_edge, high_edge = best.floor[at].min(1) - rest * most, best.ceiling[at].max(1)
-        if best.floor.shape[1] == 1 and k <= rows.bits // 2 and len(rows) > best.k:  # the k-th best of the lower ends is a floor too
+        if best.unbounded and k <= rows.bits // 2 and len(rows) > best.k:  # then the k-th best of the lower ends is a floor too
             sure = np.where(allowed, sums, _LOW // 2)
             kth = np.partition(sure, len(rows) - best.k, axis=1)[:, len(rows) - best.k]
             low_edge = np.maximum(low_edge, kth + rest * least - rest * most)

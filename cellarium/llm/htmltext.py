@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import and_columns, cut, fresh_name, small_batches, spread_join
+from cellarium.llm.common import and_columns, cut, drop, fresh_name, small_batches, spread_join
 from cellarium.llm.urls import url_host
 
 #: Damping of a node's own presentation against its content.
@@ -27,8 +27,9 @@ GAMMA = 0.9
 LEAST_IMPORTANCE = 0.7
 #: Nodes that may be broadcast; beyond it each page is joined with its own.
 BROADCAST_NODES = 500_000
-#: Text counts for its own element at any depth, and for those around it down to this level, so that work is linear in a page.
-BRANCH_LEVELS = 32
+#: Text counts for its own element at any depth, and for those around it down to this level, below which browsers do not nest
+#: elements either, so that work is linear in a page.
+BRANCH_LEVELS = 512
 
 # Element kinds of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,15 +42,20 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 _CLASSES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar comment comments disqus respond replies reply share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer related widget pagination pager toolbar".split()
 )
+_COMMENTS = frozenset("comment comments disqus".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 _HOLDS = frozenset("ul ol dl table td th div article section main body".split())
 
+# The tokenizer states of HTML: a name ends at white space, a slash, = or >, a value at its quote or else at white space or >. A quote
+# that is never closed is part of a name, so that its tag ends at the next >.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*|(?=>)))?+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])(?:[\s/]+|" + _ATTRIBUTE + r")*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|" + _ATTRIBUTE + r")*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)|(?=>|$)))?+""")
+_OF_USE = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 
 
 def host_key(host: str) -> int:
@@ -59,10 +65,11 @@ def host_key(host: str) -> int:
 class Element:
     """An open or closed element: its kinds, its block children's labels in order, and the blocks of text right in it."""
 
-    __slots__ = ("tag", "label", "up", "place", "labels", "depth", "dropped", "main", "nodes", "cut", "block")
+    __slots__ = ("tag", "label", "up", "place", "labels", "depth", "dropped", "main", "judged", "nodes", "cut", "block")
 
-    def __init__(self, tag: str, label: str, up: Element | None, dropped: bool, main: bool):
+    def __init__(self, tag: str, label: str, up: Element | None, dropped: bool, main: bool, suspect: bool = False):
         self.tag, self.label, self.up, self.dropped, self.main = tag, label, up, dropped, main
+        self.judged = tag not in ("html", "body") and (not main or suspect)  # whether a tree may cut it
         self.labels: list[str] = []
         self.nodes: tuple[int, int] | None = None
         self.cut: bool | None = None
@@ -98,6 +105,8 @@ class Page:
         hidden = False
         for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
             name = name.lower()
+            if name not in _OF_USE:
+                continue
             if name in ("class", "id"):
                 classes += f" {a or b or c}"
             elif name == "role":
@@ -105,13 +114,16 @@ class Page:
             else:
                 hidden |= name == "hidden" and not (a or b or c) or name == "aria-hidden" and (a or b or c).lower() == "true"
         label = f"{tag}.{re.sub('[0-9]+', '0', '.'.join(sorted(classes.lower().split())))}" if classes else tag
-        words = set(re.split(r"[\s_-]+", classes.lower())) if classes else ()
-        unwanted = tag in _DROPPED or role in _ROLES or hidden or any(w in _CLASSES for w in words)
+        words = set(re.split(r"[\s_-]+", classes.lower())) if classes else set()
+        hit = not words.isdisjoint(_CLASSES)
+        # In an article a class says so by itself only as a whole or if it is of comments, which never recur; else the tree has to agree.
+        sure = hit and not (up.main and words.isdisjoint(_COMMENTS) and _CLASSES.isdisjoint(classes.lower().split()))
+        unwanted = tag in _DROPPED or role in _ROLES or hidden or sure
         if not up.main and (tag == "header" or "header" in words):
             unwanted = unwanted or tag != "article"
         main = up.main or self.by_kind and (tag in ("article", "main") or role == "main")
         dropped = up.dropped or self.by_kind and unwanted and tag not in ("html", "body")
-        element = Element(tag, label, up, dropped, main)
+        element = Element(tag, label, up, dropped, main, self.by_kind and hit and not sure)
         if element.block:
             home = self.home(up)
             element.place = len(home.labels)
@@ -150,13 +162,14 @@ class Page:
         return element.labels
 
     def is_cut(self, element: Element) -> bool:
-        """Whether a tree cuts an element or one around it. An article, and what is in it, is never cut."""
+        """Whether a tree cuts an element or one around it. Of an article, only what has a suspicious class is ever cut."""
         chain = []
         while element.cut is None:
             chain.append(element)
             element = element.up
         for e in reversed(chain):
-            e.cut = not e.main and (element.cut or e.block and e.tag not in ("html", "body") and not self.cut.isdisjoint(self.nodes(e)))
+            around = element.cut and (element.main or not e.main)  # an article in a branch that is cut stays
+            e.cut = around or e.judged and e.block and not self.cut.isdisjoint(self.nodes(e))
             element = e
         return element.cut
 
@@ -176,7 +189,7 @@ class Page:
                 out.add((*self.nodes(branch), 0, value))
                 out.add((*self.nodes(branch), 1, self.order(branch)))
             while e.up is not None:
-                if not e.main and e.tag not in ("html", "body"):
+                if e.judged:
                     out.add((*self.nodes(e), 0, value))
                     out.add((*self.nodes(e), 1, self.order(e)))
                 e = self.home(e.up)
@@ -217,7 +230,7 @@ class Page:
                     self.close({"p"}, _HOLDS - {"p"})
                 if tag in _CLOSES and any(self.open[x] for x in _CLOSES[tag]):
                     self.close(_CLOSES[tag], _HOLDS - _CLOSES[tag])
-            if tag not in _VOID and not (m["attrs"] or "").rstrip().endswith("/"):
+            if tag not in _VOID:  # a slash at the end closes no other element
                 self.push(tag, m["attrs"])
         if at < len(source):
             self.parts.append(html.unescape(source[at:]))
@@ -278,8 +291,8 @@ def extract(pages: DataFrame, by_kind: bool = True) -> DataFrame:
     scripts, styles, markup and comments of readers.
 
     The branches go that the style tree of the page's host or that of all hosts finds unimportant, and, with by_kind,
-    elements that are no main text by tag, role or class. An article element and what is in it is left to the kinds, and
-    a page that the trees would empty keeps its text. Character references are decoded, white space inside a block becomes
+    elements that are no main text by tag, role or class. An article element and what is in it is left to the kinds, but for
+    elements with a word of such a class, as in related-work, which go if the tree agrees; and a page that the trees would empty keeps its text. Character references are decoded, white space inside a block becomes
     one space, blocks are joined by an empty line. A null or empty html gives an empty text; a null url counts as a host of
     its own; equal rows each get the same text; an empty table gives an empty table. Whole pages count, however long or
     deep. A column text is replaced; every other column and every row is kept, whatever the names.
@@ -292,6 +305,7 @@ def extract(pages: DataFrame, by_kind: bool = True) -> DataFrame:
     found = low.limit(BROADCAST_NODES + 1).toPandas()["node"].tolist()
     if len(found) <= BROADCAST_NODES:
         shared = pages.sparkSession.sparkContext.broadcast(frozenset(found))
+        drop(low)
     else:  # too many to send everywhere: each page gets those of its own
         shared = None
         page = [F.xxhash64("url").alias("url_hash"), F.xxhash64("html").alias("html_hash")]

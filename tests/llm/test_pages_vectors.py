@@ -13,6 +13,8 @@ from cellarium.llm.htmltext import LEAST_IMPORTANCE, Page, extract, style_tree,
 from cellarium.llm.neighbours import VantageTree, nearest
 from cellarium.llm.urls import filter_urls
 
+VOCABULARY = [f"term{i}" for i in range(200)]
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("net", "/fr/x", "allow"), (None, "/", "block"), ("org", None, "block"), ("tie.io", "/", "allow"), ("tie.io", "/", "block"), ("com", "/", "allow")]
 URLS = ["http://example.com/en/1", "https://WWW.Example.com/en/1?x#y", "http://a.b.example.com/en/", "http://example.com/de/", "http://x.net/es/1", "http://x.net/es", "http://net/fr/x?q", "http://xnet/fr/", "http://x.net", "http://x.com", "http://x.com/", "no scheme", "", None, "a://b://c/d", "http://tie.io/", "http://.../en/", "http://x.net/" + "es/" * 9000, "http://" + "a." * 3000 + "net/fr/", "http://x.net/fr/x", "http://x.net/fr/x"]
 
@@ -51,7 +53,7 @@ def test_url_rules_equal_brute_force(spark):
         ("<article>a<script>var x='</p>'</script>b<style>p{}</style><!-- c --></article>", "ab"),
         ("<article><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "x\n\ny\n\n1\n\n2"),
         ("<div hidden>h</div><p aria-hidden=true>i</p><p>k</p></div></span>", "k"),
-        ("<p>unclosed <a href='x>", "unclosed <a href='x>"),
+        ("<p>unclosed <a href='x>", "unclosed"),
     ],
 )
 def test_page_text(html, text):
@@ -260,3 +262,49 @@ def test_very_deep_pages(spark):
     source = "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>flat</p>" * 3
     df = spark.createDataFrame([(i, "http://a.example/", source + f"<p>{i}</p>") for i in range(3)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in extract(df).collect()} == {i: str(i) for i in range(3)}
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<p>one</p><style-guide>x</style-guide><p>two</p>", "one\n\nx\n\ntwo"),
+        ("<p>one</p><title-bar>x</title-bar><template-x>y</template-x><script-x>z</script-x><p>two</p>", "one\n\nxyz\n\ntwo"),
+        ("<p>one</p><style>p{}</style ><script\n>var a='</p>';</script/><p>two</p>", "one\n\ntwo"),
+        ("<script>never closed <p>x</p>", ""),
+        ("<p title=it's>Hello</p><p>don't</p>", "Hello\n\ndon't"),
+        ("<p title='it's'>Hello</p><a href=/a/b/>link</a><p>x</p>", "Hello\n\nlink\n\nx"),
+        ('<p title="never closed>Hello</p><p>two</p>', "Hello\n\ntwo"),
+        ('<p title="x>Hello</p><p class="a">two</p>', "two"),
+        ("<p a = 'x>y' b=\"<i>\" c>Hello</p><p", "Hello"),
+        ("<!-->a<!--->b<!-- c -- > d --!>e<!-- f", "abe"),
+        ("<div data-class=nav>kept</div><div class=nav>gone</div><p =x>y</p>", "kept\n\ny"),
+        ("<div/>a<p>b", "a\n\nb"),
+        ("1 < 2 and <3", "1 < 2 and <3"),
+        ("<article><div class=related-work>a</div><div class=share-holders>b</div><p class=ad-hoc>c</p><li class=menu-item>d</li><div class='share'>e</div><div class=comment-list>f</div><nav>g</nav></article>", "a\n\nb\n\nc\n\nd"),
+        ("<div class=related-work>a</div><p>b</p>", "b"),
+    ],
+)
+def test_tags_are_read_as_html_says(source, text):
+    assert Page("h").read(source).text() == text
+
+
+def test_class_words_in_articles_need_the_tree(spark):
+    """In an article a branch of a suspicious class goes where it recurs, and stays where it doesn't."""
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice(VOCABULARY) for _ in range(n))
+    pages, want = [], {}
+    for i in range(60):
+        body, own = say(30), say(12)
+        pages.append((i, f"http://h{i % 2}.example/", f"<article><p>{body}</p><div class=related-stories><p>Read our other stories too</p></div><div class=related-work><p>{own}</p></div></article>"))
+        want[i] = f"{body}\n\n{own}"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract(df).collect()} == want
+
+
+def test_deep_pages_are_judged_as_wholes(spark):
+    """A branch below the fortieth level is a branch like any other."""
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choice(VOCABULARY) for _ in range(n))
+    pages = [(i, "http://a.example/", "<div>" * 45 + f"<section><ul><li>home</li><li>all news</li></ul></section><div class=story>{(body := say(20))}</div>" + "</div>" * 45, body) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, body string")
+    assert all(r.text == r.body for r in extract(df, by_kind=False).collect())

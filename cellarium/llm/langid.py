@@ -21,6 +21,8 @@ from cellarium.llm.common import and_columns, small_batches
 DIMENSIONS = 2048
 #: N-grams whose vectors a Python worker remembers: 80 MB of them.
 GRAMS_KEPT = 40_000
+#: N-grams whose vectors are multiplied at once.
+TILE = 4096
 #: Languages at most: each is a vector that is collected and broadcast.
 MOST_LANGUAGES = 4096
 _SPACE = 32
@@ -85,15 +87,28 @@ class Bundles(dict):
         self.rows[at] = self.vectors.gram(gram)
         return at
 
-    def of(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The sum of the n-grams' vectors, each as often as it counts."""
-        total = np.zeros(DIMENSIONS, np.float64)
-        for i in range(0, len(grams), 2048):
-            some = grams[i : i + 2048]
+    def of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each text, given by its n-grams and their counts, the sum of the n-grams' vectors, each as often as it counts.
+
+        One product of the texts' counts with the vectors of all their n-grams, TILE of these at a time.
+        """
+        total = np.zeros((len(texts), DIMENSIONS))
+        if not texts:
+            return total
+        grams, where = np.unique(np.concatenate([g for g, _ in texts]), return_inverse=True)
+        row, counts = np.repeat(np.arange(len(texts)), [len(g) for g, _ in texts]), np.concatenate([c for _, c in texts])
+        order = np.argsort(where, kind="stable")
+        row, where, counts = row[order], where[order], counts[order]
+        exact = np.float32 if max(c.sum() for _, c in texts) < 1 << 24 else np.float64  # sums of whole numbers in it are exact
+        for i in range(0, len(grams), TILE):
+            some = grams[i : i + TILE]
             if len(self) + len(some) > GRAMS_KEPT:
                 self.clear()
             places = np.fromiter(map(self.__getitem__, some.tolist()), np.int64, len(some))
-            total += counts[i : i + 2048].astype(np.float32) @ self.rows[places].astype(np.float32)
+            a, b = np.searchsorted(where, (i, i + len(some)))
+            weights = np.zeros((len(texts), len(some)), exact)
+            weights[row[a:b], where[a:b] - i] = counts[a:b]
+            total += weights @ self.rows[places].astype(exact)
         return total
 
 
@@ -150,17 +165,13 @@ def predict(docs: DataFrame, prototypes: pd.DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bundles()
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                found = Letters.grams(text) if langs else None
-                if found is None:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                own = known.of(*found)
-                cosines = shared.value @ own / (np.linalg.norm(own) or 1)
-                names.append(langs[int(np.argmax(cosines))])
-                scores.append(float(np.clip(cosines.max(), 0, 1)))
+            names, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
+            found = [(i, grams) for i, text in enumerate(batch.column("text").to_pylist() if langs else ()) if (grams := Letters.grams(text)) is not None]
+            if found:
+                own = known.of([grams for _, grams in found])
+                cosines = own @ shared.value.T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1)
+                for (i, _), best, cosine in zip(found, cosines.argmax(1), cosines.max(1), strict=True):
+                    names[i], scores[i] = langs[best], min(max(cosine, 0), 1)
             kept = [c for c in batch.schema.names if c not in ("lang_pred", "score")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 

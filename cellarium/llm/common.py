@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +43,48 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders that cut() has written, in order.
+_written: list[str] = []
+#: With it, what a query has shuffled is deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later work starts from files that survive a lost executor."""
+    """Write df to the shared folder and read it back: later work starts from files that survive a lost executor.
+
+    What was shuffled on the way is deleted at once, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
+    path, before = shared_folder(spark), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: set[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables that cut() wrote and nothing reads any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, by cut(). All tables that were cut on the way to it are deleted, for nothing reads them any more."""
+    before = len(_written)
+    out = cut(make())
+    _delete(out.sparkSession, set(_written[before:-1]))
+    del _written[before:-1]
+    return out
 
 
 def fresh_name(taken: list[str], name: str) -> str:

@@ -20,7 +20,8 @@ from cellarium.llm.common import HOT_ROWS, cut, drop, salted, small_batches, spr
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_SEEDS = 0x1B873593, 0x85EBCA6B
+#: Words of texts, about, that are hashed together.
+WORDS_AT_ONCE = 1 << 19
 
 
 class _Powers:
@@ -37,32 +38,37 @@ class _Powers:
 
 
 class Windows:
-    """Hashes of the windows of one text's words, by a polynomial of the words' hashes modulo 2 to the 64th."""
-
-    def __init__(self, words: list[bytes], powers: _Powers):
-        self.words, self.powers, self.sums = words, powers, {}
-
-    def hashes(self, size: int, at: np.ndarray | slice = slice(None), seed: int = 0) -> np.ndarray:
-        """Of the windows of `size` words that start at the places `at`."""
-        n = len(self.words)
-        up, down = self.powers(n + 1)
-        if seed not in self.sums:
-            own = np.fromiter((xxhash.xxh3_64_intdigest(w, _SEEDS[seed]) for w in self.words), np.uint64, n)
-            self.sums[seed] = np.r_[np.uint64(0), np.cumsum(own * up[:n])]
-        sums = self.sums[seed]
-        h = (sums[size:][at] - sums[: n - size + 1][at]) * down[: n - size + 1][at]
+    """Hashes of the windows of words of several texts, one after another, by polynomials of the words' hashes modulo 2 to the 64th."""
+
+    def __init__(self, texts: list[list[bytes]], powers: _Powers):
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.n = int(self.lengths.sum())
+        self.up, self.down = powers(self.n + 1)
+        self.own = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for words in texts for w in words]), np.uint64).reshape(self.n, 2)
+        self.sums: dict[int, np.ndarray] = {}
+
+    def hashes(self, size: int, at: np.ndarray | slice = slice(None), which: int = 0) -> np.ndarray:
+        """Of the windows of `size` words that start at the places `at`, be they in one text or not; which: 0 or 1, for another hash."""
+        if which not in self.sums:
+            self.sums[which] = np.r_[np.uint64(0), np.cumsum(self.own[:, which] * self.up[: self.n])]
+        sums = self.sums[which]
+        h = (sums[size:][at] - sums[: self.n - size + 1][at]) * self.down[: self.n - size + 1][at]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         return h ^ h >> np.uint64(32)
 
-    def parts(self, least: int, size: int) -> np.ndarray:
-        """For each window of `least` words, where the part of `size` words begins that stands for it: the smallest, first of ties."""
-        h, m = self.hashes(size), len(self.words) - least + 1
-        smallest, at = h[:m].copy(), np.zeros(m, np.int64)
+    def parts(self, least: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of `least` words begin that lie in one text, and for each where the part of `size` words begins that
+        stands for it: the one with the smallest hash, the first of several."""
+        h, m = self.hashes(size), self.n - least + 1
+        smallest, at = h[:m].copy(), np.arange(m)
         for j in range(1, least - size + 1):
-            less = h[j : j + m] < smallest
-            smallest[less], at[less] = h[j : j + m][less], j
-        return at + np.arange(m)
+            other = h[j : j + m]
+            np.copyto(at, np.arange(j, j + m), where=other < smallest)
+            np.minimum(smallest, other, out=smallest)
+        inside = np.arange(m) + least <= np.repeat(self.starts + self.lengths, self.lengths)[:m]
+        return np.flatnonzero(inside), at[inside]
 
 
 def levels(least: int) -> list[int]:
@@ -87,29 +93,26 @@ def _occurrences(docs: DataFrame, least: int, sizes: list[int], level: int) -> D
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for batch in batches:
-            out: list[tuple] = []
-            held = batch.column("held") if level else None
-            for i, text in enumerate(batch.column("text")):
-                words = (text.as_py() or b"").split()
-                if len(words) < least:
+            texts = [text.split() for text in batch.column("text").to_pylist()]
+            before = np.cumsum([0, *map(len, texts)]) // WORDS_AT_ONCE
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(before[:-1])) + 1):
+                windows = Windows([texts[i] for i in some], powers)
+                if windows.n < least:
                     continue
-                windows = Windows(words, powers)
-                at = windows.parts(least, sizes[0])
+                begin, at = windows.parts(least, sizes[0])
                 if level:
                     # A window goes on if the part that stood for it did; from its first part on it grows to the left or right, within the window.
-                    before = np.minimum(at, np.arange(len(at)) + least - sizes[level - 1])
-                    alive = np.zeros(len(words), bool)
-                    alive[np.asarray(held[i].values, np.int64)] = True
-                    at = np.minimum(at, np.arange(len(at)) + least - sizes[level])[alive[before]]
-                at = np.unique(at)
-                out.append((i, at, windows.hashes(sizes[level], at), windows.hashes(sizes[level], at, 1) if last else np.zeros(len(at), np.uint64)))
-            rows = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)
-            join = lambda k, t: np.concatenate([x[k] for x in out]).astype(t) if out else np.zeros(0, t)
-            for a in range(0, max(len(rows), 1), 1 << 20):
-                cut_ = slice(a, a + (1 << 20))
-                mine = pa.array(rows[cut_])
-                columns = [join(2, np.uint64)[cut_].view(np.int64), join(3, np.uint64)[cut_].view(np.int64), batch.column("doc_id").take(mine), batch.column("text_hash").take(mine), join(1, np.int32)[cut_]]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["h", "h2", "doc_id", "text_hash", "at"])
+                    held = batch.column("held").take(pa.array(some))
+                    alive = np.zeros(windows.n, bool)
+                    alive[np.asarray(held.flatten(), np.int64) + np.repeat(windows.starts, np.asarray(held.value_lengths()))] = True
+                    goes_on = alive[np.minimum(at, begin + least - sizes[level - 1])]
+                    at = np.minimum(at, begin + least - sizes[level])[goes_on]
+                at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # they never decrease
+                text = np.repeat(np.arange(len(some)), windows.lengths)[at]
+                second = windows.hashes(sizes[level], at, 1) if last else np.zeros(len(at), np.uint64)
+                row = pa.array(some[text])
+                columns = [pa.array(windows.hashes(sizes[level], at).view(np.int64)), pa.array(second.view(np.int64)), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array((at - windows.starts[text]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "h2", "doc_id", "text_hash", "at"])
 
     return docs.mapInArrow(of, "h long, h2 long, doc_id long, text_hash long, at int")
 

@@ -36,7 +36,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     Returns doc_id, text_hash, n_words, n_hit (words inside any occurrence of an item's window), n_items (items with
     an occurring window), item_ids (sorted as strings) and contaminated (n_hit > 0), one row per row of docs. A null or wordless text
     has no hits; items with a null id or no words take no part; equal item rows count once. Rows of docs with equal doc_id are judged by
-    their own texts. Other columns of either table don't matter.
+    their own texts. Whole texts count, however long; an empty table of documents gives an empty table, one of items hits
+    nothing. Other columns of either table don't matter.
     """
     listed = windows(benchmark, size)
     distinct = listed.groupBy("window").agg(F.max("n").alias("n"))

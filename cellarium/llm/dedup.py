@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellarium.llm.common import cut, drop, fresh_name, small_batches, spread_join
+from cellarium.llm.common import cut, drop, fresh_name, salted, small_batches, spread_join
 
 #: Minima in a signature, and the chance at most that a link at the threshold shares no band of it.
 MINIMA, MISSED = 128, 1e-5
@@ -189,9 +189,10 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
     same = cut(prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("rep")))
     reps = prints.filter("n > 0").groupBy("fp").agg(F.min("uid").alias("uid"), F.min_by(F.struct("n", "bands"), "uid").alias("x"))
     keyed = cut(reps.select("uid", "x.n", F.explode("x.bands").alias("bucket")))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = cut(keyed.join(shared.hint("merge"), "bucket").select("bucket", "uid", "n", "size"))
-    drop(keyed)
+    shared = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    hot = salted(shared.withColumnRenamed("size", "n"), ["bucket"])
+    members = cut(spread_join(keyed, shared.hint("merge"), ["bucket"], hot=hot).select("bucket", "uid", "n", "size"))
+    drop(keyed, shared)
 
     def pairs_of(df: DataFrame) -> DataFrame:
         """Distinct pairs whose sizes allow the similarity."""
@@ -203,13 +204,13 @@ def links(prints: DataFrame, percent: int = 75) -> DataFrame:
 
     company = members.groupBy("uid").agg(F.sum("size").alias("company"))
     lead = members.join(company, "uid").groupBy("bucket").agg(F.max(F.struct("company", "uid", "n")).alias("x")).select("bucket", F.col("x.uid").alias("a"), F.col("x.n").alias("n_a"))
-    first = cut(pairs_of(spread_join(side(members, "b"), lead, ["bucket"]).filter("a <> b")))
+    first = cut(pairs_of(spread_join(side(members, "b"), lead, ["bucket"], hot=hot).filter("a <> b")))
     held = components(verify(first, prints, percent))
     drop(first)
 
     labelled = cut(members.filter("size > 2").join(held.withColumnRenamed("node", "uid"), "uid", "left").select("bucket", "uid", "n", F.coalesce("component", "uid").alias("component")))
     parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter("parts > 1")
-    still = cut(labelled.join(parts, "bucket").select("bucket", "uid", "n", "component", "main"))
+    still = cut(spread_join(labelled, parts, ["bucket"], hot=hot).select("bucket", "uid", "n", "component", "main"))
     drop(members, labelled)
     if not still.isEmpty():
         whole = still.groupBy("uid").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.collect_set("bucket").alias("buckets"))  # at most one for each band
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     component_id is the smallest doc_id that links reach; a text that is null or has no words links with nothing. A
     null doc_id has links too but is never the smallest unless alone. kept: doc_id is component_id. Rows of equal
-    doc_id and text are one group of several rows. Other columns of docs don't matter; uid numbers the rows.
+    doc_id and text are one group of several rows. Whole texts count, however long; an empty table gives an empty table. Other columns of docs don't matter; uid numbers the rows.
     """
     prints = cut(fingerprints(docs, percent))
     found = cut(links(prints, percent))

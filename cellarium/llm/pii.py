@@ -21,7 +21,7 @@ ROUNDS = 8
 
 _PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-]))
-    |(?<!\w)(?i:password|token|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<secret>[0-9a-fA-F]{16,64})(?!\w)
+    |(?<!\w)(?i:password|token|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}["']?(?P<secret>[0-9a-fA-F]{16,})(?!\w)
     |(?<!\w)AKIA(?P<access>[0-9A-Z]{16})(?!\w)
     |(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<![\w+])\([0-9]{3}\)[ ]?[0-9]{3}[-. ][0-9]{4}(?!\w)|(?<![\w+.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![\w-]))

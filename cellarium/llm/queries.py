@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import langid, toxicity
-from cellarium.llm.common import shared_folder, table
+from cellarium.llm.common import finished, shared_folder, table
 from cellarium.llm.decontamination import decontaminate
 from cellarium.llm.dedup import near_duplicates
 from cellarium.llm.packing import pack_documents
@@ -34,7 +34,7 @@ def fold(parts: int) -> Column:
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+    return finished(lambda: nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5))
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0)
+    return finished(lambda: pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=2048, end_id=0))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    judged = finished(lambda: decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
     digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
     return judged.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 

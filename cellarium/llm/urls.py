@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarium.llm.common import spread_join
+
 #: Hex digits of the digest that the join compares first.
 SHORT = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,7 +34,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     (host and path together) wins; among equally long ones that with the longer host, then a block. Returns page_id,
     url, host, path, rule (host and path of the winner, or null) and verdict (the winner's, or default), one row per
     row of pages. Urls are judged once for each distinct host and path. A null url has an empty host and path.
-    Rules that hold a null are left out. Other columns of either table don't matter.
+    Whole urls count, however long, an empty table of pages gives an empty table, and without rules all have the default. Rules that hold a null are left out. Other columns of either table don't matter.
     """
     rules = rules.select("host", "path", "verdict").dropna().distinct()
     digest = F.sha2(F.concat("host", "path").cast("binary"), 256)
@@ -53,4 +55,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     hits = expanded.join(listed, F.substring("found", 1, SHORT) == F.col("short")).filter(F.col("found") == F.col("digest"))
     order = F.struct(F.length("rule"), F.col("host_length"), F.col("verdict") == "block")
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # All urls without a host share a key, and so may those of one page.
+    return spread_join(urls, best, ["host", "path"], "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -403,3 +403,36 @@ def test_hot_keys_are_dealt_to_tasks(spark, monkeypatch):
     for how in ("inner", "left"):
         got = sorted((r.k, r.v, r.f or "") for r in common.spread_join(rows, facts, ["k"], how).collect())
         assert got == sorted((r.k, r.v, r.f or "") for r in rows.join(facts, ["k"], how).collect())
+
+
+def test_long_secrets_are_replaced(spark):
+    secret = "0123456789abcdef" * 40
+    for n in (16, 64, 65, 66, 200, 640):
+        text = pii.pseudonymise(spark.createDataFrame([(1, f"token = {secret[:n]} end")], "doc_id long, text string"), b"k").first().text
+        assert re.fullmatch(rf"token = [0-9a-f]{{{n}}} end", text) and secret[:n] not in text
+
+
+def test_finished_deletes_what_was_cut_on_the_way(spark):
+    from cellarium.llm import common
+
+    made = []
+
+    def work():
+        made.append(common.cut(spark.range(5)))
+        return made[0].filter("id > 2")
+
+    out = common.finished(work)
+    assert sorted(r.id for r in out.collect()) == [3, 4]
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|FileNotFound|does not exist"):
+        made[0].collect()
+
+
+def test_salts_follow_the_row(spark, monkeypatch):
+    """A row that is made again, in another order or partition, goes the same way, so joins of shuffled tables neither lose nor double rows."""
+    from cellarium.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(300).selectExpr("id % 2 AS k", "id AS v").repartition(7)
+    facts = spark.createDataFrame([(0, "a"), (1, "b")], "k long, f string")
+    plan = common.spread_join(rows, facts, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "monotonically" not in plan and sorted(r.v for r in common.spread_join(rows, facts, ["k"]).collect()) == list(range(300))

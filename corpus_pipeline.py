@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarium.llm import decontamination, dedup, packing, pii, toxicity
-from cellarium.llm.common import cut, table
+from cellarium.llm.common import drop, finished, table
 from cellarium.llm.queries import DEMO_KEY
 from cellarium.llm.tokens import vocabulary_path
 
@@ -67,8 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents; each stage's result is written and read again, and what is spent is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        drop(*before)
+        before = [docs]
+    return docs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellarium.functions.addresses import MAX_COL, MAX_ROW, range_a1
+from cellarium.operators.ranges import first_range
 
 
 def _range_of(key: Column, bounds: list) -> Column:
@@ -111,8 +112,12 @@ def intern_strings(strings: DataFrame, wanted: DataFrame) -> DataFrame:
     kept = (strings.filter("simple") if "simple" in strings.columns else strings).groupBy("path", "text").agg(F.min("idx").alias("idx"))
     base = strings.groupBy("path").agg((F.max("idx") + 1).alias("base"))
     fresh = wanted.select("path", "text").filter("text IS NOT NULL").distinct().join(kept, ["path", "text"], "left_anti")
-    at = F.row_number().over(Window.partitionBy("path").orderBy("text")) - 1
-    added = fresh.join(base, "path", "left").select("path", (F.coalesce("base", F.lit(0)) + at).alias("idx"), "text")
+    # Numbered by the first signs of the text: a rank within each, after those before.
+    staged = fresh.withColumn("_head", F.substring("text", 1, 2))
+    sizes = staged.groupBy("path", "_head").agg(F.count("*").alias("_n"))
+    before = sizes.select("path", "_head", (F.sum("_n").over(Window.partitionBy("path").orderBy("_head")) - F.col("_n")).alias("_before"))  # a row for each head
+    at = F.row_number().over(Window.partitionBy("path", "_head").orderBy("text")) - 1
+    added = staged.withColumn("_at", at).join(before, ["path", "_head"]).join(base, "path", "left").select("path", (F.coalesce("base", F.lit(0)) + F.col("_before") + F.col("_at")).alias("idx"), "text")
     return strings.select("path", "idx", "text").unionByName(added)
 
 
@@ -132,11 +137,20 @@ def resolve_styles(cells: DataFrame, xfs: DataFrame, fonts: DataFrame, fills: Da
 
 def column_widths(columns: DataFrame, spans: DataFrame, default: float) -> DataFrame:
     """columns (path, sheet, col) with width: the first span that holds the column, 0 if hidden, else default."""
-    s = spans.select("path", "sheet", "ord", "c0", "c1", "width", "hidden")
-    hits = columns.select("path", "sheet", "col").distinct().join(s, ["path", "sheet"]).filter(F.col("col").between(F.col("c0"), F.col("c1")))
-    first = hits.groupBy("path", "sheet", "col").agg(F.min_by(F.struct("width", "hidden"), "ord").alias("s"))
+    line = spans.select("path", "sheet", "ord", F.lit(0).alias("r0"), "c0", F.lit(0).alias("r1"), "c1", "width", "hidden")
+    asked = columns.select("path", "sheet", "col").distinct().withColumn("row", F.lit(0))
+    first = first_range(asked, line).select("path", "sheet", "col", "range")
     joined = columns.join(first, ["path", "sheet", "col"], "left")
-    return joined.withColumn("width", F.when(F.col("s").isNull(), F.lit(default)).when(F.col("s.hidden"), 0.0).otherwise(F.coalesce("s.width", F.lit(default)))).drop("s")
+    return joined.withColumn("width", F.when(F.col("range").isNull(), F.lit(default)).when(F.col("range.hidden"), 0.0).otherwise(F.coalesce("range.width", F.lit(default)))).drop("range")
+
+
+def row_heights(rows: DataFrame, heights: DataFrame, default: float) -> DataFrame:
+    """rows (path, sheet, row) with height: that of the last declaration (path, sheet, row, height, hidden) of the row, 0 if hidden,
+    else default. Declarations without a place of their own in order count by their height."""
+    order = F.col("ord") if "ord" in heights.columns else F.coalesce("height", F.lit(-1.0))
+    last = heights.groupBy("path", "sheet", "row").agg(F.max_by(F.struct("height", "hidden"), order).alias("_h"))
+    joined = rows.join(last, ["path", "sheet", "row"], "left")
+    return joined.withColumn("height", F.when(F.col("_h.hidden"), 0.0).otherwise(F.coalesce("_h.height", F.lit(default)))).drop("_h")
 
 
 def covered_cells(merges: DataFrame, max_rows: int = MAX_ROW + 1, max_cols: int = MAX_COL + 1) -> DataFrame:
@@ -196,8 +210,10 @@ def html_rows(cells: DataFrame, max_rows: int = 5000, max_cols: int = 256, merge
     kept = cells.filter((F.col("row") < max_rows) & (F.col("col") < max_cols))
     span = F.lit("")
     if merges is not None:
-        covered = covered_cells(merges.withColumn("ord", F.lit(0)) if "ord" not in merges.columns else merges, max_rows, max_cols)
-        kept = kept.join(covered.dropDuplicates(["path", "sheet", "row", "col"]), ["path", "sheet", "row", "col"], "left").filter("is_top_left IS NULL OR is_top_left")
+        listed = merges if "ord" in merges.columns else merges.withColumn("ord", F.lit(0))
+        first = (F.col("row") == F.col("range.r0")) & (F.col("col") == F.col("range.c0"))
+        kept = first_range(kept, listed).withColumn("is_top_left", first).filter("is_top_left IS NULL OR is_top_left")
+        kept = kept.withColumn("width", F.col("range.c1") - F.col("range.c0") + 1).withColumn("height", F.col("range.r1") - F.col("range.r0") + 1)
         attribute = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
         span = F.when(F.col("is_top_left"), F.concat(attribute("colspan", F.col("width")), attribute("rowspan", F.col("height")))).otherwise("")
     style = F.when(F.col("style") > 0, F.concat(F.lit(' class="x'), F.col("style").cast("string"), F.lit('"'))) if "style" in cells.columns else F.lit(None).cast("string")

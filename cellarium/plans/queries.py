@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
-from cellarium.operators import grid, package_edits, style_edits
+from cellarium.operators import grid, package_edits, ranges, style_edits
 from cellarium.plans import workbook
 from cellarium.sources import packages, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
@@ -257,6 +257,44 @@ def merge_cover(spark, sf_dir):
     return grid.covered_cells(merges).select("ord", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "is_top_left")
 
 
+_RANGES = "SELECT o_orderkey AS ord, o_orderkey % 4000 AS r0, o_custkey % 600 AS c0, o_orderkey % 4000 + o_custkey % 7 AS r1, o_custkey % 600 + o_orderkey % 5 AS c1 FROM orders WHERE o_orderkey % 997 <> 0 UNION ALL SELECT 100000000 + o_orderkey, 0, o_custkey % 600, 1048575, o_custkey % 600 FROM orders WHERE o_orderkey % 997 = 0 UNION ALL SELECT 200000000, 0, 0, 1048575, 16383"
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for each order, some of them whole columns, and one of the whole sheet that comes last."""
+    whole = F.col("o_orderkey") % 997 == 0
+    r0, c0 = F.when(whole, 0).otherwise(F.col("o_orderkey") % 4000), F.col("o_custkey") % 600
+    own = table(spark, sf_dir, "orders").select(F.when(whole, 100_000_000).otherwise(0).cast("long").alias("plus"), "o_orderkey", r0.alias("r0"), c0.alias("c0"), F.when(whole, addresses.MAX_ROW).otherwise(r0 + F.col("o_custkey") % 7).alias("r1"), F.when(whole, c0).otherwise(c0 + F.col("o_orderkey") % 5).alias("c1"))
+    listed = own.select((F.col("plus") + F.col("o_orderkey")).alias("ord"), *[F.col(c).cast("long").alias(c) for c in ("r0", "c0", "r1", "c1")])
+    sheet = spark.createDataFrame([(200_000_000, 0, 0, addresses.MAX_ROW, addresses.MAX_COL)], listed.schema)
+    return listed.unionByName(sheet).withColumn("path", F.lit("book")).withColumn("sheet", F.lit(0))
+
+
+@query(f"SELECT p_partkey, min(ord) AS ord, arg_min(r0, ord) AS r0, arg_min(c0, ord) AS c0, count(*) AS n FROM part JOIN ({_RANGES}) ON p_partkey * 7 % 5000 BETWEEN r0 AND r1 AND p_size * 13 % 700 BETWEEN c0 AND c1 GROUP BY p_partkey")
+def merge_lookup(spark, sf_dir):
+    """The first of many ranges that holds a cell, and how many do."""
+    points = table(spark, sf_dir, "part").select("p_partkey", F.lit("book").alias("path"), F.lit(0).alias("sheet"), (F.col("p_partkey") * 7 % 5000).alias("row"), (F.col("p_size") * 13 % 700).alias("col"))
+    listed = _merged(spark, sf_dir)
+    n = ranges.ranges_at(points, listed).groupBy("row", "col").agg(F.count("*").alias("n"))
+    found = ranges.first_range(points, listed).join(n, ["row", "col"])
+    return found.select("p_partkey", "range.ord", "range.r0", "range.c0", "n")
+
+
+@query("WITH m AS (SELECT c_custkey AS k, c_custkey % 900 AS r0, c_nationkey AS c0, c_custkey % 900 + c_custkey % 3 AS r1, c_nationkey + c_custkey % 4 AS c1 FROM customer) SELECT a.k AS a, b.k AS b FROM m a JOIN m b ON a.k < b.k AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1")
+def merge_overlaps(spark, sf_dir):
+    """Pairs of ranges that share a cell."""
+    k = F.col("c_custkey")
+    merges = table(spark, sf_dir, "customer").select(F.lit("book").alias("path"), F.lit(0).alias("sheet"), k.alias("k"), (k % 900).alias("r0"), F.col("c_nationkey").alias("c0"), (k % 900 + k % 3).alias("r1"), (F.col("c_nationkey") + k % 4).alias("c1"))
+    return ranges.overlapping(merges, merges).filter("a.k < b.k").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 30 IN (3, 5) THEN 0.0 WHEN o_orderkey % 30 < 10 THEN 20.0 + o_orderkey % 30 ELSE 15.0 END AS height FROM orders")
+def row_height_lookup(spark, sf_dir):
+    heights = spark.range(10).select(F.lit("book").alias("path"), F.lit(0).alias("sheet"), F.col("id").alias("row"), (F.col("id") + 20.0).alias("height"), F.col("id").isin(3, 5).alias("hidden"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("book").alias("path"), F.lit(0).alias("sheet"), (F.col("o_orderkey") % 30).alias("row"))
+    return grid.row_heights(rows, heights, 15.0).select("o_orderkey", "height")
+
+
 _CUSTOMER = _sql_grid("customer", "c_custkey", [("c_name", "s"), ("c_mktsegment", "s"), ("c_acctbal", "n")])
 
 
@@ -740,6 +778,37 @@ def xml_node_path(spark, sf_dir):
     return xml_events.node_paths(nodes).filter("local = 'name'").select("part", F.col("location").alias("path"))
 
 
+def _order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One part with an element for each order, and one in it."""
+    k = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 4096).alias("stretch"), "o_orderkey", F.concat(F.lit('<o k="'), k, F.lit('"><v/></o>')).alias("x"))
+    pieces = rows.groupBy("stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "x"))), lambda s: s["x"]), "").alias("x"))
+    whole = pieces.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stretch", "x"))), lambda s: s["x"]), "").alias("x"))
+    return whole.select(F.lit("book").alias("path"), F.lit("/one.xml").alias("part"), F.concat(F.lit("<all>"), "x", F.lit("</all>")).cast("binary").alias("bytes"))
+
+
+@query("SELECT o_orderkey, CAST(2 * row_number() OVER (ORDER BY o_orderkey) - 1 + o_orderkey % 2 AS BIGINT) AS node_id FROM orders")
+def xml_node_at_wide(spark, sf_dir):
+    """Elements of one large part by a byte: one that only an element covers, or its child too."""
+    events = stored(xml_events.xml_events(_order_part(spark, sf_dir)))
+    starts = xml_events.attributes(events).select("path", "part", "node_id", F.col("value").cast("long").alias("o_orderkey")).join(events.filter("kind = 'Start'").select("path", "part", "node_id", "start"), ["path", "part", "node_id"])
+    asked = starts.select("path", "part", "o_orderkey", (F.col("start") + F.when(F.col("o_orderkey") % 2 == 1, 18).otherwise(4)).alias("offset"))
+    return xml_events.nodes_at(events, asked).select("o_orderkey", "node_id")
+
+
+@query("SELECT CAST(n_regionkey AS VARCHAR) AS part, '<region>' || string_agg('<!--first-->' || '<?p ' || CAST(n_nationkey AS VARCHAR) || '?><!--late--><nation key=\"' || CAST(n_nationkey AS VARCHAR) || '\"><name>' || n_name || '</name><b n=\"1\">x</b><a/><z/></nation>', '' ORDER BY n_nationkey) || '</region>' AS xml FROM nation GROUP BY n_regionkey")
+def xml_insert_order(spark, sf_dir):
+    """Several fragments at one place, in the order of their edits, in two rounds; an element opened by its first child."""
+    events = stored(_nation_events(spark, sf_dir))
+    keys = xml_events.attributes(events).select("path", "part", "node_id", F.col("value").alias("k"))
+    before = keys.select("path", "part", "node_id", F.explode(F.array(F.struct(F.lit(2).alias("ord"), F.concat(F.lit("<?p "), "k", F.lit("?>")).alias("xml")), F.struct(F.lit(1).alias("ord"), F.lit("<!--first-->").alias("xml")))).alias("e")).select("path", "part", "node_id", "e.*")
+    children = keys.select("path", "part", "node_id", F.explode(F.array(F.struct(F.lit(8).alias("ord"), F.lit("<a/>").alias("xml")), F.struct(F.lit(7).alias("ord"), xml_events.new_element(F.lit("b"), [("n", F.lit("1")), ("m", F.lit(None).cast("string"))], F.lit("x")).alias("xml")))).alias("e")).select("path", "part", "node_id", "e.*")
+    edited = stored(xml_events.append_children(stored(xml_events.insert_before(events, before)), children))
+    edited = xml_events.insert_before(edited, keys.select("path", "part", "node_id", F.lit("<!--late-->").alias("xml")))
+    edited = xml_events.append_children(stored(edited), keys.select("path", "part", "node_id", F.lit("<z/>").alias("xml")))
+    return xml_events.serialize(edited).select("part", F.decode("bytes", "utf-8").alias("xml"))
+
+
 def _nation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_events.xml_events(_region_xml(spark, sf_dir))
 

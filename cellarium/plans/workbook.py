@@ -10,8 +10,8 @@ from cellarium.functions.addresses import a1, parse_range, row_index
 from cellarium.functions.formulas import translate_formula
 from cellarium.functions.styles import is_date_format
 from cellarium.operators.package_edits import main_parts
-from cellarium.sources.packages import parts, spreadsheet_nodes, xml_nodes
-from cellarium.sources.sheets import sheet_cells, string_items
+from cellarium.sources.books import book_rows, rows_of
+from cellarium.sources.packages import spreadsheet_nodes
 from cellarium.sources.tables import stored
 
 # Types of relationships.
@@ -69,7 +69,9 @@ def typed_cells(raw: DataFrame, strings: DataFrame) -> DataFrame:
     """
     cells = raw.filter("cell_ord IS NOT NULL OR _error IS NOT NULL").withColumn("ty", F.when(F.col("cell_ord").isNotNull(), values.parse_type(F.col("t"))))
     cells = cells.withColumn("idx", F.when(F.col("ty") == "s", values.parse_index(F.col("v"))))
-    cells = cells.join(strings.select("path", "idx", F.col("text").alias("shared")), ["path", "idx"], "left")
+    # Cells without an index have keys of their own, which no string has, so that they do not meet in one task.
+    key = F.coalesce("idx", -1 - F.pmod(F.hash("row", "col"), F.lit(4096)).cast("long"))
+    cells = cells.withColumn("_idx", key).join(strings.select("path", F.col("idx").alias("_idx"), F.col("text").alias("shared")), ["path", "_idx"], "left")
     number, truth, error = values.parse_number(F.col("v")), values.parse_bool(values.trimmed(F.col("v"))), values.parse_error(values.trimmed(F.col("v")))
     inline, style, index = F.col("is_text").isNotNull(), values.parse_index(F.col("s")), values.parse_index(F.col("f_si"))
     area = parse_range(F.col("f_ref"))
@@ -109,7 +111,9 @@ def is_shared_follower(cells: DataFrame) -> Column:
 def expand_shared(cells: DataFrame) -> DataFrame:
     """cells with the formula of each follower of a shared group: its master's, translated by the distance between them."""
     master = cells.filter("f_kind = 'shared' AND f_range IS NOT NULL").groupBy("path", "part", "f_si").agg(F.min_by(F.struct("f_text", "row", "col"), F.struct("row", "col")).alias("m"))
-    joined = cells.join(master, ["path", "part", "f_si"], "left")
+    # Cells without a group have keys of their own, which no master has.
+    key = lambda: F.coalesce("f_si", -1 - F.pmod(F.hash("row", "col"), F.lit(4096)).cast("long"))
+    joined = cells.withColumn("_si", key()).join(master.withColumnRenamed("f_si", "_si"), ["path", "part", "_si"], "left")
     moved = translate_formula(F.col("m.f_text"), F.col("row") - F.col("m.row"), F.col("col") - F.col("m.col"))
     follows = (F.col("f_kind") == "shared") & F.col("f_range").isNull() & F.col("m").isNotNull()
     return joined.withColumn("f_text", F.when(follows, moved).otherwise(F.col("f_text"))).select(cells.columns)
@@ -162,14 +166,17 @@ def cell_formats(nodes: DataFrame) -> DataFrame:
     return xfs.select("path", F.col("ord").cast("long").alias("style"), *ids, flag("applyFont").alias("apply_font"), flag("applyFill").alias("apply_fill"), flag("applyBorder").alias("apply_border"))
 
 
+def workbook_parts(nodes: DataFrame) -> DataFrame:
+    """path and part (null without one) of each package's workbook, from the nodes of its relationships and workbook parts."""
+    found = spreadsheet_nodes(nodes).filter("local = 'workbook' AND depth = 0").select("path", "part")
+    return main_parts(nodes, relationships(nodes.filter("lower(part) LIKE '%.rels'")), found, "/officeDocument", "/", "/xl/workbook.xml")
+
+
 def workbook_sheets(nodes: DataFrame) -> DataFrame:
     """sheets() of each package's main part, from the nodes of its relationships and workbook parts; owner is the main part."""
-    rels = relationships(nodes.filter("lower(part) LIKE '%.rels'"))
     books = spreadsheet_nodes(nodes.filter("lower(part) NOT LIKE '%.rels'"))
-    found = books.filter("local = 'workbook' AND depth = 0").select("path", "part")
-    main = main_parts(nodes, rels, found, "/officeDocument", "/", "/xl/workbook.xml")
-    own = books.join(main.filter("part IS NOT NULL"), ["path", "part"], "left_semi")
-    return sheets(own, rels)
+    own = books.join(workbook_parts(nodes).filter("part IS NOT NULL"), ["path", "part"], "left_semi")
+    return sheets(own, relationships(nodes.filter("lower(part) LIKE '%.rels'")))
 
 
 def string_parts(nodes: DataFrame, items: DataFrame) -> DataFrame:
@@ -184,15 +191,32 @@ def string_parts(nodes: DataFrame, items: DataFrame) -> DataFrame:
 def read_cells(found: DataFrame) -> DataFrame:
     """All typed cells of packages (path, content), with the name and number of their sheet.
 
-    The sheets and the table of strings are those that relationships lead to, whatever their names. What can't be read is a
-    row with _error: an archive or a workbook without a part, a sheet part without a cell. Packages are read three times: for
-    the few nodes of workbooks and relationships, for strings, and for cells.
+    The sheets and the table of strings are those that relationships lead to, whatever their names, and names of parts are equal
+    if they differ in the case of A-Z only. What can't be read is a row with _error: an archive (no part), a workbook that is
+    not there (WorkbookNotFound), a sheet whose relationship or part is not there (SheetNotFound), a part that ends too soon or
+    is no XML. Packages are read once.
     """
-    nodes = stored(xml_nodes(parts(found, roots={"workbook", "Relationships"})))
-    listed = workbook_sheets(nodes).filter("part IS NOT NULL").select("path", "part", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
-    items = stored(string_items(parts(found, roots={"sst"}).filter("part IS NOT NULL")))
+    return cells_of_books(stored(book_rows(found)))
+
+
+def cells_of_books(rows: DataFrame) -> DataFrame:
+    """read_cells() of the rows of book_rows(), which are read several times."""
+    nodes, items = rows_of(rows, "node"), rows_of(rows, "item")
+    listed = workbook_sheets(nodes).withColumn("_key", markup.part_key(F.col("part"))).select("path", "_key", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
     strings = shared_strings(items.join(string_parts(nodes, items), ["path", "part"], "left_semi"))
-    cells = typed_cells(sheet_cells(parts(found, roots={"worksheet"}).filter("part IS NOT NULL")), strings)
-    own = cells.join(listed, ["path", "part"])
-    faults = nodes.filter("_error IS NOT NULL").select("path", "part", "_error").unionByName(items.filter("_error IS NOT NULL").select("path", "part", "_error"))
-    return own.unionByName(faults, allowMissingColumns=True)
+    cells = typed_cells(rows_of(rows, "cell"), strings).withColumn("_key", markup.part_key(F.col("part")))
+    own = cells.join(listed, ["path", "_key"]).drop("_key")
+    # Faults of parts that matter, archives that can't be read, and what should be there and isn't.
+    faults = rows.filter("kind = 'fault'").select("path", "part", markup.part_key(F.col("part")).alias("_key"), "_error")
+    wanted = listed.select("path", "_key").unionByName(nodes.select("path", markup.part_key(F.col("part")).alias("_key"))).unionByName(items.select("path", markup.part_key(F.col("part")).alias("_key"))).distinct()
+    fixed = F.col("_key").endswith(".rels") | F.col("_key").isin("/xl/workbook.xml", "/xl/sharedstrings.xml")
+    bad = faults.filter(F.col("_key").isNull() | fixed).select("path", "part", "_error").unionByName(faults.filter(~fixed).join(wanted, ["path", "_key"], "left_semi").select("path", "part", "_error"))
+    there = rows.filter("part IS NOT NULL AND kind IN ('sheet', 'fault')").select("path", markup.part_key(F.col("part")).alias("_key")).distinct()
+    lost = listed.join(there, ["path", "_key"], "left_anti").select("path", "sheet_name", "sheet", F.lit("SheetNotFound").alias("_error"))
+    unread = faults.filter("part IS NULL").select("path")
+    books = workbook_parts(nodes).filter("part IS NOT NULL").select("path")
+    bookless = rows.select("path").distinct().join(unread, "path", "left_anti").join(books, "path", "left_anti").select("path", F.lit("WorkbookNotFound").alias("_error"))
+    out = own
+    for more in (bad, lost, bookless):
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

@@ -9,7 +9,6 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cellarium.functions.addresses import MAX_COL, MAX_ROW
 from cellarium.sources.packages import LIMITS, SML
@@ -23,9 +22,9 @@ CELL = "path string, part string, row_ord long, cell_ord long, row int, col int,
 ITEM = "path string, part string, idx long, text string, runs int, preserved int, simple boolean, _error string"
 
 
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    return pa.schema([(f.name, kinds[{"bigint": "long"}.get(f.dataType.simpleString(), f.dataType.simpleString())]) for f in StructType.fromDDL(ddl)])
+def arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
 class _Texts:
@@ -199,7 +198,7 @@ class _Items(_Reader):
 
 
 def _read(members: DataFrame, ddl: str, make: Callable[[dict], _Reader], limits: dict | None) -> DataFrame:
-    limits, schema = LIMITS | (limits or {}), _arrow(ddl)
+    limits, schema = LIMITS | (limits or {}), arrow_schema(ddl)
 
     def batch(path: str, part: str, rows: list[tuple]) -> pa.RecordBatch:
         columns = [[path] * len(rows), [part] * len(rows), *(zip(*rows, strict=True) if rows else [()] * (len(schema) - 2))]

@@ -1,6 +1,10 @@
 """XML parts as tables of events that tile the bytes: every byte belongs to one event, so the events give the part back.
 
-Edits are joins with that table: an event's text changes, events go, or fragments come in between.
+Edits are joins with that table: an event's text changes, events go, or fragments come in between. seq is a label that keeps order
+under edits: an array of numbers, compared from the first on. The n-th event of a part is [n, 0]; what comes before event [.., n, 0] is
+[.., n, -1, k, 0] with k counting on from edit to edit, and an end that an element gets of its own is [.., n, 1, 0].
+
+What lies in what is told by sweeps: starts, ends and questions of a part in one order, with a running count of what is open.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql.window import Window
 from cellarium.functions import markup
 from cellarium.sources.packages import LIMITS
 
-EVENT = "path string, part string, seq double, kind string, start long, end long, name string, empty boolean, depth int, node_id long, parent_id long, raw string, _error string"
+EVENT = "path string, part string, seq long, kind string, start long, end long, name string, empty boolean, depth int, node_id long, parent_id long, raw string, _error string"
 _NAME = rb"[^\s<>/=\"'?!][^\s<>/=\"']*"
 _EVENT = re.compile(
     rb"(?s)(?P<Decl><\?xml\s.*?\?>)|(?P<Pi><\?.*?\?>)|(?P<Comment><!--.*?-->)|(?P<CData><!\[CDATA\[.*?\]\]>)|(?P<Doctype><!DOCTYPE)"
@@ -40,7 +44,7 @@ def _events(content: bytes, limits: dict) -> Iterator[tuple]:
                 raise ValueError("DuplicateAttribute")
             if len(open_) >= limits["depth"] or len(names) > limits["attrs"] or nodes >= limits["nodes"] or not open_ and rooted:
                 raise ValueError("LimitDepth" if len(open_) >= limits["depth"] else "LimitAttrs" if len(names) > limits["attrs"] else "LimitNodes" if nodes >= limits["nodes"] else "Malformed")
-            yield float(seq), "Start", at, m.end(), m["start"].decode(), bool(m["closed"]), len(open_), nodes, parent, raw
+            yield seq, "Start", at, m.end(), m["start"].decode(), bool(m["closed"]), len(open_), nodes, parent, raw
             if not m["closed"]:
                 open_.append((m["start"], nodes))
             nodes, rooted = nodes + 1, True
@@ -48,12 +52,12 @@ def _events(content: bytes, limits: dict) -> Iterator[tuple]:
             if not open_ or open_[-1][0] != m["end"]:
                 raise ValueError("Malformed")
             name, node = open_.pop()
-            yield float(seq), "End", at, m.end(), name.decode(), False, len(open_), node, open_[-1][1] if open_ else None, raw
+            yield seq, "End", at, m.end(), name.decode(), False, len(open_), node, open_[-1][1] if open_ else None, raw
         else:
             kind = m.lastgroup
             if kind == "Text" and not open_ and raw.lstrip("\ufeff").strip() or kind == "CData" and not open_:
                 raise ValueError("Malformed")
-            yield float(seq), kind, at, m.end(), None, False, len(open_), None, parent, raw
+            yield seq, kind, at, m.end(), None, False, len(open_), None, parent, raw
         at, seq = m.end(), seq + 1
     if open_ or not rooted:
         raise ValueError("Malformed")
@@ -76,11 +80,11 @@ def xml_events(members: DataFrame, limits: dict | None = None) -> DataFrame:
                 except ValueError as e:
                     rows = [(path, part, *[None] * 10, "NotUtf8" if isinstance(e, UnicodeDecodeError) else str(e))]
                 out = pd.DataFrame(rows, columns=names, dtype=object)
-                for c in ("start", "end", "depth", "node_id", "parent_id"):
+                for c in ("seq", "start", "end", "depth", "node_id", "parent_id"):
                     out[c] = out[c].astype("Int64")
-                yield out.assign(seq=out["seq"].astype(float), empty=out["empty"].astype("boolean"))
+                yield out.assign(empty=out["empty"].astype("boolean"))
 
-    return members.select("path", "part", "bytes").mapInPandas(read, EVENT)
+    return members.select("path", "part", "bytes").mapInPandas(read, EVENT).withColumn("seq", F.when(F.col("seq").isNotNull(), F.array("seq", F.lit(0).cast("long"))))
 
 
 def is_blank(raw: Column) -> Column:
@@ -147,82 +151,110 @@ def set_attributes(events: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("raw", F.when((F.col("kind") == "Start") & F.col("_edits").isNotNull(), fresh).otherwise(F.col("raw"))).select(events.columns)
 
 
-def _spans(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path, part, node_id, first, last: where the elements of nodes (path, part, node_id) stand."""
-    return events.filter("kind IN ('Start', 'End')").join(nodes.select(_KEY).distinct(), _KEY).groupBy(*_KEY).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+_PART = ["path", "part"]
+
+
+def _marked(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """events with _mark (whether an event is a start or end of one of nodes), _step (1 where one opens, -1 where one closes) and
+    _level, how many of them are open after the event."""
+    marked = events.join(nodes.select(_KEY).distinct().withColumn("_mark", F.lit(True)), _KEY, "left").withColumn("_mark", F.coalesce("_mark", F.lit(False)))
+    step = F.when(F.col("_mark") & (F.col("kind") == "Start") & ~F.col("empty"), 1).when(F.col("_mark") & (F.col("kind") == "End"), -1).otherwise(0)
+    return marked.withColumn("_step", step).withColumn("_level", F.sum("_step").over(Window.partitionBy(*_PART).orderBy("seq")))
 
 
 def subtrees(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, part, node_id, xml: the text of each of these elements with all in it, to be put elsewhere."""
-    spans = _spans(events, nodes)
-    inside = events.select("path", "part", "seq", "raw").join(spans, ["path", "part"]).filter(F.col("seq").between(F.col("first"), F.col("last")))
-    return inside.groupBy(*_KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "raw"))), lambda x: x["raw"]), "").alias("xml"))
+    marked = _marked(events.filter("_error IS NULL"), nodes)
+    alone = (F.col("_mark") & F.col("empty") & (F.col("kind") == "Start")).cast("int")
+    held = marked.withColumn("_cover", F.col("_level") + F.when(F.col("_step") == -1, 1).otherwise(0) + alone).filter("_cover > 0")
+    each = held.withColumn("_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_cover"))))  # a row for each element around it
+    opens = F.when(F.col("_mark") & (F.col("kind") == "Start") & (F.col("_at") == F.col("_cover")), F.col("node_id"))
+    owner = F.last(opens, ignorenulls=True).over(Window.partitionBy(*_PART, "_at").orderBy("seq"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "raw")))
+    return each.withColumn("node_id", owner).groupBy(*_KEY).agg(F.array_join(F.transform(ordered, lambda x: x["raw"]), "").alias("xml"))
 
 
 def remove_nodes(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """events without these elements (path, part, node_id) and all in them."""
-    spans = _spans(events, nodes).drop("node_id").withColumnsRenamed({"path": "_path", "part": "_part"})
-    inside = (F.col("path") == F.col("_path")) & (F.col("part") == F.col("_part")) & F.col("seq").between(F.col("first"), F.col("last"))
-    return events.join(spans, inside, "left_anti")
+    return _marked(events, nodes).filter("_level = 0 AND NOT _mark").select(events.columns)
 
 
-def _fragment(df: DataFrame, seq: Column, events: DataFrame) -> DataFrame:
+def _insert(events: DataFrame, fragments: DataFrame) -> DataFrame:
+    """events with fragments (path, part, at, xml, ord) right before the events labelled at; those of one place in the order of
+    ord and then xml, after what earlier edits have put there."""
+    place = F.concat(F.slice("at", F.lit(1), F.size("at") - 1), F.array(F.lit(-1).cast("long")))
+    used = events.filter("kind = 'Fragment'").groupBy(*_PART, F.slice("seq", F.lit(1), F.size("seq") - 2).alias("_place")).agg(F.max(F.element_at("seq", -2)).alias("_used"))
+    at = F.row_number().over(Window.partitionBy(*_PART, "_place").orderBy("ord", "xml"))
+    placed = fragments.withColumn("_place", place).withColumn("_k", at).join(used, [*_PART, "_place"], "left")
+    seq = F.concat("_place", F.array((F.coalesce("_used", F.lit(-1)) + F.col("_k")).cast("long"), F.lit(0).cast("long")))
     known = {"path": F.col("path"), "part": F.col("part"), "seq": seq, "kind": F.lit("Fragment"), "raw": F.col("xml")}
-    return df.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    return events.unionByName(placed.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields]))
 
 
 def _opened(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """events in which these elements, if they were closed at once, have an end of their own."""
     marked = events.join(nodes.select(_KEY).distinct().withColumn("_open", F.lit(True)), _KEY, "left")
     both = F.col("_open") & F.col("empty") & (F.col("kind") == "Start")
+    end = F.concat(F.slice("seq", F.lit(1), F.size("seq") - 1), F.array(F.lit(1).cast("long"), F.lit(0).cast("long")))
     start = F.struct("kind", F.col("seq"), F.col("raw"), F.col("empty"))
     opened = F.array(
         F.struct(F.col("kind"), F.col("seq"), F.regexp_replace("raw", r"\s*/>$", ">").alias("raw"), F.lit(False).alias("empty")),
-        F.struct(F.lit("End").alias("kind"), (F.col("seq") + 0.75).alias("seq"), F.concat(F.lit("</"), F.col("name"), F.lit(">")).alias("raw"), F.lit(False).alias("empty")),
+        F.struct(F.lit("End").alias("kind"), end.alias("seq"), F.concat(F.lit("</"), F.col("name"), F.lit(">")).alias("raw"), F.lit(False).alias("empty")),
     )
     each = marked.withColumn("_e", F.explode(F.when(F.coalesce(both, F.lit(False)), opened).otherwise(F.array(start))))
     return each.select(*[F.col(f"_e.{c}").alias(c) if c in ("kind", "seq", "raw", "empty") else F.col(c) for c in events.columns])
 
 
+def _ordered(df: DataFrame) -> DataFrame:
+    return df if "ord" in df.columns else df.withColumn("ord", F.lit(0))
+
+
+def set_contents(events: DataFrame, edits: DataFrame) -> DataFrame:
+    """events after edits (path, part, node_id, xml; perhaps ord): all in the element gives way to the fragments."""
+    opened = _marked(_opened(events, edits), edits)
+    left = opened.filter(F.col("_level") - F.greatest(F.col("_step"), F.lit(0)) <= 0).select(events.columns)
+    return append_children(left, edits)
+
+
 def set_texts(events: DataFrame, edits: DataFrame) -> DataFrame:
     """events after edits (path, part, node_id, value): all in the element gives way to the text."""
-    opened = _opened(events, edits)
-    spans = _spans(opened, edits).drop("node_id").withColumnsRenamed({"path": "_path", "part": "_part"})
-    inside = (F.col("path") == F.col("_path")) & (F.col("part") == F.col("_part")) & (F.col("seq") > F.col("first")) & (F.col("seq") < F.col("last"))
-    left = opened.join(spans, inside, "left_anti")
-    starts = opened.filter("kind = 'Start'").select(*_KEY, "seq")
-    texts = edits.join(starts, _KEY).select("path", "part", "seq", markup.escape_text(F.col("value")).alias("xml"))
-    return left.unionByName(_fragment(texts, F.col("seq") + 0.5, events))
+    return set_contents(events, edits.select(*_KEY, markup.escape_text(F.col("value")).alias("xml")))
 
 
 def append_children(events: DataFrame, fragments: DataFrame) -> DataFrame:
-    """events with fragments (path, part, node_id, xml) as the last children of their elements."""
+    """events with fragments (path, part, node_id, xml; perhaps ord, which orders those of one place) as the last children of their elements."""
     opened = _opened(events, fragments)
-    ends = opened.filter("kind = 'End'").select(*_KEY, "seq")
-    return opened.unionByName(_fragment(fragments.join(ends, _KEY), F.col("seq") - 0.125, events))
+    ends = opened.filter("kind = 'End'").select(*_KEY, F.col("seq").alias("at"))
+    return _insert(opened, _ordered(fragments).join(ends, _KEY))
 
 
 def insert_before(events: DataFrame, fragments: DataFrame) -> DataFrame:
-    """events with fragments (path, part, node_id, xml) before their elements."""
-    starts = events.filter("kind = 'Start'").select(*_KEY, "seq")
-    return events.unionByName(_fragment(fragments.join(starts, _KEY), F.col("seq") - 0.25, events))
+    """events with fragments (path, part, node_id, xml; perhaps ord, which orders those of one place) before their elements."""
+    starts = events.filter("kind = 'Start'").select(*_KEY, F.col("seq").alias("at"))
+    return _insert(events, _ordered(fragments).join(starts, _KEY))
+
+
+def new_element(qname: Column, attributes: list[tuple[str, Column]], content: Column | None = None) -> Column:
+    """The text of an element with attributes that are not null, around a fragment or closed at once."""
+    given = [F.when(v.isNotNull(), F.concat(F.lit(f' {k}="'), markup.escape_attr(v, '"'), F.lit('"'))).otherwise("") for k, v in attributes]
+    head = F.concat(F.lit("<"), qname, *given)
+    closed = F.concat(head, F.lit("/>"))
+    return closed if content is None else F.when(content.isNull() | (content == ""), closed).otherwise(F.concat(head, F.lit(">"), content, F.lit("</"), qname, F.lit(">")))
 
 
 def node_paths(nodes: DataFrame) -> DataFrame:
     """nodes (of xml_nodes) with location: the steps from the root, numbered where siblings share a name.
 
-    A step is joined for each level; there are no more than the quota of depth.
+    Each node asks for its step at every depth above it, which is that of the last node before it in document order that is so deep.
     """
     same = Window.partitionBy("path", "part", "parent_id", "local")
     at, n = F.row_number().over(same.orderBy("ord")), F.count("*").over(same)
     steps = nodes.filter("_error IS NULL").withColumn("_step", F.concat(F.lit("/"), "local", F.when(n > 1, F.concat(F.lit("["), at.cast("string"), F.lit("]"))).otherwise("")))
-    deepest = steps.agg(F.max("depth")).first()[0] or 0
-    done = level = steps.filter("depth = 0").withColumn("location", F.col("_step"))
-    for depth in range(1, deepest + 1):
-        up = level.select("path", "part", F.col("node_id").alias("parent_id"), F.col("location").alias("_up"))
-        level = steps.filter(F.col("depth") == depth).join(up, ["path", "part", "parent_id"]).withColumn("location", F.concat("_up", "_step")).select(done.columns)
-        done = done.unionByName(level)
-    return done.drop("_step")
+    each = steps.select(*_KEY, "depth", "_step", F.explode(F.sequence(F.lit(0), "depth")).alias("_at"))
+    above = F.last(F.when(F.col("depth") == F.col("_at"), F.col("_step")), ignorenulls=True).over(Window.partitionBy(*_PART, "_at").orderBy("node_id"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_up"))), lambda x: x["_up"]), "")
+    places = each.withColumn("_up", above).groupBy(*_KEY).agg(joined.alias("location"))
+    return steps.drop("_step").join(places, _KEY)
 
 
 def extents(events: DataFrame) -> DataFrame:
@@ -231,10 +263,16 @@ def extents(events: DataFrame) -> DataFrame:
 
 
 def nodes_at(events: DataFrame, offsets: DataFrame) -> DataFrame:
-    """offsets (path, part, offset) with node_id: the deepest element that covers the byte; null where none does."""
-    spans = extents(events)
-    hits = offsets.select("path", "part", "offset").distinct().join(spans, ["path", "part"]).filter((F.col("from") <= F.col("offset")) & (F.col("offset") < F.col("to")))
-    return offsets.join(hits.groupBy("path", "part", "offset").agg(F.max_by("node_id", "depth").alias("node_id")), ["path", "part", "offset"], "left")
+    """offsets (path, part, offset) with node_id: the deepest element that covers the byte; null where none does.
+
+    Events tile a part, so the last event that begins at or before the byte says it: one sorted stream of events and questions.
+    """
+    tiles = events.filter("_error IS NULL AND start IS NOT NULL").select(*_PART, F.col("start").alias("_pos"), F.lit(0).alias("_asked"), F.struct("end", F.coalesce("node_id", "parent_id").alias("node_id")).alias("_tile"))
+    asked = offsets.select(*_PART, F.col("offset").cast("long").alias("_pos"), F.lit(1).alias("_asked"), F.struct(*offsets.columns).alias("_row"))
+    both = tiles.unionByName(asked, allowMissingColumns=True)
+    last = F.last("_tile", ignorenulls=True).over(Window.partitionBy(*_PART).orderBy("_pos", "_asked"))
+    found = both.withColumn("_tile", last).filter("_asked = 1")
+    return found.select("_row.*", F.when(F.col("_pos") < F.col("_tile.end"), F.col("_tile.node_id")).alias("node_id"))
 
 
 def declarations(events: DataFrame) -> DataFrame:
@@ -244,11 +282,21 @@ def declarations(events: DataFrame) -> DataFrame:
 
 
 def resolve_prefixes(events: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (path, part, node_id, prefix) with uri: the innermost declaration around the element or its own; null without one."""
-    spans = extents(events)
-    around = declarations(events).join(spans, _KEY).select("path", "part", "prefix", "uri", "depth", "from", "to")
-    places = asked.select(*_KEY, "prefix").distinct().join(spans.select(*_KEY, F.col("from").alias("_at")), _KEY)
-    hits = places.join(around, ["path", "part", "prefix"]).filter((F.col("from") <= F.col("_at")) & (F.col("_at") < F.col("to")))
-    found = hits.groupBy(*_KEY, "prefix").agg(F.max_by("uri", "depth").alias("uri"))
-    joined = asked.join(found, [*_KEY, "prefix"], "left")
-    return joined.withColumn("uri", F.when(F.col("prefix") == "xml", "http://www.w3.org/XML/1998/namespace").otherwise(F.nullif("uri", F.lit(""))))
+    """asked (path, part, node_id, prefix) with uri: the innermost declaration around the element or its own; null without one.
+
+    A sweep for each prefix: declarations open and close, a running count says how many are open, and the last that opened at a
+    question's level is the innermost one.
+    """
+    ends = events.filter("kind = 'End' OR kind = 'Start' AND empty").select(*_KEY, F.col("seq").alias("_close"))
+    starts = events.filter("kind = 'Start'").select(*_KEY, "seq")
+    declared = declarations(events).join(starts, _KEY).join(ends, _KEY)
+    opens = declared.select(*_PART, "prefix", "seq", F.lit(0).alias("_phase"), F.lit(1).alias("_step"), F.struct("uri").alias("_uri"))
+    closes = declared.select(*_PART, "prefix", F.col("_close").alias("seq"), F.lit(2).alias("_phase"), F.lit(-1).alias("_step"))
+    questions = asked.join(starts, _KEY, "left").select(*_PART, "prefix", "seq", F.lit(1).alias("_phase"), F.lit(0).alias("_step"), F.struct(*[asked[c] for c in asked.columns]).alias("_row"))
+    stream = opens.unionByName(closes, allowMissingColumns=True).unionByName(questions, allowMissingColumns=True)
+    one = [*_PART, "prefix"]
+    leveled = stream.withColumn("_level", F.sum("_step").over(Window.partitionBy(*one).orderBy("seq", "_phase").rowsBetween(Window.unboundedPreceding, 0)))
+    innermost = F.last(F.when(F.col("_phase") == 0, F.col("_uri")), ignorenulls=True).over(Window.partitionBy(*one, "_level").orderBy("seq", "_phase"))
+    found = leveled.withColumn("_found", F.when(F.col("_level") > 0, innermost)).filter("_phase = 1")
+    uri = F.when(F.col("prefix") == "xml", "http://www.w3.org/XML/1998/namespace").otherwise(F.nullif("_found.uri", F.lit("")))
+    return found.withColumn("uri", uri).select("_row.*", "uri")

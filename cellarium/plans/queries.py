@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
 from cellarium.operators import grid, package_edits, ranges, style_edits
-from cellarium.plans import workbook
+from cellarium.plans import saving, workbook
 from cellarium.sources import packages, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
 from cellarium.streaming.ingest import ingest_packages
@@ -675,6 +675,25 @@ def package_edit_roundtrip(spark, sf_dir):
     return saved.join(old, ["path", "part"], "left").select("path", "part", F.when(F.col("old") == F.col("bytes"), "kept").otherwise(F.decode("bytes", "utf-8")).alias("text"))
 
 
+@query(f"""WITH {_ORDERS}, c AS (SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS path, row % {BOOK_ROWS} AS row, col, value_kind, num, text, row AS k FROM g)
+SELECT path, CAST(row AS INTEGER) AS row, col, CASE WHEN col = 1 AND k % 10 = 0 THEN 'text' WHEN col = 3 AND k % 10 = 1 THEN 'bool' ELSE value_kind END AS value_kind,
+       CASE WHEN col = 1 AND k % 10 = 0 OR col = 3 AND k % 10 = 1 THEN NULL ELSE num END AS num, CASE WHEN col = 1 AND k % 10 = 0 THEN 'new ' || CAST(k AS VARCHAR) WHEN col = 4 AND k % 10 = 2 THEN NULL ELSE text END AS text, CASE WHEN col = 3 AND k % 10 = 1 THEN true END AS bool FROM c WHERE NOT (col = 4 AND k % 10 = 2)
+UNION ALL SELECT path, CAST(row AS INTEGER), col, 'empty', NULL, NULL, NULL FROM c WHERE col = 4 AND k % 10 = 2
+UNION ALL SELECT path, CAST(row AS INTEGER), 9, 'number', k + 0.5, NULL, NULL FROM c WHERE col = 0 AND k % 10 = 3
+UNION ALL SELECT DISTINCT path, 1000, 2, 'text', NULL, 'end', NULL FROM c""")
+def sheet_edit_roundtrip(spark, sf_dir):
+    """Texts, truth values, cleared and new cells and a new row written into packages and read back."""
+    built = _built(spark, sf_dir)
+    number = orders_grid(spark, sf_dir).filter("col = 0").select(F.concat(F.lit("book"), F.expr(f"cast(row div {BOOK_ROWS} as int)").cast("string")).alias("path"), (F.col("row") % BOOK_ROWS).alias("row"), F.col("row").alias("k"))
+    none = {"num": F.lit(None).cast("double"), "text": F.lit(None).cast("string"), "bool": F.lit(None).cast("boolean")}
+    edit = lambda rows, row, col, kind, **value: rows.select("path", F.lit(0).alias("sheet"), row.alias("row"), F.lit(col).alias("col"), F.lit(1).alias("ord"), F.lit(kind).alias("value_kind"), *[v.alias(c) for c, v in (none | value).items()])
+    at = lambda n: number.filter(F.col("k") % 10 == n)
+    edits = edit(at(0), F.col("row"), 1, "text", text=F.concat(F.lit("new "), F.col("k").cast("string"))).unionByName(edit(at(1), F.col("row"), 3, "bool", bool=F.lit(True))).unionByName(edit(at(2), F.col("row"), 4, "clear")).unionByName(edit(at(3), F.col("row"), 9, "number", num=F.col("k") + 0.5)).unionByName(edit(number.select("path").distinct(), F.lit(1000), 2, "text", text=F.lit("end")))
+    saved, _ = saving.save_cells(built, edits)
+    back = workbook.read_cells(stored(saved))
+    return back.select("path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value_kind", "num", "text", "bool")
+
+
 @query(f"SELECT path, true AS marked FROM ({_BOOKS})")
 def recalc_marks(spark, sf_dir):
     text = F.decode("bytes", "utf-8")

@@ -202,13 +202,14 @@ def read_cells(found: DataFrame) -> DataFrame:
 def cells_of_books(rows: DataFrame) -> DataFrame:
     """read_cells() of the rows of book_rows(), which are read several times."""
     nodes, items = rows_of(rows, "node"), rows_of(rows, "item")
-    listed = workbook_sheets(nodes).withColumn("_key", markup.part_key(F.col("part"))).select("path", "_key", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
+    listed = stored(workbook_sheets(nodes)).withColumn("_key", markup.part_key(F.col("part"))).select("path", "_key", F.col("name").alias("sheet_name"), F.col("ord").alias("sheet"))
     strings = shared_strings(items.join(string_parts(nodes, items), ["path", "part"], "left_semi"))
     cells = typed_cells(rows_of(rows, "cell"), strings).withColumn("_key", markup.part_key(F.col("part")))
     own = cells.join(listed, ["path", "_key"]).drop("_key")
     # Faults of parts that matter, archives that can't be read, and what should be there and isn't.
     faults = rows.filter("kind = 'fault'").select("path", "part", markup.part_key(F.col("part")).alias("_key"), "_error")
-    wanted = listed.select("path", "_key").unionByName(nodes.select("path", markup.part_key(F.col("part")).alias("_key"))).unionByName(items.select("path", markup.part_key(F.col("part")).alias("_key"))).distinct()
+    led_to = relationships(nodes.filter("lower(part) LIKE '%.rels'")).filter(F.col("type").endswith("/officeDocument") | F.col("type").endswith("/sharedStrings")).select("path", markup.part_key(F.col("resolved")).alias("_key"))
+    wanted = listed.select("path", "_key").unionByName(led_to).unionByName(nodes.select("path", markup.part_key(F.col("part")).alias("_key"))).unionByName(items.select("path", markup.part_key(F.col("part")).alias("_key"))).distinct()
     fixed = F.col("_key").endswith(".rels") | F.col("_key").isin("/xl/workbook.xml", "/xl/sharedstrings.xml")
     bad = faults.filter(F.col("_key").isNull() | fixed).select("path", "part", "_error").unionByName(faults.filter(~fixed).join(wanted, ["path", "_key"], "left_semi").select("path", "part", "_error"))
     there = rows.filter("part IS NOT NULL AND kind IN ('sheet', 'fault')").select("path", markup.part_key(F.col("part")).alias("_key")).distinct()

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellarium.functions.markup import part_key
+
 # Quotas of the strict profile.
 LIMITS = {"input": 64 << 20, "entries": 8192, "part": 128 << 20, "total": 512 << 20, "ratio": 200, "depth": 256, "attrs": 4096, "nodes": 8_000_000, "name": 1024}
 #: No quota at all, for packages that one has made oneself.
@@ -159,6 +161,26 @@ def parts(found: DataFrame, pattern: str = ".*", limits: dict | None = None, roo
     return found.select("path", "content").mapInPandas(read, "path string, part string, bytes binary, _error string")
 
 
+def named_parts(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, part (as the archive names it), bytes of just the parts in wanted (path, part), whatever the case of A-Z; those that are
+    not there, or can't be read, are no rows."""
+    keys = wanted.groupBy("path").agg(F.collect_set(part_key(F.col("part"))).alias("keys"))  # parts of one package
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: list[tuple] = []
+            for path, content, asked in zip(frame["path"], frame["content"], frame["keys"], strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content or b""))
+                    named = [(i, "/" + i.orig_filename.lstrip("/")) for i in archive.infolist()]
+                    rows += [(path, name, archive.read(i)) for i, name in named if "".join(c.lower() if c.isascii() else c for c in name) in asked]
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "part", "bytes"], dtype=object)
+
+    return found.select("path", "content").join(keys, "path").mapInPandas(read, "path string, part string, bytes binary")
+
+
 class _Walk:
     """Rows of one part's elements, in document order."""
 

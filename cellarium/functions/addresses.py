@@ -33,19 +33,23 @@ def col_letters(col: Column | str) -> Column:
     )
 
 
+def letters_index(letters: Column) -> Column:
+    """The index of one to three letters of either case; -1 for none. Plain arithmetic on three digits, of which A is 1."""
+    padded = F.lpad(F.upper(letters), 3, "@")  # the sign before A
+    digit = lambda i: F.ascii(F.substring(padded, i, 1)) - 64
+    return digit(1) * 676 + digit(2) * 26 + digit(3) - 1
+
+
 def col_index(letters: Column | str) -> Column:
     """The inverse of col_letters, for either case; null for anything else and beyond the last column."""
-    def index(s: Column) -> Column:
-        digit = lambda i: F.ascii(F.substring(s, i, 1)) - 64
-        return F.when(F.length(s) == 1, digit(1)).when(F.length(s) == 2, digit(1) * 26 + digit(2)).otherwise(digit(1) * 676 + digit(2) * 26 + digit(3)) - 1
-
-    return let(F.upper(_col(letters)), lambda s: F.when(s.rlike("^[A-Z]{1,3}$"), let(index(s), lambda i: F.when(i <= MAX_COL, i.cast("int")))))
+    index = letters_index(F.regexp_extract(_col(letters), "^[A-Za-z]{1,3}$", 0))
+    return F.when(index.between(0, MAX_COL), index.cast("int"))
 
 
 def row_index(digits: Column | str) -> Column:
     """A row number counted from 1 to an index; null for 0, for more than seven digits and beyond the last row."""
-    value = let(_col(digits), lambda s: F.when(s.rlike("^[0-9]{1,7}$"), s.try_cast("long") - 1))
-    return let(value, lambda v: F.when(v.between(0, MAX_ROW), v.cast("int")))
+    value = F.regexp_extract(_col(digits), "^[0-9]{1,7}$", 0).try_cast("long") - 1
+    return F.when(value.between(0, MAX_ROW), value.cast("int"))
 
 
 def a1(row: Column | str, col: Column | str) -> Column:
@@ -56,9 +60,10 @@ def a1(row: Column | str, col: Column | str) -> Column:
 
 def parse_a1(address: Column | str) -> Column:
     """struct<row, col> of an address without `$`; null if it is not one."""
-    s = _col(address)
-    row, col = row_index(F.regexp_extract(s, "^[A-Za-z]{1,3}([0-9]{1,7})$", 1)), col_index(F.regexp_extract(s, "^([A-Za-z]{1,3})[0-9]{1,7}$", 1))
-    return let(F.struct(row.alias("row"), col.alias("col")), lambda x: F.when(x["row"].isNotNull() & x["col"].isNotNull(), x))
+    pattern, s = "^([A-Za-z]{1,3})([0-9]{1,7})$", _col(address)
+    row = F.regexp_extract(s, pattern, 2).try_cast("long") - 1
+    col = letters_index(F.regexp_extract(s, pattern, 1))
+    return F.when(row.between(0, MAX_ROW) & col.between(0, MAX_COL), F.struct(row.cast("int").alias("row"), col.cast("int").alias("col")))
 
 
 def parse_range(text: Column | str) -> Column:

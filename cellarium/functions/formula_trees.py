@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellarium.functions.formulas import _BODY, _SHEET, in_python
+from cellarium.functions.formulas import _BODY, _SHEET
 
 # How strongly infix operators bind, error literals, and how deep a formula may be.
 BINDING = {":": 8, " ": 7, "^": 5, "*": 4, "/": 4, "+": 3, "-": 3, "&": 2, "=": 1, "<>": 1, "<": 1, "<=": 1, ">": 1, ">=": 1}
@@ -20,6 +20,13 @@ SIGN_BINDING = 6
 ERRORS = ("#DIV/0!", "#N/A", "#VALUE!", "#NAME?", "#NULL!", "#NUM!", "#GETTING_DATA", "#SPILL!", "#CALC!", "#FIELD!", "#BLOCKED!", "#CONNECT!", "#UNKNOWN!", "#BUSY!", "#EXTERNAL!")
 MOST_DEPTH = 64
 
+def in_python(pattern: str) -> re.Pattern:
+    """A pattern of formulas.py for Python, which has no classes of letters and numbers but word characters."""
+    for java, python in ((r"[\p{L}\p{N}_.?\\]", r"[\w.?\\]"), (r"[\p{L}\p{N}_.(!]", r"[\w.(!]"), (r"[\p{L}\p{N}_.]", r"[\w.]"), (r"[\p{L}_\\]", r"(?:[^\W\d]|\\)"), (r"[\p{L}_]", r"[^\W\d]")):
+        pattern = pattern.replace(java, python)
+    return re.compile(pattern)
+
+
 NODE = "id int, parent int, ord int, depth int, kind string, text string, before string, after string"
 _LEXEME = in_python(
     rf"""(?s)(?P<blank>\s+)|(?P<string>"(?:[^"]|"")*")|(?P<ref>{_SHEET}?{_BODY})|(?P<error>{"|".join(map(re.escape, ERRORS))})|(?P<number>[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)|(?P<name>[\p{{L}}_\\][\p{{L}}\p{{N}}_.?\\]*)|(?P<sign><=|>=|<>|[-+*/^&=<>:%,;(){{}}])"""
@@ -165,32 +172,42 @@ def parse_text(text: str) -> list[dict]:
 
 
 def print_nodes(nodes: list[dict]) -> str:
-    """The text of a tree."""
+    """The text of a tree. Nodes are printed from the leaves up, so a tree may be as deep as it likes."""
+    inner: dict[int, list[str]] = {}
+    text = ""
+    order: list[dict] = []
     children: dict[int | None, list[dict]] = {}
     for n in sorted(nodes, key=lambda n: n["ord"]):
         children.setdefault(n["parent"], []).append(n)
-
-    def shown(n: dict) -> str:
-        inner = [shown(c) for c in children.get(n["id"], [])]
-        kind = n["kind"]
-        if kind == "binary":
-            body = inner[0] + n["before"] + n["text"].strip() + inner[1]
-        elif kind == "unary":
-            body = n["before"] + n["text"] + inner[0]
-        elif kind == "percent":
-            body = inner[0] + n["before"] + n["text"]
-        elif kind in ("call", "paren", "union", "array"):
-            first, last = "{}" if kind == "array" else "()"
-            joined = ",".join(inner).replace(",\0,", ";") if kind == "array" else ",".join(inner)
-            closing = n["after"] if kind == "call" and not inner else ""
-            return n["before"] + n["text"] + first + joined + closing + last + ("" if closing else n["after"])
-        elif kind == "row_end":
-            return "\0"
-        else:
-            body = n["before"] + n["text"]
-        return body + n["after"]
-
-    return shown(children[None][0])
+    todo = list(children.get(None, ())[:1])
+    while todo:
+        order.append(node := todo.pop())
+        todo += children.get(node["id"], ())
+    for n in reversed(order):  # the first child of a node, then its next, then the node itself
+        text = _shown(n, inner.pop(n["id"], []))
+        inner.setdefault(n["parent"], []).append(text)
+    return text
+
+
+def _shown(n: dict, inner: list[str]) -> str:
+    """The text of a node around that of its children."""
+    kind = n["kind"]
+    if kind == "binary":
+        body = inner[0] + n["before"] + n["text"].strip() + inner[1]
+    elif kind == "unary":
+        body = n["before"] + n["text"] + inner[0]
+    elif kind == "percent":
+        body = inner[0] + n["before"] + n["text"]
+    elif kind in ("call", "paren", "union", "array"):
+        first, last = "{}" if kind == "array" else "()"
+        joined = ",".join(inner).replace(",\0,", ";") if kind == "array" else ",".join(inner)
+        closing = n["after"] if kind == "call" and not inner else ""
+        return n["before"] + n["text"] + first + joined + closing + last + ("" if closing else n["after"])
+    elif kind == "row_end":
+        return "\0"
+    else:
+        body = n["before"] + n["text"]
+    return body + n["after"]
 
 
 def parse_formula(formula: Column) -> Column:

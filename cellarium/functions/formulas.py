@@ -1,21 +1,18 @@
 """Formula text: tokens, references, and their rewriting. Nothing is evaluated.
 
-A formula is cut into tokens by one pattern and only references change, so all else keeps its spelling. Listing
-tokens is a Column expression; rewriting hands each formula to a small function in Arrow batches, which remembers what it
-made of each reference. Column names in brackets, as in Sales[Q1], are no references and stay; a formula with them has no tree
+A formula is cut into tokens by one pattern and only references change, so all else keeps its spelling. Everything is a Column
+expression over the tokens. Column names in brackets, as in Sales[Q1], are no references and stay; a formula with them has no tree
 (formula_trees.py says why a formula has none).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cellarium.functions.addresses import MAX_COL, MAX_ROW
+from cellarium.functions.addresses import MAX_COL, MAX_ROW, col_letters, let, letters_index
 
 _SHEET = r"(?:'(?:[^']|'')+'!|(?:\[[0-9]+\])?[\p{L}_][\p{L}\p{N}_.]*(?::[\p{L}_][\p{L}\p{N}_.]*)?!)"
 _CELL = r"\$?[A-Za-z]{1,3}\$?[0-9]{1,7}"
@@ -40,185 +37,101 @@ def function_names(formula: Column) -> Column:
     return F.filter(F.regexp_extract_all(formula, F.lit(_PATTERN), _CALL_GROUP), lambda t: t != "")
 
 
+_SIGNS, _DIGITS, _ALPHABET = "$", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
-def in_python(pattern: str) -> re.Pattern:
-    """A pattern of this module for Python, which has no classes of letters and numbers but word characters."""
-    for java, python in ((r"[\p{L}\p{N}_.?\\]", r"[\w.?\\]"), (r"[\p{L}\p{N}_.(!]", r"[\w.(!]"), (r"[\p{L}\p{N}_.]", r"[\w.]"), (r"[\p{L}_\\]", r"(?:[^\W\d]|\\)"), (r"[\p{L}_]", r"[^\W\d]")):
-        pattern = pattern.replace(java, python)
-    return re.compile(pattern)
+def _point(text: Column) -> Column:
+    """struct<col, row, ca, ra> of one corner: null where it has no column or row, and which of them are absolute."""
+    letters, digits = F.translate(text, _DIGITS + _SIGNS, ""), F.translate(text, _ALPHABET + _SIGNS, "")
+    first, later = text.startswith("$"), F.substring(text, 2, 12).contains("$")
+    has = letters != ""
+    return F.struct(F.when(has, letters_index(letters)).alias("col"), F.when(digits != "", digits.cast("int") - 1).alias("row"), (first & has).alias("ca"), F.when(has, later).otherwise(first).alias("ra"))
 
 
-_TOKEN = in_python(_PATTERN)
-#: What may hold a reference and what may look like one; all else lies between matches.
-_SKIM = in_python(rf"(?s)\"(?:[^\"]|\"\")*\"|[\p{{L}}_][\p{{L}}\p{{N}}_.]*(?=\()|({_SHEET}?{_BODY})|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]|[\p{{L}}_\\][\p{{L}}\p{{N}}_.?\\]*|[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?")
-_PREFIX = re.compile(r"^(?:'(?:[^']|'')+'!|[^'!#$]*!)?")
-_POINT = re.compile(r"(\$?)([A-Za-z]{0,3})(\$?)([0-9]{0,7})")
+def _outside(points: Column) -> Column:
+    """Whether a corner lies beyond the sheet."""
+    return F.exists(points, lambda p: F.coalesce(~p["col"].between(0, MAX_COL), F.lit(False)) | F.coalesce(~p["row"].between(0, MAX_ROW), F.lit(False)))
 
-#: column, row (None where a reference has none) and which of them are absolute
-Point = tuple[int | None, int | None, bool, bool]
 
+def _split(ref: Column) -> Column:
+    """struct<prefix, points, valid> of a reference: its sheet with the sign after it, and its corners unless it is #REF! or beyond the sheet."""
+    body = F.when(ref.endswith("#REF!"), "#REF!").otherwise(F.substring_index(ref, "!", -1))
+    points = F.when(body != "#REF!", F.transform(F.split(body, ":"), _point))
+    return let(F.struct(F.substring(ref, F.lit(1), F.length(ref) - F.length(body)).alias("prefix"), points.alias("points")), lambda x: F.struct(x["prefix"].alias("prefix"), x["points"].alias("points"), (x["points"].isNotNull() & ~_outside(x["points"])).alias("valid")))
 
-def _parse(body: str) -> list[Point] | None:
-    """The one or two corners of a reference without its sheet; None for #REF! and what is beyond the sheet."""
-    points: list[Point] = []
-    for part in body.split(":"):
-        sign, letters, second, digits = _POINT.fullmatch(part).groups() if _POINT.fullmatch(part) else ("", "", "", "")
-        if not letters and not digits:
-            return None
-        col = None
-        for c in letters.upper():
-            col = (0 if col is None else col + 1) * 26 + ord(c) - 65
-        row = int(digits) - 1 if digits else None
-        if col is not None and col > MAX_COL or row is not None and not 0 <= row <= MAX_ROW:
-            return None
-        points.append((col, row, bool(letters and sign), bool(second if letters else sign)))
-    return points
 
+def _print(points: Column) -> Column:
+    """Corners as text in capitals; #REF! for null."""
+    sign = lambda on: F.when(on, "$").otherwise("")
+    one = lambda p: F.concat(F.when(p["col"].isNull(), "").otherwise(F.concat(sign(p["ca"]), col_letters(p["col"]))), F.when(p["row"].isNull(), "").otherwise(F.concat(sign(p["ra"]), (p["row"] + 1).cast("string"))))
+    return F.coalesce(F.array_join(F.transform(points, one), ":"), F.lit("#REF!"))
 
-def _letters(col: int) -> str:
-    out = ""
-    while col >= 0:
-        out, col = chr(65 + col % 26) + out, col // 26 - 1
-    return out
 
+def rewrite(formula: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """struct<text, changed>: a formula with each valid reference changed, given its sheet prefix and corners, and how many differ.
 
-def _print(points: list[Point] | None) -> str:
-    if points is None:
-        return "#REF!"
-    return ":".join(("$" * ca + _letters(c) if c is not None else "") + ("$" * ra + str(r + 1) if r is not None else "") for c, r, ca, ra in points)
-
-
-class Rewriter:
-    """Formulas with each valid reference changed, given its sheet prefix and corners; each reference is worked out once."""
-
-    MOST = 100_000
-
-    def __init__(self, change: Callable[[str, list[Point]], list[Point] | None]):
-        self.change, self.known, self.differ = change, {}, 0
-
-    def _fresh(self, ref: str) -> str:
-        prefix = _PREFIX.match(ref)[0]
-        points = _parse(ref[len(prefix) :])
-        fresh = ref if points is None else prefix + _print(self.change(prefix, points))
-        if len(self.known) < self.MOST:
-            self.known[ref] = fresh
-        return fresh
-
-    def _one(self, m: re.Match) -> str:
-        ref = m[1]
-        if ref is None:
-            return m[0]
-        fresh = self.known.get(ref) or self._fresh(ref)
-        self.differ += fresh != ref
-        return fresh
-
-    def __call__(self, formula: str | None) -> tuple[str | None, int]:
-        """The formula rewritten, and how many references differ."""
-        if formula is None:
-            return None, 0
-        self.differ = 0
-        return _SKIM.sub(self._one, formula), self.differ
-
-
-def _moved(low: int, high: int, at: int, count: int, insert: bool, most: int) -> tuple[int, int] | None:
-    """An interval after rows or columns come in or go; None if nothing is left or it leaves the sheet."""
-    if insert:
-        low, high = low + count * (low >= at), high + count * (high >= at)
-        return (low, high) if high <= most else None
-    low, high = low if low < at else max(at, low - count), high if high < at else max(at - 1, high - count)
-    return (low, high) if low <= high else None
-
-
-def _names(prefix: str) -> list[str]:
-    bare = prefix[:-1]
-    if bare.startswith("'"):
-        bare = bare[1:-1].replace("''", "'")
-    return re.sub(r"^\[[0-9]+\]", "", bare).split(":")
-
-
-def shifting(axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> Rewriter:
-    """Formulas after count rows or columns come in or go at `at`; `$` makes no difference.
-
-    A reference without a sheet moves if local, another if it names the edited sheet. Reversed areas stay reversed.
+    change gives new corners, or null for what is left as #REF!. A null formula gives null and none.
     """
-    k, most = (1, MAX_ROW) if axis == "row" else (0, MAX_COL)
-
-    def change(prefix: str, points: list[Point]) -> list[Point] | None:
-        if points[0][k] is None or not (sheet in _names(prefix) if prefix else local):
-            return points
-        ends = [p[k] for p in points]
-        moved = _moved(min(ends), max(ends), at, count, insert, most)
-        if moved is None:
-            return None
-        fresh = moved if ends[0] <= ends[-1] else moved[::-1]
-        return [(*p[:k], new, *p[k + 1 :]) for p, new in zip(points, fresh)]
-
-    return Rewriter(change)
+    cut = F.struct(F.regexp_extract_all(formula, F.lit(_PATTERN), 0).alias("all"), F.regexp_extract_all(formula, F.lit(_PATTERN), _REF_GROUP).alias("refs"))
+    fresh = lambda ref: F.when(ref == "", ref).otherwise(let(_split(ref), lambda x: F.when(x["valid"], F.concat(x["prefix"], _print(change(x["prefix"], x["points"])))).otherwise(ref)))
 
+    def joined(tokens: Column, refs: Column) -> Column:
+        text = F.array_join(F.zip_with(tokens["all"], refs, lambda t, r: F.when(r == "", t).otherwise(r)), "")
+        differ = F.size(F.filter(F.zip_with(tokens["refs"], refs, lambda a, b: a != b), lambda x: x))
+        return F.struct(text.alias("text"), F.when(refs.isNull(), 0).otherwise(differ).alias("changed"))
 
-def shift_text(formula: str | None, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> tuple[str | None, int]:
-    """One formula of shifting()."""
-    return shifting(axis, at, count, insert, sheet, local)(formula)
+    return let(cut, lambda t: let(F.transform(t["refs"], fresh), lambda r: joined(t, r)))
 
 
-def translating(d_row: int, d_col: int) -> Rewriter:
-    """Formulas copied by so many rows and columns: absolute parts stay, what leaves the sheet is #REF!."""
+def _names(prefix: Column) -> Column:
+    """The sheets that a prefix names: one, or the ends of a run of sheets; a number of another workbook is left out."""
+    bare = F.substring(prefix, F.lit(1), F.length(prefix) - 1)
+    plain = F.when(bare.startswith("'"), F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit("''"), F.lit("'"))).otherwise(bare)
+    return F.split(F.regexp_replace(plain, r"^\[[0-9]+\]", ""), ":")
 
-    def change(_: str, points: list[Point]) -> list[Point] | None:
-        fresh = [(c if c is None or ca else c + d_col, r if r is None or ra else r + d_row, ca, ra) for c, r, ca, ra in points]
-        return fresh if all((c is None or 0 <= c <= MAX_COL) and (r is None or 0 <= r <= MAX_ROW) for c, r, _, _ in fresh) else None
 
-    return Rewriter(change)
+def shift_formula(formula: Column, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> Column:
+    """struct<text, changed> of formulas after count rows or columns come in or go at `at`; `$` makes no difference.
 
+    A reference without a sheet moves if local, another if it names the edited sheet. Reversed areas stay reversed; what leaves
+    the sheet, or is left with nothing, is #REF!.
+    """
+    k, most = ("row", MAX_ROW) if axis == "row" else ("col", MAX_COL)
 
-def translate_text(formula: str | None, d_row: int, d_col: int) -> str | None:
-    """One formula of translating()."""
-    return translating(d_row, d_col)(formula)[0]
+    def moved(points: Column) -> Column:
+        a, b = F.get(points, F.lit(0))[k], F.element_at(points, -1)[k]
+        low, high = F.least(a, b), F.greatest(a, b)
+        if insert:
+            further = lambda x: F.when(x >= at, x + count).otherwise(x)
+            fresh, fits = (further(low), further(high)), further(high) <= most
+        else:
+            fresh = F.when(low < at, low).otherwise(F.greatest(F.lit(at), low - count)), F.when(high < at, high).otherwise(F.greatest(F.lit(at - 1), high - count))
+            fits = fresh[0] <= fresh[1]
+        new = lambda p: F.when(p[k] == low, fresh[0]).otherwise(fresh[1])
+        one = lambda p: F.struct((p["col"] if k == "row" else new(p)).alias("col"), (new(p) if k == "row" else p["row"]).alias("row"), p["ca"].alias("ca"), p["ra"].alias("ra"))
+        return F.when(fits, F.transform(points, one))
 
+    def change(prefix: Column, points: Column) -> Column:
+        named = F.array_contains(_names(prefix), sheet) if sheet is not None else F.lit(False)
+        concerns = F.get(points, F.lit(0))[k].isNotNull() & F.when(prefix == "", F.lit(local)).otherwise(named)
+        return F.when(concerns, moved(points)).otherwise(points)
 
-def shift_formula(formula: Column, axis: str, at: int, count: int, insert: bool, sheet: str | None = None, local: bool = True) -> Column:
-    """struct<text, changed> of shift_text."""
+    return rewrite(formula, change)
 
-    @F.pandas_udf("text string, changed int")
-    def shifted(found: pd.Series) -> pd.DataFrame:
-        shift = shifting(axis, at, count, insert, sheet, local)
-        return pd.DataFrame([shift(f) for f in found], columns=["text", "changed"])
 
-    return shifted(formula)
+def translate_formula(formula: Column, d_row: Column, d_col: Column) -> Column:
+    """Formulas copied by so many rows and columns: absolute parts stay, what leaves the sheet is #REF!. Null where one of the three is."""
 
+    def change(_: Column, points: Column) -> Column:
+        one = lambda p: F.struct(F.when(p["ca"], p["col"]).otherwise(p["col"] + d_col).cast("int").alias("col"), F.when(p["ra"], p["row"]).otherwise(p["row"] + d_row).cast("int").alias("row"), p["ca"].alias("ca"), p["ra"].alias("ra"))
+        return let(F.transform(points, one), lambda fresh: F.when(~_outside(fresh), fresh))
 
-def translate_formula(formula: Column, d_row: Column, d_col: Column) -> Column:
-    """translate_text of Columns; null where one of them is."""
-
-    @F.pandas_udf("string")
-    def translated(formula: pd.Series, d_row: pd.Series, d_col: pd.Series) -> pd.Series:
-        by_step: dict[tuple, Rewriter] = {}
-        out = []
-        for f, *step in zip(formula, d_row, d_col, strict=True):
-            if f is None or pd.isna(step).any():
-                out.append(None)
-                continue
-            move = by_step.get(tuple(step))
-            if move is None:
-                if len(by_step) > 1000:
-                    by_step.clear()
-                move = by_step[tuple(step)] = translating(int(step[0]), int(step[1]))
-            out.append(move(f)[0])
-        return pd.Series(out, dtype=object)
-
-    return translated(formula, d_row, d_col)
+    return F.when(d_row.isNotNull() & d_col.isNotNull(), rewrite(formula, change)["text"])
 
 
 def respell_formula(formula: Column) -> Column:
     """Every reference read and printed again: the same text for a formula whose references are in capitals."""
-
-    @F.pandas_udf("string")
-    def respelled(found: pd.Series) -> pd.Series:
-        same = Rewriter(lambda _, points: points)
-        return pd.Series([same(f)[0] for f in found], dtype=object)
-
-    return respelled(formula)
+    return rewrite(formula, lambda _, points: points)["text"]
 
 
 def book_index(sheet: Column) -> Column:
@@ -226,25 +139,15 @@ def book_index(sheet: Column) -> Column:
     return F.nullif(F.regexp_extract(sheet, r"^'?\[([0-9]{1,9})\]", 1), F.lit("")).cast("int")
 
 
-def _described(formula: str | None) -> list[dict]:
-    """Each reference of a formula in order: its sheet prefix as written, its kind and corners."""
-    out = []
-    for m in _TOKEN.finditer(formula or ""):
-        if m[_REF_GROUP] is None:
-            continue
-        prefix = _PREFIX.match(m[0])[0]
-        points = _parse(m[0][len(prefix) :])
-        first, last = (points[0], points[-1]) if points else ((None, None, False, False),) * 2
-        kind = "invalid" if points is None else "cols" if first[1] is None else "rows" if first[0] is None else "cell" if len(points) == 1 else "area"
-        out.append({"sheet": prefix[:-1] or None, "kind": kind, "c0": first[0], "r0": first[1], "c1": last[0], "r1": last[1], "c0_abs": first[2], "r0_abs": first[3], "c1_abs": last[2], "r1_abs": last[3]})
-    return out
-
-
 def reference_table(formula: Column) -> Column:
     """array of struct<sheet, kind, c0, r0, c1, r1, c0_abs, r0_abs, c1_abs, r1_abs> for the references of a formula."""
 
-    @F.pandas_udf("array<struct<sheet:string,kind:string,c0:int,r0:int,c1:int,r1:int,c0_abs:boolean,r0_abs:boolean,c1_abs:boolean,r1_abs:boolean>>")
-    def described(found: pd.Series) -> pd.Series:
-        return pd.Series([_described(f) for f in found], dtype=object)
+    def described(x: Column) -> Column:
+        first, last = F.get(x["points"], F.lit(0)), F.element_at(x["points"], -1)
+        kind = F.when(~x["valid"], "invalid").when(first["row"].isNull(), "cols").when(first["col"].isNull(), "rows").when(F.size(x["points"]) == 1, "cell").otherwise("area")
+        part = lambda p, c: F.when(x["valid"], p[c]) if c in ("col", "row") else F.when(x["valid"], p[c]).otherwise(False)
+        columns = {"c0": (first, "col"), "r0": (first, "row"), "c1": (last, "col"), "r1": (last, "row"), "c0_abs": (first, "ca"), "r0_abs": (first, "ra"), "c1_abs": (last, "ca"), "r1_abs": (last, "ra")}
+        sheet = F.nullif(F.substring(x["prefix"], F.lit(1), F.length(x["prefix"]) - 1), F.lit(""))
+        return F.struct(sheet.alias("sheet"), kind.alias("kind"), *[part(p, c).alias(name) for name, (p, c) in columns.items()])
 
-    return described(formula)
+    return F.transform(references(formula), lambda ref: let(_split(ref), described))

@@ -12,13 +12,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellarium.functions import markup
 from cellarium.sources.packages import LIMITS
+from cellarium.sources.sheets import arrow_schema
+
+#: Events that go on to Spark at once.
+_ROWS = 20_000
 
 EVENT = "path string, part string, seq long, kind string, start long, end long, name string, empty boolean, depth int, node_id long, parent_id long, raw string, _error string"
 _NAME = rb"[^\s<>/=\"'?!][^\s<>/=\"']*"
@@ -71,20 +75,23 @@ def xml_events(members: DataFrame, limits: dict | None = None) -> DataFrame:
     """
     limits = LIMITS | (limits or {})
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in EVENT.split(", ")]
-        for frame in frames:
-            for path, part, content in zip(frame["path"], frame["part"], frame["bytes"], strict=True):
+    schema = arrow_schema(EVENT)
+
+    def batch(path: str, part: str, rows: list[tuple]) -> pa.RecordBatch:
+        columns = [[path] * len(rows), [part] * len(rows), *zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            for path, part, content in zip(*(some.column(c).to_pylist() for c in ("path", "part", "bytes")), strict=True):
                 try:
-                    rows = [(path, part, *e, None) for e in _events(content or b"", limits)]
+                    rows = [(*e, None) for e in _events(content or b"", limits)]
                 except ValueError as e:
-                    rows = [(path, part, *[None] * 10, "NotUtf8" if isinstance(e, UnicodeDecodeError) else str(e))]
-                out = pd.DataFrame(rows, columns=names, dtype=object)
-                for c in ("seq", "start", "end", "depth", "node_id", "parent_id"):
-                    out[c] = out[c].astype("Int64")
-                yield out.assign(empty=out["empty"].astype("boolean"))
+                    rows = [(*[None] * 10, "NotUtf8" if isinstance(e, UnicodeDecodeError) else str(e))]
+                for at in range(0, len(rows), _ROWS):
+                    yield batch(path, part, rows[at : at + _ROWS])
 
-    return members.select("path", "part", "bytes").mapInPandas(read, EVENT).withColumn("seq", F.when(F.col("seq").isNotNull(), F.array("seq", F.lit(0).cast("long"))))
+    return members.select("path", "part", "bytes").mapInArrow(read, EVENT).withColumn("seq", F.when(F.col("seq").isNotNull(), F.array("seq", F.lit(0).cast("long"))))
 
 
 def is_blank(raw: Column) -> Column:

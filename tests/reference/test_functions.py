@@ -69,6 +69,14 @@ def test_styles(spark):
     assert tuple(got) == (64.0, 14.0, 13.0, "#7f7f7f", "10.5", "dashed", 7.0)
 
 
+def shifted(spark, text, *args, **more):
+    return tuple(one(spark, formulas.shift_formula(F.lit(text), *args, **more)).c0)
+
+
+def translated(spark, text, d_row, d_col):
+    return one(spark, formulas.translate_formula(F.lit(text), F.lit(d_row), F.lit(d_col))).c0
+
+
 @pytest.mark.parametrize(
     ("text", "args", "want"),
     [
@@ -87,16 +95,16 @@ def test_styles(spark):
         ("A6:A2", (0, 1, True), "A7:A3"),
     ],
 )
-def test_formula_rows(text, args, want):
-    assert formulas.shift_text(text, "row", *args, sheet="Sheet1")[0] == want
+def test_formula_rows(spark, text, args, want):
+    assert shifted(spark, text, "row", *args, sheet="Sheet1")[0] == want
 
 
 def test_formula_columns_sheets_and_copies(spark):
-    assert formulas.shift_text("B5+B:D", "col", 0, 1, True)[0] == "C5+C:E"
-    assert formulas.shift_text("XFD1", "col", 0, 1, True)[0] == "#REF!"
-    assert formulas.shift_text("A5+S1!A5+'S 2'!A5+[1]S1!A5+S0:S1!A5", "row", 0, 1, True, "S1", local=False) == ("A5+S1!A6+'S 2'!A5+[1]S1!A6+S0:S1!A6", 3)
-    assert formulas.translate_text("A5+$A$5+A$5+$A5", 1, 0) == "A6+$A$5+A$5+$A6"
-    assert formulas.translate_text("A1", -1, 0) == "#REF!"
+    assert shifted(spark, "B5+B:D", "col", 0, 1, True)[0] == "C5+C:E"
+    assert shifted(spark, "XFD1", "col", 0, 1, True)[0] == "#REF!"
+    assert shifted(spark, "A5+S1!A5+'S 2'!A5+[1]S1!A5+S0:S1!A5", "row", 0, 1, True, "S1", local=False) == ("A5+S1!A6+'S 2'!A5+[1]S1!A6+S0:S1!A6", 3)
+    assert translated(spark, "A5+$A$5+A$5+$A5", 1, 0) == "A6+$A$5+A$5+$A6"
+    assert translated(spark, "A1", -1, 0) == "#REF!"
     f = "SUM(A1:B2)*LOG10(C3)+\"D4\"+name+1.5E3"
     got = one(spark, formulas.references(F.lit(f)), formulas.function_names(F.lit(f)), F.array_join(formulas.tokens(F.lit(f)), ""))
     assert tuple(got) == (["A1:B2", "C3"], ["SUM", "LOG10"], f)
@@ -136,8 +144,23 @@ def test_what_is_no_formula(spark, text, fault, at):
     assert (row[0].fault, row[0].at, row[0].nodes) == (fault, at, None) and row[1].fault is None
 
 
-def test_names_of_columns_are_no_references():
-    assert formulas.shift_text("SUM(T[Q1])+T[[#All],[B2]]+A5", "row", 0, 1, True) == ("SUM(T[Q1])+T[[#All],[B2]]+A6", 1)
+def test_long_sums_are_printed(spark):
+    """A sum of many terms is a tree as deep as it has terms."""
+    text = "+".join(["A1"] * 1500) + "*(" + " & ".join(f"B{i}" for i in range(1, 1200)) + ")"
+    row = spark.createDataFrame([(text,)], "f string").select(formula_trees.print_formula(formula_trees.parse_formula(F.col("f"))["nodes"]).alias("again")).first()
+    assert row.again == text
+
+
+def test_formulas_that_are_odd(spark):
+    """Null, empty and unchanged formulas, spelling of references, sheets with quotes, references beyond the sheet."""
+    assert shifted(spark, None, "row", 0, 1, True) == (None, 0) and shifted(spark, "", "row", 0, 1, True) == ("", 0) and translated(spark, "A1", None, 1) is None
+    assert shifted(spark, "a1+$b$2+\"A1\"+'It''s'!C3+ZZZ9+A9999999+Sheet1!#REF!", "row", 1, 3, True, "It's") == ("A1+$B$5+\"A1\"+'It''s'!C6+ZZZ9+A9999999+Sheet1!#REF!", 3)
+    assert shifted(spark, "C:A+$3:1+D4:B2", "col", 1, 1, False) == ("B:A+$3:1+C4:B2", 2)
+    assert translated(spark, "$A:B+1:$2+XFD1", 1, 1) == "$A:C+2:$2+#REF!"
+
+
+def test_names_of_columns_are_no_references(spark):
+    assert shifted(spark, "SUM(T[Q1])+T[[#All],[B2]]+A5", "row", 0, 1, True) == ("SUM(T[Q1])+T[[#All],[B2]]+A6", 1)
 
 
 @pytest.mark.parametrize(

@@ -219,6 +219,13 @@ def test_repeats_of_odd_tables(spark):
     assert repeats_of(spark, [(2, text), (1, f"x {text} y")]) == [(1, 22, 0, f"x {text} y"), (2, 20, 20, "")]
 
 
+def test_repeats_of_rows_with_one_id(spark, monkeypatch):
+    """Different texts of one doc_id whose short hashes are equal are still told apart."""
+    monkeypatch.setattr(substrings, "_SHORT", 0)
+    docs = repeat_docs(9) + [(50, " ".join(f"q{i}" for i in range(n, n + 30))) for n in range(5)] + [(60, " ".join(f"q{i}" for i in range(20)))]
+    assert repeats_of(spark, docs) == brute_repeats(docs)
+
+
 def test_levels_double():
     assert [substrings.levels(n) for n in (1, 2, 13, 50)] == [[1], [1, 2], [7, 13], [25, 50]]
 

@@ -67,14 +67,30 @@ def implicit_positions(df: DataFrame, by: list[str], order: str, explicit: str,
     return marked.withColumn(name, index).drop("_anchor", "_base")
 
 
-def scan_stats(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of rows, cells, filled cells and storage types, and the last row and column; partial sums merge by themselves."""
+def scan_slices(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Partial stats of slices: a row for each value of by and each 32,768 rows of a sheet, with the rows that occur as a bitmap.
+
+    Slices may share rows, as slices by column do: merge_slices() counts a row once.
+    """
     types = [F.count(F.when(F.col("ty") == t, 1)).alias(f"n_{t}") for t in ("n", "s", "str", "b", "e", "inlineStr", "d")]
-    return cells.groupBy(*by).agg(
-        F.countDistinct("row").alias("rows"), F.count("*").alias("cells"), F.count(F.when(F.col("value_kind") != "empty", 1)).alias("non_empty"), *types, F.max("row").alias("max_row"), F.max("col").alias("max_col")
+    at = F.col("row").cast("long") + 1
+    return cells.groupBy(*by, F.bitmap_bucket_number(at).alias("_stretch")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_rows"), F.count("*").alias("cells"), F.count(F.when(F.col("value_kind") != "empty", 1)).alias("non_empty"), *types, F.max("row").alias("max_row"), F.max("col").alias("max_col")
     )
 
 
+def merge_slices(slices: DataFrame, by: list[str]) -> DataFrame:
+    """The stats of scan_stats() from those of scan_slices(): bitmaps of rows are united, counts summed, the larger extents taken."""
+    sums = [c for c in slices.columns if c not in (*by, "_rows", "_stretch", "max_row", "max_col") and dict(slices.dtypes)[c] == "bigint"]
+    united = slices.groupBy(*by, "_stretch").agg(F.bitmap_or_agg("_rows").alias("_rows"), *[F.sum(c).alias(c) for c in sums], F.max("max_row").alias("max_row"), F.max("max_col").alias("max_col"))
+    return united.groupBy(*by).agg(F.coalesce(F.sum(F.bitmap_count("_rows")), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], F.max("max_row").alias("max_row"), F.max("max_col").alias("max_col"))
+
+
+def scan_stats(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of rows, cells, filled cells and storage types, and the last row and column; partial sums merge by themselves."""
+    return merge_slices(scan_slices(cells, by), by)
+
+
 def merge_stats(stats: DataFrame, by: list[str]) -> DataFrame:
     """Stats of several scans of disjoint rows as one: sums, and the larger of the extents."""
     sums = [c for c in stats.columns if c not in (*by, "max_row", "max_col") and dict(stats.dtypes)[c] == "bigint"]

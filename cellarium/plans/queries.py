@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
 from cellarium.operators import grid, package_edits, ranges, style_edits
 from cellarium.plans import saving, workbook
-from cellarium.sources import packages, sheets, writer, xml_events
+from cellarium.sources import datasource, packages, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
-from cellarium.streaming.ingest import ingest_packages
+from cellarium.streaming.ingest import ingest_arrivals, ingest_packages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,6 +647,13 @@ def zip_gap_check(spark, sf_dir):
     return members.select("path").distinct().join(gaps, "path", "left").groupBy("path").agg(F.count("kind").alias("gaps"))
 
 
+@query(f"SELECT path, kind, CAST(n AS BIGINT) AS n FROM ({_BOOKS}), (VALUES ('prefix', 5), ('trailing', 4)) AS x(kind, n)")
+def zip_gaps_found(spark, sf_dir):
+    """Bytes put before and after each archive."""
+    built = _built(spark, sf_dir).withColumn("content", F.concat(F.lit("front").cast("binary"), "content", F.lit("tail").cast("binary")))
+    return packages.archive_gaps(packages.entries(built)).select("path", "kind", (F.col("end") - F.col("start")).alias("n"))
+
+
 @query(f"SELECT path, CAST(6 AS BIGINT) AS members, true AS whole FROM ({_BOOKS})")
 def zip_raw_data(spark, sf_dir):
     """Compressed bytes of the members, as long as the directory says."""
@@ -658,9 +665,10 @@ def zip_raw_data(spark, sf_dir):
 
 @query(f"SELECT path, true AS same FROM ({_BOOKS})")
 def zip_roundtrip(spark, sf_dir):
+    """Every package is written anew, for a part goes that is not there."""
     built = _built(spark, sf_dir)
-    none = spark.createDataFrame([], "path string, part string, bytes binary")
-    saved = writer.save_packages(built, none).select("path", F.col("content").alias("saved"))
+    gone = built.select("path", F.lit("/none.xml").alias("part"), F.lit(None).cast("binary").alias("bytes"))
+    saved = writer.save_packages(built, gone).select("path", F.col("content").alias("saved"))
     return built.join(saved, "path").select("path", (F.col("content") == F.col("saved")).alias("same"))
 
 
@@ -712,6 +720,35 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(out).select("path", "name")
 
 
+@query(f"WITH {_ORDERS} SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS book, CAST(row % {BOOK_ROWS} AS INTEGER) AS row, col, value_kind, num, text FROM g")
+def source_roundtrip(spark, sf_dir):
+    """Packages written and read through the data source, one scan of the files."""
+    datasource.register(spark)
+    folder = shared_path(spark)
+    writer.build_packages(_books(spark, sf_dir)).select("path", "content").write.format("spreadsheet").mode("append").save(folder)
+    cells = workbook.cells_of_books(stored(spark.read.format("spreadsheet").load(folder)))
+    book = F.regexp_extract("path", r"([^/]*)\.xlsx$", 1)
+    return cells.filter("_error IS NULL").select(book.alias("book"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value_kind", "num", "text")
+
+
+@query(f"SELECT path || '.xlsx' AS name, CAST(6 AS BIGINT) AS members FROM ({_BOOKS})")
+def stream_arrivals(spark, sf_dir):
+    """Files that arrive, read by a stream at a bounded rate; run again, it finds nothing new."""
+    datasource.register(spark)
+    folder, out, checkpoint = (shared_path(spark) for _ in range(3))
+    writer.build_packages(_books(spark, sf_dir)).select("path", "content").write.format("spreadsheet").mode("append").save(folder)
+    for _ in range(2):
+        ingest_arrivals(spark, folder, out, checkpoint, most=16)
+    return spark.read.parquet(out).groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("name")).agg(F.count("*").alias("members"))
+
+
+@query(f"WITH {_ORDERS} SELECT count(DISTINCT row) AS rows, count(*) AS cells, count(*) FILTER (value_kind <> 'empty') AS non_empty, count(*) FILTER (ty = 'n') AS n_n, count(*) FILTER (ty = 's') AS n_s, max(row) AS max_row, max(col) AS max_col FROM g")
+def scan_stats_slices(spark, sf_dir):
+    """Stats of slices by column, which share all their rows."""
+    slices = grid.scan_slices(orders_grid(spark, sf_dir).withColumn("slice", F.col("col") % 3), ["path", "slice"])
+    return grid.merge_slices(slices.drop("slice"), ["path"]).select("rows", "cells", "non_empty", "n_n", "n_s", "max_row", "max_col")
+
+
 def _sheet_parts(rows: DataFrame) -> DataFrame:
     """path, part, bytes of sheets from rows (part, at, xml)."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "xml"))), lambda x: x["xml"]), "")

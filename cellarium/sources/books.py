@@ -93,7 +93,7 @@ def _pieces(archive: zipfile.ZipFile, info: zipfile.ZipInfo, limits: dict) -> It
             yield piece
 
 
-def _part_rows(path: str, part: str, pieces: Iterator[bytes], limits: dict) -> Iterator[pa.RecordBatch]:
+def _part_rows(path: str, part: str, pieces: Iterator[bytes], limits: dict, kinds: set[str] | None = None) -> Iterator[pa.RecordBatch]:
     kind, reader, first, seen = "fault", None, _First(), []
     try:
         for piece in pieces:
@@ -105,6 +105,8 @@ def _part_rows(path: str, part: str, pieces: Iterator[bytes], limits: dict) -> I
                 if first.name not in _READERS:
                     raise _Other
                 kind, make = _READERS[first.name]
+                if kinds is not None and kinds.isdisjoint({kind, "fault", *(["sheet"] if kind == "cell" else [])}):
+                    raise _Other
                 reader, piece, seen = make(limits), b"".join(seen), []
                 if kind == "cell":
                     yield _batch(path, part, "sheet", [()])
@@ -126,8 +128,8 @@ def _part_rows(path: str, part: str, pieces: Iterator[bytes], limits: dict) -> I
         yield _batch(path, part, "fault", [], fault)
 
 
-def archive_rows(path: str, content: bytes | None, limits: dict) -> Iterator[pa.RecordBatch]:
-    """The rows of one archive, in batches."""
+def archive_rows(path: str, content: bytes | None, limits: dict, parts: set[str] | None = None, kinds: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of one archive, in batches; with parts and kinds, at least the rows of these, and no part beyond need is read to its end."""
     try:
         archive = _open(content or b"", limits)
         infos = [i for i in archive.infolist() if not i.orig_filename.endswith("/")]
@@ -135,7 +137,9 @@ def archive_rows(path: str, content: bytes | None, limits: dict) -> Iterator[pa.
         yield _batch(path, None, "fault", [], _fault(e))
         return
     for info in infos:
-        yield from _part_rows(path, "/" + info.orig_filename.lstrip("/"), _pieces(archive, info, limits), limits)
+        name = "/" + info.orig_filename.lstrip("/")
+        if parts is None or name in parts:
+            yield from _part_rows(path, name, _pieces(archive, info, limits), limits, kinds)
 
 
 def book_rows(found: DataFrame, limits: dict | None = None) -> DataFrame:

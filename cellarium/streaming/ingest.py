@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellarium.sources.datasource import contents, register
 from cellarium.sources.packages import entries
 
 
@@ -17,3 +18,26 @@ def ingest_entries(spark: SparkSession, folder: str, out: str, checkpoint: str)
     """ingest_packages() of the files in folder."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     ingest_packages(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.xlsx").load(folder), out, checkpoint)
+
+
+def ingest_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, most: int = 1000) -> int:
+    """Append the members of every new file in folder to the table at out, at most so many files in a batch; how many batches there were.
+
+    A batch is what its offsets say, so one that is run again after a failure reads the same files; each batch writes its own folder,
+    batch=n, anew.
+    """
+    register(spark)
+    seen = 0
+
+    def batch(files: DataFrame, number: int) -> None:
+        nonlocal seen
+        seen += 1
+        entries(contents(files, folder)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    arriving = spark.readStream.format("package_arrivals").option("maxFilesPerBatch", str(most)).load(folder)
+    while True:  # a trigger of this source is one batch; the last one finds nothing
+        before = seen
+        query = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(once=True).start()
+        query.awaitTermination()
+        if seen == before:
+            return seen

@@ -73,7 +73,9 @@ def stored_number(v: Column) -> Column:
         sign = F.when(v < 0, "-").otherwise("")
         return let(F.concat(sign, _plain(d, e)), lambda plain: F.when(F.length(plain) <= 24, plain).otherwise(F.concat(sign, short)))
 
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(v == 0, "0").otherwise(let(parts, shown))
+    # Most numbers are short: whole ones, and those that print without an exponent anyway.
+    whole, short = (v == F.floor(v)) & (F.abs(v) < 1e15), F.abs(v).between(1e-3, 9999999.0)
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(v == 0, "0").when(whole, v.cast("long").cast("string")).when(short, v.cast("string")).otherwise(let(parts, shown))
 
 
 def coerce_input(text: Column) -> Column:

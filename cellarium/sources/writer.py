@@ -15,6 +15,7 @@ from cellarium.functions import markup, values
 from cellarium.functions.addresses import a1
 from cellarium.operators.grid import build_strings
 from cellarium.sources.packages import LIMITS, directory, extent
+from cellarium.sources.tables import stored
 
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _SML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -22,10 +23,12 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006"
 
 
-def sheet_rows(cells: DataFrame) -> DataFrame:
-    """path, sheet, row, xml: the row elements of sheets, texts through the shared strings of their package."""
-    strings = build_strings(cells)
-    coded = cells.join(strings, ["path", "text"], "left")
+def sheet_rows(cells: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """path, sheet, row, xml: the row elements of sheets, texts through the shared strings of their package (build_strings())."""
+    strings = build_strings(cells) if strings is None else strings
+    # Cells without a text have keys of their own, which no string has.
+    spare = F.pmod(F.hash("row", "col"), F.lit(4096))
+    coded = cells.withColumn("_spare", F.when(F.col("text").isNull(), spare).otherwise(-1)).join(strings.withColumn("_spare", F.lit(-1)), ["path", "text", "_spare"], "left")
     place = F.concat(F.lit('<c r="'), a1("row", "col"), F.lit('"'))
     xml = (
         F.when(F.col("value_kind") == "number", F.concat(place, F.lit("><v>"), values.stored_number(F.col("num")), F.lit("</v></c>")))
@@ -44,8 +47,9 @@ def build_packages(cells: DataFrame, limits: dict | None = None) -> DataFrame:
     and a package beyond the quota of its readers is not built but a row with _error.
     """
     limits = LIMITS | (limits or {})
-    rows = sheet_rows(cells).select("path", F.col("sheet").alias("a"), F.col("row").cast("long").alias("b"), "xml")
-    items = build_strings(cells).select("path", F.lit(-1).alias("a"), F.col("idx").alias("b"), F.concat(F.lit('<si><t xml:space="preserve">'), markup.escape_text(markup.encode_x_escapes(F.col("text"))), F.lit("</t></si>")).alias("xml"))
+    strings = stored(build_strings(cells))
+    rows = sheet_rows(cells, strings).select("path", F.col("sheet").alias("a"), F.col("row").cast("long").alias("b"), "xml")
+    items = strings.select("path", F.lit(-1).alias("a"), F.col("idx").alias("b"), F.concat(F.lit('<si><t xml:space="preserve">'), markup.escape_text(markup.encode_x_escapes(F.col("text"))), F.lit("</t></si>")).alias("xml"))
 
     def build(pieces: pd.DataFrame) -> pd.DataFrame:
         pieces = pieces.sort_values(["a", "b"])

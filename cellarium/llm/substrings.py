@@ -111,19 +111,19 @@ def _occurrences(docs: DataFrame, least: int, sizes: list[int], level: int) -> D
                     at = np.minimum(at, begin + least - sizes[level])[goes_on]
                 at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at  # they never decrease
                 text = np.repeat(np.arange(len(some)), windows.lengths)[at]
-                second = windows.hashes(sizes[level], at, 1) if last else np.zeros(len(at), np.uint64)
+                second = (windows.hashes(sizes[level], at, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32) if last else np.zeros(len(at), np.int32)
                 row = pa.array(some[text])
-                columns = [pa.array(windows.hashes(sizes[level], at).view(np.int64)), pa.array(second.view(np.int64)), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array((at - windows.starts[text]).astype(np.int32))]
+                columns = [pa.array(windows.hashes(sizes[level], at).view(np.int64)), pa.array(second), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array((at - windows.starts[text]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "h2", "doc_id", "text_hash", "at"])
 
-    return docs.mapInArrow(of, "h long, h2 long, doc_id long, text_hash long, at int")
+    return docs.mapInArrow(of, "h long, h2 int, doc_id long, text_hash long, at int")
 
 
 def repeated_windows(docs: DataFrame, least: int = 13) -> DataFrame:
     """doc_id, text_hash and held: where those windows of `least` words begin that also begin in a document of a smaller doc_id.
 
     docs: doc_id, text_hash, text (binary). One row for each document that has such windows. Windows of the last level are
-    told apart by 128 bits of hashes, those of earlier levels by 64, where a chance hit only makes one more candidate.
+    told apart by 96 bits of hashes, those of earlier levels by 64, where a chance hit only makes one more candidate.
     """
     sizes, held = levels(least), None
     for level, size in enumerate(sizes):

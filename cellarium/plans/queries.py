@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
-from cellarium.operators import grid, package_edits, ranges, style_edits
+from cellarium.operators import appearance, grid, package_edits, ranges, style_edits
 from cellarium.plans import saving, workbook
 from cellarium.sources import datasource, packages, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
@@ -702,6 +702,27 @@ def sheet_edit_roundtrip(spark, sf_dir):
     return back.select("path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "value_kind", "num", "text", "bool")
 
 
+@query(f"WITH {_ORDERS} SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS path, count(*) FILTER (row % 10 = 0) AS bold, count(*) FILTER (row % 10 = 1) AS large, CAST(3 AS BIGINT) AS fonts FROM g WHERE col = 0 GROUP BY 1")
+def style_edit_roundtrip(spark, sf_dir):
+    """Bold and large cells: their formats and fonts in the part of styles of each package, read back."""
+    built = _built(spark, sf_dir)
+    sml = packages.SML
+    styles_part = f'<styleSheet xmlns="{sml}"><fonts count="1"><font><sz val="11"/><color theme="1"/><name val="Sans"/><family val="2"/><scheme val="minor"/></font></fonts><cellXfs count="1"><xf numFmtId="0" fontId="0"/></cellXfs></styleSheet>'
+    rels = packages.named_parts(built, built.select("path", F.lit("/xl/_rels/workbook.xml.rels").alias("part")))
+    rel = '<Relationship Id="styles" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>'
+    more = rels.select("path", "part", F.replace(F.decode("bytes", "utf-8"), F.lit("</Relationships>"), F.lit(rel)).cast("binary").alias("bytes"))
+    styled = stored(writer.save_packages(built, stored(more.unionByName(built.select("path", F.lit("/xl/styles.xml").alias("part"), F.lit(styles_part).cast("binary").alias("bytes"))))))
+    number = orders_grid(spark, sf_dir).filter("col = 0").select(F.concat(F.lit("book"), F.expr(f"cast(row div {BOOK_ROWS} as int)").cast("string")).alias("path"), (F.col("row") % BOOK_ROWS).alias("row"), F.col("row").alias("k")).filter("k % 10 < 2")
+    edits = number.select("path", F.lit(0).alias("sheet"), "row", F.lit(0).alias("col"), F.lit(None).cast("string").alias("name"), F.when(F.col("k") % 10 == 1, 20.0).alias("size"), F.when(F.col("k") % 10 == 0, True).alias("bold"), F.lit(None).cast("boolean").alias("italic"), F.lit(None).cast("boolean").alias("underline"))
+    saved = stored(saving.save_fonts(styled, edits)[0])
+    nodes = stored(packages.xml_nodes(packages.named_parts(saved, saved.select("path", F.lit("/xl/styles.xml").alias("part")))))
+    fonts, formats = appearance.fonts(nodes), workbook.cell_formats(nodes).select("path", "style", "font_id")
+    cells = workbook.read_cells(saved).filter("style > 0").select("path", F.col("style").cast("long").alias("style"))
+    shown = cells.join(formats, ["path", "style"]).join(fonts, ["path", "font_id"])
+    found = shown.groupBy("path").agg(F.count(F.when(F.col("bold") & (F.col("size") == 11), 1)).alias("bold"), F.count(F.when(~F.col("bold") & (F.col("size") == 20), 1)).alias("large"))
+    return found.join(fonts.groupBy("path").agg(F.count("*").alias("fonts")), "path")
+
+
 @query(f"SELECT path, true AS marked FROM ({_BOOKS})")
 def recalc_marks(spark, sf_dir):
     text = F.decode("bytes", "utf-8")

@@ -14,12 +14,13 @@ from cellarium.functions import markup, values
 from cellarium.functions.addresses import MAX_COL, MAX_ROW, a1, parse_a1, parse_range, range_a1, row_index
 from cellarium.operators.grid import implicit_positions, intern_strings
 from cellarium.operators.package_edits import calc_chains, mark_full_recalc, next_rel_number
+from cellarium.operators.style_edits import font_fault
 from cellarium.plans.workbook import relationships, shared_strings, string_parts, workbook_parts, workbook_sheets
 from cellarium.sources.books import book_rows, rows_of
 from cellarium.sources.packages import named_parts
 from cellarium.sources.tables import stored
 from cellarium.sources.writer import save_packages
-from cellarium.sources.xml_events import append_children, attributes, insert_before, new_element, remove_nodes, serialize, set_attributes, xml_events
+from cellarium.sources.xml_events import append_children, attributes, insert_before, new_element, remove_nodes, serialize, set_attributes, subtrees, xml_events
 
 _PART = ["path", "part"]
 _AT = ["path", "part", "row", "col"]
@@ -74,12 +75,12 @@ def _following(there: DataFrame, wanted: DataFrame, by: list[str], place: str) -
 
 
 def splice_cells(events: DataFrame, edits: DataFrame) -> DataFrame:
-    """events of sheet parts after edits (path, part, row, col, value_kind, num, bool, err, text, idx; one for each cell).
+    """events of sheet parts after edits (path, part, row, col, value_kind, num, bool, err, text, idx, perhaps s; one for each cell).
 
     A text goes into the cell where idx is null, else its index in the table of shared strings. A cell that is there keeps its
     attributes but for its type, and all its elements but for value, formula and inline text. A missing cell or row comes before the
     first one in the part that has a later place, at the end without one; both get an address. `clear` makes none. A declared
-    range grows. New elements have the prefix of the part's own.
+    range grows. New elements have the prefix of the part's own. s is a cell's new format, and the kind `style` leaves its value alone.
     """
     starts = stored(_prefixed(events).select(*_PART, "node_id", "parent_id", "depth", "prefix", "local"))
     own = starts.filter("depth = 0").select(*_PART, F.col("node_id").alias("root"), "prefix")
@@ -94,6 +95,7 @@ def splice_cells(events: DataFrame, edits: DataFrame) -> DataFrame:
     cells = cells.withColumn("_at", parse_a1("r")).withColumn("_c", F.col("_at.col").cast("long"))
     cells = stored(implicit_positions(cells, [*_PART, "row_node"], "node_id", "_c", "col").select(*_PART, "row_node", "node_id", F.coalesce(F.col("_at.row").cast("long"), "row").alias("row"), "col"))
 
+    edits = edits if "s" in edits.columns else edits.withColumn("s", F.lit(None).cast("string"))
     wanted = edits.withColumn("row", F.col("row").cast("long")).withColumn("col", F.col("col").cast("long")).join(own, _PART).join(first_rows, [*_PART, "row"], "left")
     same = cells.groupBy(*_PART, "row_node", "row", "col").agg(F.min("node_id").alias("cell"))
     wanted = wanted.join(same, [*_PART, "row_node", "row", "col"], "left")
@@ -102,19 +104,20 @@ def splice_cells(events: DataFrame, edits: DataFrame) -> DataFrame:
     kind = F.col("value_kind")
     ty = F.when(kind == "text", F.when(F.col("idx").isNull(), "inlineStr").otherwise("s")).when(kind == "bool", "b").when(kind == "error", "e")
     shown = F.when(kind == "number", values.stored_number(F.col("num"))).when(kind == "bool", F.col("bool").cast("int").cast("string")).when(kind == "error", markup.escape_text(F.col("err"))).when(kind == "text", F.col("idx").cast("string"))
-    body = F.when(kind == "clear", None).when((kind == "text") & F.col("idx").isNull(), new_element(qname("is"), [], _plain_text(qname("t"), F.col("text")))).otherwise(new_element(qname("v"), [], shown))
-    wanted = stored(wanted.select(*_AT, "row_node", "cell", "prefix", "root", kind.alias("value_kind"), ty.alias("t"), body.alias("body"), new_element(qname("c"), [("r", a1("row", "col")), ("t", ty)], body).alias("xml")))
+    body = F.when(kind.isin("clear", "style"), None).when((kind == "text") & F.col("idx").isNull(), new_element(qname("is"), [], _plain_text(qname("t"), F.col("text")))).otherwise(new_element(qname("v"), [], shown))
+    wanted = stored(wanted.select(*_AT, "row_node", "cell", "prefix", "root", "s", kind.alias("value_kind"), ty.alias("t"), body.alias("body"), new_element(qname("c"), [("r", a1("row", "col")), ("s", F.col("s")), ("t", ty)], body).alias("xml")))
 
     # Cells that are there: a type, and a value in place of the old one.
     old = wanted.filter("cell IS NOT NULL").withColumnRenamed("cell", "node_id")
-    inner = starts.filter("local IN ('v', 'f', 'is')").withColumnsRenamed({"node_id": "_child", "parent_id": "node_id"}).join(old.select(*_PART, "node_id"), [*_PART, "node_id"]).select(*_PART, F.col("_child").alias("node_id"))
+    inner = starts.filter("local IN ('v', 'f', 'is')").withColumnsRenamed({"node_id": "_child", "parent_id": "node_id"}).join(old.filter("value_kind <> 'style'").select(*_PART, "node_id"), [*_PART, "node_id"]).select(*_PART, F.col("_child").alias("node_id"))
     declared = starts.filter("local = 'dimension' AND depth = 1").groupBy(*_PART).agg(F.min("node_id").alias("node_id"))
     said = said_of.filter("qname = 'ref'").select(*_PART, "node_id", parse_range(F.col("value")).alias("x")).join(declared, [*_PART, "node_id"]).filter("x IS NOT NULL")
     most = wanted.filter("value_kind <> 'clear'").groupBy(*_PART).agg(F.min("row").alias("a"), F.min("col").alias("b"), F.max("row").alias("c"), F.max("col").alias("d"))
     both = said.join(most, _PART).select(*_PART, "node_id", "x", F.least("x.r0", "a").alias("r0"), F.least("x.c0", "b").alias("c0"), F.greatest("x.r1", "c").alias("r1"), F.greatest("x.c1", "d").alias("c1"))
     wider = both.filter("r0 < x.r0 OR c0 < x.c0 OR r1 > x.r1 OR c1 > x.c1")
     grown = wider.select(*_PART, "node_id", F.lit("ref").alias("qname"), range_a1("r0", "c0", "r1", "c1").alias("value"))
-    typed = old.select(*_PART, "node_id", F.lit("t").alias("qname"), F.col("t").alias("value"))
+    typed = old.filter("value_kind <> 'style'").select(*_PART, "node_id", F.lit("t").alias("qname"), F.col("t").alias("value"))
+    typed = typed.unionByName(old.filter("s IS NOT NULL").select(*_PART, "node_id", F.lit("s").alias("qname"), F.col("s").alias("value")))
 
     # Cells and rows that are not.
     new_cells = wanted.filter("cell IS NULL AND row_node IS NOT NULL AND value_kind <> 'clear'")
@@ -222,3 +225,124 @@ def _interned(found: DataFrame, good: DataFrame, items: DataFrame, tables: DataF
     counts = roots.select(*_PART, "node_id", F.explode(F.array(F.lit("count"), F.lit("uniqueCount"))).alias("qname"), F.lit(None).cast("string").alias("value"))  # readers count for themselves
     added = fresh.join(roots, "path").select(*_PART, "node_id", F.col("idx").alias("ord"), new_element(F.concat("prefix", F.lit("si")), [], _plain_text(F.concat("prefix", F.lit("t")), F.col("text"))).alias("xml"))
     return placed, serialize(append_children(stored(set_attributes(events, counts)), added)), all_tables.filter("is_new").select(*_PART, "owner")
+
+
+# The elements of a font, in the order of the schema.
+_FONT_ORDER = ("b", "i", "strike", "condense", "extend", "outline", "shadow", "u", "vertAlign", "sz", "color", "name", "family", "charset", "scheme")
+
+
+def _listed(events: DataFrame, starts: DataFrame, holder: str, item: str) -> DataFrame:
+    """path, part, node_id, prefix, id: the elements `item` in the list `holder`, numbered from 0."""
+    lists = starts.filter((F.col("local") == holder) & (F.col("depth") == 1)).select(*_PART, F.col("node_id").alias("parent_id"))
+    found = starts.filter(F.col("local") == item).join(lists, [*_PART, "parent_id"])
+    return found.select(*_PART, "node_id", "prefix", (F.row_number().over(Window.partitionBy(*_PART).orderBy("node_id")) - 1).cast("long").alias("id"))  # formats of one package
+
+
+def _inside(events: DataFrame, starts: DataFrame, items: DataFrame) -> DataFrame:
+    """path, part, id, local, print, xml of the elements right in items: how each is spelled, and a print that spelling of attributes does not change."""
+    kids = starts.select(*_PART, F.col("node_id").alias("kid"), F.col("parent_id").alias("node_id"), "local").join(items.select(*_PART, "node_id", "id"), [*_PART, "node_id"]).select(*_PART, F.col("kid").alias("node_id"), "id", "local")
+    said = attributes(events).join(kids.select(*_PART, "node_id"), [*_PART, "node_id"]).groupBy(*_PART, "node_id").agg(F.array_sort(F.collect_list(F.concat("qname", F.lit("="), "value"))).alias("said"))
+    whole = subtrees(events, kids)
+    inner = F.regexp_replace("xml", r"^<[^>]*>", "")
+    joined = kids.join(whole, [*_PART, "node_id"]).join(said, [*_PART, "node_id"], "left")
+    closed = F.col("xml").endswith("/>") & (inner == "")
+    plain = F.when(closed | inner.rlike(r"^</[^>]*>$"), "").otherwise(inner)
+    return joined.select(*_PART, "id", "node_id", "local", F.concat_ws("\n", "local", F.concat_ws("\n", "said"), plain).alias("print"), "xml")
+
+
+def _print_of(kids: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and print of whole elements: those of what is in them, in no order, and xml: what is in them, in the schema's."""
+    place = F.coalesce(F.array_position(F.lit(list(_FONT_ORDER)), F.col("local")), F.lit(0))
+    order = F.when(place == 0, 99).otherwise(place)
+    return kids.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("print")), "\0").alias("print"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "xml"))), lambda x: x["xml"]), "").alias("inner"))
+
+
+def _numbered(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, part, print, id, fresh of each print of wanted: the smallest id that known (path, part, print, id) has for it, or one after its last."""
+    there = known.groupBy(*_PART, "print").agg(F.min("id").alias("old"))
+    last = known.groupBy(*_PART).agg((F.max("id") + 1).alias("base"))
+    new = wanted.select(*_PART, "print").distinct().join(there, [*_PART, "print"], "left").join(last, _PART, "left")
+    at = F.sum(F.when(F.col("old").isNull(), 1).otherwise(0)).over(Window.partitionBy(*_PART).orderBy("print"))  # formats of one package
+    return new.select(*_PART, "print", F.coalesce("old", F.coalesce("base", F.lit(0)) + at - 1).alias("id"), F.col("old").isNull().alias("fresh"))
+
+
+def save_fonts(found: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packages (path, content) after edits of fonts (path, sheet, row, col, name, size, bold, italic, underline; null keeps), and the edits refused.
+
+    A cell gets a format like its own but for the font, which is like its own but for what the edit says: elements this library
+    knows nothing of stay. Fonts and formats are compared by all that is in them, however it is spelled; the first that is equal is used
+    again, others are appended to the part of styles. A cell that is not there is made. One edit for each cell. Refused, with
+    _error: BadFontSize, BadFontName, BadCellRef, SheetNotFound, StylesNotFound, or what is wrong with a part.
+    """
+    wants = ["name", "size", "bold", "italic", "underline"]
+    asked = edits.select("path", F.col("sheet").cast("int").alias("sheet"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("name"), F.col("size").cast("double").alias("size"), "bold", "italic", "underline")
+    outside = ~F.col("row").between(0, MAX_ROW) | ~F.col("col").between(0, MAX_COL)
+    judged = stored(asked.withColumn("_error", F.when(outside, "BadCellRef").otherwise(font_fault(F.col("name"), F.col("size")))))
+    some = found.join(judged.select("path").distinct(), "path", "left_semi")
+    rows = stored(book_rows(some))
+    nodes = rows_of(rows, "node")
+    names = rows.filter("kind = 'sheet'").select("path", "part", markup.part_key(F.col("part")).alias("_key"))
+    listed = stored(workbook_sheets(nodes).select("path", F.col("ord").alias("sheet"), markup.part_key(F.col("part")).alias("_key")).join(names, ["path", "_key"]).select("path", "sheet", "part"))
+    rels = relationships(nodes.filter("lower(part) LIKE '%.rels'")).filter(F.col("type").endswith("/styles") & F.col("resolved").isNotNull())
+    books = workbook_parts(nodes).filter("part IS NOT NULL").select("path", F.col("part").alias("owner"))
+    style_parts = rels.join(books, ["path", "owner"], "left_semi").groupBy("path").agg(F.min_by("resolved", "ord").alias("part"))
+    events = stored(xml_events(named_parts(some, style_parts)))
+    styled = events.groupBy("path", F.col("part").alias("styles")).agg(F.max("_error").alias("_fault"))
+    known = judged.join(listed, ["path", "sheet"], "left").join(styled, "path", "left")
+    known = stored(known.withColumn("_error", F.coalesce("_error", F.when(F.col("part").isNull(), "SheetNotFound").when(F.col("styles").isNull(), "StylesNotFound"), "_fault")))
+    good = known.filter("_error IS NULL").drop("_error", "_fault")
+
+    starts = stored(_prefixed(events.filter("_error IS NULL")).select(*_PART, "node_id", "parent_id", "depth", "prefix", "local"))
+    fonts, xfs = stored(_listed(events, starts, "fonts", "font")), stored(_listed(events, starts, "cellXfs", "xf"))
+    font_kids, xf_kids = stored(_inside(events, starts, fonts)), stored(_inside(events, starts, xfs))
+    said = stored(attributes(events).join(xfs.select(*_PART, "node_id", "id"), [*_PART, "node_id"]).select(*_PART, "id", "qname", "value"))
+    font_of = said.filter("qname = 'fontId'").select("path", F.col("id").alias("xf"), F.col("value").try_cast("long").alias("font"))
+    now = rows_of(rows, "cell").filter("cell_ord IS NOT NULL").groupBy("path", "part", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).agg(F.min_by("s", "cell_ord").alias("s"))
+    cells = good.join(now, ["path", "part", "row", "col"], "left").withColumn("xf", F.coalesce(values.parse_index(F.col("s")), F.lit(0))).join(font_of, ["path", "xf"], "left").withColumn("font", F.coalesce("font", F.lit(0)))
+    kinds = stored(cells.select("path", "styles", "xf", "font", *wants).distinct().withColumn("kind", F.xxhash64("xf", "font", *wants)))
+
+    # The fonts that are wanted: what is in the old one, with some elements in place of others.
+    prefix = starts.filter("depth = 0").select("path", F.col("part").alias("styles"), "prefix")
+    changes = {"sz": (F.col("size").isNotNull(), F.col("size").isNotNull(), values.stored_number(F.col("size"))), "name": (F.col("name").isNotNull(), F.col("name").isNotNull(), F.col("name")), "scheme": (F.col("name").isNotNull(), F.lit(False), F.lit(None).cast("string"))}
+    changes |= {tag: (F.col(c).isNotNull(), F.coalesce(F.col(c), F.lit(False)), F.lit(None).cast("string")) for tag, c in (("b", "bold"), ("i", "italic"), ("u", "underline"))}
+    gone = F.array_compact(F.array(*[F.when(off, F.lit(tag)) for tag, (off, _, _) in changes.items()]))
+    made = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(tag).alias("local"), value.alias("val"))) for tag, (_, on, value) in changes.items()]))
+    keys = ["path", "part", "kind", "xf"]
+    base = kinds.withColumnRenamed("styles", "part").withColumn("gone", gone).withColumn("made", made)
+    kept = base.join(font_kids.withColumnRenamed("id", "font"), ["path", "part", "font"]).filter(~F.array_contains("gone", F.col("local"))).select(*keys, "local", "print", "xml")
+    fresh = base.join(prefix.withColumnRenamed("styles", "part"), ["path", "part"]).select(*keys, "prefix", F.explode("made").alias("m"))
+    said_so = F.coalesce(F.concat(F.lit("val="), F.col("m.val")), F.lit(""))
+    fresh = fresh.select(*keys, F.col("m.local").alias("local"), F.concat_ws("\n", "m.local", said_so, F.lit("")).alias("print"), new_element(F.concat("prefix", F.col("m.local")), [("val", F.col("m.val"))]).alias("xml"))
+    wanted = base.select(*keys).join(_print_of(kept.unionByName(fresh), keys), keys, "left").na.fill("", ["print", "inner"])
+    all_fonts = fonts.select(*_PART, "id").join(_print_of(font_kids, [*_PART, "id"]), [*_PART, "id"], "left").na.fill("", ["print", "inner"])
+    font_ids = stored(_numbered(all_fonts, wanted))
+    wanted = stored(wanted.join(font_ids, [*_PART, "print"]).select(*keys, F.col("id").alias("font"), F.col("fresh").alias("new_font"), F.col("inner").alias("font_inner")))
+
+    # The formats: attributes and what is in the old one, with the font.
+    xf_inner = _print_of(xf_kids, [*_PART, "id"]).select("path", "part", F.col("id").alias("xf"), "print", "inner")
+    pairs = said.groupBy(*_PART, F.col("id").alias("xf")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qname", "value")))).alias("said"))
+    with_font = F.map_concat(F.map_filter(F.coalesce("said", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("fontId", "applyFont")), F.create_map(F.lit("fontId"), F.col("font").cast("string"), F.lit("applyFont"), F.lit("1")))
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\n")
+    formats = wanted.join(pairs, [*_PART, "xf"], "left").join(xf_inner, [*_PART, "xf"], "left").withColumn("said", with_font).withColumn("print", F.concat_ws("\n\n", shown(F.col("said")), F.coalesce("print", F.lit("")))).withColumn("inner", F.coalesce("inner", F.lit("")))
+    old = pairs.join(xf_inner, [*_PART, "xf"], "left").select(*_PART, F.concat_ws("\n\n", shown(F.col("said")), F.coalesce("print", F.lit(""))).alias("print"), F.col("xf").alias("id"))
+    format_ids = stored(_numbered(old, formats))
+    formats = stored(formats.join(format_ids, [*_PART, "print"]))
+
+    # What is appended to the two lists, with their counts where they say one.
+    root = prefix.withColumnRenamed("styles", "part")
+    new_fonts = wanted.filter("new_font").dropDuplicates([*_PART, "font"]).join(root, _PART).select(*_PART, F.lit("fonts").alias("local"), F.col("font").alias("ord"), new_element(F.concat("prefix", F.lit("font")), [], F.col("font_inner")).alias("xml"))
+    text = F.array_join(F.transform(F.map_entries("said"), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), markup.escape_attr(e["value"], '"'), F.lit('"'))), "")
+    head = F.concat(F.lit("<"), "prefix", F.lit("xf"), text)
+    new_xfs = formats.filter("fresh").dropDuplicates([*_PART, "id"]).join(root, _PART).select(*_PART, F.lit("cellXfs").alias("local"), F.col("id").alias("ord"), F.when(F.col("inner") == "", F.concat(head, F.lit("/>"))).otherwise(F.concat(head, F.lit(">"), "inner", F.lit("</"), "prefix", F.lit("xf>"))).alias("xml"))
+    lists = starts.filter("depth = 1 AND local IN ('fonts', 'cellXfs')").select(*_PART, "node_id", "local")
+    pieces = stored(new_fonts.unionByName(new_xfs).join(lists, [*_PART, "local"]))
+    added = pieces.groupBy(*_PART, "node_id").agg(F.count("*").alias("more"))
+    counts = attributes(events).filter("qname = 'count'").join(added, [*_PART, "node_id"]).select(*_PART, "node_id", "qname", (F.col("value").try_cast("long") + F.col("more")).cast("string").alias("value")).filter("value IS NOT NULL")
+    new_styles = serialize(append_children(stored(set_attributes(events.filter("_error IS NULL"), counts)), pieces.select(*_PART, "node_id", "xml", "ord")))
+
+    by_cell = cells.withColumn("kind", F.xxhash64("xf", "font", *wants)).join(formats.select("path", "kind", "xf", F.col("id").alias("style")), ["path", "kind", "xf"])
+    none = {"num": "double", "text": "string", "bool": "boolean", "err": "string", "idx": "long"}
+    restyled = stored(by_cell.select("path", "part", "row", "col", F.lit("style").alias("value_kind"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.col("style").cast("string").alias("s")))
+    sheet_events = stored(xml_events(named_parts(some, restyled.select(*_PART).distinct())))
+    new_sheets = serialize(splice_cells(sheet_events.filter("_error IS NULL"), restyled))
+    return save_packages(found, stored(new_sheets.unionByName(new_styles.join(pieces.select(*_PART).distinct(), _PART, "left_semi")))), known.filter("_error IS NOT NULL").select("path", "sheet", "row", "col", *wants, "_error")

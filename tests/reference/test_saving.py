@@ -7,7 +7,7 @@ import zipfile
 import pytest
 
 from cellarium.plans import workbook
-from cellarium.plans.saving import save_cells
+from cellarium.plans.saving import save_cells, save_fonts
 from cellarium.sources.tables import stored
 
 SML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -184,3 +184,25 @@ def test_books_that_are_hard_to_read(spark):
     got = workbook.read_cells(spark.createDataFrame([(k, c) for k, (c, _) in cases.items()], "path string, content binary")).collect()
     for name, (_, want) in cases.items():
         assert (name, sorted(((r._error, r.num, r.sheet_name) for r in got if r.path == name), key=str)) == (name, want)
+
+
+def test_fonts_reach_the_styles(spark):
+    """Fonts with elements of any kind, equal ones used again however they are spelled, counts, cells that are made."""
+    fonts = '<font><sz val="11"/><color theme="1"/><name val="Sans"/><family val="2"/><scheme val="minor"/></font><font><b/><name val=\'Sans\'/><family val="2"/><color  theme="1" /><scheme val="minor"/><sz val="11"/></font>'
+    styles = f'<styleSheet xmlns="{SML}"><fonts count="2">{fonts}</fonts><cellXfs count="2"><xf numFmtId="0" fontId="0"/><xf numFmtId="14" fontId="0" applyNumberFormat="1"><alignment wrapText="1"/></xf></cellXfs></styleSheet>'
+    base = zipfile.ZipFile(io.BytesIO(bytes(book([sheet('<row r="1"><c r="A1" s="1"><v>5</v></c><c r="B1" t="b"><v>1</v></c></row>')]))))
+    members = {n: base.read(n).decode() for n in base.namelist()} | {"xl/styles.xml": styles}
+    members["xl/_rels/book.xml.rels"] = members["xl/_rels/book.xml.rels"].replace("</Relationships>", f'<Relationship Id="y" Type="{REL}/styles" Target="styles.xml"/></Relationships>')
+    found = spark.createDataFrame([("p", zipped(**members)), ("plain", book([sheet("")]))], "path string, content binary")
+    edits = [("p", 0, 0, 0, None, None, True, None, None), ("p", 0, 0, 1, None, None, True, None, None), ("p", 0, 4, 4, "Mono", 9.5, None, True, None), ("p", 0, 5, 4, "Mono", 9.5, None, True, None), ("p", 0, 6, 0, None, 1000.0, None, None, None), ("plain", 0, 0, 0, None, 9.0, None, None, None)]
+    out, refused = save_fonts(found, spark.createDataFrame(edits, "path string, sheet int, row int, col int, name string, size double, bold boolean, italic boolean, underline boolean"))
+    archive = {r.path: zipfile.ZipFile(io.BytesIO(bytes(r.content))) for r in out.collect()}
+    made = archive["p"].read("xl/styles.xml").decode()
+    mono = '<font><i/><sz val="9.5"/><color theme="1"/><name val="Mono"/><family val="2"/></font>'
+    assert made.startswith(f'<styleSheet xmlns="{SML}"><fonts count="3">{fonts}{mono}</fonts><cellXfs count="5"><xf numFmtId="0" fontId="0"/>')
+    assert made.count("<xf ") == 5 and made.count("<alignment") == 2 and made.count('fontId="1"') == 2 and made.count('fontId="2"') == 1
+    data = archive["p"].read("xl/sheets/sheet1.xml").decode()
+    number = {a: int(n) for a, n in re.findall(r'<c r="([A-Z]+[0-9]+)" s="([0-9]+)"', data)} | {"B1": int(re.search(r'<c r="B1" t="b" s="([0-9]+)"', data)[1])}
+    xfs = re.findall(r"<xf [^>]*>", made)
+    assert 'numFmtId="14"' in xfs[number["A1"]] and 'fontId="1"' in xfs[number["A1"]] and 'fontId="1"' in xfs[number["B1"]] and number["E5"] == number["E6"] and "<v>5</v>" in data and "<v>1</v>" in data
+    assert sorted((r.path, r._error) for r in refused.collect()) == [("p", "BadFontSize"), ("plain", "StylesNotFound")]

@@ -98,14 +98,20 @@ def has_no_lines(borders: DataFrame) -> DataFrame:
     return borders.withColumn("is_empty", F.coalesce("left", "right", "top", "bottom").isNull())
 
 
-def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook", max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None, columns: DataFrame | None = None, hidden: bool = False) -> DataFrame:
+def workbook_html(cells: DataFrame, sheets: DataFrame, classes: DataFrame | None = None, title: str = "Workbook", max_rows: int = 5000, max_cols: int = 256, merges: DataFrame | None = None, columns: DataFrame | None = None, hidden: bool = False, heights: DataFrame | None = None) -> DataFrame:
     """path, html: a page for each workbook with a table for each visible sheet (sheets: path, sheet, name, state), or with
     hidden for each sheet.
 
     Tables show the rows and columns below max_rows and max_cols; more are left out, as a page is for reading. Cells show
-    their style's class and dates, merged ranges span, and columns (path, sheet, col, width in characters) set widths.
+    their style's class and dates, merged ranges span, columns (path, sheet, col, width in characters) set widths, and heights (path, sheet, row, height in
+    points, hidden) those of rows.
     """
     rows = html_rows(cells, max_rows, max_cols, merges)
+    if heights is not None:
+        given = heights.groupBy("path", "sheet", "row").agg(F.max(F.when(F.col("hidden"), 0.0).otherwise(F.col("height"))).alias("_points"))
+        pixels = styles.row_height_px(F.col("_points")).cast("long").cast("string")
+        tall = F.concat(F.lit('<tr style="height:'), pixels, F.lit('px">'), F.substring("html", F.lit(5), F.length("html")))
+        rows = rows.join(given, ["path", "sheet", "row"], "left").withColumn("html", F.when(F.col("_points").isNull(), F.col("html")).otherwise(tall)).drop("_points")
     table = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "html"))), lambda x: x["html"]), "\n")  # at most max_rows
     tables = rows.groupBy("path", "sheet").agg(table.alias("body"))
     shown = sheets.filter(F.lit(hidden) | (F.col("state") == "visible")).join(tables, ["path", "sheet"], "left")

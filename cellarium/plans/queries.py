@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
 from cellarium.operators import appearance, grid, package_edits, ranges, style_edits
 from cellarium.plans import saving, workbook
-from cellarium.sources import datasource, packages, sheets, writer, xml_events
+from cellarium.sources import datasource, packages, sheet_pieces, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
 from cellarium.streaming.ingest import ingest_arrivals, ingest_packages
 
@@ -794,6 +794,20 @@ def implicit_rows_package(spark, sf_dir):
     return cells.select(F.col("num").cast("long").alias("event_id"), F.col("row").cast("long").alias("row"))
 
 
+@query(f"SELECT event_id, row FROM ({_EVENT_ROWS}) WHERE event_id % 3 <> 0")
+def implicit_rows_split(spark, sf_dir):
+    """The same from pieces of a kilobyte, some rows each."""
+    cells = sheet_pieces.piece_cells(sheet_pieces.part_pieces(_event_sheets(spark, sf_dir), 1 << 10))
+    return workbook.typed_cells(cells, spark.createDataFrame([], _NO_STRINGS)).select(F.col("num").cast("long").alias("event_id"), F.col("row").cast("long").alias("row"))
+
+
+@query(f"WITH {_ORDERS} SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS path, CAST(row % {BOOK_ROWS} AS INTEGER) AS row, col FROM g")
+def package_cells_split(spark, sf_dir):
+    """Sheets of packages cut while they are inflated."""
+    pieces = sheet_pieces.package_pieces(_built(spark, sf_dir), size=1 << 14)
+    return sheet_pieces.piece_cells(pieces).filter("_error IS NULL").select("path", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+
+
 @query(f"SELECT CAST(sheet AS VARCHAR) AS part, count(*) AS rows, count(*) FILTER (event_id % 7 <> 0) AS rows_without_r, count(*) FILTER (event_id % 3 <> 0) AS cells, count(*) FILTER (event_id % 3 <> 0) AS cells_without_r, max(row) FILTER (event_id % 3 <> 0) AS max_row FROM ({_EVENT_ROWS}) GROUP BY sheet")
 def sheet_counters(spark, sf_dir):
     stats = workbook.sheet_stats(sheets.sheet_cells(_event_sheets(spark, sf_dir)), ["part"])

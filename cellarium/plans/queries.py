@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from cellarium.functions import addresses, formula_trees, formulas, markup, styles, values
 from cellarium.operators import appearance, grid, package_edits, ranges, style_edits
-from cellarium.plans import saving, workbook
+from cellarium.plans import part_saving, saving, workbook
 from cellarium.sources import datasource, packages, sheet_pieces, sheets, writer, xml_events
 from cellarium.sources.tables import shared_path, stored
 from cellarium.streaming.ingest import ingest_arrivals, ingest_packages
@@ -683,6 +683,21 @@ def package_edit_roundtrip(spark, sf_dir):
     return saved.join(old, ["path", "part"], "left").select("path", "part", F.when(F.col("old") == F.col("bytes"), "kept").otherwise(F.decode("bytes", "utf-8")).alias("text"))
 
 
+@query(f"SELECT path, unnest(['/', '/', '/xl/workbook.xml', '/custom/note.xml', '/custom/note.xml']) AS owner, unnest(['rId1', 'rId2', 'rId1', 'rId1', 'type']) AS id, unnest(['xl/workbook.xml', 'custom/note.xml', 'worksheets/sheet1.xml', 'http://x/?a=1&b=' || path, 'x/note']) AS target FROM ({_BOOKS})")
+def part_link_roundtrip(spark, sf_dir):
+    """A part added with a type and relationships of the package and its own, and the table of strings deleted with the one to it."""
+    built = _built(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    cases = [("/custom/note.xml", F.lit("<note/>"), F.lit("x/note")), ("/xl/sharedStrings.xml", none, none)]
+    edits = built.select("path", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), t.cast("binary").alias("bytes"), ct.alias("ct")) for p, t, ct in cases])).alias("e")).select("path", "e.*")
+    wanted = [("/", F.lit("custom/note.xml"), "Internal"), ("/custom/note.xml", F.concat(F.lit("http://x/?a=1&b="), "path"), "External")]
+    links = built.select("path", F.explode(F.array(*[F.struct(F.lit(o).alias("owner"), F.lit("t").alias("type"), t.alias("target"), F.lit(m).alias("mode")) for o, t, m in wanted])).alias("e")).select("path", "e.*")
+    saved, _ = part_saving.save_parts(built, edits, links)
+    nodes = stored(packages.xml_nodes(packages.parts(stored(saved.drop("_error")), r"(.*/)?_rels/.*|/\[Content_Types\].xml")))
+    typed = package_edits.content_type_tables(nodes)[1].filter("part = '/custom/note.xml'").select("path", F.col("part").alias("owner"), F.lit("type").alias("id"), F.col("ct").alias("target"))
+    return workbook.relationships(nodes.filter("part LIKE '%.rels'")).select("path", "owner", "id", "target").unionByName(typed)
+
+
 @query(f"""WITH {_ORDERS}, c AS (SELECT 'book' || CAST(row // {BOOK_ROWS} AS VARCHAR) AS path, row % {BOOK_ROWS} AS row, col, value_kind, num, text, row AS k FROM g)
 SELECT path, CAST(row AS INTEGER) AS row, col, CASE WHEN col = 1 AND k % 10 = 0 THEN 'text' WHEN col = 3 AND k % 10 = 1 THEN 'bool' ELSE value_kind END AS value_kind,
        CASE WHEN col = 1 AND k % 10 = 0 OR col = 3 AND k % 10 = 1 THEN NULL ELSE num END AS num, CASE WHEN col = 1 AND k % 10 = 0 THEN 'new ' || CAST(k AS VARCHAR) WHEN col = 4 AND k % 10 = 2 THEN NULL ELSE text END AS text, CASE WHEN col = 3 AND k % 10 = 1 THEN true END AS bool FROM c WHERE NOT (col = 4 AND k % 10 = 2)

@@ -7,11 +7,13 @@ comes from. A text that is no formula has no nodes but a fault and where it is.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellarium.functions.addresses import let
 from cellarium.functions.formulas import _BODY, _SHEET
 
 # How strongly infix operators bind, error literals, and how deep a formula may be.
@@ -235,3 +237,91 @@ def print_formula(nodes: Column) -> Column:
         return pd.Series([None if nodes is None else print_nodes(list(nodes)) for nodes in found], dtype=object)
 
     return printed(nodes)
+
+
+_FIELDS = tuple(x.split()[0] for x in NODE.split(", "))
+_OPEN_KINDS = ("binary", "unary", "percent")
+
+
+def map_nodes(nodes: Column, change: Callable[[Column], dict[str, Column]]) -> Column:
+    """nodes with fields of each as change(node) says, which names kind, text, before or after; the form of the tree stays."""
+
+    def one(n: Column) -> Column:
+        new = change(n)
+        return F.struct(*[new.get(f, n[f]).alias(f) for f in _FIELDS])
+
+    return F.transform(nodes, one)
+
+
+def _single(kind: str, text: Column) -> Column:
+    """A tree of one node."""
+    values = (F.lit(0), F.lit(None).cast("int"), F.lit(0), F.lit(0), F.lit(kind), text, F.lit(""), F.lit(""))
+    return F.array(F.named_struct(*[x for f, v in zip(_FIELDS, values, strict=True) for x in (F.lit(f), v)]))
+
+
+def _moved(tree: Column, by: Column, deeper: Column, parent: Column, place: Column) -> Column:
+    """A tree whose nodes are numbered from `by` on, as a child in that place."""
+
+    def one(n: Column) -> Column:
+        root = n["parent"].isNull()
+        new = {"id": n["id"] + by, "parent": F.when(root, parent).otherwise(n["parent"] + by), "ord": F.when(root, place).otherwise(n["ord"]), "depth": n["depth"] + deeper}
+        return F.struct(*[new.get(f, n[f]).cast("int" if f in new else "string").alias(f) for f in _FIELDS])
+
+    return F.transform(tree, one)
+
+
+def _in_paren(tree: Column) -> Column:
+    paren = _single("paren", F.lit(""))
+    return F.concat(paren, _moved(tree, F.lit(1), F.lit(1), F.lit(0), F.lit(0)))
+
+
+def replace_nodes(nodes: Column, wanted: Callable[[Column], Column], make: Callable[[Column, Column], Column], given: Column | None = None) -> Column:
+    """nodes with another tree, make(node, given), in place of each node that is wanted and all below it; given is a column of the row,
+    such as a tree parsed from another one, which could not be named inside make otherwise.
+
+    Of wanted nodes one below another the upper one counts, and what is put in is not looked at again. A tree of operators below an
+    operator is put in brackets, so that it stays one operand. The blanks around a node stay, in
+    place of those before what is put in or its bracket. Null where nodes is null or a tree is. Nodes are numbered before their children, so a
+    subtree is a run of them and the numbers of the rest move by how much longer or shorter earlier trees became: work grows
+    with nodes times wanted ones. Spark can't run print_formula() on an
+    expression with lambdas, nor this on parse_formula() in one plan: write the trees to a table between these steps.
+    """
+    both = F.struct(nodes.alias("nodes"), (F.lit(None) if given is None else given).alias("given"))
+    return let(both, lambda x: _replaced(x["nodes"], x["given"], wanted, make))
+
+
+def _replaced(nodes: Column, given: Column, wanted: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    kind_of = lambda i: F.get(nodes, i)["kind"]
+    end_of = lambda n: F.coalesce(F.get(F.filter(nodes, lambda o: (o["id"] > n["id"]) & (o["depth"] <= n["depth"])), F.lit(0))["id"], F.size(nodes))
+
+    lead = lambda t: F.get(F.filter(t, lambda o: ~o["kind"].isin("binary", "percent")), F.lit(0))  # noqa: E731 - the node that a tree's text begins with
+
+    def match(n: Column) -> Column:
+        bare = lambda t: F.get(t, F.lit(0))["kind"].isin(*_OPEN_KINDS)
+        held = n["parent"].isNotNull() & kind_of(n["parent"]).isin(*_OPEN_KINDS)
+        tree = let(make(n, given), lambda t: F.when(held & bare(t), _in_paren(t)).otherwise(_moved(t, F.lit(0), F.lit(0), F.lit(None), F.lit(0))))
+        return F.struct(n.alias("n"), end_of(n).alias("end"), lead(F.filter(nodes, lambda o: o["id"] >= n["id"]))["before"].alias("before"), tree.alias("tree"))
+
+    def rebuilt(found: Column) -> Column:
+        outer = F.filter(found, lambda m: ~F.exists(found, lambda o: (o["n"]["id"] < m["n"]["id"]) & (m["n"]["id"] < o["end"])))
+        return let(outer, joined)
+
+    def joined(outer: Column) -> Column:
+        def moved(i: Column) -> Column:
+            longer = F.transform(F.filter(outer, lambda m: m["n"]["id"] < i), lambda m: F.size(m["tree"]) - m["end"] + m["n"]["id"])
+            return i + F.aggregate(longer, F.lit(0), lambda a, x: a + x)
+
+        def put(m: Column) -> Column:
+            n = m["n"]
+
+            def blanks(t: Column) -> Column:
+                new = {"before": F.when(t["id"] == lead(m["tree"])["id"], m["before"]).otherwise(t["before"]), "after": F.when(t["depth"] == 0, F.concat(t["after"], n["after"])).otherwise(t["after"])}
+                return F.struct(*[new.get(f, t[f]).alias(f) for f in _FIELDS])
+
+            return _moved(F.transform(m["tree"], blanks), moved(n["id"]), n["depth"], moved(n["parent"]), n["ord"])
+
+        kept = F.filter(nodes, lambda n: ~F.exists(outer, lambda m: (m["n"]["id"] <= n["id"]) & (n["id"] < m["end"])))
+        shifted = F.transform(kept, lambda n: F.struct(*[(moved(n[f]) if f in ("id", "parent") else n[f]).alias(f) for f in _FIELDS]))
+        return F.array_sort(F.concat(shifted, F.flatten(F.transform(outer, put))))
+
+    return F.when(nodes.isNotNull(), let(F.transform(F.filter(nodes, wanted), match), rebuilt))

@@ -78,6 +78,16 @@ def stored_number(v: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).when(v == 0, "0").when(whole, v.cast("long").cast("string")).when(short, v.cast("string")).otherwise(let(parts, shown))
 
 
+def plain_number(v: Column) -> Column:
+    """A number in its shortest exact decimals without an exponent, as a formula spells it; null if not finite."""
+
+    def spelled(s: Column) -> Column:
+        head, e = F.substring_index(s, "E", 1), F.substring_index(s, "E", -1).try_cast("int")
+        return F.when(s.contains("E"), F.concat(F.when(v < 0, "-").otherwise(""), _plain(F.translate(head, "-.", ""), e))).otherwise(s)
+
+    return let(stored_number(v), spelled)
+
+
 def coerce_input(text: Column) -> Column:
     """struct<kind, num, text, bool> of what a user typed: blank clears, a finite number, a boolean, or text."""
     s = trimmed(text)

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xml.parsers import expat
 
-from cellarium.functions.addresses import MAX_ROW
 from cellarium.sources.packages import LIMITS, _fault, _open
-from cellarium.sources.sheets import _CHUNK, _ROWS, CELL, _Cells, arrow_schema, sheet_cells
+from cellarium.sources.sheets import _CHUNK, _MOST_ROWS, _ROWS, CELL, _Cells, arrow_schema, sheet_cells
 from cellarium.sources.tables import stored
 
 #: Bytes of a piece; it goes on to the next row.
@@ -29,7 +28,7 @@ PIECE_BYTES = 4 << 20
 PIECE = "path string, part string, piece int, head binary, bytes binary, tail binary, _error string"
 _SUMMARY = "piece int, next_row long, n_rows long, n_cells long, seen long"
 #: Rows of a piece count from here until one has a number.
-_UNKNOWN = -(1 << 30)
+_UNKNOWN = -_MOST_ROWS
 _PART = ["path", "part"]
 
 _TOKEN = re.compile(rb"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?P<close>/?)(?P<name>[^\s<>/!?]+)(?:[^<>"']++|"[^"]*"|'[^']*')*+>""")
@@ -223,7 +222,7 @@ def piece_cells(pieces: DataFrame, limits: dict | None = None) -> DataFrame:
     cells = parsed.filter("n_rows IS NULL").drop("n_rows", "n_cells").join(starts, [*_PART, "piece"])
     row = F.when(F.col("row") < 0, F.col("row") - _UNKNOWN + F.col("_row")).otherwise(F.col("row")).cast("int")
     cells = cells.withColumns({"row": row, "row_ord": F.col("row_ord") + F.col("_n_rows"), "cell_ord": F.col("cell_ord") + F.col("_n_cells")})
-    beyond = F.coalesce((F.col("row") > MAX_ROW) & F.col("cell_ord").isNotNull(), F.lit(False))
+    beyond = F.coalesce((F.col("row") >= min(limits["rows"], _MOST_ROWS)) & F.col("cell_ord").isNotNull(), F.lit(False))
     placed = cells.withColumns({"_error": F.when(beyond, "BadCellRef").otherwise(F.col("_error")), "row": F.when(~beyond, F.col("row")), "col": F.when(~beyond, F.col("col"))}).select(names)
 
     joined = pieces.join(again, _PART, "left_semi").groupBy(_PART).agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY piece)").alias("bytes"))

@@ -34,7 +34,7 @@ def expected(spark, folder):
     return found
 
 
-@pytest.mark.parametrize("name", ["implicit_rows_package"])
+@pytest.mark.parametrize("name", ["implicit_rows_package", "implicit_rows_split"])
 def test_far_rows(spark, far_events, name):
     wanted = sorted((k, row) for k, _, row in expected(spark, far_events) if k % 3)
     assert sorted(map(tuple, queries.QUERIES[name](spark, far_events).collect())) == wanted

@@ -38,3 +38,11 @@ def expected(spark, folder):
 def test_far_rows(spark, far_events, name):
     wanted = sorted((k, row) for k, _, row in expected(spark, far_events) if k % 3)
     assert sorted(map(tuple, queries.QUERIES[name](spark, far_events).collect())) == wanted
+
+
+def test_far_counters(spark, far_events):
+    last = {}
+    for k, sheet, row in expected(spark, far_events):
+        if k % 3:
+            last[str(sheet)] = max(row, last.get(str(sheet), -1))
+    assert {r["part"]: r["max_row"] for r in queries.sheet_counters(spark, far_events).collect()} == last

@@ -10,7 +10,9 @@ What lies in what is told by sweeps: starts, ends and questions of a part in one
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,8 @@ from cellarium.functions import markup
 from cellarium.sources.packages import LIMITS
 from cellarium.sources.sheets import arrow_schema
 
-#: Events that go on to Spark at once.
-_ROWS = 20_000
+#: Events that go on to Spark at once, and bytes of a part that are searched together.
+_ROWS, _STRETCH = 20_000, 1 << 20
 
 EVENT = "path string, part string, seq long, kind string, start long, end long, name string, empty boolean, depth int, node_id long, parent_id long, raw string, _error string"
 _NAME = rb"[^\s<>/=\"'?!][^\s<>/=\"']*"
@@ -84,12 +86,20 @@ def xml_events(members: DataFrame, limits: dict | None = None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches:
             for path, part, content in zip(*(some.column(c).to_pylist() for c in ("path", "part", "bytes")), strict=True):
+                content = content or b""
                 try:
-                    rows = [(*e, None) for e in _events(content or b"", limits)]
+                    found = _events(content, limits)
+                    rows = list(islice(found, _ROWS))
+                    if len(rows) == _ROWS:  # a part with a fault has no events, so a long one is read to its end first
+                        deque(found, 0)
+                        found = _events(content, limits)
+                        rows = list(islice(found, _ROWS))
                 except ValueError as e:
-                    rows = [(*[None] * 10, "NotUtf8" if isinstance(e, UnicodeDecodeError) else str(e))]
-                for at in range(0, len(rows), _ROWS):
-                    yield batch(path, part, rows[at : at + _ROWS])
+                    yield batch(path, part, [(*[None] * 10, "NotUtf8" if isinstance(e, UnicodeDecodeError) else str(e))])
+                    continue
+                while rows:
+                    yield batch(path, part, [(*e, None) for e in rows])
+                    rows = list(islice(found, _ROWS))
 
     return members.select("path", "part", "bytes").mapInArrow(read, EVENT).withColumn("seq", F.when(F.col("seq").isNotNull(), F.array("seq", F.lit(0).cast("long"))))
 
@@ -272,12 +282,16 @@ def extents(events: DataFrame) -> DataFrame:
 def nodes_at(events: DataFrame, offsets: DataFrame) -> DataFrame:
     """offsets (path, part, offset) with node_id: the deepest element that covers the byte; null where none does.
 
-    Events tile a part, so the last event that begins at or before the byte says it: one sorted stream of events and questions.
+    Events tile a part, so the last event that begins at or before the byte says it: a sorted stream of events and questions for each
+    stretch of a part, and an event is in every stretch that it reaches.
     """
-    tiles = events.filter("_error IS NULL AND start IS NOT NULL").select(*_PART, F.col("start").alias("_pos"), F.lit(0).alias("_asked"), F.struct("end", F.coalesce("node_id", "parent_id").alias("node_id")).alias("_tile"))
-    asked = offsets.select(*_PART, F.col("offset").cast("long").alias("_pos"), F.lit(1).alias("_asked"), F.struct(*offsets.columns).alias("_row"))
+    stretch = lambda at: F.floor(at / _STRETCH)
+    reached = F.sequence(stretch(F.col("start")), stretch(F.greatest(F.col("start"), F.col("end") - 1)))
+    tiles = events.filter("_error IS NULL AND start IS NOT NULL").select(*_PART, F.explode(reached).alias("_stretch"), F.col("start").alias("_pos"), F.lit(0).alias("_asked"), F.struct("end", F.coalesce("node_id", "parent_id").alias("node_id")).alias("_tile"))
+    at = F.col("offset").cast("long")
+    asked = offsets.select(*_PART, stretch(at).alias("_stretch"), at.alias("_pos"), F.lit(1).alias("_asked"), F.struct(*offsets.columns).alias("_row"))
     both = tiles.unionByName(asked, allowMissingColumns=True)
-    last = F.last("_tile", ignorenulls=True).over(Window.partitionBy(*_PART).orderBy("_pos", "_asked"))
+    last = F.last("_tile", ignorenulls=True).over(Window.partitionBy(*_PART, "_stretch").orderBy("_pos", "_asked"))
     found = both.withColumn("_tile", last).filter("_asked = 1")
     return found.select("_row.*", F.when(F.col("_pos") < F.col("_tile.end"), F.col("_tile.node_id")).alias("node_id"))
 

@@ -18,7 +18,7 @@ from cellarium.operators.style_edits import font_fault
 from cellarium.plans.workbook import relationships, shared_strings, string_parts, workbook_parts, workbook_sheets
 from cellarium.sources.books import book_rows, rows_of
 from cellarium.sources.packages import named_parts
-from cellarium.sources.tables import stored
+from cellarium.sources.tables import measured_joins, stored
 from cellarium.sources.writer import save_packages
 from cellarium.sources.xml_events import append_children, attributes, insert_before, new_element, remove_nodes, serialize, set_attributes, subtrees, xml_events
 
@@ -70,10 +70,11 @@ def _plain_text(qname: Column, text: Column) -> Column:
 def _following(there: DataFrame, wanted: DataFrame, by: list[str], place: str) -> DataFrame:
     """wanted (by, place) with next: the first element in document order of those there (by, place, node_id) that stand for a later place."""
     both = wanted.select(*by, place).withColumn("_asked", F.lit(1)).unionByName(there.select(*by, place, "node_id").withColumn("_asked", F.lit(0)), allowMissingColumns=True)
-    later = F.min("node_id").over(Window.partitionBy(*by).orderBy(place).rangeBetween(1, Window.unboundedFollowing))
+    later = F.min("node_id").over(Window.partitionBy(*by).orderBy(F.col(place).desc()).rangeBetween(Window.unboundedPreceding, -1))  # grows down from the last place
     return both.withColumn("next", later).filter("_asked = 1").drop("_asked", "node_id")
 
 
+@measured_joins
 def splice_cells(events: DataFrame, edits: DataFrame) -> DataFrame:
     """events of sheet parts after edits (path, part, row, col, value_kind, num, bool, err, text, idx, perhaps s; one for each cell).
 
@@ -151,6 +152,7 @@ def _roots(events: DataFrame) -> DataFrame:
     return events.filter("kind = 'Start' AND depth = 0").select(*_PART, "node_id", F.regexp_extract("name", "^.*:", 0).alias("prefix"))
 
 
+@measured_joins
 def save_cells(found: DataFrame, edits: DataFrame, inline: bool = False) -> tuple[DataFrame, DataFrame]:
     """Packages (path, content) after edits (path, sheet, row, col, ord, value_kind, num, text, bool, err), and the edits refused.
 

@@ -139,7 +139,7 @@ def save_packages(found: DataFrame, edits: DataFrame) -> DataFrame:
     Parts without an edit keep their compressed bytes, so a package without any comes back as it was. A package that can't be
     read keeps its content, with an _error. A package's edits travel as one row, within the quota of a package.
     """
-    gathered = edits.groupBy("path").agg(F.collect_list(F.struct("part", "bytes")).alias("edits"))
+    gathered = edits.groupBy("path").agg(F.collect_list(F.struct("part", "bytes")).alias("edits")).hint("merge")  # whole parts, which Parquet makes small
 
     def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import time
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -164,12 +166,16 @@ class SpreadsheetSource(DataSource):
 class ArrivalsReader(SimpleDataSourceStreamReader):
     """Names of new files, so many in a batch at most, in the order in which they came; an offset is the time and name of the last one.
 
-    Files should come under a hidden name and be renamed when they are whole, as SpreadsheetWriter does.
+    Files should come under a hidden name and be renamed when they are whole, as SpreadsheetWriter does. A listing serves further batches
+    while no folder has changed since, where the file system says when that was, and until it has nothing new.
     """
 
     def __init__(self, options: dict):
         self.path, self.pattern = options["path"], options.get("pathglobfilter", "*")
         self.most = int(options.get("maxfilesperbatch", 1000))
+        self.files: list[pafs.FileInfo] = []
+        self.places: list[tuple[int, str]] = []
+        self.folders: dict[str, int | None] = {}
 
     def initialOffset(self) -> dict:
         return {"time": -1, "path": ""}
@@ -179,8 +185,27 @@ class ArrivalsReader(SimpleDataSourceStreamReader):
         first, last = (start["time"], start["path"]), end and (end["time"], end["path"])
         return sorted((f for f in _listed(self.path, self.pattern) if place(f) > first and (last is None or place(f) <= last)), key=place)
 
+    def _changed(self, folders: Iterable[str]) -> dict[str, int | None]:
+        return {f.path: f.mtime_ns for f in _system(self.path)[0].get_file_info(sorted(folders))}
+
+    def _next(self, start: dict) -> list[pafs.FileInfo]:
+        """The first files after an offset."""
+        place = (start["time"], start["path"])
+        at = bisect_right(self.places, place)
+        if at == len(self.places) or not self.folders or self._changed(self.folders) != self.folders:
+            system, base = _system(self.path)
+            now = time.time_ns()
+            below = system.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+            folders = self._changed({base, *(f.path for f in below if f.type == pafs.FileType.Directory)})
+            # A folder that changed just now may change again within the same tick of its clock.
+            self.folders = folders if all(t and t + 1_000_000_000 < now for t in folders.values()) else {}
+            self.files = self._between({"time": -1, "path": ""}, None)
+            self.places = [(f.mtime_ns, f.path) for f in self.files]
+            at = bisect_right(self.places, place)
+        return self.files[at : at + self.most]
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = self._between(start, None)[: self.most]
+        new = self._next(start)
         return iter([(f.path, f.size) for f in new]), {"time": new[-1].mtime_ns, "path": new[-1].path} if new else start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:

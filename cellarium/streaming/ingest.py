@@ -35,9 +35,9 @@ def ingest_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str,
         entries(contents(files, folder)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     arriving = spark.readStream.format("package_arrivals").option("maxFilesPerBatch", str(most)).load(folder)
-    while True:  # a trigger of this source is one batch; the last one finds nothing
-        before = seen
-        query = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(once=True).start()
-        query.awaitTermination()
-        if seen == before:
-            return seen
+    query = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()  # batch after batch in one query, until one finds nothing
+    finally:
+        query.stop()
+    return seen

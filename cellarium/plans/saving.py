@@ -268,6 +268,7 @@ def _numbered(known: DataFrame, wanted: DataFrame) -> DataFrame:
     return new.select(*_PART, "print", F.coalesce("old", F.coalesce("base", F.lit(0)) + at - 1).alias("id"), F.col("old").isNull().alias("fresh"))
 
 
+@measured_joins
 def save_fonts(found: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packages (path, content) after edits of fonts (path, sheet, row, col, name, size, bold, italic, underline; null keeps), and the edits refused.
 

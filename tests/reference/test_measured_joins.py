@@ -50,3 +50,9 @@ def test_next_places_of_one_long_sheet(spark):
     wanted = spark.createDataFrame([("p", 1), ("p", 2), ("p", 99_997), ("p", 99_998), ("p", 200_000)], "path string, row long")
     found = saving._following(there, wanted, ["path"], "row")
     assert sorted(((r["row"], r["next"]) for r in found.collect()), key=lambda x: x[0]) == [(1, 8), (2, 9), (99_997, 50_006), (99_998, None), (200_000, None)]
+
+
+def test_edits_of_fonts_run_with_measured_joins(spark, monkeypatch):
+    found = spark.createDataFrame([], "path string, content binary")
+    edits = spark.createDataFrame([], "path string, sheet int, row long, col long, name string, size double, bold boolean, italic boolean, underline boolean")
+    _runs_measured(spark, monkeypatch, lambda: saving.save_fonts(found, edits))

@@ -7,9 +7,12 @@ import struct
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellarium.functions import markup, values
 from cellarium.functions.addresses import a1
@@ -23,8 +26,8 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006"
 
 
-def sheet_rows(cells: DataFrame, strings: DataFrame | None = None) -> DataFrame:
-    """path, sheet, row, xml: the row elements of sheets, texts through the shared strings of their package (build_strings())."""
+def sheet_cells_xml(cells: DataFrame, strings: DataFrame | None = None) -> DataFrame:
+    """path, sheet, row, col, xml: the cell elements of sheets, texts through the shared strings of their package (build_strings())."""
     strings = build_strings(cells) if strings is None else strings
     # Cells without a text have keys of their own, which no string has.
     spare = F.pmod(F.hash("row", "col"), F.lit(4096))
@@ -36,24 +39,38 @@ def sheet_rows(cells: DataFrame, strings: DataFrame | None = None) -> DataFrame:
         .when(F.col("value_kind") == "bool", F.concat(place, F.lit(' t="b"><v>'), F.col("bool").cast("int").cast("string"), F.lit("</v></c>")))
         .otherwise(F.concat(place, F.lit("/>")))
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", xml.alias("xml")))), lambda x: x["xml"]), "")
-    return coded.groupBy("path", "sheet", "row").agg(F.concat(F.lit('<row r="'), (F.col("row") + 1).cast("string"), F.lit('">'), joined, F.lit("</row>")).alias("xml"))
+    return coded.select("path", "sheet", "row", "col", F.coalesce(xml, F.lit("")).alias("xml"))
+
+
+def _row_elements(rows: np.ndarray, xml: list[str]) -> list[str]:
+    """Cells in order, with the tags of their rows around them."""
+    out, starts = [], [0, *(np.flatnonzero(np.diff(rows)) + 1).tolist(), len(xml)]
+    for first, end in zip(starts, starts[1:], strict=False):
+        out += [f'<row r="{rows[first] + 1}">', *xml[first:end], "</row>"]
+    return out
 
 
 def build_packages(cells: DataFrame, limits: dict | None = None) -> DataFrame:
     """path, content, _error: one archive for each path of cells (path, sheet, row, col, value_kind, num, text, bool).
 
-    Rows and strings are rendered as columns; a task only puts one package's pieces in order and compresses them,
-    and a package beyond the quota of its readers is not built but a row with _error.
+    Cells and strings are rendered as columns and put in order by Spark; a task only joins one package's pieces and compresses
+    them, and a package beyond the quota of its readers is not built but a row with _error. All pieces are made once.
     """
     limits = LIMITS | (limits or {})
     strings = stored(build_strings(cells))
-    rows = sheet_rows(cells, strings).select("path", F.col("sheet").alias("a"), F.col("row").cast("long").alias("b"), "xml")
-    items = strings.select("path", F.lit(-1).alias("a"), F.col("idx").alias("b"), F.concat(F.lit('<si><t xml:space="preserve">'), markup.escape_text(markup.encode_x_escapes(F.col("text"))), F.lit("</t></si>")).alias("xml"))
-
-    def build(pieces: pd.DataFrame) -> pd.DataFrame:
-        pieces = pieces.sort_values(["a", "b"])
-        names = sorted(int(x) for x in pieces["a"].unique() if x >= 0)
+    rows = sheet_cells_xml(cells, strings).select("path", F.col("sheet").alias("a"), F.col("row").cast("long").alias("b"), F.col("col").cast("long").alias("c"), "xml")
+    items = strings.select("path", F.lit(-1).alias("a"), F.col("idx").alias("b"), F.lit(0).cast("long").alias("c"), F.concat(F.lit('<si><t xml:space="preserve">'), markup.escape_text(markup.encode_x_escapes(F.col("text"))), F.lit("</t></si>")).alias("xml"))
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("_error", pa.string())])
+
+    def build(pieces: pa.Table) -> pa.Table:
+        made = lambda content, fault: pa.table([[pieces["path"][0].as_py()], [content], [fault]], schema=schema)
+        if pieces["xml"].null_count:
+            return made(None, "LimitPart")
+        a, b, xml = pieces["a"].to_numpy(), pieces["b"].to_numpy(), pieces["xml"].to_pylist()
+        names = [int(x) for x in np.unique(a) if x >= 0]
+        body = {i: (xml[slice(*at)] if i < 0 else _row_elements(b[slice(*at)], xml[slice(*at)])) for i, at in ((i, np.searchsorted(a, [i, i + 1])) for i in (-1, *names))}
+        if sum(len(x) for pieces_ in body.values() for x in pieces_) > limits["part"]:
+            return made(None, "LimitPart")
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
 
@@ -65,15 +82,17 @@ def build_packages(cells: DataFrame, limits: dict | None = None) -> DataFrame:
             put("_rels/.rels", f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
             put("xl/workbook.xml", f'<workbook xmlns="{_SML}" xmlns:r="{_REL}"><sheets>' + "".join(f'<sheet name="Sheet{i + 1}" sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i in names) + "</sheets></workbook>")
             put("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PKG}/relationships">' + "".join(f'<Relationship Id="rId{i + 1}" Type="{_REL}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in names) + f'<Relationship Id="rIdS" Type="{_REL}/sharedStrings" Target="sharedStrings.xml"/></Relationships>')
-            put("xl/sharedStrings.xml", f'<sst xmlns="{_SML}">' + "".join(pieces.loc[pieces["a"] == -1, "xml"]) + "</sst>")
+            put("xl/sharedStrings.xml", f'<sst xmlns="{_SML}">' + "".join(body[-1]) + "</sst>")
             for i in names:
-                put(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{_SML}"><sheetData>' + "".join(pieces.loc[pieces["a"] == i, "xml"]) + "</sheetData></worksheet>")
-        return pd.DataFrame({"path": [pieces["path"].iloc[0]], "content": [out.getvalue()], "_error": [None]})
-
-    pieces = rows.unionByName(items)
-    size = pieces.groupBy("path").agg(F.sum(F.length("xml")).alias("size"))
-    fits = pieces.join(size.filter(F.col("size") <= limits["part"]), "path", "left_semi").groupBy("path").applyInPandas(build, "path string, content binary, _error string")
-    return fits.unionByName(size.filter(F.col("size") > limits["part"]).select("path", F.lit(None).cast("binary").alias("content"), F.lit("LimitPart").alias("_error")))
+                put(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{_SML}"><sheetData>' + "".join(body[i]) + "</sheetData></worksheet>")
+        return made(out.getvalue(), None)
+
+    # In order of sheets, rows and cells; of a package whose pieces alone are beyond the quota one is left, without its text.
+    ordered = Window.partitionBy("path").orderBy("a", "b", "c", "xml")
+    sized = rows.unionByName(items).select("*", F.sum(F.length("xml")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("size"), F.row_number().over(ordered).alias("at"))
+    fits = F.col("size") <= limits["part"]
+    pieces = sized.filter(fits | (F.col("at") == 1)).select("path", "a", "b", F.when(fits, F.col("xml")).alias("xml"))
+    return pieces.groupBy("path").applyInArrow(build, "path string, content binary, _error string")
 
 
 def _member(name: str, body: bytes) -> tuple[bytes, bytes]:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cellarium.functions import formulas
+from cellarium.plans import workbook
 from cellarium.sources.tables import stored
 
 _BITS = ["A1", "$A$1", "B2:C3", "a:$B", "$1:2", "Sheet1!", "'It''s'!", "[1]S!", "S0:S1!", '"', '"A1"', '""', "(", ")", "+", " ", "SUM(", "#REF!", "#N/A", "ZZZ9", "A0", "A01", "9999999", "1.5E3", ".5", "name", "_x", "é1", "²", "½A1", "Ⅷ", "٣A1", "A1.", "A1!", "[", "Sales[Q1]", "[[a]b]", "]", "\\A1", "?", "!", "$", ":", ",", "{", "%", "<>", "\n", "日本!A1", "😀", "@", "x.y!A1", "'", " ", "é!A1", "$$A1", "A$", "1A1", "E5", "#A1"]
@@ -32,3 +33,12 @@ def test_copies(spark):
     df = spark.createDataFrame(cases, "f string, r long, c long, want string")
     got = df.select("f", "want", formulas.translate_formula(F.col("f"), F.col("r"), F.col("c")).alias("got")).collect()
     assert [(r.f, r.got) for r in got] == [(r.f, r.want) for r in got]
+
+
+def test_shared_formulas_need_no_lambda(spark):
+    """Followers of a shared formula are copies too."""
+    rows = [("p", "s", r, c, "shared", 0, "A1+$B$1" if r + c == 0 else None, (r + c == 0) or None) for r in range(3) for c in range(2)]
+    cells = spark.createDataFrame(rows, "path string, part string, row int, col int, f_kind string, f_si long, f_text string, f_range boolean")
+    df = workbook.expand_shared(cells)
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.row, r.col, r.f_text) for r in df.collect()) == [(r, c, f"{'AB'[c]}{r + 1}+$B$1") for r in range(3) for c in range(2)]

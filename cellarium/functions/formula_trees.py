@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,8 +152,8 @@ class _Tree:
         self.nodes[node]["children"] = children
         return node
 
-    def rows(self) -> list[dict]:
-        """The nodes before their children, numbered in that order."""
+    def rows(self) -> list[tuple]:
+        """The nodes, with the fields of NODE, before their children and numbered in that order."""
         root = self.expression(1)
         kind, text, at, blank = self.left[-1]
         if kind != "end":
@@ -163,14 +164,15 @@ class _Tree:
             at, parent, place, depth = todo.pop()
             node = self.nodes[at]
             number = len(out)
-            out.append({"id": number, "parent": parent, "ord": place, "depth": depth, **{k: node[k] for k in ("kind", "text", "before", "after")}})
-            todo += [(c, number, i, depth + 1) for i, c in reversed(list(enumerate(node["children"])))]
+            out.append((number, parent, place, depth, node["kind"], node["text"], node["before"], node["after"]))
+            children = node["children"]
+            todo += [(children[i], number, i, depth + 1) for i in range(len(children) - 1, -1, -1)]
         return out
 
 
 def parse_text(text: str) -> list[dict]:
     """The nodes of a formula without its `=`, the root first."""
-    return _Tree(text).rows()
+    return [dict(zip(_FIELDS, values, strict=True)) for values in _Tree(text).rows()]
 
 
 def print_nodes(nodes: list[dict]) -> str:
@@ -212,34 +214,70 @@ def _shown(n: dict, inner: list[str]) -> str:
     return body + n["after"]
 
 
+_FIELDS = tuple(x.split()[0] for x in NODE.split(", "))
+_NODE = pa.struct([(name, {"int": pa.int32(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in NODE.split(", "))])
+#: Formulas whose nodes are Python's at once.
+_SLICE = 500
+
+
+def _parsed(found: list[str | None]) -> pa.Array:
+    """struct<fault, at, nodes> of formulas; nodes go to Arrow field by field."""
+    faults, places, offsets, lost, nodes = [], [], [0], [], []
+    for f in found:
+        fault = at = None
+        try:
+            nodes += () if f is None else _Tree(f).rows()
+        except BadFormula as e:
+            fault, at = e.fault, e.at
+        faults.append(fault)
+        places.append(at)
+        lost.append(f is None or fault is not None)
+        offsets.append(len(nodes))
+    columns = zip(*nodes, strict=True) if nodes else [()] * len(_FIELDS)
+    flat = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _NODE, strict=True)], fields=list(_NODE))
+    trees = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(lost, pa.bool_()))
+    return pa.StructArray.from_arrays([pa.array(faults, pa.string()), pa.array(places, pa.int32()), trees], names=["fault", "at", "nodes"])
+
+
+def _batch(found: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_parsed(found[at : at + _SLICE].to_pylist()) for at in range(0, max(len(found), 1), _SLICE)])
+
+
 def parse_formula(formula: Column) -> Column:
     """struct<fault, at, nodes>: the nodes of a formula, or why it is none and at which character; null for null."""
 
-    @F.pandas_udf(f"fault string, at int, nodes array<struct<{', '.join(x.replace(' ', ':') for x in NODE.split(', '))}>>")
-    def parsed(found: pd.Series) -> pd.DataFrame:
-        rows = []
-        for f in found:
-            try:
-                rows.append((None, None, None if f is None else parse_text(f)))
-            except BadFormula as e:
-                rows.append((e.fault, e.at, None))
-        out = pd.DataFrame(rows, columns=["fault", "at", "nodes"])
-        return out.assign(at=out["at"].astype("Int32"))
+    @F.arrow_udf(f"fault string, at int, nodes array<struct<{', '.join(x.replace(' ', ':') for x in NODE.split(', '))}>>")
+    def parsed(found: pa.Array) -> pa.Array:
+        return _batch(found)
 
     return parsed(formula)
 
 
+def _printed(found: pa.ListArray) -> list[str | None]:
+    """The texts of trees, read from Arrow field by field."""
+    fields = [x.to_pylist() for x in found.flatten().flatten()]
+    nodes = [dict(zip(_FIELDS, values, strict=True)) for values in zip(*fields, strict=True)]
+    out, at = [], 0
+    for n in pc.list_value_length(found).to_pylist():
+        out.append(None if n is None else print_nodes(nodes[at : at + n]))
+        at += n or 0
+    return out
+
+
+def _shown_batch(found: pa.ListArray) -> pa.Array:
+    return pa.array([text for at in range(0, len(found), _SLICE) for text in _printed(found[at : at + _SLICE])], pa.string())
+
+
 def print_formula(nodes: Column) -> Column:
     """The text of an array of nodes."""
 
-    @F.pandas_udf("string")
-    def printed(found: pd.Series) -> pd.Series:
-        return pd.Series([None if nodes is None else print_nodes(list(nodes)) for nodes in found], dtype=object)
+    @F.arrow_udf("string")
+    def printed(found: pa.Array) -> pa.Array:
+        return _shown_batch(found)
 
     return printed(nodes)
 
 
-_FIELDS = tuple(x.split()[0] for x in NODE.split(", "))
 _OPEN_KINDS = ("binary", "unary", "percent")
 
 

@@ -7,11 +7,12 @@ comes from. A text that is no formula has no nodes but a fault and where it is.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellarium.functions.addresses import let
@@ -188,34 +189,54 @@ def print_nodes(nodes: list[dict]) -> str:
         order.append(node := todo.pop())
         todo += children.get(node["id"], ())
     for n in reversed(order):  # the first child of a node, then its next, then the node itself
-        text = _shown(n, inner.pop(n["id"], []))
+        text = _shown(n["kind"], n["text"], n["before"], n["after"], inner.pop(n["id"], []))
         inner.setdefault(n["parent"], []).append(text)
     return text
 
 
-def _shown(n: dict, inner: list[str]) -> str:
+def _print_ordered(ids: list, parents: list, places: list, *shown: list) -> str | None:
+    """The text of a tree whose nodes are numbered from 0 in the order of their texts, as the parser makes them; None for another tree."""
+    if parents[0] is not None or ids != list(range(len(ids))) or None in places:
+        return None
+    last = [-1] * len(ids)
+    for i in range(1, len(ids)):
+        parent = parents[i]
+        if parent is None or not 0 <= parent < i or places[i] <= last[parent]:
+            return None
+        last[parent] = places[i]
+    inner: list[list[str]] = [[] for _ in ids]
+    for i in range(len(ids) - 1, 0, -1):
+        inner[parents[i]].append(_shown(*[x[i] for x in shown], inner[i][::-1]))
+    return _shown(*[x[0] for x in shown], inner[0][::-1])
+
+
+def _shown(kind: str, text: str, before: str, after: str, inner: list[str]) -> str:
     """The text of a node around that of its children."""
-    kind = n["kind"]
+    if not inner and kind not in _AROUND:
+        return "\0" if kind == "row_end" else before + text + after
     if kind == "binary":
-        body = inner[0] + n["before"] + n["text"].strip() + inner[1]
+        body = inner[0] + before + text.strip() + inner[1]
     elif kind == "unary":
-        body = n["before"] + n["text"] + inner[0]
+        body = before + text + inner[0]
     elif kind == "percent":
-        body = inner[0] + n["before"] + n["text"]
-    elif kind in ("call", "paren", "union", "array"):
+        body = inner[0] + before + text
+    elif kind in _LISTED:
         first, last = "{}" if kind == "array" else "()"
         joined = ",".join(inner).replace(",\0,", ";") if kind == "array" else ",".join(inner)
-        closing = n["after"] if kind == "call" and not inner else ""
-        return n["before"] + n["text"] + first + joined + closing + last + ("" if closing else n["after"])
+        closing = after if kind == "call" and not inner else ""
+        return before + text + first + joined + closing + last + ("" if closing else after)
     elif kind == "row_end":
         return "\0"
     else:
-        body = n["before"] + n["text"]
-    return body + n["after"]
+        body = before + text
+    return body + after
 
 
+_LISTED = ("call", "paren", "union", "array")
+_AROUND = frozenset((*_LISTED, "binary", "unary", "percent"))
 _FIELDS = tuple(x.split()[0] for x in NODE.split(", "))
 _NODE = pa.struct([(name, {"int": pa.int32(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in NODE.split(", "))])
+_NODE_SQL = ", ".join(x.replace(" ", ":") for x in NODE.split(", "))
 #: Formulas whose nodes are Python's at once.
 _SLICE = 500
 
@@ -240,27 +261,50 @@ def _parsed(found: list[str | None]) -> pa.Array:
 
 
 def _batch(found: pa.Array) -> pa.Array:
-    return pa.concat_arrays([_parsed(found[at : at + _SLICE].to_pylist()) for at in range(0, max(len(found), 1), _SLICE)])
+    """Trees of a batch; formulas repeat in sheets, so each text is parsed once."""
+    once = found.dictionary_encode(null_encoding="encode")
+    texts = once.dictionary
+    made = [_parsed(texts[at : at + _SLICE].to_pylist()) for at in range(0, max(len(texts), 1), _SLICE)]
+    return pa.concat_arrays(made).take(once.indices)
 
 
 def parse_formula(formula: Column) -> Column:
     """struct<fault, at, nodes>: the nodes of a formula, or why it is none and at which character; null for null."""
 
-    @F.arrow_udf(f"fault string, at int, nodes array<struct<{', '.join(x.replace(' ', ':') for x in NODE.split(', '))}>>")
+    @F.arrow_udf(f"fault string, at int, nodes array<struct<{_NODE_SQL}>>")
     def parsed(found: pa.Array) -> pa.Array:
         return _batch(found)
 
     return parsed(formula)
 
 
+def _values(column: pa.Array) -> list:
+    """A column's values; each text is made once, as few differ."""
+    if not len(column):
+        return []
+    if pa.types.is_string(column.type):
+        once = column.dictionary_encode(null_encoding="encode")
+        texts = once.dictionary.to_pylist()
+        return [texts[i] for i in once.indices.to_numpy().tolist()]
+    if column.null_count == 0:
+        return column.to_numpy().tolist()
+    return [None if lost else x for x, lost in zip(column.fill_null(0).to_numpy().tolist(), column.is_null().to_numpy(zero_copy_only=False).tolist(), strict=True)]
+
+
 def _printed(found: pa.ListArray) -> list[str | None]:
     """The texts of trees, read from Arrow field by field."""
-    fields = [x.to_pylist() for x in found.flatten().flatten()]
-    nodes = [dict(zip(_FIELDS, values, strict=True)) for values in zip(*fields, strict=True)]
+    fields = [_values(x) for x in found.flatten().flatten()]
+    ordered = [fields[_FIELDS.index(x)] for x in ("id", "parent", "ord", "kind", "text", "before", "after")]
     out, at = [], 0
     for n in pc.list_value_length(found).to_pylist():
-        out.append(None if n is None else print_nodes(nodes[at : at + n]))
-        at += n or 0
+        if n is None:
+            out.append(None)
+            continue
+        text = _print_ordered(*[x[at : at + n] for x in ordered]) if n else None
+        if text is None:
+            text = print_nodes([dict(zip(_FIELDS, values, strict=True)) for values in zip(*[x[at : at + n] for x in fields], strict=True)])
+        out.append(text)
+        at += n
     return out
 
 
@@ -363,3 +407,99 @@ def _replaced(nodes: Column, given: Column, wanted: Callable[[Column], Column],
         return F.array_sort(F.concat(shifted, F.flatten(F.transform(outer, put))))
 
     return F.when(nodes.isNotNull(), let(F.transform(F.filter(nodes, wanted), match), rebuilt))
+
+
+def replace_trees(df: DataFrame, column: str, wanted: Callable[[Column], Column], make: Callable[[Column, Column], Column], given: Column | None = None) -> DataFrame:
+    """df with other trees in a column of trees, as replace_nodes() makes them, for many rows: Spark says which nodes are wanted and makes
+    their trees, and Python puts the runs of nodes together in Arrow batches, so work grows with the nodes of both. Nodes are numbered
+    from 0 in their order, also those that make() gives. Trees that come from parse_formula() are to be written to a table before."""
+    nodes = F.col(column)
+    both = F.struct(nodes.alias("nodes"), (F.lit(None) if given is None else given).alias("given"))
+    made = let(both, lambda x: F.transform(F.filter(x["nodes"], wanted), lambda n: make(n, x["given"])))
+    names, at_column = df.columns, df.columns.index(column)
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(at_column), batch.column(len(names)), batch.column(len(names) + 1)
+            slices = [_put_together(*[x[at : at + _SLICE] for x in asked]) for at in range(0, max(batch.num_rows, 1), _SLICE)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(slices) if i == at_column else batch.column(i) for i in range(len(names))], names)
+
+    return df.select("*", F.transform(nodes, wanted).alias("_wanted"), made.alias("_made")).mapInArrow(replaced, df.schema)
+
+
+#: A bracket without blanks, whose empty texts are also used alone.
+_PAREN = pa.array([{"id": 0, "parent": None, "ord": 0, "depth": 0, "kind": "paren", "text": "", "before": "", "after": ""}], _NODE)
+
+
+def _put_together(nodes: pa.ListArray, wanted: pa.ListArray, trees: pa.ListArray) -> pa.Array:
+    """Trees with others in place of wanted nodes; trees has one for each of these. What comes out are runs of old nodes, of new ones and brackets."""
+    old, one_by_one = nodes.flatten(), trees.flatten()
+    new = one_by_one.flatten()
+    pool = dict(zip(_FIELDS, (pa.concat_arrays([a for a in x if len(a)]) for x in zip(old.flatten(), new.flatten(), _PAREN.flatten(), strict=True)), strict=True))
+    ids, parents, places, depths = (pc.fill_null(pool[f], -1).to_numpy() for f in ("id", "parent", "ord", "depth"))
+    paren = len(old) + len(new)
+    depth_of, parent_of, place_of = depths.tolist(), parents.tolist(), places.tolist()
+    bools = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+    opens, follows = (bools(pc.is_in(pool["kind"], pa.array(k))) for k in (_OPEN_KINDS, ("binary", "percent")))
+    marks, lost = bools(pc.fill_null(wanted.flatten(), False)), bools(one_by_one.is_null())
+    starts, tree_starts = (np.cumsum([0, *pc.fill_null(pc.list_value_length(x), 0).to_pylist()]).tolist() for x in (nodes, one_by_one))
+
+    def lead(at: int, end: int) -> int:
+        """The node that a tree's text begins with."""
+        return next((i for i in range(at, end) if not follows[i]), paren)
+
+    # A run: its first node, how many, what numbers and depths grow by, the first node of its old tree (-1 for new nodes), the old node that is
+    # above its root or else the new number of that, the root's place, and the node that made way, whose last blanks its root gets.
+    runs: list[tuple[int, int, int, int, int, int, int, int, int]] = []
+    leads: list[tuple[int, int]] = []  # a node of the result and the one whose first blanks it gets
+    offsets, gone, tree = [0], [], -1
+    for row, missing in enumerate(nodes.is_null().to_pylist()):
+        base, end, begin, runs_before, leads_before = starts[row], starts[row + 1], offsets[-1], len(runs), len(leads)
+        kept, longer = base, 0
+        for at in range(base, end):
+            if not marks[at]:
+                continue
+            tree += 1
+            if at < kept or missing:  # below a node that made way
+                continue
+            missing = lost[tree]
+            if at > kept:
+                runs.append((kept, at - kept, longer, 0, base, -1, -1, -1, -1))
+            stop = next((i for i in range(at + 1, end) if depth_of[i] <= depth_of[at]), end)
+            first, n = len(old) + tree_starts[tree], tree_starts[tree + 1] - tree_starts[tree]
+            number = at - base + longer
+            above = base + parent_of[at] if parent_of[at] >= 0 else -1
+            bracket = above >= 0 and n > 0 and opens[above] and opens[first]
+            leads.append((begin + number + (0 if bracket else lead(first, first + n) - first), lead(at, end)))
+            if bracket:
+                runs.append((paren, 1, number, depth_of[at], -1, above, -1, place_of[at], at))
+                runs.append((first, n, number + 1, depth_of[at] + 1, -1, -1, number, 0, -1))
+            elif n:
+                runs.append((first, n, number, depth_of[at], -1, above, -1, place_of[at], at))
+            else:
+                leads.pop()
+            kept, longer = stop, longer + n + bracket - (stop - at)
+        if end > kept:
+            runs.append((kept, end - kept, longer, 0, base, -1, -1, -1, -1))
+        if missing:
+            del runs[runs_before:], leads[leads_before:]
+        gone.append(missing)
+        offsets.append(begin if missing else begin + end - base + longer)
+
+    table = np.array(runs, np.int64).reshape(-1, 9)
+    lengths = table[:, 1]
+    first, _, grown, deeper, base, above, number, place, way = table[np.repeat(np.arange(len(table)), lengths)].T
+    taken = first + np.arange(len(first)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    is_old, is_root = base >= 0, parents[taken] < 0
+    made_ids = ids[taken] + grown
+    now = np.full(len(old) + 1, -1)  # the new numbers of old nodes; the last for no node
+    now[taken[is_old]] = made_ids[is_old]
+    up = np.where(is_old, np.where(is_root, -1, now[np.where(is_old & ~is_root, base + parents[taken], -1)]), np.where(is_root, np.where(above >= 0, now[above], number), parents[taken] + grown))
+    before, after = taken.copy(), np.where((way >= 0) & (depths[taken] == 0), way, paren)
+    for i, source in leads:
+        before[i] = source
+    text = {"kind": pool["kind"].take(pa.array(taken)), "text": pool["text"].take(pa.array(taken)), "before": pool["before"].take(pa.array(before))}
+    text["after"] = pc.binary_join_element_wise(pool["after"].take(pa.array(taken)), pool["after"].take(pa.array(after)), "")
+    numbers = {"id": pa.array(made_ids, pa.int32()), "parent": pa.array(up, pa.int32(), mask=up < 0), "ord": pa.array(np.where(is_root & ~is_old, place, places[taken]), pa.int32()), "depth": pa.array(depths[taken] + deeper, pa.int32())}
+    flat = pa.StructArray.from_arrays([(numbers | text)[f.name] for f in _NODE], fields=list(_NODE))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(gone, pa.bool_()))

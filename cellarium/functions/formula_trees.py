@@ -194,26 +194,8 @@ def print_nodes(nodes: list[dict]) -> str:
     return text
 
 
-def _print_ordered(ids: list, parents: list, places: list, *shown: list) -> str | None:
-    """The text of a tree whose nodes are numbered from 0 in the order of their texts, as the parser makes them; None for another tree."""
-    if parents[0] is not None or ids != list(range(len(ids))) or None in places:
-        return None
-    last = [-1] * len(ids)
-    for i in range(1, len(ids)):
-        parent = parents[i]
-        if parent is None or not 0 <= parent < i or places[i] <= last[parent]:
-            return None
-        last[parent] = places[i]
-    inner: list[list[str]] = [[] for _ in ids]
-    for i in range(len(ids) - 1, 0, -1):
-        inner[parents[i]].append(_shown(*[x[i] for x in shown], inner[i][::-1]))
-    return _shown(*[x[0] for x in shown], inner[0][::-1])
-
-
 def _shown(kind: str, text: str, before: str, after: str, inner: list[str]) -> str:
     """The text of a node around that of its children."""
-    if not inner and kind not in _AROUND:
-        return "\0" if kind == "row_end" else before + text + after
     if kind == "binary":
         body = inner[0] + before + text.strip() + inner[1]
     elif kind == "unary":
@@ -233,7 +215,8 @@ def _shown(kind: str, text: str, before: str, after: str, inner: list[str]) -> s
 
 
 _LISTED = ("call", "paren", "union", "array")
-_AROUND = frozenset((*_LISTED, "binary", "unary", "percent"))
+#: Kinds whose text is not just that between their blanks.
+_AROUND = frozenset((*_LISTED, "binary", "unary", "percent", "row_end"))
 _FIELDS = tuple(x.split()[0] for x in NODE.split(", "))
 _NODE = pa.struct([(name, {"int": pa.int32(), "string": pa.string()}[kind]) for name, kind in (x.split() for x in NODE.split(", "))])
 _NODE_SQL = ", ".join(x.replace(" ", ":") for x in NODE.split(", "))
@@ -278,33 +261,50 @@ def parse_formula(formula: Column) -> Column:
     return parsed(formula)
 
 
-def _values(column: pa.Array) -> list:
-    """A column's values; each text is made once, as few differ."""
-    if not len(column):
-        return []
-    if pa.types.is_string(column.type):
-        once = column.dictionary_encode(null_encoding="encode")
-        texts = once.dictionary.to_pylist()
-        return [texts[i] for i in once.indices.to_numpy().tolist()]
-    if column.null_count == 0:
-        return column.to_numpy().tolist()
-    return [None if lost else x for x, lost in zip(column.fill_null(0).to_numpy().tolist(), column.is_null().to_numpy(zero_copy_only=False).tolist(), strict=True)]
+def _values(column: pa.Array) -> list[str | None]:
+    """Texts of a column; each is made once, as few differ."""
+    once = column.dictionary_encode(null_encoding="encode")
+    texts = once.dictionary.to_pylist()
+    return [texts[i] for i in once.indices.to_numpy().tolist()]
 
 
 def _printed(found: pa.ListArray) -> list[str | None]:
-    """The texts of trees, read from Arrow field by field."""
-    fields = [_values(x) for x in found.flatten().flatten()]
-    ordered = [fields[_FIELDS.index(x)] for x in ("id", "parent", "ord", "kind", "text", "before", "after")]
-    out, at = [], 0
-    for n in pc.list_value_length(found).to_pylist():
-        if n is None:
-            out.append(None)
+    """The texts of trees, read from Arrow field by field. Trees whose nodes are numbered from 0 in the order of their texts, as the parser makes
+    them, are printed from the last node to the first; others by print_nodes()."""
+    nodes = found.flatten()
+    sizes = pc.list_value_length(found).to_pylist()
+    if not len(nodes):
+        return [None if n is None else print_nodes([]) for n in sizes]
+    fields = dict(zip(_FIELDS, nodes.flatten(), strict=True))
+    counts = np.array([n or 0 for n in sizes])
+    starts = np.cumsum(counts) - counts
+    row, base, at = np.repeat(np.arange(len(counts)), counts), np.repeat(starts, counts), np.arange(len(nodes))
+    ids, parents, places = (pc.fill_null(fields[f], -1).to_numpy() for f in ("id", "parent", "ord"))
+    root = fields["parent"].is_null().to_numpy(zero_copy_only=False)
+    odd = (ids != at - base) | (places < 0) | np.where(root, at > base, (parents < 0) | (parents >= ids))
+    up = np.where(root, -1, base + parents)
+    siblings = np.lexsort((at, up))
+    odd[siblings[1:]] |= (up[siblings[1:]] == up[siblings[:-1]]) & (up[siblings[1:]] >= 0) & (places[siblings[1:]] < places[siblings[:-1]])
+    others = set(row[odd].tolist())
+
+    kinds, texts, before, after = (_values(fields[f]) for f in ("kind", "text", "before", "after"))
+    leaves, above = _values(pc.binary_join_element_wise(*[fields[f] for f in ("before", "text", "after")], "")), up.tolist()
+    inner: list[list[str] | None] = [None] * len(nodes)
+    out: list[str | None] = [None] * len(sizes)
+    for r in range(len(sizes) - 1, -1, -1):
+        n, first = sizes[r], int(starts[r])
+        if not n or r in others:
+            out[r] = None if n is None else print_nodes(nodes[first : first + n].to_pylist())
             continue
-        text = _print_ordered(*[x[at : at + n] for x in ordered]) if n else None
-        if text is None:
-            text = print_nodes([dict(zip(_FIELDS, values, strict=True)) for values in zip(*[x[at : at + n] for x in fields], strict=True)])
-        out.append(text)
-        at += n
+        for i in range(first + n - 1, first - 1, -1):
+            kind = kinds[i]
+            text = _shown(kind, texts[i], before[i], after[i], (inner[i] or [])[::-1]) if kind in _AROUND else leaves[i]
+            if i == first:
+                out[r] = text
+            elif (known := inner[above[i]]) is None:
+                inner[above[i]] = [text]
+            else:
+                known.append(text)
     return out
 
 

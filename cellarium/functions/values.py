@@ -18,10 +18,15 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether nothing is left of a text that is trimmed()."""
+    return ~text.rlike(r"[^\s\p{Z}]")
+
+
 def parse_number(text: Column) -> Column:
     """A finite number, or null."""
     s = trimmed(text)
-    value = F.when(s.rlike(_NUMBER), s.try_cast("double"))
+    value = F.when(text.rlike(_NUMBER), text.try_cast("double")).when(s.rlike(_NUMBER), s.try_cast("double"))  # most need no trimming
     return F.when(F.abs(value) < float("inf"), value)
 
 

@@ -30,8 +30,9 @@ from pyspark.sql.types import StructType
 from cellarium.sources.books import BOOK, archive_rows
 from cellarium.sources.packages import LIMITS
 
-#: Bytes of packages that one task reads, unless the option bytesPerPartition says otherwise.
-PARTITION_BYTES = 64 << 20
+#: Bytes of packages that one task reads, unless the option bytesPerPartition says otherwise: a share of all by this number of tasks, within
+#: bounds. A package is parsed by Python and grows tenfold, so a megabyte is some seconds of work.
+PARTITION_BYTES, LEAST_BYTES, TASKS = 64 << 20, 1 << 20, 256
 _PACKAGE = "path string, content binary"
 
 
@@ -67,7 +68,7 @@ class SpreadsheetReader(DataSourceReader):
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.pattern = options["path"], options.get("pathglobfilter", "*")
-        self.bytes = int(options.get("bytesperpartition", PARTITION_BYTES))
+        self.bytes = int(options["bytesperpartition"]) if "bytesperpartition" in options else None
         self.limits = LIMITS | {k: int(options[f"limit_{k}"]) for k in LIMITS if f"limit_{k}" in options}
         self.columns = schema.names
         self.only: dict[str, set] = {}
@@ -80,11 +81,11 @@ class SpreadsheetReader(DataSourceReader):
             yield f  # Spark checks them again: a file system may spell paths in another way
 
     def partitions(self) -> Sequence[InputPartition]:
+        files = [f for f in _listed(self.path, self.pattern) if "path" not in self.only or f.path in self.only["path"]]
+        most = self.bytes if self.bytes is not None else min(PARTITION_BYTES, max(LEAST_BYTES, sum(f.size for f in files) // TASKS))
         out, size = [_Files([])], 0
-        for f in _listed(self.path, self.pattern):
-            if "path" in self.only and f.path not in self.only["path"]:
-                continue
-            if out[-1].paths and size + f.size > self.bytes:
+        for f in files:
+            if out[-1].paths and size + f.size > most:
                 out.append(_Files([]))
                 size = 0
             out[-1].paths.append(f.path)

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cellarium.plans.workbook import cells_of_books, read_cells
 from cellarium.sources import datasource, writer
@@ -81,3 +82,15 @@ def test_arrivals_come_in_bounded_batches(spark, built, tmp_path):
     assert ingest_arrivals(spark, folder, out, checkpoint, most=2) == 1
     members = spark.read.parquet(out).groupBy("path").count().collect()
     assert sorted(os.path.basename(r.path) for r in members) == ["b1.xlsx", "b2.xlsx", "b3.xlsx", "b4.xlsx", "b5.xlsx", "p.xlsx", "q.xlsx"] and {r["count"] for r in members} == {7, 6}
+
+
+def test_few_bytes_are_read_by_several_tasks(tmp_path):
+    """Forty megabytes of packages, minutes of parsing, are no work of one task; the option still has its way."""
+    for i in range(40):
+        with open(tmp_path / f"f{i:02}.xlsx", "wb") as f:
+            f.truncate(1 << 20)
+    dealt = lambda options: [len(p.paths) for p in datasource.SpreadsheetReader({"path": str(tmp_path)} | options, StructType([])).partitions()]
+    assert dealt({}) == [1] * 40
+    assert dealt({"bytesperpartition": str(64 << 20)}) == [40]
+    os.truncate(tmp_path / "f00.xlsx", 1 << 40)  # sparse: of much more, a task still reads 64 MB at most
+    assert dealt({}) == [1, 39]

@@ -11,6 +11,7 @@ from cellarium.plans import saving
 from cellarium.sources import books, splices, xml_events
 from cellarium.sources.packages import LIMITS, named_parts
 from cellarium.sources.tables import stored
+from tests.reference.test_saving import REL, SML, book, sheet, zipped
 
 EDIT = "path string, part string, row long, col long, value_kind string, num double, text string, bool boolean, err string, idx long, s string"
 ADDRESSES = ["A1", "b2", "C3", "AA1", "A0", "XFE1", "A9999999", "&#66;2", "&x;1", " A1", "D2 ", "", "$A1"]
@@ -103,3 +104,21 @@ def test_sheets_are_named_without_their_cells(spark):
     found = spark.createDataFrame([("p", _zipped("<worksheet><sheetData>" + "<row><c/></row>" * 9 + "</sheetData></worksheet>"))], "path string, content binary")
     assert [(r.part, r.kind) for r in books.book_rows(found, kinds={"sheet", "node", "item"}).collect()] == [("/s.xml", "sheet")]
     assert books.book_rows(found).filter("kind = 'cell'").count() == 9
+
+
+def test_fonts_of_a_sheet_that_ends_too_soon(spark):
+    """Refused with what is wrong with the part, and the package stays as it was; the other one is changed."""
+    styles = f'<styleSheet xmlns="{SML}"><fonts count="1"><font><sz val="11"/></font></fonts><cellXfs count="1"><xf fontId="0"/></cellXfs></styleSheet>'
+    made = {}
+    whole = sheet('<row r="1"><c r="A1"/></row>')
+    for name, body in (("good", whole), ("cut", whole.replace("</sheetData></worksheet>", ""))):
+        base = zipfile.ZipFile(io.BytesIO(bytes(book([body]))))
+        members = {n: base.read(n).decode() for n in base.namelist()} | {"xl/styles.xml": styles}
+        members["xl/_rels/book.xml.rels"] = members["xl/_rels/book.xml.rels"].replace("</Relationships>", f'<Relationship Id="y" Type="{REL}/styles" Target="styles.xml"/></Relationships>')
+        made[name] = bytes(zipped(**members))
+    found = spark.createDataFrame([(k, bytearray(v)) for k, v in made.items()], "path string, content binary")
+    edits = spark.createDataFrame([(k, 0, 0, 0, None, 9.0, None, None, None) for k in made], "path string, sheet int, row int, col int, name string, size double, bold boolean, italic boolean, underline boolean")
+    saved, refused = saving.save_fonts(found, edits)
+    assert [(r.path, r._error) for r in refused.collect()] == [("cut", "Malformed")]
+    after = {r.path: bytes(r.content) for r in saved.collect()}
+    assert after["cut"] == made["cut"] and b'<c r="A1" s="1"/>' in zipfile.ZipFile(io.BytesIO(after["good"])).read("xl/sheets/sheet1.xml")

@@ -28,7 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from cellarium.sources.books import BOOK, archive_rows
-from cellarium.sources.packages import LIMITS
+from cellarium.sources.packages import ENTRY, LIMITS, entry_rows
+from cellarium.sources.sheets import arrow_schema
 
 #: Bytes of packages that one task reads, unless the option bytesPerPartition says otherwise: a share of all by this number of tasks, within
 #: bounds. A package is parsed by Python and grows tenfold, so a megabyte is some seconds of work.
@@ -236,14 +237,30 @@ def contents(files: DataFrame, folder: str = "") -> DataFrame:
     """path and content of files (path), read where the rows are; null for a file that is gone. folder says what file system they are of."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system = _system(folder)[0] if folder else pafs.LocalFileSystem()
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                try:
-                    with system.open_input_stream(path) as stream:
-                        content = stream.read()
-                except FileNotFoundError:
-                    content = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+        for path, content in _read_files(batches, folder):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
 
     return files.select("path").mapInArrow(read, _PACKAGE)
+
+
+def file_entries(files: DataFrame, folder: str = "") -> DataFrame:
+    """entries(contents(files)) in one pass: what is in a file does not leave the task that reads it."""
+    schema = arrow_schema(ENTRY)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content in _read_files(batches, folder):
+            yield pa.RecordBatch.from_pylist(entry_rows(path, content, LIMITS), schema)
+
+    return files.select("path").mapInArrow(read, ENTRY)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, bytes | None]]:
+    system = _system(folder)[0] if folder else pafs.LocalFileSystem()
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            try:
+                with system.open_input_stream(path) as stream:
+                    content = stream.read()
+            except FileNotFoundError:
+                content = None
+            yield path, content

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellarium.sources.datasource import contents, register
+from cellarium.sources.datasource import file_entries, register
 from cellarium.sources.packages import entries
 
 
@@ -32,7 +32,7 @@ def ingest_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str,
     def batch(files: DataFrame, number: int) -> None:
         nonlocal seen
         seen += 1
-        entries(contents(files, folder)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        file_entries(files, folder).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     arriving = spark.readStream.format("package_arrivals").option("maxFilesPerBatch", str(most)).load(folder)
     query = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -1,10 +1,13 @@
 """Streams of arriving packages: one query runs all batches, and a listing serves many of them."""
 
+import io
 import os
+import zipfile
 
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from cellarium.sources import datasource
+from cellarium.sources.packages import entries
 from cellarium.streaming.ingest import ingest_arrivals
 
 
@@ -58,3 +61,19 @@ def test_all_batches_run_in_one_query(spark, tmp_path, monkeypatch):
     assert ingest_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), most=2) == 3
     assert len(starts) == 1
     assert spark.read.parquet(str(tmp_path / "out")).select("path").distinct().count() == 5
+
+
+def test_a_batch_is_one_pass_of_python(spark, tmp_path):
+    """Members of files, bad ones and those that are gone included, without their contents on the way."""
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.comment = b"c"
+        for name in ("a.xml", "b/", "c.xml"):
+            z.writestr(name, "x")
+    for name, content in (("good", buffer.getvalue()), ("bad", b"PK"), ("cut", buffer.getvalue()[:-20])):
+        (tmp_path / name).write_bytes(content)
+    files = spark.createDataFrame([(str(tmp_path / name),) for name in ("good", "bad", "cut", "gone")], "path string")
+    found, wanted = datasource.file_entries(files, str(tmp_path)), entries(datasource.contents(files, str(tmp_path)))
+    assert found.schema == wanted.schema and sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) and found.count() == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
